@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from groundspark.llm.bpe import op1_bpe
+from groundspark.llm.chat import OP10_SQL, op10_chat
+from groundspark.llm.pii import op9_pii
 
 
 def queries():
     return {
         "op1_bpe": op1_bpe,
+        "op9_pii": op9_pii,
+        "op10_chat": op10_chat,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op10_chat": OP10_SQL,
+    }
