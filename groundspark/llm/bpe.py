@@ -52,7 +52,8 @@ class Vocabulary:
         self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.longest = max(map(len, self.ids))
+        # Beginnings of tokens, with the id of those that are tokens themselves.
+        self.begun = {b[:n]: -1 for b in self.ids for n in range(1, len(b))} | self.ids
         self.rank: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.made_at = {i: -1 for i in self.ids.values()}
@@ -71,7 +72,7 @@ class Trie:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.fits: dict[tuple[int, int], bool] = {}
-        self.nodes: dict[bytes, int] = {}
+        self.nodes: dict[bytes, tuple[int, int]] = {}
 
     def stays(self, a: int, b: int) -> bool:
         """Whether merging leaves the boundary between two adjacent tokens alone.
@@ -98,17 +99,25 @@ class Trie:
         self.fits[a, b] = ok
         return ok
 
-    def step(self, path: bytes, lasts: list[int]) -> int:
-        """The last token of a prefix, from those of the shorter prefixes (lasts[k]: of path[:k])."""
-        get, fits, n = self.v.ids.get, self.fits, len(path)
-        for k in range(max(0, n - self.v.longest), n):
-            t = get(path[k:])
-            if t is not None:
+    def step(self, word: bytes, n: int, lasts: list[int], reach: int) -> tuple[int, int]:
+        """The last token of word[:n], from those of the shorter prefixes, and how far back a token may begin.
+
+        ``reach``: the length of the longest suffix of word[:n - 1] that begins some token. No token that ends at n is
+        longer than one byte more.
+        """
+        get, fits = self.v.begun.get, self.fits
+        far = 0
+        for k in range(n - 1 - reach, n):
+            t = get(word[k:n])
+            if t is None:
+                continue
+            far = far or n - k
+            if t >= 0:
                 if k == 0:
-                    return t
+                    return t, far
                 ok = fits.get((lasts[k], t))
                 if ok or ok is None and self.stays(lasts[k], t):
-                    return t
+                    return t, far
         raise ValueError("a byte is missing from the vocabulary")
 
     def encode(self, words: list[bytes]) -> Iterator[list[int]]:
@@ -117,19 +126,20 @@ class Trie:
         ``lasts`` is the stack of the walk: moving on to the next word pops what the two don't share.
         """
         nodes, step, lengths = self.nodes, self.step, self.v.bytes
-        before, lasts = b"", [-1]
+        before, lasts, reach = b"", [-1], [0]
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del lasts[shared + 1 :]
-            deep = len(word) > LONGEST_IN_TRIE
+            del lasts[shared + 1 :], reach[shared + 1 :]
+            kept = len(word) <= LONGEST_IN_TRIE
             for n in range(shared + 1, len(word) + 1):
-                if deep:
-                    t = self.far_step(word, n, lasts)
-                elif (t := nodes.get(path := word[:n])) is None:
-                    t = nodes[path] = step(path, lasts)
-                lasts.append(t)
+                if not kept:
+                    node = step(word, n, lasts, reach[-1])
+                elif (node := nodes.get(path := word[:n])) is None:
+                    node = nodes[path] = step(word, n, lasts, reach[-1])
+                lasts.append(node[0])
+                reach.append(node[1])
             before = word
             out, n = [], len(word)
             while n:
@@ -137,14 +147,6 @@ class Trie:
                 n -= len(lengths[lasts[n]])
             yield out[::-1]
 
-    def far_step(self, word: bytes, n: int, lasts: list[int]) -> int:
-        """As ``step``, for a word too long to give each of its prefixes a node."""
-        for k in range(max(0, n - self.v.longest), n):
-            t = self.v.ids.get(word[k:n])
-            if t is not None and (k == 0 or self.stays(lasts[k], t)):
-                return t
-        raise ValueError("a byte is missing from the vocabulary")
-
 
 class Encoder:
     """Texts to ids. Pieces between single spaces or line breaks are remembered, so each is split and encoded once."""
@@ -191,6 +193,9 @@ class Encoder:
             done[w] = array("i", ids).tobytes()
         for p, ws in zip(fresh, split, strict=True):
             self.known[p] = done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws])
+        for w in new:
+            if len(w) > LONGEST_KEPT:
+                del done[w]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed 32-bit numbers."""
@@ -216,7 +221,6 @@ class Encoder:
         for p in ps:
             if len(p) > LONGEST_KEPT:  # seldom met again, and large
                 known.pop(p, None)
-                self.done.clear()
         return out
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from groundspark.llm.bpe import op1_bpe
 from groundspark.llm.chat import OP10_SQL, op10_chat
+from groundspark.llm.mixing import OP5_SQL, op5_mixing
 from groundspark.llm.pii import op9_pii
+from groundspark.llm.warc import OP7_SQL, op7_warc
 
 
 def queries():
     return {
         "op1_bpe": op1_bpe,
+        "op5_mixing": op5_mixing,
+        "op7_warc": op7_warc,
         "op9_pii": op9_pii,
         "op10_chat": op10_chat,
     }
@@ -17,5 +21,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op5_mixing": OP5_SQL,
+        "op7_warc": OP7_SQL,
         "op10_chat": OP10_SQL,
     }
