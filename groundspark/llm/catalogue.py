@@ -6,12 +6,14 @@ from groundspark.llm.bpe import op1_bpe
 from groundspark.llm.chat import OP10_SQL, op10_chat
 from groundspark.llm.mixing import OP5_SQL, op5_mixing
 from groundspark.llm.pii import op9_pii
+from groundspark.llm.quality import op3_quality
 from groundspark.llm.warc import OP7_SQL, op7_warc
 
 
 def queries():
     return {
         "op1_bpe": op1_bpe,
+        "op3_quality": op3_quality,
         "op5_mixing": op5_mixing,
         "op7_warc": op7_warc,
         "op9_pii": op9_pii,
