@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from groundspark.llm.bpe import op1_bpe
 from groundspark.llm.chat import OP10_SQL, op10_chat
+from groundspark.llm.extract import op4_html
 from groundspark.llm.mixing import OP5_SQL, op5_mixing
 from groundspark.llm.pii import op9_pii
 from groundspark.llm.quality import op3_quality
@@ -14,6 +15,7 @@ def queries():
     return {
         "op1_bpe": op1_bpe,
         "op3_quality": op3_quality,
+        "op4_html": op4_html,
         "op5_mixing": op5_mixing,
         "op7_warc": op7_warc,
         "op9_pii": op9_pii,
