@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from groundspark.llm.ann import op2_ann
 from groundspark.llm.bpe import op1_bpe
 from groundspark.llm.chat import OP10_SQL, op10_chat
 from groundspark.llm.extract import op4_html
 from groundspark.llm.mixing import OP5_SQL, op5_mixing
 from groundspark.llm.pii import op9_pii
 from groundspark.llm.quality import op3_quality
+from groundspark.llm.topk import OP8_SQL, op8_topk
 from groundspark.llm.warc import OP7_SQL, op7_warc
 
 
 def queries():
     return {
         "op1_bpe": op1_bpe,
+        "op2_ann": op2_ann,
         "op3_quality": op3_quality,
         "op4_html": op4_html,
         "op5_mixing": op5_mixing,
         "op7_warc": op7_warc,
+        "op8_topk": op8_topk,
         "op9_pii": op9_pii,
         "op10_chat": op10_chat,
     }
@@ -27,5 +31,6 @@ def oracle_sql():
     return {
         "op5_mixing": OP5_SQL,
         "op7_warc": OP7_SQL,
+        "op8_topk": OP8_SQL,
         "op10_chat": OP10_SQL,
     }
