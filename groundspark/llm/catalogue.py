@@ -6,6 +6,7 @@ from groundspark.llm.ann import op2_ann
 from groundspark.llm.bpe import op1_bpe
 from groundspark.llm.chat import OP10_SQL, op10_chat
 from groundspark.llm.extract import op4_html
+from groundspark.llm.jaccard import op6_jaccard
 from groundspark.llm.mixing import OP5_SQL, op5_mixing
 from groundspark.llm.pii import op9_pii
 from groundspark.llm.quality import op3_quality
@@ -20,6 +21,7 @@ def queries():
         "op3_quality": op3_quality,
         "op4_html": op4_html,
         "op5_mixing": op5_mixing,
+        "op6_jaccard": op6_jaccard,
         "op7_warc": op7_warc,
         "op8_topk": op8_topk,
         "op9_pii": op9_pii,
