@@ -28,44 +28,47 @@ CUT = 0.3
 MOST_RULES = 400
 
 
-def _share_lost(text: Column, kept: Column) -> Column:
-    """The share of a text's characters that a replacement took away."""
-    n = F.length(text)
-    return (n - F.length(kept)) / F.greatest(n, F.lit(1))
-
-
-def statistics(text: Column) -> dict[str, Column]:
-    """All are ratios or logarithms, so that rules carry over to texts of any length."""
-    without = lambda chars: _share_lost(text, F.translate(text, chars, ""))
-    words, lines = F.split(text, " "), F.split(text, "\n")
-    n_words, n_lines = F.size(words), F.size(lines)
-    return {
-        "symbols": without("*$%&#@^~"),
-        "bars": without("|"),
-        "shouts": without("!?"),
-        "code": without("{}<>()[];=_/\\"),
-        "digits": without("0123456789"),
-        "points": without(".,"),
-        "upper": without("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"),
-        "spaces": without(" \n\t"),
-        "echoes": _share_lost(text, F.regexp_replace(text, r"(?<![^ ])([^ ]++) (?=\1(?![^ ]))", "")),
-        "distinct": F.size(F.array_distinct(words)) / n_words,
-        "distinct_lines": F.size(F.array_distinct(lines)) / n_lines,
-        "line_words": F.log1p(n_words / n_lines),
-        "words": F.log1p(n_words.cast("double")),
-        "word_chars": F.length(text) / n_words,
-    }
-
-
 NAMES = (
     "symbols", "bars", "shouts", "code", "digits", "points", "upper", "spaces", "echoes", "distinct", "distinct_lines", "line_words", "words", "word_chars",
 )
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_stats``, an array in the order of NAMES."""
-    made = statistics(F.coalesce(F.col(text), F.lit("")))
-    return df.withColumn("_stats", F.array(*[made[n].cast("double") for n in NAMES]))
+    """Adds ``_stats``, an array in the order of NAMES: ratios or logarithms, so that rules carry over to texts of any length.
+
+    What several statistics need comes first, as columns: the words, the lines and the odd characters, the rest of the text
+    without its lower-case letters and white space, which is short in most texts and cheap to count in. The rounding at
+    the end is a step that the optimizer doesn't see through: rules then read the array, where else it would put the
+    expressions themselves into every rule and compute them again and again.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    parts = df.withColumns({
+        "_chars": F.length(body),
+        "_odd": F.regexp_replace(body, r"[a-zß-öø-ÿ \n\t]+", ""),
+        "_echoed": F.length(F.regexp_replace(body, r"(?<![^ ])([^ ]++) (?=\1(?![^ ]))", "")),
+        "_words": F.split(body, " "),
+        "_lines": F.split(body, "\n"),
+    })
+    chars, n_words, n_lines = F.greatest("_chars", F.lit(1)).cast("double"), F.size("_words"), F.size("_lines")
+    share = lambda odd: (F.length("_odd") - F.length(F.translate("_odd", odd, ""))) / chars
+    made = {
+        "symbols": share("*$%&#@^~"),
+        "bars": share("|"),
+        "shouts": share("!?"),
+        "code": share("{}<>()[];=_/\\"),
+        "digits": share("0123456789"),
+        "points": share(".,"),
+        "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"),
+        "spaces": (n_words + n_lines - 2) / chars,
+        "echoes": (F.col("_chars") - F.col("_echoed")) / chars,
+        "distinct": F.size(F.array_distinct("_words")) / n_words,
+        "distinct_lines": F.size(F.array_distinct("_lines")) / n_lines,
+        "line_words": F.log1p(n_words / n_lines),
+        "words": F.log1p(n_words.cast("double")),
+        "word_chars": F.col("_chars") / n_words,
+    }
+    stats = F.transform(F.array(*[made[n].cast("double") for n in NAMES]), lambda x: F.round(x, 9))
+    return parts.withColumn("_stats", stats).drop("_chars", "_odd", "_echoed", "_words", "_lines")
 
 
 class Rule(NamedTuple):
