@@ -1,11 +1,708 @@
-"""The registered queries of the reference's own operators, with their SQL."""
+"""The registered queries over the given tables, one or more for each operator, and the SQL that checks them."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from groundspark.functions.sentences import split_sentences
+from groundspark.functions.text import (
+    agreement_band,
+    answer_matches,
+
+    content_words,
+    json_object_text,
+    normalize_answer,
+    normalize_doc_id,
+    parse_answers,
+    parse_chunk_id,
+    premise,
+    str_em,
+)
+from groundspark.operators import chunking, drafting, grading, harness, metrics, repair, retrieval, verification
+from groundspark.plans import base
+from groundspark.plans.base import ANSWERS_SQL, CORRECTIVE_SQL, DRAFTS_SQL, VERDICTS_SQL, content_sql, hits_sql, normal_sql, sentences_sql, table, trimmed_sql
+from groundspark.settings import CHUNK_LABELS, SETTINGS
+from groundspark.sources import readers
+
+QUERIES, SQL = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+# -- chunks -----------------------------------------------------------------------------------------------------------
+
+
+def chunk_sql(size: int, overlap: int) -> str:
+    end = f"""CASE WHEN s + {size} >= n THEN n ELSE (
+      CASE WHEN strpos(reverse(substring(t, s + {size} - {size // 4} + 1, {size // 4})), ' ') > 0
+        AND s + {size} - strpos(reverse(substring(t, s + {size} - {size // 4} + 1, {size // 4})), ' ') > s
+      THEN s + {size} - strpos(reverse(substring(t, s + {size} - {size // 4} + 1, {size // 4})), ' ') ELSE s + {size} END) END"""
+    return f"""steps(doc_id, t, n, s, e) AS (
+  SELECT doc_id, t, n, s, {end} FROM (SELECT doc_id, t, length(t) AS n, 0::BIGINT AS s FROM (SELECT doc_id::VARCHAR AS doc_id, {trimmed_sql('text')} AS t FROM documents) WHERE length(t) > 0)
+  UNION ALL
+  SELECT doc_id, t, n, s, {end} FROM (
+    SELECT doc_id, t, n, CASE WHEN NOT regexp_matches(substring(t, x, 1), '\\s') AND p > 0 AND x - p > s THEN x - p + 1 ELSE x END AS s FROM (
+      SELECT *, strpos(reverse(substring(t, s + 1, x - s)), ' ') AS p FROM (SELECT *, greatest(e - {overlap}, s + 1) AS x FROM steps WHERE e < n)))),
+chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INTEGER AS chunk_index, text, s::INTEGER AS start_char, e::INTEGER AS end_char
+  FROM (SELECT *, {trimmed_sql('substring(t, s + 1, e - s)')} AS text FROM steps) WHERE text <> '')"""
+
+
+_CHUNKS = f"WITH RECURSIVE {chunk_sql(SETTINGS.chunk_size, SETTINGS.chunk_overlap)}"
+_BULK = f"WITH RECURSIVE {chunk_sql(SETTINGS.bulk_size, SETTINGS.bulk_overlap)}"
+_ROWS = " SELECT doc_id || '::' || chunk_index AS chunk_id, doc_id, chunk_index, text, start_char, end_char FROM chunks"
+
+
+@query("chunk_documents", _CHUNKS + _ROWS)
+def chunk_documents(spark, sf_dir):
+    return chunking.chunk(base.documents(spark, sf_dir))
+
+
+@query("chunk_bulk", _BULK + _ROWS)
+def chunk_bulk(spark, sf_dir):
+    return chunking.bulk_chunk(base.documents(spark, sf_dir))
+
+
+@query("chunks_per_document", _CHUNKS + " SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id")
+def chunks_per_document(spark, sf_dir):
+    return chunking.chunks_per_document(chunking.chunk(base.documents(spark, sf_dir)))
+
+
+@query("index_size", _CHUNKS + " SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM chunks")
+def index_size(spark, sf_dir):
+    return chunking.chunk(base.documents(spark, sf_dir)).agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query("reingest_replace", """WITH old AS (SELECT doc_id::VARCHAR AS doc_id, text, source AS version FROM documents),
+ fresh AS (SELECT doc_id::VARCHAR AS doc_id, 'new ' || text AS text, 'fresh' AS version FROM documents WHERE doc_id % 10 = 0)
+ SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM fresh) UNION ALL SELECT * FROM fresh""")
+def reingest_replace(spark, sf_dir):
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("source").alias("version"))
+    fresh = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("new "), "text").alias("text"), F.lit("fresh").alias("version"))
+    return chunking.replace_documents(old, fresh)
+
+
+# -- ids, text --------------------------------------------------------------------------------------------------------
+
+
+@query("normalize_ids", f"SELECT page_id, replace(regexp_replace({trimmed_sql(chr(39) + ' a::b ' + chr(39) + ' || url')}, '\\s+', '_', 'g'), '::', '__') AS doc_id FROM pages")
+def normalize_ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", normalize_doc_id(F.concat(F.lit(" a::b "), "url")).alias("doc_id"))
+
+
+@query("parse_chunk_ids", """WITH ids AS (SELECT page_id, CASE WHEN page_id % 5 = 4 THEN url || '::x' ELSE url || '::' || page_id END AS c FROM pages)
+ SELECT page_id, CASE WHEN c ~ '(?s)^.*::[0-9]+$' THEN regexp_extract(c, '(?s)^(.*)::([0-9]+)$', 1) END AS doc_id,
+   CASE WHEN c ~ '(?s)^.*::[0-9]+$' THEN regexp_extract(c, '(?s)^(.*)::([0-9]+)$', 2)::INTEGER END AS chunk_index FROM ids""")
+def parse_chunk_ids(spark, sf_dir):
+    c = F.when(F.col("page_id") % 5 == 4, F.concat("url", F.lit("::x"))).otherwise(F.concat("url", F.lit("::"), F.col("page_id").cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", parse_chunk_id(c).alias("p")).select("page_id", "p.doc_id", "p.chunk_index")
+
+
+@query("normalize_text", f"SELECT doc_id, {normal_sql('text')} AS normalized FROM documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", normalize_answer(F.col("text")).alias("normalized"))
+
+
+@query("content_words", f"SELECT item_id, len({content_sql('text')})::INTEGER AS n_words, array_to_string(list_sort({content_sql('text')}), ' ') AS words FROM benchmark")
+def content_words_query(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", content_words(F.col("text")).alias("w")).select("item_id", F.size("w").alias("n_words"), F.array_join(F.array_sort("w"), " ").alias("words"))
+
+
+@query("contains_gold", f"""WITH g AS (SELECT item_id, {normal_sql('text')} AS gold FROM benchmark), d AS (SELECT doc_id, {normal_sql('text')} AS body FROM documents)
+ SELECT doc_id, item_id FROM d JOIN g ON gold <> '' AND contains(body, gold)""")
+def contains_gold(spark, sf_dir):
+    """Documents that hold a benchmark passage whole. Both are cut into words; the passage's first eight words find candidates by equality."""
+    run = 8
+    golds = table(spark, sf_dir, "benchmark").select("item_id", normalize_answer(F.col("text")).alias("gold")).where("gold <> ''")
+    words = lambda c: F.split(c, " ")
+    keyed = golds.select("item_id", "gold", F.least(F.size(words(F.col("gold"))) - 1, F.lit(run)).alias("n"))
+    # The first and last word may be cut in a text that merely contains the passage's characters, so keys leave the first one out.
+    key = F.array_join(F.slice(words(F.col("gold")), 2, F.greatest(F.col("n") - 1, F.lit(1))), " ")
+    short = keyed.where(F.size(words(F.col("gold"))) < run + 2)
+    long = keyed.where(F.size(words(F.col("gold"))) >= run + 2).select("item_id", "gold", F.xxhash64(key).alias("key"))
+    bodies = table(spark, sf_dir, "documents").select("doc_id", normalize_answer(F.col("text")).alias("body"))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (run - 2), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, run - 1), " ")))
+    each = bodies.withColumn("w", words(F.col("body"))).select("doc_id", F.explode(F.array_distinct(windows)).alias("key"))
+    candidates = each.join(long, "key").select("doc_id", "item_id", "gold").distinct()
+    found = candidates.join(bodies, "doc_id").where(F.contains("body", F.col("gold"))).select("doc_id", "item_id")
+    n_short = short.count()
+    if n_short == 0:
+        return found
+    # Passages too short for a key: an array in one row, so each body is searched once.
+    listed = short.agg(F.collect_list(F.struct("item_id", "gold")).alias("s"))
+    tried = bodies.withColumn("_", F.lit(1)).join(F.broadcast(listed.withColumn("_", F.lit(1))), "_").select("doc_id", F.explode(F.filter("s", lambda x: F.contains(F.col("body"), x["gold"]))).alias("x"))
+    return found.unionByName(tried.select("doc_id", "x.item_id"))
+
+
+@query("answerable_split", """WITH t AS (SELECT DISTINCT left(text, 40) AS title FROM documents), q AS (SELECT item_id, left(text, 40) AS title FROM benchmark)
+ SELECT item_id, 'answerable' AS subset FROM (SELECT * FROM q WHERE title IN (SELECT title FROM t) ORDER BY item_id LIMIT 150)
+ UNION ALL SELECT item_id, 'unanswerable' FROM (SELECT * FROM q WHERE title NOT IN (SELECT title FROM t) ORDER BY item_id LIMIT 150)""")
+def answerable_split(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("title"), F.col("item_id").alias("pos"))
+    good, bad = harness.split_by_corpus(q, table(spark, sf_dir, "documents").select(F.left("text", F.lit(40)).alias("title")).distinct(), 150)
+    return good.select("item_id", F.lit("answerable").alias("subset")).unionByName(bad.select("item_id", F.lit("unanswerable").alias("subset")))
+
+
+@query("split_sentences", f"SELECT conv_id, turn, i::INTEGER AS sent_idx, s[i + 1] AS sentence FROM (SELECT conv_id, turn, s, unnest(range(0, len(s))) AS i FROM (SELECT conv_id, turn, {sentences_sql('text')} AS s FROM conversations))")
+def split_sentences_query(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(split_sentences(F.col("text"))).alias("sent_idx", "sentence"))
+
+
+@query("parse_answers", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS n_answers, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source || ' [' END AS first_answer FROM documents""")
+def parse_answers_query(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array("lang", "source"))).otherwise(F.concat("source", F.lit(" [")))
+    return table(spark, sf_dir, "documents").select("doc_id", parse_answers(raw).alias("a")).select("doc_id", F.size("a").alias("n_answers"), F.element_at("a", 1).alias("first_answer"))
+
+
+@query("extract_json", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE props END AS object FROM events")
+def extract_json(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here: "), "props", F.lit(" done"))).otherwise(F.lit("no object"))
+    return table(spark, sf_dir, "events").select("event_id", json_object_text(raw).alias("object"))
+
+
+@query("str_em", f"""WITH d AS (SELECT doc_id, {normal_sql('text')} AS body, {normal_sql("regexp_extract(text, '^\\S+')")} AS a, {normal_sql('source')} AS b FROM documents)
+ SELECT doc_id, (CASE WHEN contains(body, a) THEN 1 ELSE 0 END + CASE WHEN contains(body, b) THEN 1 ELSE 0 END) / 2.0::DOUBLE AS str_em FROM d""")
+def str_em_query(spark, sf_dir):
+    sets = F.array(F.array(F.regexp_extract("text", r"^\S+", 0)), F.array(F.col("source")))
+    return table(spark, sf_dir, "documents").select("doc_id", str_em(F.col("text"), sets).alias("str_em"))
+
+
+@query("answer_matches", f"""WITH c AS (SELECT conv_id, turn, {normal_sql('text')} AS p, {normal_sql("regexp_extract(text, '\\S+$')")} AS g FROM conversations)
+ SELECT conv_id, turn, p <> '' AND g <> '' AND contains(p, g) AS matches FROM c""")
+def answer_matches_query(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answer_matches(F.col("text"), F.array(F.lit("The"), F.regexp_extract("text", r"\S+$", 0))).alias("matches"))
+
+
+@query("prompts_and_premises", """WITH c AS (SELECT conv_id, string_agg('[' || (r::VARCHAR) || '] ' || text, chr(10) || chr(10) ORDER BY r) AS prompt, left(string_agg(text, chr(10) || chr(10) ORDER BY r), 4000) AS premise
+   FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id)
+ SELECT conv_id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars, length(premise) AS premise_chars FROM c""")
+def prompts_and_premises(spark, sf_dir):
+    from groundspark.functions.text import rendered_passages
+
+    listed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("r"))
+    texts = F.transform("r", lambda x: x["text"])
+    return listed.select("conv_id", rendered_passages(texts).alias("prompt"), premise(texts).alias("premise")).select("conv_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("prompt_chars"), F.length("premise").cast("long").alias("premise_chars"))
+
+
+# -- retrieval and grading --------------------------------------------------------------------------------------------
+
+
+@query("knn_topk", f"WITH {hits_sql('h', 5)} SELECT * FROM h")
+def knn_topk(spark, sf_dir):
+    return base.hits(spark, sf_dir, 5)
+
+
+@query("hit_rate_at_k", f"""WITH {hits_sql('h', 5)}, m AS (SELECT q.vec_id AS qid, max(CASE WHEN c.label = q.label THEN 1 ELSE 0 END) AS a, max(CASE WHEN c.label = q.label AND h.rank = 1 THEN 1 ELSE 0 END) AS b
+   FROM embeddings q LEFT JOIN h ON h.qid = q.vec_id LEFT JOIN embeddings c ON c.vec_id = h.chunk_id WHERE q.vec_id % 25 = 0 GROUP BY q.vec_id)
+ SELECT count(*) AS n, sum(a)::BIGINT AS hits_at_k, sum(b)::BIGINT AS hits_at_1, sum(a) / count(*)::DOUBLE AS hit_rate_at_k, sum(b) / count(*)::DOUBLE AS hit_rate_at_1 FROM m""")
+def hit_rate_at_k(spark, sf_dir):
+    q, c = base.vectors(spark, sf_dir)
+    h = base.hits(spark, sf_dir, 5).join(c.select("chunk_id", F.col("label").alias("c_label")), "chunk_id").join(q.select("qid", F.col("label").alias("q_label")), "qid")
+    return retrieval.hit_rate(h, q, F.col("c_label") == F.col("q_label"), 5)
+
+
+@query("retrieval_hit", f"""WITH q AS (SELECT conv_id, {normal_sql("regexp_extract(text, '^\\S+\\s+\\S+')")} AS gold FROM conversations WHERE turn = 1),
+ c AS (SELECT conv_id, {normal_sql("string_agg(text, ' ' ORDER BY turn)")} AS body FROM conversations WHERE turn <> 1 GROUP BY conv_id)
+ SELECT q.conv_id AS qid, coalesce(gold <> '' AND contains(body, gold), false) AS hit FROM q LEFT JOIN c USING (conv_id)""")
+def retrieval_hit(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    q = rows.where("turn = 1").select(F.col("conv_id").alias("qid"), F.array(F.regexp_extract("text", r"^\S+\s+\S+", 0)).alias("answers"))
+    return retrieval.retrieval_hit(rows.where("turn <> 1").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), "text"), q)
+
+
+@query("corrective_union", f"""WITH {hits_sql('w', 15)}
+ SELECT qid, chunk_id, score, CASE WHEN rank <= 5 THEN 0 ELSE 1 END AS round, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= 5 THEN 0 ELSE 1 END, rank)::INTEGER AS pos FROM w""")
+def corrective_union(spark, sf_dir):
+    wide = base.hits(spark, sf_dir, 15)
+    return retrieval.merge_rounds(wide.where("rank <= 5"), wide).select("qid", "chunk_id", "score", "round", "pos")
+
+
+@query("grade_labels", f"WITH {hits_sql('h', 5)}, {base.graded_sql('g', 'h')} SELECT qid, rank, chunk_id, p_correct, label, confidence FROM g")
+def grade_labels(spark, sf_dir):
+    return grading.grade(base.probabilities(base.hits(spark, sf_dir, 5))).select("qid", "rank", "chunk_id", "p_correct", "label", "confidence")
+
+
+@query("query_action", f"WITH {hits_sql('h', 5)}, {base.graded_sql('g', 'h')}, q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 25 = 0 UNION ALL SELECT -1) {base.action_sql('q', 'g')}")
+def query_action(spark, sf_dir):
+    q, _ = base.vectors(spark, sf_dir)
+    asked = q.select("qid").unionByName(spark.range(-1, 0).select(F.col("id").alias("qid")))
+    return grading.actions(grading.grade(base.probabilities(base.hits(spark, sf_dir, 5))), asked)
+
+
+@query("retrieval_trace", f"WITH {CORRECTIVE_SQL} SELECT * FROM trace")
+def retrieval_trace(spark, sf_dir):
+    return base.corrective(spark, sf_dir)[1]
+
+
+@query("kept_context", f"""WITH {CORRECTIVE_SQL} SELECT qid, passage_no, chunk_id, label FROM (
+   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY label <> 'correct', confidence DESC, pos)::INTEGER AS passage_no FROM graded
+   WHERE label <> 'wrong' AND qid IN (SELECT qid FROM trace WHERE action <> 'abstain')) WHERE passage_no <= 5""")
+def kept_context(spark, sf_dir):
+    graded, trace = base.corrective(spark, sf_dir)
+    return grading.kept_context(graded, trace)
+
+
+def _weak(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    subjects = F.array(F.when(F.col("doc_id") % 3 < 2, F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))), F.lit("Other"))
+    golds = F.array(F.when(F.col("doc_id") % 2 == 0, F.regexp_extract("text", r"^\S+", 0)).otherwise(F.lit("zzz qqq")))
+    return rows.select("doc_id", grading.weak_label(F.col("text"), F.concat(F.lit("Doc_"), F.col("doc_id").cast("string")), subjects, golds).alias("label"))
+
+
+_WEAK = f"""WITH w AS (SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'wrong' WHEN doc_id % 2 = 0 AND {normal_sql("regexp_extract(text, '^\\S+')")} <> '' AND contains({normal_sql('text')}, {normal_sql("regexp_extract(text, '^\\S+')")}) THEN 'correct' ELSE 'ambiguous' END AS label FROM documents)"""
+
+
+@query("weak_label", _WEAK + " SELECT * FROM w")
+def weak_label(spark, sf_dir):
+    return _weak(spark, sf_dir)
+
+
+@query("label_distribution", _WEAK + " SELECT label, count(*) AS n FROM w GROUP BY label")
+def label_distribution(spark, sf_dir):
+    return harness.distribution(_weak(spark, sf_dir), "label")
+
+
+@query("class_weights", """WITH c AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 3 GROUP BY label), f AS (SELECT k.label, coalesce(c.n, 0) AS n FROM (SELECT unnest([0, 1, 2])::INTEGER AS label) k LEFT JOIN c USING (label)),
+ r AS (SELECT label, n, (SELECT sum(n) FROM f)::DOUBLE / (3 * greatest(n, 1)) AS w FROM f) SELECT label, n, w / (SELECT avg(w) FROM r) AS weight FROM r""")
+def class_weights(spark, sf_dir):
+    return grading.class_weights(table(spark, sf_dir, "embeddings").where("label < 3"), "label", [0, 1, 2])
+
+
+@query("alias_map", "SELECT lower(replace(source, '_', ' ')) AS title, arg_min(doc_id, doc_id) AS doc_id FROM documents GROUP BY 1")
+def alias_map(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return rows.groupBy(F.lower(F.translate("source", "_", " ")).alias("title")).agg(F.min_by("doc_id", "doc_id").alias("doc_id"))
+
+
+# -- drafts, citations, verdicts --------------------------------------------------------------------------------------
+
+
+@query("parse_citations", f"WITH {DRAFTS_SQL} SELECT p.qid, p.sent_idx, p.text, p.raw, coalesce((SELECT string_agg(n.n::VARCHAR, ',' ORDER BY n.j) FROM numbered n WHERE n.qid = p.qid AND n.sent_idx = p.sent_idx), '') AS numbers, len(all_numbers) > 0 AS had_citation FROM parsed p")
+def parse_citations(spark, sf_dir):
+    return base.parsed(spark, sf_dir).withColumn("numbers", F.array_join(F.col("numbers").cast("array<string>"), ","))
+
+
+@query("validate_citations", f"WITH {DRAFTS_SQL} SELECT * FROM citations")
+def validate_citations(spark, sf_dir):
+    return base.resolved(spark, sf_dir)[2]
+
+
+_STATS = f"""WITH {DRAFTS_SQL}, own AS (SELECT qid, sent_idx, count(chunk_id) AS valid, count(*) - count(chunk_id) AS invalid FROM citations GROUP BY ALL),
+ stats AS (SELECT p.qid, count(*) AS sentences, count(*) FILTER (WHERE len(all_numbers) > 0) AS with_citation, count(*) FILTER (WHERE valid > 0) AS with_valid_citation, coalesce(sum(invalid), 0)::BIGINT AS invalid_ids, count(*) FILTER (WHERE invalid > 0) AS sentences_with_invalid_id
+   FROM parsed p LEFT JOIN own USING (qid, sent_idx) GROUP BY p.qid)"""
+
+
+@query("citation_stats", _STATS + " SELECT * FROM stats")
+def citation_stats(spark, sf_dir):
+    p, _, cites = base.resolved(spark, sf_dir)
+    return drafting.citation_stats(p, cites)
+
+
+@query("citation_rates", _STATS + """ SELECT *, with_valid_citation / sentences::DOUBLE AS parseable_rate, with_citation / sentences::DOUBLE AS citation_rate, sentences_with_invalid_id / sentences::DOUBLE AS invalid_id_rate
+ FROM (SELECT sum(sentences)::BIGINT AS sentences, sum(with_citation)::BIGINT AS with_citation, sum(with_valid_citation)::BIGINT AS with_valid_citation, sum(invalid_ids)::BIGINT AS invalid_ids, sum(sentences_with_invalid_id)::BIGINT AS sentences_with_invalid_id FROM stats)""")
+def citation_rates(spark, sf_dir):
+    p, _, cites = base.resolved(spark, sf_dir)
+    return drafting.citation_rates(drafting.citation_stats(p, cites))
+
+
+@query("structured_payload", """SELECT conv_id AS qid, 0 AS sent_idx, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, '1,2' AS numbers FROM conversations WHERE turn = 1 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""")
+def structured_payload(spark, sf_dir):
+    reply = F.to_json(F.struct(F.array(F.struct(F.concat("text", F.lit(" [2]")).alias("text"), F.array(F.lit(1)).alias("citations")), F.struct(F.lit("  ").alias("text"), F.array(F.lit(1)).alias("citations"))).alias("sentences")))
+    rows = table(spark, sf_dir, "conversations").where("turn = 1").select(F.col("conv_id").alias("qid"), F.concat(F.lit("```json\n"), reply, F.lit("\n```")).alias("raw_text"))
+    return drafting.parse_payload(rows).select("qid", "sent_idx", "text", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
+
+
+@query("lexical_support", f"WITH {VERDICTS_SQL} SELECT qid, sent_idx, cite_pos, chunk_id, score, score >= 0.5::DOUBLE AS supported FROM scored")
+def lexical_support(spark, sf_dir):
+    p, c, cites = base.resolved(spark, sf_dir)
+    rows = cites.where("chunk_id IS NOT NULL").join(p.select("qid", "sent_idx", content_words(F.col("text")).alias("w")), ["qid", "sent_idx"]).join(c.select("qid", "chunk_id", content_words(F.col("text")).alias("pw")), ["qid", "chunk_id"])
+    return rows.withColumn("score", verification.lexical_score(F.col("w"), F.col("pw"))).select("qid", "sent_idx", "cite_pos", "chunk_id", "score", (F.col("score") >= 0.5).alias("supported"))
+
+
+@query("verify_sentences", f"WITH {VERDICTS_SQL} SELECT qid, sent_idx, supported, entailment_score, supporting_chunk_id, nli_label, n_scored, uncited FROM verdicts")
+def verify_sentences(spark, sf_dir):
+    return base.verdicts(spark, sf_dir).drop("scores")
+
+
+@query("verification_report", f"""WITH {VERDICTS_SQL} SELECT qid, count(*) AS n, count(*) FILTER (WHERE NOT supported) AS unsupported, count(*) FILTER (WHERE nli_label = 'contradiction') AS contradicted,
+ bool_and(supported) AS all_supported, count(*) FILTER (WHERE NOT supported) / count(*)::DOUBLE AS flag_rate FROM verdicts GROUP BY qid""")
+def verification_report(spark, sf_dir):
+    return verification.report(base.verdicts(spark, sf_dir))
+
+
+@query("citation_pr", f"""WITH {VERDICTS_SQL}, r AS (SELECT count(*) AS sentences, count(*) FILTER (WHERE supported) AS supported_sentences, coalesce(sum(len(rounded)), 0)::BIGINT AS citations,
+   coalesce(sum(len(list_filter(rounded, lambda x: x >= 0.2::DOUBLE))), 0)::BIGINT AS supported_citations FROM verdicts WHERE NOT (uncited AND n_scored = 0))
+ SELECT *, supported_sentences / nullif(sentences, 0)::DOUBLE AS recall, supported_citations / nullif(citations, 0)::DOUBLE AS precision FROM r""")
+def citation_pr(spark, sf_dir):
+    return verification.citation_precision_recall(base.verdicts(spark, sf_dir))
+
+
+@query("hallucination_rate", f"""WITH {VERDICTS_SQL}, r AS (SELECT count(*) AS sentences, count(*) FILTER (WHERE NOT supported) AS unsupported, count(*) FILTER (WHERE nli_label = 'contradiction') AS contradicted FROM verdicts WHERE NOT uncited)
+ SELECT *, unsupported / nullif(sentences, 0)::DOUBLE AS hallucination_rate, contradicted / nullif(sentences, 0)::DOUBLE AS contradiction_rate FROM r""")
+def hallucination_rate(spark, sf_dir):
+    return verification.hallucination_rate(base.verdicts(spark, sf_dir))
+
+
+@query("labeled_hallucination_rate", """WITH l AS (SELECT CASE quality WHEN 1 THEN 'supported' WHEN 0 THEN 'hallucinated' ELSE '' END AS label FROM labels)
+ SELECT count(*) AS labeled, count(*) FILTER (WHERE label = 'hallucinated') AS hallucinated, count(*) FILTER (WHERE label = 'hallucinated') / nullif(count(*), 0)::DOUBLE AS rate FROM l WHERE label <> ''""")
+def labeled_hallucination_rate(spark, sf_dir):
+    return verification.labeled_hallucination_rate(table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "supported").when(F.col("quality") == 0, "hallucinated").otherwise("").alias("label")))
+
+
+@query("verifier_rollup", f"""WITH {VERDICTS_SQL} SELECT count(*) AS sentences, count(*) FILTER (WHERE supported) AS supported, count(*) FILTER (WHERE uncited) AS uncited, count(*) FILTER (WHERE n_scored > 1) AS several_citations,
+ count(*) FILTER (WHERE nli_label = 'entailment') AS entailment, count(*) FILTER (WHERE nli_label = 'neutral') AS neutral, count(*) FILTER (WHERE nli_label = 'contradiction') AS contradiction, avg(n_scored) FILTER (WHERE n_scored > 0) AS mean_citations FROM verdicts""")
+def verifier_rollup(spark, sf_dir):
+    return verification.verifier_rollup(base.verdicts(spark, sf_dir))
+
+
+@query("repair_outcome", f"WITH {ANSWERS_SQL} SELECT * FROM answers")
+def repair_outcome(spark, sf_dir):
+    return base.final_answers(spark, sf_dir)[2]
+
+
+@query("abstain_reasons", f"WITH {ANSWERS_SQL} SELECT abstain_reason, count(*) AS n FROM answers WHERE abstained GROUP BY abstain_reason")
+def abstain_reasons(spark, sf_dir):
+    return metrics.reason_histogram(base.final_answers(spark, sf_dir)[2])
+
+
+@query("repair_totals", f"""WITH {ANSWERS_SQL} SELECT *, coalesce(repair_succeeded / nullif(repair_attempted, 0)::DOUBLE, 0) AS repair_success_rate FROM (SELECT sum(flagged)::BIGINT AS flagged, sum(repair_attempted)::BIGINT AS repair_attempted, sum(repair_succeeded)::BIGINT AS repair_succeeded, sum(dropped)::BIGINT AS dropped, sum(uncited_dropped)::BIGINT AS uncited_dropped FROM answers)""")
+def repair_totals(spark, sf_dir):
+    return repair.repair_rate(base.final_answers(spark, sf_dir)[2])
+
+
+@query("final_citations", f"""WITH {ANSWERS_SQL} SELECT DISTINCT x.qid, x.passage_no, x.chunk_id FROM context x JOIN citations c ON c.qid = x.qid AND c.chunk_id = x.chunk_id
+ JOIN outcomes o ON o.qid = c.qid AND o.sent_idx = c.sent_idx AND o.status IN ('kept', 'repaired') JOIN answers a ON a.qid = x.qid AND NOT a.abstained""")
+def final_citations(spark, sf_dir):
+    _, outcomes, final, context = base.final_answers(spark, sf_dir)
+    return repair.final_citations(outcomes, final, context)
+
+
+@query("response_statuses", f"""WITH {ANSWERS_SQL}, last AS (SELECT qid, text, arg_max(supported, sent_idx) AS supported FROM verdicts GROUP BY ALL)
+ SELECT o.qid, o.sent_idx, CASE WHEN l.text IS NULL AND a.repair_attempted > 0 THEN 'repaired' WHEN l.text IS NULL THEN 'unverified' WHEN l.supported THEN 'passed' ELSE 'unverified' END AS status
+ FROM outcomes o JOIN answers a ON a.qid = o.qid AND NOT a.abstained LEFT JOIN last l ON l.qid = o.qid AND l.text = o.out_text WHERE o.status IN ('kept', 'repaired')""")
+def response_statuses(spark, sf_dir):
+    p, c, cites = base.resolved(spark, sf_dir)
+    _, outcomes, final, _ = base.final_answers(spark, sf_dir)
+    v = verification.verify(p.select("qid", "sent_idx", "text"), cites, c).join(p.select("qid", "sent_idx", "text"), ["qid", "sent_idx"])
+    own = outcomes.where(F.col("status").isin("kept", "repaired")).select("qid", "sent_idx", "text").join(final.where("NOT abstained").select("qid", "repair_attempted"), "qid")
+    return repair.by_text(own, v.select("qid", "sent_idx", "text", "supported")).select("qid", "sent_idx", repair.response_status(F.col("has_verdict"), F.col("supported"), F.col("repair_attempted")).alias("status"))
+
+
+# -- metrics ----------------------------------------------------------------------------------------------------------
+
+#: Published confusion counts (gold, predicted, rows).
+PUBLISHED = (("correct", "correct", 120), ("correct", "ambiguous", 25), ("correct", "wrong", 1), ("ambiguous", "correct", 19), ("ambiguous", "ambiguous", 40), ("ambiguous", "wrong", 2), ("wrong", "correct", 4), ("wrong", "ambiguous", 10), ("wrong", "wrong", 539))
+PUBLISHED_ACTIONS = (("Correct", "Correct", 118), ("Correct", "Ambiguous", 14), ("Correct", "Incorrect", 1), ("Ambiguous", "Correct", 13), ("Ambiguous", "Ambiguous", 3), ("Ambiguous", "Incorrect", 0), ("Incorrect", "Correct", 0), ("Incorrect", "Ambiguous", 0), ("Incorrect", "Incorrect", 3))
+QUALITY = (0, 1)
+
+
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join(f"('{g}', '{p}', {n}::BIGINT)" for g, p, n in rows) + ") AS c(gold, pred, n)"
+
+
+def published(spark, rows):
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{g}', '{p}', {n}L)" for g, p, n in rows) + " AS c(gold, pred, n)")
+
+
+def _predictions(spark, sf_dir):
+    """Labels against a rule on the length of the text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") >= 300).cast("int").alias("pred"))
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("gold"), F.col("toxic")).join(d, "doc_id")
+
+
+_PRED = "WITH r AS (SELECT l.doc_id, quality AS gold, (n_chars >= 300)::INTEGER AS pred FROM labels l JOIN documents d USING (doc_id)), k AS (SELECT unnest([0, 1])::INTEGER AS c), counts AS (SELECT a.c AS gold, b.c AS pred, (SELECT count(*) FROM r WHERE r.gold = a.c AND r.pred = b.c) AS n FROM k a, k b)"
+_PRF = """SELECT l AS label, tp::BIGINT AS tp, s::BIGINT AS support, coalesce(tp / nullif(p, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(s, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(s + p, 0)::DOUBLE, 0) AS f1
+ FROM (SELECT x.gold AS l, sum(CASE WHEN x.gold = x.pred THEN n ELSE 0 END) AS tp, sum(n) AS s, (SELECT sum(y.n) FROM counts y WHERE y.pred = x.gold) AS p FROM counts x GROUP BY x.gold)"""
+
+
+@query("confusion_matrix", _PRED + " SELECT gold, sum(CASE WHEN pred = 0 THEN n ELSE 0 END)::BIGINT AS pred_0, sum(CASE WHEN pred = 1 THEN n ELSE 0 END)::BIGINT AS pred_1 FROM counts GROUP BY gold")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion_matrix(metrics.confusion_counts(_predictions(spark, sf_dir), QUALITY), QUALITY)
+
+
+@query("prf_by_class", _PRED + _PRF)
+def prf_by_class(spark, sf_dir):
+    return metrics.per_class(metrics.confusion_counts(_predictions(spark, sf_dir), QUALITY))
+
+
+@query("macro_f1", _PRED + f", f AS ({_PRF}) SELECT sum(support)::BIGINT AS n, sum(tp) / sum(support)::DOUBLE AS accuracy, avg(f1) AS macro_f1 FROM f")
+def macro_f1(spark, sf_dir):
+    return metrics.accuracy_and_macro_f1(metrics.confusion_counts(_predictions(spark, sf_dir), QUALITY))
+
+
+@query("published_prf", f"WITH counts AS (SELECT * FROM {_values(PUBLISHED)}) {_PRF}")
+def published_prf(spark, sf_dir):
+    return metrics.per_class(published(spark, PUBLISHED))
+
+
+_MAJORITY = """, g AS (SELECT gold, sum(n) AS s, sum(CASE WHEN gold = pred THEN n ELSE 0 END) AS r FROM counts GROUP BY gold), t AS (SELECT gold, s FROM g ORDER BY s DESC, gold LIMIT 1)
+ SELECT t.gold AS majority_class, t.s / (SELECT sum(s) FROM g)::DOUBLE AS majority_rate, (SELECT sum(r) FROM g) / (SELECT sum(s) FROM g)::DOUBLE AS accuracy, (SELECT sum(r) FROM g) > t.s AS beats_majority FROM t"""
+
+
+@query("majority_baseline", _PRED + _MAJORITY)
+def majority_baseline(spark, sf_dir):
+    return metrics.majority(metrics.confusion_counts(_predictions(spark, sf_dir), QUALITY))
+
+
+@query("published_actions", f"WITH counts AS (SELECT * FROM {_values(PUBLISHED_ACTIONS)}){_MAJORITY}")
+def published_actions(spark, sf_dir):
+    return metrics.majority(published(spark, PUBLISHED_ACTIONS))
+
+
+_AGREE = "WITH r AS (SELECT quality AS a, 1 - toxic AS b FROM labels)"
+
+
+@query("cohens_kappa", _AGREE + """, m AS (SELECT count(*) AS n, avg((a = b)::INTEGER) AS po, (sum(a) / count(*)::DOUBLE) AS pa, (sum(b) / count(*)::DOUBLE) AS pb FROM r),
+ e AS (SELECT n, po, (SELECT sum(x.c * y.c)::DOUBLE FROM (SELECT a AS k, count(*) AS c FROM r GROUP BY 1) x JOIN (SELECT b AS k, count(*) AS c FROM r GROUP BY 1) y USING (k)) / (n::DOUBLE * n) AS pe FROM m)
+ SELECT n, po AS observed, pe AS expected, CASE WHEN pe >= 1 THEN 0 ELSE (po - pe) / (1 - pe) END::DOUBLE AS kappa,
+   CASE WHEN (po - pe) / (1 - pe) >= 0.81 THEN 'almost perfect' WHEN (po - pe) / (1 - pe) >= 0.61 THEN 'substantial' WHEN (po - pe) / (1 - pe) >= 0.41 THEN 'moderate' WHEN (po - pe) / (1 - pe) >= 0.21 THEN 'fair' WHEN (po - pe) / (1 - pe) >= 0 THEN 'slight' ELSE 'poor (worse than chance)' END AS band FROM e""")
+def cohens_kappa(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select(F.col("quality").alias("gold"), (1 - F.col("toxic")).alias("pred"))
+    return metrics.cohens_kappa(metrics.confusion_counts(rows, QUALITY)).withColumn("band", agreement_band(F.col("kappa")))
+
+
+@query("per_class_agreement", _AGREE + """, c AS (SELECT k AS label, count(*) FILTER (WHERE a = k) AS n_a, count(*) FILTER (WHERE b = k) AS n_b, count(*) FILTER (WHERE a = k AND b = k) AS n_both, count(*)::DOUBLE AS n FROM r, (SELECT unnest([0, 1])::INTEGER AS k) GROUP BY k),
+ e AS (SELECT *, (n - n_a - n_b + 2 * n_both) / n AS po, (n_a * n_b::DOUBLE + (n - n_a) * (n - n_b)) / (n * n) AS pe FROM c)
+ SELECT label, n_a, n_b, n_both, n_both / nullif(n_a + n_b - n_both, 0)::DOUBLE AS jaccard, CASE WHEN pe >= 1 THEN 0 ELSE (po - pe) / (1 - pe) END::DOUBLE AS kappa FROM e""")
+def per_class_agreement(spark, sf_dir):
+    return metrics.per_class_agreement(table(spark, sf_dir, "labels").select(F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b")), QUALITY)
+
+
+POINTS = [round(0.05 * k, 2) for k in range(1, 20)]
+_TRUTH = f"{hits_sql('h', 15)}, t AS (SELECT h.score, q.label = c.label AS truth FROM h JOIN embeddings q ON q.vec_id = h.qid JOIN embeddings c ON c.vec_id = h.chunk_id)"
+_SWEEP = f"""WITH {_TRUTH}, p AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in POINTS)}]) AS threshold),
+ s AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND truth) AS tp, count(*) FILTER (WHERE score >= threshold AND NOT truth) AS fp, count(*) FILTER (WHERE score < threshold AND truth) AS fn, count(*) FILTER (WHERE score < threshold AND NOT truth) AS tn FROM p, t GROUP BY threshold),
+ sweep AS (SELECT threshold, tp, fp AS missed_hallucinations, fn AS false_flags, tn, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1 FROM s)"""
+
+
+def _truth(spark, sf_dir):
+    q, c = base.vectors(spark, sf_dir)
+    h = base.hits(spark, sf_dir, 15)
+    return h.join(c.select("chunk_id", F.col("label").alias("cl")), "chunk_id").join(q.select("qid", F.col("label").alias("ql")), "qid").select("qid", "score", (F.col("cl") == F.col("ql")).alias("truth"))
+
+
+@query("threshold_sweep", _SWEEP + " SELECT * FROM sweep")
+def threshold_sweep(spark, sf_dir):
+    return metrics.threshold_sweep(_truth(spark, sf_dir), POINTS)
+
+
+@query("best_threshold", _SWEEP + " SELECT threshold, f1 FROM sweep ORDER BY f1 DESC, threshold LIMIT 1")
+def best_threshold(spark, sf_dir):
+    return metrics.best_threshold(metrics.threshold_sweep(_truth(spark, sf_dir), POINTS))
+
+
+@query("separation", f"""WITH {_TRUTH} SELECT count(*) FILTER (WHERE truth) AS positives, count(*) FILTER (WHERE NOT truth) AS negatives, avg(score) FILTER (WHERE truth) AS mean_positive, avg(score) FILTER (WHERE NOT truth) AS mean_negative,
+ median(score) FILTER (WHERE truth) AS median_positive, median(score) FILTER (WHERE NOT truth) AS median_negative, avg(score) FILTER (WHERE truth) - avg(score) FILTER (WHERE NOT truth) AS separation FROM t""")
+def separation(spark, sf_dir):
+    return metrics.separation(_truth(spark, sf_dir))
+
+
+CORRECT_GRID, WRONG_GRID = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8], [0.05, 0.1, 0.2, 0.3]
+_PROBS = f"WITH {_TRUTH}, p AS (SELECT truth, p_correct, (1.0::DOUBLE - p_correct) * 0.7::DOUBLE AS p_wrong, (1.0::DOUBLE - p_correct) * 0.3::DOUBLE AS p_ambiguous, CASE WHEN truth THEN 'correct' ELSE 'wrong' END AS gold FROM (SELECT *, {base.P_SQL} AS p_correct FROM t))"
+
+
+@query("threshold_grid_2d", _PROBS + f""", g AS (SELECT c, w FROM (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in CORRECT_GRID)}]) AS c), (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in WRONG_GRID)}]) AS w) WHERE w < c),
+ l AS (SELECT c, w, gold, CASE WHEN p_correct >= c THEN 'correct' WHEN p_correct <= w AND p_wrong >= p_ambiguous THEN 'wrong' ELSE 'ambiguous' END AS pred FROM p, g),
+ k AS (SELECT c, w, x, count(*) FILTER (WHERE gold = x AND pred = x) AS tp, count(*) FILTER (WHERE gold = x) + count(*) FILTER (WHERE pred = x) AS ends, count(*) AS n FROM l, (SELECT unnest(['correct', 'ambiguous', 'wrong']) AS x) GROUP BY ALL)
+ SELECT c AS correct_threshold, w AS wrong_threshold, sum(tp) / any_value(n)::DOUBLE AS accuracy, avg(coalesce(2 * tp / nullif(ends, 0)::DOUBLE, 0)) AS macro_f1 FROM k GROUP BY c, w""")
+def threshold_grid_2d(spark, sf_dir):
+    rows = base.probabilities(_truth(spark, sf_dir)).withColumn("gold", F.when(F.col("truth"), "correct").otherwise("wrong"))
+    return metrics.threshold_grid(rows, CORRECT_GRID, WRONG_GRID, CHUNK_LABELS)
+
+
+FRACTIONS = [round(0.1 * k, 1) for k in range(1, 11)]
+_ROWS_SQL = f"WITH {ANSWERS_SQL}, rows AS (SELECT qid, abstained, round(confidence, 9) AS confidence, NOT abstained AND length(text) % 3 > 0 AS correct, CASE WHEN length(qid) % 2 = 0 THEN 'answerable' ELSE 'unanswerable' END AS subset FROM answers)"
+
+
+def _rows(spark, sf_dir):
+    final = base.final_answers(spark, sf_dir)[2]
+    return final.select("qid", "abstained", F.round("confidence", 9).alias("confidence"), F.coalesce(~F.col("abstained") & (F.length("text") % 3 > 0), F.lit(False)).alias("correct"), F.when(F.length("qid") % 2 == 0, "answerable").otherwise("unanswerable").alias("subset"))
+
+
+@query("risk_coverage", _ROWS_SQL + f""", a AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, qid) AS rn FROM rows WHERE NOT abstained), f AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in FRACTIONS)}]) AS fraction),
+ c AS (SELECT fraction, greatest(1, floor((SELECT count(*) FROM a)::DOUBLE * fraction))::BIGINT AS n FROM f)
+ SELECT fraction, n, n / (SELECT count(*) FROM rows)::DOUBLE AS coverage, (SELECT count(*) FILTER (WHERE correct) FROM a WHERE rn <= n) / n::DOUBLE AS accuracy FROM c""")
+def risk_coverage(spark, sf_dir):
+    return metrics.risk_coverage(_rows(spark, sf_dir), FRACTIONS)
+
+
+@query("subset_summary", _ROWS_SQL + """ SELECT subset, count(*) AS n, count(*) FILTER (WHERE abstained) AS abstained, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE abstained) / count(*)::DOUBLE AS abstention_rate,
+ count(*) FILTER (WHERE correct) / nullif(count(*) FILTER (WHERE NOT abstained), 0)::DOUBLE AS accuracy_answered, avg(confidence) FILTER (WHERE NOT abstained) AS mean_confidence FROM rows GROUP BY GROUPING SETS ((), (subset))""")
+def subset_summary(spark, sf_dir):
+    return metrics.subset_summary(_rows(spark, sf_dir))
+
+
+@query("retrieval_only_rates", f"""WITH {CORRECTIVE_SQL} SELECT action, count(*) AS n, count(*) FILTER (WHERE corrective_fired) AS corrective FROM trace GROUP BY action""")
+def retrieval_only_rates(spark, sf_dir):
+    return base.corrective(spark, sf_dir)[1].groupBy("action").agg(F.count("*").alias("n"), F.count_if("corrective_fired").alias("corrective"))
+
+
+def _usage(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    n = F.floor(F.col("value") * 10).cast("long")
+    return e.select(F.col("event_id").alias("call_id"), n.alias("input_tokens"), F.floor(n / 4).cast("long").alias("output_tokens"), F.lit(0).cast("long").alias("cache_creation_input_tokens"), n.alias("cache_read_input_tokens"), (F.col("event_type") == "view").alias("cached"), (F.col("event_id") % 7).cast("double").alias("latency_s"))
+
+
+@query("usage_cost", """WITH u AS (SELECT floor(value * 10)::BIGINT AS i, event_type = 'view' AS cached, (event_id % 7)::DOUBLE AS l FROM events), c AS (SELECT *, floor(i / 4.0::DOUBLE)::BIGINT AS o FROM u)
+ SELECT count(*) AS calls, count(*) FILTER (WHERE cached) AS cached_calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(CASE WHEN cached THEN 0 ELSE (i * 5.0::DOUBLE + o * 25.0::DOUBLE + i * 0.5::DOUBLE) / 1e6::DOUBLE END), 6) AS cost_usd, avg(l) FILTER (WHERE NOT cached) AS mean_latency_s,
+   round(sum(CASE WHEN cached THEN 0 ELSE (i * 5.0::DOUBLE + o * 25.0::DOUBLE + i * 0.5::DOUBLE) / 1e6::DOUBLE END) / count(*), 9) AS cost_per_query FROM c""")
+def usage_cost(spark, sf_dir):
+    return drafting.usage_totals(_usage(spark, sf_dir)).withColumn("cost_per_query", F.round("cost_per_query", 9)).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+@query("dry_run_cost", "SELECT count(*) AS calls, round(sum(floor(value * 10) * 5.0::DOUBLE + 300 * 25.0::DOUBLE) / 1e6::DOUBLE * 0.5::DOUBLE, 6) AS cost_usd FROM events")
+def dry_run_cost(spark, sf_dir):
+    return drafting.dry_run_cost(_usage(spark, sf_dir).select("input_tokens"), batch=True).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+@query("path_totals", "SELECT count(*) AS calls, count(*) FILTER (WHERE event_type <> 'view') AS structured, count(*) FILTER (WHERE event_type = 'view') AS fallback, count(*) FILTER (WHERE event_type = 'view') / count(*)::DOUBLE AS fallback_rate FROM events")
+def path_totals(spark, sf_dir):
+    return drafting.path_totals(table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "view", "text").otherwise("structured").alias("path")))
+
+
+#: Published baseline: metric, value, least, most, direction.
+BASELINE = (
+    ("retrieval_hit_rate", 0.87, 0.82, None, "higher_is_better"), ("evaluator_chunk_accuracy", 0.9197, 0.88, None, "higher_is_better"), ("evaluator_macro_f1", 0.801, 0.75, None, "higher_is_better"),
+    ("parseable_citation_rate", 1.0, 1.0, None, "higher_is_better"), ("invalid_id_rate", 0.0, None, 0.02, "lower_is_better"), ("citation_recall", 0.8388, 0.78, None, "higher_is_better"),
+    ("citation_precision", 0.7409, 0.68, None, "higher_is_better"), ("hallucination_rate_auto", 0.1612, None, 0.22, "lower_is_better"), ("faithfulness", None, None, None, "higher_is_better"),
+)
+OBSERVED = (("retrieval_hit_rate", 0.82), ("evaluator_chunk_accuracy", 0.87), ("evaluator_macro_f1", 0.8), ("invalid_id_rate", 0.02), ("hallucination_rate_auto", 0.25))
+
+
+def _gate_values(cast: str) -> tuple[str, str]:
+    v = lambda x: "NULL" if x is None else f"CAST({x} AS {cast})" if isinstance(x, float) else f"'{x}'"
+    listed = lambda rows: ", ".join("(" + ", ".join(map(v, r)) + ")" for r in rows)
+    return f"(VALUES {listed(BASELINE)}) AS b(metric, value, min, max, direction)", f"(VALUES {listed(OBSERVED)}) AS o(metric, value)"
+
+
+_B, _O = _gate_values("DOUBLE")
+
+
+@query("regression_gate", f"""WITH b AS (SELECT metric, value::DOUBLE AS value, CASE WHEN direction = 'higher_is_better' THEN min::DOUBLE ELSE max::DOUBLE END AS threshold, direction FROM {_B}), o AS (SELECT * FROM {_O}),
+ j AS (SELECT b.*, CASE b.metric WHEN 'citation_recall' THEN 0.9::DOUBLE ELSE o.value END AS observed FROM b LEFT JOIN o ON o.metric = b.metric)
+ SELECT metric, CASE WHEN value IS NULL OR threshold IS NULL THEN 'SKIPPED' WHEN observed IS NULL AND metric = 'citation_precision' THEN 'MISSING' WHEN observed IS NULL THEN 'SKIPPED'
+   WHEN CASE WHEN direction = 'higher_is_better' THEN observed >= threshold ELSE observed <= threshold END THEN 'PASS' ELSE 'FAIL' END AS status, value AS expected, threshold, observed, observed - value AS delta FROM j""")
+def regression_gate(spark, sf_dir):
+    return metrics.regression_gate(spark.sql(f"SELECT * FROM {_B}"), spark.sql(f"SELECT * FROM {_O}"), {"citation_recall": 0.9}, ("citation_precision",))
+
+
+# -- ingest and harness -----------------------------------------------------------------------------------------------
+
+
+@query("ingest_admission", """WITH f AS (SELECT page_id // 60 AS request_id, page_id AS pos, url || '.html' AS filename, CASE WHEN page_id % 9 = 4 THEN 0 ELSE length(html) * 1000 END AS n_bytes, page_id % 11 = 3 AS bad FROM pages),
+ r AS (SELECT *, sum(n_bytes) OVER (PARTITION BY request_id ORDER BY pos) AS s, count(*) OVER (PARTITION BY request_id) AS n FROM f)
+ SELECT request_id, pos, filename, CASE WHEN n > 55 THEN 'failed' WHEN s > 100000000 THEN 'skipped' WHEN n_bytes = 0 THEN 'skipped' WHEN n_bytes > 5000000 THEN 'skipped' WHEN bad THEN 'failed' ELSE 'indexed' END AS status,
+   CASE WHEN n > 55 THEN 'too many files' WHEN s > 100000000 THEN 'request too large' WHEN n_bytes = 0 THEN 'file is empty' WHEN n_bytes > 5000000 THEN 'file too large' WHEN bad THEN 'unreadable' ELSE '' END AS detail,
+   CASE WHEN n <= 55 AND s <= 100000000 AND n_bytes > 0 AND n_bytes <= 5000000 AND NOT bad THEN url_stem END AS doc_id FROM (SELECT *, regexp_replace(filename, '\\.[^.]*$', '') AS url_stem FROM r)""")
+def ingest_admission(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    files = p.select(F.floor(F.col("page_id") / 60).cast("long").alias("request_id"), F.col("page_id").alias("pos"), F.concat("url", F.lit(".html")).alias("filename"), F.when(F.col("page_id") % 9 == 4, 0).otherwise(F.length("html") * 1000).alias("n_bytes"), F.when(F.col("page_id") % 11 == 3, "bad").alias("error"))
+    return readers.admission(files, 100_000_000, 5_000_000, 55)
+
+
+@query("question_split", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42')) - 1 AS pos, count(*) OVER () AS n FROM documents)
+ SELECT doc_id, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos < floor(n * 0.7::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r""")
+def question_split(spark, sf_dir):
+    return harness.split_questions(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query("carve_splits", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42')) - 1 AS p FROM documents)
+ SELECT CASE WHEN p < 50 THEN 'dev' WHEN p < 150 THEN 'test' ELSE 'distractor' END AS split, CASE WHEN p < 50 THEN p WHEN p < 150 THEN p - 50 ELSE p - 150 END AS pos, doc_id FROM r WHERE p < 230""")
+def carve_splits(spark, sf_dir):
+    return harness.carve_splits(table(spark, sf_dir, "documents").select("doc_id"), 50, 100, 80, "doc_id")
+
+
+@query("load_split", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42')) - 1 AS pos FROM documents) SELECT doc_id, pos, source FROM r JOIN documents USING (doc_id) WHERE pos < 20""")
+def load_split(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    split = harness.carve_splits(d.select("doc_id"), 50, 0, 0, "doc_id").select("pos", "doc_id")
+    return harness.load_split(split, d.select("doc_id", "source"), 20, "doc_id")[0].select("doc_id", "pos", "source")
+
+
+@query("sample_by_label", _WEAK + """, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS r FROM w) SELECT doc_id, label FROM k WHERE r <= 20 ORDER BY md5(doc_id || ':42') LIMIT 60""")
+def sample_by_label(spark, sf_dir):
+    rows = _weak(spark, sf_dir).select("doc_id", "label", F.col("doc_id").alias("pos"), F.col("doc_id").alias("key"))
+    return harness.sample_by_label(rows, 60).select("doc_id", "label")
+
+
+@query("annotator_overlap", "SELECT l.doc_id::VARCHAR AS qid, d.source AS chunk_id, quality AS a, toxic AS b FROM labels l JOIN documents d USING (doc_id) WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+def annotator_overlap(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select(F.col("doc_id").cast("string").alias("qid"), F.col("source").alias("chunk_id"), "quality", "toxic", "doc_id")
+    mine = rows.where("doc_id % 2 = 0").select("qid", "chunk_id", F.col("quality").alias("label"), F.lit(1).alias("line"))
+    old = mine.select("qid", "chunk_id", (F.lit(1) - F.col("label")).alias("label"), F.lit(0).alias("line"))
+    return harness.annotator_overlap(mine.unionByName(old), rows.where("doc_id % 3 <> 0").select("qid", "chunk_id", F.col("toxic").alias("label"), F.lit(0).alias("line")))
+
+
+@query("lexical_positives", f"""WITH {DRAFTS_SQL}, g AS (SELECT qid, {normal_sql("regexp_extract(text, '^\\S+')")} AS gold FROM turns)
+ SELECT qid, sent_idx, arg_min(chunk_id, cite_pos) AS chunk_id, min(cite_pos) AS cite_pos FROM (SELECT c.qid, c.sent_idx, c.chunk_id, c.cite_pos FROM citations c JOIN parsed p USING (qid, sent_idx) JOIN context x ON x.qid = c.qid AND x.chunk_id = c.chunk_id JOIN g ON g.qid = c.qid
+   WHERE gold <> '' AND contains({normal_sql('p.text')}, gold) AND contains({normal_sql('x.text')}, gold)) GROUP BY ALL""")
+def lexical_positives(spark, sf_dir):
+    p, c, cites = base.resolved(spark, sf_dir)
+    golds = base.draft_turns(spark, sf_dir).select("qid", F.array(F.regexp_extract("text", r"^\S+", 0)).alias("answers"))
+    return harness.lexical_positives(p, cites, c, golds)
+
+
+@query("swap_negatives", f"""WITH {DRAFTS_SQL}, n AS (SELECT qid AS other_qid, chunk_id, row_number() OVER (ORDER BY md5(qid || '/' || chunk_id || ':42')) - 1 AS pos FROM context),
+ t AS (SELECT qid, sent_idx, d AS draw, ('0x' || left(md5(qid || ':' || sent_idx || ':' || d || ':42'), 15))::BIGINT % (SELECT count(*) FROM n) AS pos FROM parsed, (SELECT unnest(range(0, 20)) AS d))
+ SELECT qid, sent_idx, arg_min(other_qid, draw) AS other_qid, arg_min(chunk_id, draw) AS chunk_id FROM t JOIN n USING (pos) WHERE qid <> other_qid GROUP BY ALL""")
+def swap_negatives(spark, sf_dir):
+    p, c, _ = base.resolved(spark, sf_dir)
+    return harness.swap_negatives(p, c)
+
+
+@query("cached_replies", "SELECT conv_id, turn % 2 = 0 AS cached FROM conversations WHERE turn < 2")
+def cached_replies(spark, sf_dir):
+    from groundspark.functions.text import cache_key
+
+    rows = table(spark, sf_dir, "conversations").where("turn < 2").select("conv_id", "turn", cache_key(F.col("conv_id"), F.col("turn"), F.col("text")).alias("key"))
+    hits, misses = drafting.cached(rows, rows.where("turn % 2 = 0").select("key", F.lit("reply").alias("reply")))
+    return hits.select("conv_id", F.lit(True).alias("cached")).unionByName(misses.select("conv_id", F.lit(False).alias("cached")))
+
+
+@query("ablation_table", f"""WITH {ANSWERS_SQL}, v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS variant), rows AS (SELECT v.variant, a.qid, CASE WHEN v.variant = 'E' THEN a.abstained ELSE false END AS abstained, CASE WHEN v.variant = 'E' THEN a.text ELSE t.text END AS text,
+   regexp_extract(t.text, '^\\S+') AS gold, CASE WHEN v.variant IN ('C', 'D', 'E') THEN a.dropped ELSE 0 END AS parseable, CASE WHEN v.variant = 'E' THEN a.repair_attempted ELSE 0 END AS ra, CASE WHEN v.variant = 'E' THEN a.repair_succeeded ELSE 0 END AS rs FROM answers a JOIN turns t ON t.qid = a.qid, v),
+ o AS (SELECT *, abstained OR coalesce(contains(lower(text), 'cannot answer this from the provided sources'), false) AS x, {normal_sql("coalesce(text, '')")} AS p, {normal_sql('gold')} AS g FROM rows),
+ s AS (SELECT variant, count(*) AS n, count(*) FILTER (WHERE x) AS abstained, 0::BIGINT AS errors, count(*) FILTER (WHERE NOT x AND p <> '' AND g <> '' AND contains(p, g)) AS correct, coalesce(sum(parseable) FILTER (WHERE NOT x), 0)::BIGINT AS ps, count(*) FILTER (WHERE NOT x) * 10 AS ss, sum(ra)::BIGINT AS repair_attempted, sum(rs)::BIGINT AS repair_succeeded FROM o GROUP BY variant)
+ SELECT variant, n, n - abstained AS answered, abstained, errors, correct, abstained / n::DOUBLE AS abstention_rate, (n - abstained) / n::DOUBLE AS coverage, correct / n::DOUBLE AS accuracy_all, correct / nullif(n - abstained, 0)::DOUBLE AS accuracy_answered, ps / nullif(ss, 0)::DOUBLE AS parseable_citation_rate,
+   repair_attempted, repair_succeeded, 0.0::DOUBLE AS cost_usd FROM s""")
+def ablation_table(spark, sf_dir):
+    final = base.final_answers(spark, sf_dir)[2]
+    drafts = base.draft_turns(spark, sf_dir).select("qid", F.col("text").alias("draft"))
+    rows = harness.with_variants(final.join(drafts, "qid"))
+    pick = lambda on, a, b: F.when(F.col(on), a).otherwise(b)
+    made = rows.select(
+        "variant", pick("repair_and_abstain", F.col("abstained"), F.lit(False)).alias("abstained"), pick("repair_and_abstain", F.col("text"), F.col("draft")).alias("text"), F.array(F.regexp_extract("draft", r"^\S+", 0)).alias("answers"), F.lit(None).cast("string").alias("error"),
+        pick("force_citations", F.col("dropped"), F.lit(0)).alias("parseable"), F.lit(10).alias("sentences"), pick("repair_and_abstain", F.col("repair_attempted"), F.lit(0)).alias("repair_attempted"), pick("repair_and_abstain", F.col("repair_succeeded"), F.lit(0)).alias("repair_succeeded"), F.lit(0.0).alias("cost_usd"),
+    )
+    return harness.ablation_table(made)
+
+
+@query("extract_uploads")
+def extract_uploads(spark, sf_dir):
+    """Uploads of several kinds, decoded; the binary boundary has no SQL."""
+    suffix = F.element_at(F.array(F.lit(".txt"), F.lit(".md"), F.lit(".zip")), (F.col("page_id") % 3 + 1).cast("int"))
+    files = table(spark, sf_dir, "pages").select("page_id", F.concat("url", suffix).alias("filename"), F.col("html").cast("binary").alias("content"))
+    return readers.extracted(files).select("page_id", "filename", F.length("text").alias("n_chars"), "error")
+
+
+@query("lexical_retrieval")
+def lexical_retrieval(spark, sf_dir):
+    """Benchmark passages against documents through the hashed stand-in for an embedder; model boundary, no SQL."""
+    q = retrieval.hashed_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")).select("qid", "vector")
+    c = retrieval.hashed_vectors(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")).select("chunk_id", "vector")
+    return retrieval.nearest(q, c, 5)
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
