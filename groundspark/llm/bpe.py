@@ -1,9 +1,9 @@
 """Byte-level BPE encoding by prefix-sharing trie traversal, and decoding.
 
-The distinct words of a batch go into a trie of bytes. A depth-first walk gives every new node the *last token* of the
-encoding of the prefix that ends there: of the vocabulary entries that are suffixes of the prefix, exactly one follows
-the last token of the remaining prefix in a way that merging would leave alone. So a prefix that many words share is
-encoded once, and a word's ids are read off by stepping back from its end, token by token.
+The distinct words of a batch form a trie of bytes; sorted, they are that trie in depth-first order. The walk gives every
+node the *last token* of the encoding of the prefix that ends there: of the vocabulary entries that are suffixes of the
+prefix, exactly one follows the last token of the remaining prefix in a way that merging would leave alone. So a prefix
+that many words share is encoded once, and a word's ids are read off by stepping back from its end, token by token.
 
 Contract (``encode``): null text is the empty text and gives no ids; special strings of the tokenizer in a text become
 their ids; text of any length is encoded whole. ``decode``: null or empty ids give the empty text, ids outside the
@@ -13,6 +13,7 @@ further columns pass through unchanged; a column named as an output is replaced.
 
 from __future__ import annotations
 
+import itertools
 import json
 from array import array
 from collections.abc import Iterator
@@ -28,10 +29,9 @@ from groundspark.llm.common import small_batches
 
 #: Fixed value: the published pattern that splits text before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer words are encoded along a single path, outside the trie, to bound its depth.
-LONGEST_IN_TRIE = 200
-#: Characters of a piece that is remembered; nodes and remembered pieces at which a worker starts afresh; results don't depend on it.
-LONGEST_KEPT, MOST_NODES, MOST_PIECES = 1_000, 1_000_000, 600_000
+#: Characters of a piece that is remembered; remembered pieces and pairs at which a worker starts afresh; characters of
+#: text that are split together. Results depend on none of them.
+LONGEST_KEPT, MOST_PIECES, MOST_PAIRS, TOGETHER = 100, 800_000, 400_000, 3_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,19 +41,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """The bytes of each id, special tokens included."""
+    letters = byte_letters()
+    own = {i: bytes(letters[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+    return own | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+
+
 class Vocabulary:
     """Ids, bytes and merge ranks read from a tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = read_spec(path)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
-        self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
+        self.bytes = token_bytes(spec)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         # Beginnings of tokens, with the id of those that are tokens themselves.
         self.begun = {b[:n]: -1 for b in self.ids for n in range(1, len(b))} | self.ids
+        self.length = {i: len(b) for i, b in self.bytes.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.made_at = {i: -1 for i in self.ids.values()}
@@ -66,13 +78,16 @@ class Vocabulary:
                 self.halves[ab], self.made_at[ab] = (a, b), rank
 
 
-class Trie:
-    """The words met so far: a node for each distinct prefix, addressed by its bytes, holding the prefix's last token."""
+class Walk:
+    """Depth-first over the trie of distinct words, which in sorted order are that trie written out.
+
+    The stack holds, for each prefix of the word at hand, its last token and its reach: the length of its longest suffix
+    that begins some token, for no token that ends one byte on is longer by more than that byte.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.nodes: dict[bytes, tuple[int, int]] = {}
+        self.fits: dict[int, bool] = {}
 
     def stays(self, a: int, b: int) -> bool:
         """Whether merging leaves the boundary between two adjacent tokens alone.
@@ -96,56 +111,49 @@ class Trie:
                 first_to_go, x = mx, halves[x][1]
             else:
                 first_to_go, y = my + 1, halves[y][0]
-        self.fits[a, b] = ok
+        if len(self.fits) > MOST_PAIRS:
+            self.fits.clear()
+        self.fits[a << 17 | b] = ok
         return ok
 
-    def step(self, word: bytes, n: int, lasts: list[int], reach: int) -> tuple[int, int]:
-        """The last token of word[:n], from those of the shorter prefixes, and how far back a token may begin.
-
-        ``reach``: the length of the longest suffix of word[:n - 1] that begins some token. No token that ends at n is
-        longer than one byte more.
-        """
-        get, fits = self.v.begun.get, self.fits
-        far = 0
-        for k in range(n - 1 - reach, n):
-            t = get(word[k:n])
-            if t is None:
-                continue
-            far = far or n - k
-            if t >= 0:
-                if k == 0:
-                    return t, far
-                ok = fits.get((lasts[k], t))
-                if ok or ok is None and self.stays(lasts[k], t):
-                    return t, far
-        raise ValueError("a byte is missing from the vocabulary")
-
     def encode(self, words: list[bytes]) -> Iterator[list[int]]:
-        """The ids of distinct words in sorted order, which is the depth-first order of their trie.
-
-        ``lasts`` is the stack of the walk: moving on to the next word pops what the two don't share.
-        """
-        nodes, step, lengths = self.nodes, self.step, self.v.bytes
-        before, lasts, reach = b"", [-1], [0]
+        """The ids of distinct, sorted words. Going on to the next word pops what the two don't share."""
+        get, known_fit, stays, lengths = self.v.begun.get, self.fits.get, self.stays, self.v.length
+        before, lasts, reaches = b"", [-1], [0]
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del lasts[shared + 1 :], reach[shared + 1 :]
-            kept = len(word) <= LONGEST_IN_TRIE
+            del lasts[shared + 1 :], reaches[shared + 1 :]
+            reach = reaches[-1]
             for n in range(shared + 1, len(word) + 1):
-                if not kept:
-                    node = step(word, n, lasts, reach[-1])
-                elif (node := nodes.get(path := word[:n])) is None:
-                    node = nodes[path] = step(word, n, lasts, reach[-1])
-                lasts.append(node[0])
-                reach.append(node[1])
+                far = 0
+                for k in range(n - 1 - reach, n):
+                    t = get(word[k:n])
+                    if t is None:
+                        continue
+                    if not far:
+                        far = n - k
+                    if t < 0:
+                        continue
+                    if not k:
+                        break
+                    ok = known_fit(lasts[k] << 17 | t)
+                    if ok or ok is None and stays(lasts[k], t):
+                        break
+                else:
+                    raise ValueError("a byte is missing from the vocabulary")
+                lasts.append(t)
+                reaches.append(far)
+                reach = far
             before = word
             out, n = [], len(word)
             while n:
-                out.append(lasts[n])
-                n -= len(lengths[lasts[n]])
-            yield out[::-1]
+                t = lasts[n]
+                out.append(t)
+                n -= lengths[t]
+            out.reverse()
+            yield out
 
 
 class Encoder:
@@ -155,14 +163,13 @@ class Encoder:
         import regex
 
         self.v = Vocabulary(path)
-        self.trie = Trie(self.v)
+        self.walk = Walk(self.v)
         self.words = regex.compile(WORDS.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         # Elsewhere white space stands alone between other characters, and then a word begins at and after a line break, and at a space.
         self.runs = regex.compile(r"^\p{White_Space}|\p{White_Space}{2}|\p{White_Space}$")
         self.pieces_of = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
-        self.known: dict[str, bytes] = {}
-        self.done: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {s: array("i", [i]).tobytes() for s, i in self.v.special.items()}
 
     def pieces(self, text: str) -> list[str]:
         if self.runs.search(text):
@@ -179,48 +186,58 @@ class Encoder:
                 broken = False
         return out
 
+    def cut(self, piece: str) -> list[str]:
+        """A piece's words; letters behind at most one space, and a comma or a full stop, need no pattern."""
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isalpha():
+            return [piece]
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.words.findall(piece)
+
     def learn(self, fresh: list[str]) -> None:
-        if len(self.trie.nodes) > MOST_NODES:
-            self.trie.nodes.clear()
-        if len(self.trie.fits) > MOST_NODES:
-            self.trie.fits.clear()
-        if len(self.done) > MOST_PIECES:
-            self.done.clear()
-        done = self.done
-        split = [[w.encode() for w in ws] for ws in map(self.words.findall, fresh)]
-        new = sorted({w for ws in split for w in ws if w not in done})
-        for w, ids in zip(new, self.trie.encode(new), strict=True):
-            done[w] = array("i", ids).tobytes()
+        """Encodes pieces that aren't known, the words of all of them in one walk."""
+        split = list(map(self.cut, fresh))
+        words = {w.encode(): w for ws in split for w in ws}
+        order = sorted(words)
+        done = {words[raw]: array("i", ids).tobytes() for raw, ids in zip(order, self.walk.encode(order), strict=True)}
         for p, ws in zip(fresh, split, strict=True):
             self.known[p] = done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws])
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                del done[w]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as packed 32-bit numbers."""
-        out = []
+        """The ids of each text as packed 32-bit numbers. Texts are taken TOGETHER characters at a time."""
+        out: list[bytes] = []
+        part, size = [], 0
         for text in texts:
-            parts = self.specials.split(text) if text and self.specials and self.specials.search(text) else [text or ""]
-            out.append(b"".join([self.packed(p) for p in parts if p]))
-        return out
-
-    def packed(self, part: str) -> bytes:
-        if part in self.v.special:
-            return array("i", [self.v.special[part]]).tobytes()
-        ps = self.pieces(part)
+            part.append(text or "")
+            size += len(part[-1])
+            if size > TOGETHER:
+                out += self.some(part)
+                part, size = [], 0
+        return out + self.some(part)
+
+    def some(self, texts: list[str]) -> list[bytes]:
+        """Splits all, learns the pieces that are new in one walk, and puts the ids together."""
+        split = []
+        for text in texts:
+            ps: list[str] = []
+            if self.specials and self.specials.search(text):
+                for p in self.specials.split(text):
+                    ps += [p] if p in self.v.special else self.pieces(p) if p else []
+            elif text:
+                ps = self.pieces(text)
+            split.append(ps)
+        if len(self.known) > MOST_PIECES:
+            self.known.clear()
+            self.known |= {s: array("i", [i]).tobytes() for s, i in self.v.special.items()}
         known = self.known
-        try:
-            return b"".join([known[p] for p in ps])
-        except KeyError:
-            pass
-        if len(known) > MOST_PIECES:
-            known.clear()
-        self.learn([p for p in dict.fromkeys(ps) if p not in known])
-        out = b"".join([known[p] for p in ps])
-        for p in ps:
+        fresh = {p for ps in split for p in ps if p not in known}
+        self.learn(list(fresh))
+        get = known.__getitem__
+        out = [b"".join(map(get, ps)) for ps in split]
+        for p in fresh:
             if len(p) > LONGEST_KEPT:  # seldom met again, and large
-                known.pop(p, None)
+                del known[p]
         return out
 
 
@@ -233,11 +250,11 @@ def encoder(path: str) -> Encoder:
 @lru_cache(maxsize=2)
 def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens' bytes end to end, with the start and length of each id."""
-    v = Vocabulary(path)
-    n = max(v.bytes) + 1
-    length = np.array([len(v.bytes.get(i, b"")) for i in range(n)], np.int64)
+    known = token_bytes(read_spec(path))
+    n = max(known) + 1
+    length = np.array([len(known.get(i, b"")) for i in range(n)], np.int64)
     start = np.concatenate([[0], np.cumsum(length)[:-1]])
-    return np.frombuffer(b"".join(v.bytes.get(i, b"") for i in range(n)), np.uint8), start, length
+    return np.frombuffer(b"".join(known.get(i, b"") for i in range(n)), np.uint8), start, length
 
 
 def decode_ids(ids: np.ndarray, path: str) -> str:
@@ -266,11 +283,25 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            packed = iter(own.encode([t for b in held for t in b.column(text).to_pylist()]))
+            for batch in held:
+                mine = list(itertools.islice(packed, batch.num_rows))
+                offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in mine])]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(mine), np.int32))
+                yield _with(batch, schema, ids, pa.ListArray.from_arrays(pa.array(offsets), values))
+
         for batch in batches:
-            packed = own.encode(batch.column(text).to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            yield _with(batch, schema, ids, pa.ListArray.from_arrays(pa.array(offsets), values))
+            held.append(batch)
+            size += batch.column(text).nbytes
+            if size > TOGETHER:
+                yield from done()
+                held, size = [], 0
+        if held:
+            yield from done()
 
     return df.mapInArrow(run, schema)
 
