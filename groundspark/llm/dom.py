@@ -31,7 +31,7 @@ TOKEN = re.compile(r"[a-z]+")
 class Page:
     """Nodes in document order: tag ("#text" for a run), parent (-1: none), attribute tokens, text, and a run's block number."""
 
-    __slots__ = ("tag", "parent", "tokens", "text", "block", "_stack", "_block")
+    __slots__ = ("tag", "parent", "tokens", "text", "block", "_stack", "_block", "_gap")
 
     def __init__(self, source: str | None):
         self.tag: list[str] = []
@@ -41,6 +41,7 @@ class Page:
         self.block: list[int] = []
         self._stack: list[int] = []
         self._block = 0
+        self._gap = False  # white space between the run before and the next one, which belongs to neither's element
         self._read(source or "")
 
     def _node(self, tag: str, tokens: tuple[str, ...] = (), text: str = "") -> int:
@@ -68,8 +69,11 @@ class Page:
             start = m.start() if m else len(source)
             if start > at and not unseen:
                 raw = source[at:start]
-                if not raw.isspace() or self._stack:
-                    self._node("#text", (), html.unescape(raw) if "&" in raw else raw)
+                if raw.isspace():
+                    self._gap = True
+                else:
+                    self._node("#text", (), " " * self._gap + (html.unescape(raw) if "&" in raw else raw))
+                    self._gap = False
             if not m:
                 return
             at = m.end()
@@ -81,8 +85,7 @@ class Page:
                     unseen = max(0, unseen - 1) if name not in RAW else unseen
                     continue
                 if unseen or name in VOID:
-                    if name == "br":
-                        self._node("#text", (), " ")
+                    self._gap |= name == "br"
                     continue
                 stops = frozenset() if name in BLOCK else BLOCK
                 self._close((name,), stops)
@@ -101,9 +104,8 @@ class Page:
             if unseen:
                 continue
             if name in VOID:
-                if name == "br":
-                    self._node("#text", (), " ")
-                elif name == "hr":
+                self._gap |= name == "br"
+                if name == "hr":
                     self._block += 1
                 continue
             if name in CLOSES_P:
