@@ -8,7 +8,7 @@ from groundspark.functions.sentences import split_sentences
 from groundspark.functions.text import (
     agreement_band,
     answer_matches,
-
+    cache_key,
     content_words,
     json_object_text,
     normalize_answer,
@@ -16,6 +16,7 @@ from groundspark.functions.text import (
     parse_answers,
     parse_chunk_id,
     premise,
+    rendered_passages,
     str_em,
 )
 from groundspark.operators import chunking, drafting, grading, harness, metrics, repair, retrieval, verification
@@ -184,8 +185,6 @@ def answer_matches_query(spark, sf_dir):
    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id)
  SELECT conv_id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars, length(premise) AS premise_chars FROM c""")
 def prompts_and_premises(spark, sf_dir):
-    from groundspark.functions.text import rendered_passages
-
     listed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("r"))
     texts = F.transform("r", lambda x: x["text"])
     return listed.select("conv_id", rendered_passages(texts).alias("prompt"), premise(texts).alias("premise")).select("conv_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("prompt_chars"), F.length("premise").cast("long").alias("premise_chars"))
@@ -659,8 +658,6 @@ def swap_negatives(spark, sf_dir):
 
 @query("cached_replies", "SELECT conv_id, turn % 2 = 0 AS cached FROM conversations WHERE turn < 2")
 def cached_replies(spark, sf_dir):
-    from groundspark.functions.text import cache_key
-
     rows = table(spark, sf_dir, "conversations").where("turn < 2").select("conv_id", "turn", cache_key(F.col("conv_id"), F.col("turn"), F.col("text")).alias("key"))
     hits, misses = drafting.cached(rows, rows.where("turn % 2 = 0").select("key", F.lit("reply").alias("reply")))
     return hits.select("conv_id", F.lit(True).alias("cached")).unionByName(misses.select("conv_id", F.lit(False).alias("cached")))
