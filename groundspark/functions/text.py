@@ -149,7 +149,7 @@ def agreement_band(kappa: Column) -> Column:
 
 
 def fmt(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", value), F.lit(""))
+    return F.when(value.isNull(), F.lit("")).otherwise(F.format_string("%.4f", value))
 
 
 def abstain_explanation(reason: Column) -> Column:
