@@ -19,7 +19,7 @@ from groundspark.functions.text import (
     rendered_passages,
     str_em,
 )
-from groundspark.operators import chunking, drafting, grading, harness, metrics, repair, retrieval, verification
+from groundspark.operators import chunking, drafting, grading, harness, metrics, orchestrate, repair, retrieval, verification
 from groundspark.plans import base
 from groundspark.plans.base import ANSWERS_SQL, CORRECTIVE_SQL, DRAFTS_SQL, VERDICTS_SQL, content_sql, hits_sql, normal_sql, sentences_sql, table, trimmed_sql
 from groundspark.settings import CHUNK_LABELS, SETTINGS
@@ -697,6 +697,22 @@ def lexical_retrieval(spark, sf_dir):
     return retrieval.nearest(q, c, 5)
 
 
+@query("answer_questions")
+def answer_questions(spark, sf_dir):
+    """Benchmark passages as questions through all stages, with the lexical stand-ins; model boundary, no SQL."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    index = retrieval.hashed_vectors(chunking.chunk(base.documents(spark, sf_dir)).select("chunk_id", "text"))
+    return orchestrate.answer(retrieval.hashed_vectors(q, "question"), index)
+
+
+@query("ingest_files")
+def ingest_files(spark, sf_dir):
+    """Pages as uploads, with a status for each; binary boundary, no SQL."""
+    suffix = F.element_at(F.array(F.lit(".txt"), F.lit(".md"), F.lit(".zip")), (F.col("page_id") % 3 + 1).cast("int"))
+    files = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 40).cast("long").alias("request_id"), F.col("page_id").alias("pos"), F.concat("url", suffix).alias("filename"), F.col("html").cast("binary").alias("content"))
+    return orchestrate.ingest(files)[0]
+
+
 def queries():
     return dict(QUERIES)
 
