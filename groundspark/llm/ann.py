@@ -60,13 +60,15 @@ class Index(NamedTuple):
         return (x - self.centres[at]) / self.spread[at, None]
 
     def codes(self, scaled: np.ndarray) -> np.ndarray:
-        cut = np.split(scaled, np.cumsum([b.shape[1] for b in self.books])[:-1], axis=1)
+        cut = np.array_split(scaled, len(self.books), axis=1)
         return np.column_stack([nearest(c, b) for c, b in zip(cut, self.books, strict=True)]).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """For one query: the products of its parts with every code, part by code."""
-        cut = np.split(q, np.cumsum([b.shape[1] for b in self.books])[:-1])
-        return np.stack([b @ c for c, b in zip(cut, self.books, strict=True)])
+        """For each query the products of its parts with every code, CODES to a part, end to end."""
+        out = np.zeros((len(q), len(self.books), CODES))
+        for k, (part, book) in enumerate(zip(np.array_split(q, len(self.books), axis=1), self.books, strict=True)):
+            out[:, k, : len(book)] = part @ book.T
+        return out.reshape(len(q), -1)
 
 
 def fit(x: np.ndarray, n: int, seed: int = 5) -> Index:
@@ -113,10 +115,10 @@ def route(index: Index, sizes: np.ndarray, q: np.ndarray, k: int) -> tuple[list[
     return [np.unique(np.append(o[:m], c)) for o, m, c in zip(order, need, own, strict=True)], low
 
 
-def visit(index: Index, number: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_id: int, q: np.ndarray, bar: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """One query in one block of a list: ids and exact scores, best first. ``ids`` ascend."""
-    tables = index.tables(q)
-    rough = q @ index.centres[number] + index.spread[number] * tables[np.arange(len(tables))[:, None], codes.T].sum(0)
+def visit(index: Index, number: int, ids: np.ndarray, x: np.ndarray, places: np.ndarray, query_id: int, q: np.ndarray, own: np.ndarray, bar: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """One query in one block of a list: ids and exact scores, best first. ``ids`` ascend; ``own``: the query's tables;
+    ``places``: where in them each row's codes point, a row for each part."""
+    rough = q @ index.centres[number] + index.spread[number] * own.take(places).sum(0)
     rough = np.where(ids == query_id, -np.inf, rough)
     margin = NEAR * index.error * index.spread[number] * float(np.linalg.norm(q))
     near = rough >= bar - margin
@@ -178,12 +180,16 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
         number = key[0].as_py()
         mine = mine.sort_by("id")
         ids, v = mine.column("id").to_numpy(), matrix(mine.column("vector"), dim)
-        codes = np.frombuffer(b"".join(mine.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        codes = np.frombuffer(b"".join(mine.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
+        places = np.ascontiguousarray((codes + CODES * np.arange(codes.shape[1])).T)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(ids):
-            for i, q, bar in zip(theirs.column("id").to_numpy(), matrix(theirs.column("vector"), dim), theirs.column("bar").to_numpy(), strict=True):
-                got, scores = visit(index, number, ids, v, codes, int(i), q, float(bar), k)
-                out.append((np.full(len(got), i), got, scores))
+            for a in range(0, len(theirs), 256):
+                some = theirs.slice(a, 256)
+                asked = matrix(some.column("vector"), dim)
+                for i, q, own, bar in zip(some.column("id").to_numpy(), asked, index.tables(asked), some.column("bar").to_numpy(), strict=True):
+                    got, scores = visit(index, number, ids, v, places, int(i), q, own, float(bar), k)
+                    out.append((np.full(len(got), i), got, scores))
         columns = [np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3)]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
