@@ -37,9 +37,9 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_stats``, an array in the order of NAMES: ratios or logarithms, so that rules carry over to texts of any length.
 
     What several statistics need comes first, as columns: the words, the lines and the odd characters, the rest of the text
-    without its lower-case letters and white space, which is short in most texts and cheap to count in. The rounding at
-    the end is a step that the optimizer doesn't see through: rules then read the array, where else it would put the
-    expressions themselves into every rule and compute them again and again.
+    without its lower-case letters and white space, which is short in most texts and cheap to count in. The row number at
+    the end, always true, is a step that the optimizer doesn't move expressions or filters across: rules then read the
+    array, where else it would put the statistics themselves into every rule and compute them again and again.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     parts = df.withColumns({
@@ -68,7 +68,7 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.col("_chars") / n_words,
     }
     stats = F.transform(F.array(*[made[n].cast("double") for n in NAMES]), lambda x: F.round(x, 9))
-    return parts.withColumn("_stats", stats).drop("_chars", "_odd", "_echoed", "_words", "_lines")
+    return parts.withColumn("_stats", F.when(F.monotonically_increasing_id() >= 0, stats)).drop("_chars", "_odd", "_echoed", "_words", "_lines")
 
 
 class Rule(NamedTuple):
@@ -129,20 +129,20 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
     """Logistic regression with an L1 penalty and a free intercept, by accelerated proximal gradient steps."""
     n, m = r.shape
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    b, w = float(np.log(p / (1 - p))), np.zeros(m)
+    b, w = float(np.log(p / (1 - p))), np.zeros(m, r.dtype)
     vb, vw, t = b, w.copy(), 1.0
-    v = np.ones(m)  # the largest curvature by power iteration
+    v = np.ones(m, r.dtype)  # the largest curvature by power iteration
     for _ in range(20):
         v = r.T @ (r @ v)
-        v /= np.linalg.norm(v) or 1.0
+        v /= np.linalg.norm(v) or r.dtype.type(1)
     rate = 1 / (0.25 * (float(np.linalg.norm(r @ v) ** 2) / n + 1) + 1e-9)
     for _ in range(steps):
-        error = (trees.sigmoid(r @ vw + vb) - y) / n
+        error = ((trees.sigmoid(r @ vw + vb) - y) / n).astype(r.dtype)
         nb = vb - rate * float(error.sum())
         nw = vw - rate * (r.T @ error)
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * penalty, 0)
+        nw = (np.sign(nw) * np.maximum(np.abs(nw) - rate * penalty, 0)).astype(r.dtype)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vb, vw = nb + (t - 1) / nt * (nb - b), nw + (t - 1) / nt * (nw - w)
+        vb, vw = nb + (t - 1) / nt * (nb - b), (nw + (t - 1) / nt * (nw - w)).astype(r.dtype)
         b, w, t = nb, nw, nt
     return b, w
 
@@ -153,11 +153,17 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, penalty: float = 3e-4) -> Model:
         return Model(float(np.log(p / (1 - p))), ())
     grown = trees.boost(x, y, rounds=40, depth=3, rate=0.3, share=0.5, least=2.0)
     rules = sorted(set().union(*map(paths, grown.trees)))
-    r = np.column_stack([matches(c, x) for c in rules]).astype(np.float64)
-    support = r.mean(0)
+    # One rule after another: the matrix of all of them is the largest thing on the driver.
+    support, pull = np.zeros(len(rules)), np.zeros(len(rules))
+    for k, c in enumerate(rules):
+        hit = matches(c, x)
+        support[k], pull[k] = hit.mean(), abs(float((y[hit] - y.mean()).sum()))
     useful = np.flatnonzero((support > 0.002) & (support < 0.998))
-    useful = useful[np.argsort(-np.abs(r[:, useful].T @ (y - y.mean())), kind="stable")[:MOST_RULES]]
-    b, w = lasso(r[:, useful], y, penalty)
+    useful = useful[np.argsort(-pull[useful], kind="stable")[:MOST_RULES]]
+    r = np.empty((len(x), len(useful)), np.float32)
+    for j, k in enumerate(useful):
+        r[:, j] = matches(rules[k], x)
+    b, w = lasso(r, y, penalty)
     return Model(b, tuple(Rule(rules[k], float(w[j])) for j, k in enumerate(useful) if abs(w[j]) > 1e-4))
 
 
