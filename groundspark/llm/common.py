@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +59,24 @@ class Scratch:
 def spread(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows dealt evenly by a hash of a unique key."""
     return df.repartition(n, F.xxhash64(key))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; a Python worker that waits for its next task would else keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For functions over a task's batches: gives memory back when the task is over."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
