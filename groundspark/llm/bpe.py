@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundspark.llm.common import small_batches
+from groundspark.llm.common import lean, small_batches
 
 #: Fixed value: the published pattern that splits text before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a piece that is remembered; remembered pieces and pairs at which a worker starts afresh; characters of
 #: text that are split together. Results depend on none of them.
-LONGEST_KEPT, MOST_PIECES, MOST_PAIRS, TOGETHER = 100, 800_000, 400_000, 3_000_000
+LONGEST_KEPT, MOST_PIECES, MOST_PAIRS, TOGETHER = 100, 450_000, 200_000, 1_500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -303,7 +303,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
         if held:
             yield from done()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -319,7 +319,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
             out = [decode_ids(values[a:b], vocabulary) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield _with(batch, schema, text, pa.array(out, pa.string()))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def default_vocabulary() -> str:
