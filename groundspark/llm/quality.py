@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.llm import trees
-from groundspark.llm.common import table
+from groundspark.llm.common import give_back, table
 
 #: Labelled rows that the model is fitted on, at most in expectation; the driver refuses more than twice as many.
 SAMPLE = 20_000
@@ -181,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).select("doc_id", "quality", "_stats").dropDuplicates(["doc_id"])
     got = rows.toPandas().sort_values("doc_id")
     x = np.array(got["_stats"].tolist(), np.float64).reshape(-1, len(NAMES))
-    return fit_arrays(x, got["quality"].to_numpy(np.float64))
+    model = fit_arrays(x, got["quality"].to_numpy(np.float64))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
