@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: Fixed values from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -19,11 +20,28 @@ IMPLIED = {
     "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",)), "option": (("option",), ("select",)),
 }
 #: Elements whose content is never shown as text of the page.
-UNSEEN = frozenset("head script style title noscript template iframe object svg math select textarea canvas audio video".split())
-RAW = {"script": None, "style": None, "textarea": None, "title": None, "iframe": None, "noscript": None}
+UNSEEN = frozenset("script style title noscript noframes template iframe object svg foreignobject annotation annotation-xml select textarea canvas audio video".split())
+#: What can stand in a head; any other start tag, and text, ends one that is open.
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements that a slash at the end of their start tag closes, as it does for all of a formula or drawing.
+MATH = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction semantics mglyph maligngroup malignmark".split()
+)
+DRAWN = MATH | {"svg", "foreignobject", "annotation", "annotation-xml"}
+#: Start tags that end a drawing left open.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong "
+    "strike sub sup table tt u ul var".split()
+)
+RAW = {"script": None, "style": None, "textarea": None, "title": None, "iframe": None, "noscript": None, "noframes": None}
 RAW = {k: re.compile(rf"</{k}(?=[\s/>])", re.I) for k in RAW}
 
-MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+#: In a tag quotes delimit only directly after "=" (and only if they are closed at all); elsewhere they are letters.
+VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
+MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{VALUE})?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+#: The slash at the end is part of a value without quotes.
+VALUED = re.compile(r"=\s*[^\s\"'>]+/\Z")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 
@@ -57,21 +75,24 @@ class Page:
             name = self.tag[self._stack[k]]
             if name in tags:
                 del self._stack[k:]
-                self._block += 1
+                self._block += name not in MATH
                 return
             if name in stops:
                 return
 
     def _read(self, source: str) -> None:
-        at, unseen = 0, 0
+        at, head = 0, False
+        unseen: list[str] = []
+        among = Counter()
         while at < len(source):
             m = MARKUP.search(source, at)
             start = m.start() if m else len(source)
             if start > at and not unseen:
                 raw = source[at:start]
                 if raw.isspace():
-                    self._gap = True
+                    self._gap |= not head
                 else:
+                    head = False
                     self._node("#text", (), " " * self._gap + (html.unescape(raw) if "&" in raw else raw))
                     self._gap = False
             if not m:
@@ -81,8 +102,14 @@ class Page:
             if not name:
                 continue
             if m[1]:  # an end tag
-                if name in UNSEEN:
-                    unseen = max(0, unseen - 1) if name not in RAW else unseen
+                if name == "head":
+                    head = False
+                elif among[name]:
+                    last = ""
+                    while last != name:
+                        last = unseen.pop()
+                        among[last] -= 1
+                if name == "head" or name in UNSEEN:
                     continue
                 if unseen or name in VOID:
                     self._gap |= name == "br"
@@ -92,17 +119,31 @@ class Page:
                 if name in BLOCK:
                     self._block += 1
                 continue
+            closed = m[3].endswith("/") and not VALUED.search(m[3])
+            if unseen and unseen[-1] == "svg" and name in BREAKOUT:
+                among[unseen.pop()] -= 1
             if name in RAW:
                 end = RAW[name].search(source, at)
+                if closed and (not end or among["svg"]):
+                    continue
                 at = len(source) if not end else (source.find(">", end.end()) + 1 or len(source))
                 continue
+            if name in DRAWN and closed:
+                continue
             if name in UNSEEN:
-                unseen += 1
+                head &= name in HEAD
+                unseen.append(name)
+                among[name] += 1
                 continue
             if name == "body":
-                unseen = 0  # a head that isn't closed ends here
+                unseen.clear()
+                among.clear()
             if unseen:
                 continue
+            if name == "head":
+                head = True
+                continue
+            head &= name in HEAD
             if name in VOID:
                 self._gap |= name == "br"
                 if name == "hr":

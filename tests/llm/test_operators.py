@@ -191,6 +191,26 @@ def test_extraction_edges(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>one<svg/>two<p>three", "onetwo\n\nthree"),
+    ("<p>one <math/>two <svg><title/><path d='x'/></svg>three", "one two three"),
+    ("<p>one<svg width=1><path d='x'/><p>two", "one\n\ntwo"),
+    ("<p>one<svg><text>no</text></object>no</svg><p>two", "one\n\ntwo"),
+    ("<html><head><meta charset=utf-8><title>T</title><p>text", "text"),
+    ("<head><title>T</title><script>no</script>Text, <b>too", "Text, too"),
+    ("<head><template><p>no</template><meta x></head><p>text", "text"),
+    ("<p title=it's>one<p>two", "one\n\ntwo"),
+    ('<p class="a"">one<p>two', "one\n\ntwo"),
+    ('<p class="a>one</p><p>two', "one\n\ntwo"),
+    ("<p a = \"x>y\" b='>'>one<a href=x/>, two", "one, two"),
+    ("<!-->one<!-- no --><p>two", "one\n\ntwo"),
+    ("<p>where <math><mi>x</mi><mo>+</mo><mspace/><mi>y</mi><annotation>no</annotation></math> is odd", "where x+y is odd"),
+])
+def test_text_after_odd_tags_is_read(page, want):
+    p = Page(page)
+    assert p.blocks([True] * len(p.tag)) == want
+
+
 def test_decoding_is_consistent():
     rng = np.random.default_rng(4)
     for _ in range(50):
