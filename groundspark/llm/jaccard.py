@@ -10,12 +10,15 @@
 4. Cells whose members besides the first one are still in several components are searched by the join of
    their R-tree with itself: boxes bound overlaps by summed coordinate minima, nodes within one component are passed
    over, surviving pairs are verified like the stars.
+5. Links lie inside components, so each row's number of links is counted there, in tiles and pairs of tiles of a component's
+   classes: the intersections of all their sets are a product of incidence matrices. Only sums leave a task.
 
 The result is exact: every link either is verified, or lies inside a component that verified links make up anyway. No
-pairs within a group of copies are made: equal sets are one class, which is represented by its smallest doc_id.
+pairs within a group of copies are made: equal sets are one class, which is represented by its smallest doc_id and counts
+as many links as it has rows.
 
 Contract: as in ``shingles``; null and wordless texts have empty sets and link with nothing. Rows with a null doc_id
-take no part in links and have a null component. Rows that repeat a doc_id are each judged by their own text. An empty
+take no part in links and have a null component and no links. Rows that repeat a doc_id are each judged by their own text. An empty
 table gives an empty one; further columns are ignored.
 """
 
@@ -42,6 +45,10 @@ RANGES = 64
 STEPS = 8
 #: Signing shingles in a bucket of cells, on average; members of a tile of a cell.
 BUCKET, TILE = 400_000, 4_096
+#: Members of a component in a tile of its links at least, and tiles that it is cut into before they grow up to TILE.
+LEAST_TILE, FEW_TILES = 512, 8
+#: Columns of an incidence matrix that are multiplied at once; pairs of members that are listed at once.
+COLUMNS, LISTED = 2_048, 1 << 21
 #: Rows of ids that are broadcast to a larger side, at most.
 MOST_SENT = 1_000_000
 #: Members from which on a cell counts as large.
@@ -300,18 +307,97 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Sc
     return scratch.keep(two.select("a", "b", "a_body", "b_body").mapInArrow(lean(exact), "a long, b long"))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (verified links of the document's class) for each row."""
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets of one side with all of the other."""
+    m, n = len(left), len(right)
+    out = np.zeros((m, n), np.float32)  # exact below 2 ** 24
+    key = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(m + n), [len(x) for x in (*left, *right)])
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = np.append(starts[1:], len(key))
+    middle = starts + np.add.reduceat(owner < m, starts)  # owners ascend, so the left ones come first
+    a, b = middle - starts, ends - middle
+    met = (a > 0) & (b > 0)
+    dense = met & (a * b > m * n // 32)
+    for k in range(0, int(dense.sum()), COLUMNS):
+        some = np.flatnonzero(dense)[k : k + COLUMNS]
+        x, y = np.zeros((m, len(some)), np.float32), np.zeros((n, len(some)), np.float32)
+        for side, since, count, less in ((x, starts, a, 0), (y, middle, b, m)):
+            c = count[some]
+            at = np.repeat(since[some] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            side[owner[at] - less, np.repeat(np.arange(len(some)), c)] = 1
+        out += x @ y.T
+    thin = np.flatnonzero(met & ~dense)
+    size = a[thin] * b[thin]
+    parts = np.cumsum(size) // LISTED
+    for part in np.unique(parts):
+        some, c = thin[parts == part], size[parts == part]
+        within = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        width = np.repeat(b[some], c)
+        i = owner[np.repeat(starts[some], c) + within // width]
+        j = owner[np.repeat(middle[some], c) + within % width] - m
+        if len(i) * 4 > m * n:
+            out += np.bincount(i * n + j, minlength=m * n).reshape(m, n)
+        else:
+            np.add.at(out, (i, j), 1)
+    return out
+
+
+def link_counts(named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """s1, s2, links: for classes with links the rows of other classes that each of their rows is linked with.
+
+    ``named``: s1, s2, part (component), rep, copies (rows); ``texts``: rep, body.
+    """
+    sized = scratch.keep(named.groupBy("part").agg(F.count("*").alias("members")).where("members > 1"))
+    tiles = F.greatest(F.ceil(F.col("members") / TILE), F.least(F.lit(FEW_TILES), F.ceil(F.col("members") / LEAST_TILE))).cast("int")
+    own = named.select("s1", "s2", "part", "rep", "copies").join(sent(sized), "part").withColumn("tiles", tiles)
+    own = scratch.keep(own.withColumn("tile", F.pmod(F.xxhash64("s1", "s2"), F.col("tiles")).cast("int")).drop("members"))
+    # A repeated doc_id has other texts besides the one of the class; they are told apart below.
+    bodies = texts.join(sent(own), "rep")
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"))))
+    spread = bodies.withColumn("pair", pairs).select("part", "pair.i", "pair.j", "tile", "s1", "s2", "copies", "body")
+
+    def run(key, rows):
+        i, j = key[1].as_py(), key[2].as_py()
+        classes = list(zip(rows.column("s1").to_pylist(), rows.column("s2").to_pylist(), strict=True))
+        copies, tile = rows.column("copies").to_numpy(), rows.column("tile").to_numpy()
+        held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        for k, x in enumerate(sets(rows.column("body").to_pylist())):
+            if signature(x) == classes[k]:
+                held.setdefault(classes[k], (k, x))
+        sides = [[v for v in held.values() if tile[v[0]] == t] for t in (i, j)]
+        sums: list[tuple[int, int]] = []
+        if all(sides):
+            places = [np.array([k for k, _ in side]) for side in sides]
+            sizes = [np.array([len(x) for _, x in side]) for side in sides]
+            link = shared(*([x for _, x in side] for side in sides)) >= need(sizes[0][:, None], sizes[1][None, :])
+            if i == j:
+                np.fill_diagonal(link, False)
+            else:
+                sums += zip(places[1].tolist(), (copies[places[0]] @ link).tolist(), strict=True)
+            sums += zip(places[0].tolist(), (link @ copies[places[1]]).tolist(), strict=True)
+        if len(held) >= LEAST_TILE:
+            give_back()
+        sums = [(k, n) for k, n in sums if n]
+        return pa.table([pa.array([classes[k][c] for k, _ in sums], pa.int64()) for c in range(2)] + [pa.array([n for _, n in sums], pa.int64())], names=["s1", "s2", "links"])
+
+    return spread.groupBy("part", "i", "j").applyInArrow(run, "s1 long, s2 long, links long").groupBy("s1", "s2").agg(F.sum("links").alias("links"))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if wanted, n_links (other rows that the row is linked with) for each row."""
     spark = docs.sparkSession
     small_batches(spark, BATCH)
-    scratch = Scratch(spark)
+    scratch, kept = Scratch(spark), Scratch(spark)
     # The sketch is SLOTS bytes, whatever the input.
     rare = spark.sparkContext.broadcast(sketch(docs, text))
-    rows = scratch.keep(described(docs, rare, doc_id, text))
+    rows = kept.keep(described(docs, rare, doc_id, text))
     usable = rows.where("n > 0 AND doc_id IS NOT NULL")
     total = usable.agg(F.sum(F.length("keys"))).first()[0] or 0
     buckets = max(24, -(-total // (8 * BUCKET)))
-    classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.count("*").alias("copies"))
     classes = scratch.keep(classes)
     texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("body"))
 
@@ -340,12 +426,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     # Classes that share s1, if ever, are told apart by their texts in ``verified`` only up to that number.
     named = classes.join(found.withColumnRenamed("node", "s1"), "s1", "left").withColumn("part", F.coalesce("component", "s1"))
+    named = kept.keep(named.select("s1", "s2", "part", "rep", "copies"))
+    scratch.drop()
     smallest = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    ends = links.select(F.col("a").alias("s1")).unionByName(links.select(F.col("b").alias("s1"))).groupBy("s1").agg(F.count("*").alias("n_links"))
-    result = scratch.keep(named.join(smallest, "part").join(ends, "s1", "left").select("s1", "s2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    result = named.join(smallest, "part").select("s1", "s2", "component_id", "copies")
+    if count_links:
+        result = result.join(link_counts(named, texts, kept), ["s1", "s2"], "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    result = kept.keep(result.drop("copies", "links"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(result, ["s1", "s2"], "left")
+    known = F.col("doc_id").isNotNull()
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    links_of = [F.when(known & F.col("n_links").isNotNull(), F.col("n_links")).otherwise(0).alias("n_links")] if count_links else []
+    return out.select("doc_id", "n_shingles", F.when(known, own).alias("component_id"), *links_of)
 
 
 def op6_jaccard(spark, sf_dir):

@@ -317,6 +317,34 @@ def test_join_equals_brute_force(spark):
     assert got == brute_components(texts)
 
 
+def test_links_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAST_TILE", 7)
+    monkeypatch.setattr(jaccard, "COLUMNS", 5)
+    monkeypatch.setattr(jaccard, "LISTED", 50)
+    texts = near_copies(220, 6)
+    words = [f"v{k}" for k in range(100)]
+    texts |= {1000 + k: " ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(0, 100, 2)}  # all linked
+    texts |= {2000 + k: " ".join(words) for k in range(4)}
+    own = {i: shingle_set(t) for i, t in texts.items()}
+    want = dict.fromkeys(texts, 0)
+    for a, b in itertools.combinations(texts, 2):
+        x, y = own[a], own[b]
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            want[a], want[b] = want[a] + 1, want[b] + 1
+    assert want[1000] == want[2000] == 53
+    df = spark.createDataFrame(list(texts.items()), DOCS)
+    assert {r.doc_id: r.n_links for r in jaccard.join(df).collect()} == want
+    rows = [(1, None), (2, "a b"), (2, "a b"), (2, "c d"), (3, "A  B"), (None, "a b"), (4, "c d e")]
+    got = sorted((r.doc_id or 0, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (2, 2), (2, 2), (3, 2), (4, 0)]
+
+
+def test_intersections_of_all_sets():
+    rng = np.random.default_rng(7)
+    made = [[np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(0, 5000, n)]).astype(np.uint64)) for n in rng.integers(0, 200, m)] for m in (60, 90)]
+    assert jaccard.shared(*made).tolist() == [[len(np.intersect1d(x, y)) for y in made[1]] for x in made[0]]
+
+
 def test_join_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  B"), (6, "a b c d e"), (7, "word " * 30_000), (8, "word " * 30_000), (None, "a b"), (9, "a b"), (9, "a b")]
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.join(spark.createDataFrame(rows, DOCS)).collect())
