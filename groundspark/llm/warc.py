@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ from groundspark.llm.common import Scratch, table
 FANOUT, RANGE_BYTES = 16, 65_536
 #: Pages that go into one file.
 PER_FILE = 500
+#: Where a record starts behind a damaged one, whose end may be cut off.
+START, DAMAGED = re.compile(rb"WARC/1\.\d+\r\n(?=[A-Za-z-]+:)"), "damaged"
 
 RECORDS = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("record_id", T.StringType()),
@@ -48,20 +51,35 @@ def record_bytes(record_id: Column, uri: Column, payload: Column, kind: str = "r
 
 
 def parse(data: bytes) -> Iterator[tuple[int, str, str, str, bytes, bytes]]:
-    """The records of a file, plain or gzipped (offsets then are those in the uncompressed data); ends at what is no record."""
+    """The records of a file, plain or gzipped (offsets then are those in the uncompressed data); none of a file that isn't an archive.
+
+    What is no whole record is one of kind DAMAGED without payload, up to the next start of a record; its id and address
+    are those that its head still has.
+    """
     if data[:2] == b"\x1f\x8b":
         data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
     at = 0
-    while data.startswith(b"WARC/", at) and (end := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    while at < len(data) and b"WARC" in data:
+        end = data.find(b"\r\n\r\n", at)
+        end = len(data) if end < 0 else end
+        head = _head(data[at:end])
         size = head.get("content-length", "0")
-        stop = end + 4 + (int(size) if size.isascii() and size.isdigit() else 0)
-        to = min(stop + 4, len(data))
-        yield at, head.get("warc-record-id", ""), head.get("warc-target-uri", ""), head.get("warc-type", ""), data[at:to], data[end + 4 : stop]
+        stop = end + 4 + (int(size) if size.isascii() and size.isdigit() and len(size) < 19 else len(data))
+        whole = data.startswith(b"WARC/", at) and stop <= len(data) and b"\r\n\r\n".startswith(data[stop : stop + 4])
+        if whole:
+            to = min(stop + 4, len(data))
+        else:
+            following = START.search(data, at + 1)
+            to = following.start() if following else len(data)
+            head = _head(data[at : min(end, to)])
+        yield at, head.get("warc-record-id", ""), head.get("warc-target-uri", ""), head.get("warc-type", "") if whole else DAMAGED, data[at:to], data[end + 4 : stop] if whole else b""
         at = to
 
 
+def _head(lines: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """All records under a path, through Spark's reader of binary files. One file goes to one task; archives keep files near 1 GB."""
 

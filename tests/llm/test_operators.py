@@ -413,6 +413,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert [r.offset for r in laid] == [0, len(data[0])] and laid[1].length == len(data[1])
 
 
+def test_records_behind_a_damaged_one_are_read():
+    made = [f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{k}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n" for k, body in enumerate((b"one", b"two\r\n\r\nmore", b"", b"four"))]
+    whole = b"".join(made)
+    assert [(r[0], r[1], r[3], r[4]) for r in warc.parse(whole)] == [(len(b"".join(made[:k])), f"<{k}>", "resource", m) for k, m in enumerate(made)]
+    for old, new in ((b"WARC/1.1", b"WARX/1.1"), (b"Length: 11", b"Length: 3"), (b"Length: 11", b"Length: 9999"), (b"Length: 11", b"Length: x1"), (b"more\r\n\r\n", b"mo")):
+        bad = made[1].replace(old, new)
+        got = list(warc.parse(made[0] + bad + made[2] + made[3]))
+        at = len(made[0])
+        assert [(r[0], r[1]) for r in got if r[3] == "resource"][-2:] == [(at + len(bad), "<2>"), (at + len(bad) + len(made[2]), "<3>")]
+        assert any(r[0] == at and r[1] == "<1>" for r in got) and b"".join(r[4] for r in got) == made[0] + bad + made[2] + made[3]
+        assert "damaged" in {r[3] for r in got}
+    assert [(r[0], r[3]) for r in warc.parse(whole[:-6])] == [(0, "resource"), (len(made[0]), "resource"), (len(b"".join(made[:2])), "resource"), (len(b"".join(made[:3])), "damaged")]
+
+
 # -- 9: personal data
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
