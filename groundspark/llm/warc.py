@@ -93,14 +93,31 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 
 
-def laid_out(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+def placed(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """Pages as records of files: file, offset, record_id, record. A file holds a range of ids, in order."""
     file = F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long")
     made = pages.select(file.alias("file"), "page_id", record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    sized = made.withColumn("digest", F.sha2("record", 256)).withColumn("length", F.octet_length("record").cast("long"))
-    before = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    at = sized.drop("record").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return at.select("file", "offset", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("record_id"), "length", "digest")
+    before = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
+    at = made.withColumn("offset", F.coalesce(F.sum(F.octet_length("record").cast("long")).over(before), F.lit(0)))
+    return at.select("file", "offset", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("record_id"), "record")
+
+
+def laid_out(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """The records of ``placed``, hashed."""
+    return hashed(placed(pages, per_file))
+
+
+def flipped(record: Column) -> Column:
+    """With one bit of the byte in the middle changed."""
+    at = (F.floor(F.octet_length(record) / 2) + 1).cast("int")
+    byte = F.conv(F.hex(F.substring(record, at, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(1))
+    return F.concat(F.substring(record, F.lit(1), at - 1), F.unhex(F.lpad(F.hex(byte), 2, "0")), F.substring(record, at + 1, F.octet_length(record)))
+
+
+def cut(record: Column) -> Column:
+    """Without its last quarter, one byte at least."""
+    n = F.octet_length(record)
+    return F.substring(record, F.lit(1), (n - F.greatest(F.floor(n / 4), F.lit(1))).cast("int"))
 
 
 def hashed(records: DataFrame, record: str = "record") -> DataFrame:
@@ -172,14 +189,35 @@ def audit(original: DataFrame, replica: DataFrame, scratch: Scratch) -> DataFram
     return m.join(o, ["file", "offset", "record_id"], "full").where(~F.col("digest").eqNullSafe(F.col("digest2"))).select("file", "offset", "record_id", status.alias("status"))
 
 
+def damaged(records: DataFrame) -> DataFrame:
+    """A replica in which some records have a flipped byte or a cut tail, and the last ones of some files and whole files are lost.
+
+    What is left of a record stays at its offset.
+    """
+    last = records.groupBy("file").agg(F.max("offset").alias("offset")).where(F.pmod("file", F.lit(17)) == 3)
+    left = records.where(F.pmod("file", F.lit(53)) != 9).join(F.broadcast(last), ["file", "offset"], "left_anti")
+    number = F.col("record_id").try_cast("bigint")
+    changed = F.when(F.pmod(number, F.lit(2)) == 0, flipped(F.col("record"))).otherwise(cut(F.col("record")))
+    spoiled = F.when(F.pmod(number, F.lit(97)) == 5, changed).otherwise(F.col("record"))
+    return left.select("file", "offset", "record_id", spoiled.alias("record"))
+
+
+def numbered(original: DataFrame, root: str, replica: DataFrame, replica_root: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What ``read_warc`` found under two roots, with ``file`` as a number: that of the path below the root."""
+    sides = [d.withColumn("name", F.substring_index("path", r.rstrip("/") + "/", -1)) for d, r in ((original, root), (replica, replica_root))]
+    names = sides[0].select("name").unionByName(sides[1].select("name")).distinct()
+    # One row for each file; archives keep files near 1 GB.
+    known = scratch.keep(names.withColumn("file", F.row_number().over(Window.orderBy("name")).cast("long") - 1))
+    mine, other = (d.join(F.broadcast(known), "name").select("file", "offset", "record_id", "record") for d in sides)
+    return mine, other
+
+
 def op7_warc(spark, sf_dir):
     """Audits a replica of the archive of all pages, damaged in known places: bytes changed, tails cut off, files lost."""
     scratch = Scratch(spark)
-    original = scratch.keep(laid_out(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
-    last = original.groupBy("file").agg(F.max("offset").alias("offset")).where(F.pmod("file", F.lit(17)) == 3)
-    whole = original.where(F.pmod("file", F.lit(53)) != 9).join(last, ["file", "offset"], "left_anti")
-    spoiled = F.pmod(F.col("record_id").try_cast("bigint"), F.lit(97)) == 5
-    replica = scratch.keep(whole.withColumn("digest", F.when(spoiled, F.sha2(F.concat(F.lit("bit rot "), F.col("digest")), 256)).otherwise(F.col("digest"))))
+    records = scratch.keep(placed(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    original, replica = scratch.keep(hashed(records)), scratch.keep(hashed(damaged(records)))
+    scratch.drop(records)
     return audit(original, replica, scratch)
 
 

@@ -427,6 +427,29 @@ def test_records_behind_a_damaged_one_are_read():
     assert [(r[0], r[3]) for r in warc.parse(whole[:-6])] == [(0, "resource"), (len(made[0]), "resource"), (len(b"".join(made[:2])), "resource"), (len(b"".join(made[:3])), "damaged")]
 
 
+def test_changed_bytes_are_found_by_their_hashes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>" * 9) for i in range(200)], "page_id long, url string, html string")
+    records = warc.placed(pages, 4)
+    own = {r.record_id: bytes(r.record) for r in records.collect()}
+    got = {r.record_id: bytes(r.record) for r in warc.damaged(records).collect()}
+    lost = {str(i) for i in range(200) if i // 4 % 53 == 9 or i // 4 % 17 == 3 and i % 4 == 3}
+    assert set(own) - set(got) == lost and {k for k in got if got[k] != own[k]} == {"5", "102", "199"}
+    assert sum(a != b for a, b in zip(got["102"], own["102"], strict=True)) == 1
+    assert own["5"].startswith(got["5"]) and 0 < len(got["5"]) < len(own["5"])
+    want = {k: "missing" for k in lost} | {"5": "corrupt", "102": "corrupt", "199": "corrupt"}
+    assert {r.record_id: r.status for r in warc.audit(warc.hashed(records), warc.hashed(warc.damaged(records)), Scratch(spark)).collect()} == want
+    # Files that are read fit the audit.
+    for side in ("one", "two"):
+        for f in range(3):
+            (tmp_path / side / str(f)).mkdir(parents=True)
+            data = [own[str(k)] if (side, k) != ("two", 6) else got["102"] for k in range(4 * f, 4 * f + 4)]
+            (tmp_path / side / str(f) / "a.warc").write_bytes(b"".join(data).replace(b"<p>1</p>", b"<p>x</p>" if side == "two" else b"<p>1</p>"))
+    read = [(warc.read_warc(spark, str(tmp_path / s / "*")), str(tmp_path / s)) for s in ("one", "two")]
+    mine, other = warc.numbered(*read[0], *read[1], Scratch(spark))
+    found = {(r.file, r.record_id, r.status) for r in warc.audit(warc.hashed(mine), warc.hashed(other), Scratch(spark)).collect()}
+    assert (0, "<urn:page:1>", "corrupt") in found and (1, "<urn:page:6>", "missing") in found and (1, "<urn:page:102>", "extra") in found
+
+
 # -- 9: personal data
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
