@@ -98,7 +98,10 @@ def tail(z: np.ndarray) -> np.ndarray:
 
 
 def route(index: Index, sizes: np.ndarray, q: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The lists that each query visits, and its estimate of the k-th score."""
+    """The lists that each query visits, which hold k rows besides its own if there are so many, and its estimate of the k-th score."""
+    own = nearest(q, index.centres)
+    sizes = np.repeat(np.asarray(sizes, float)[None, :], len(q), 0)
+    sizes[np.arange(len(q)), own] -= 1  # the query itself
     norm = np.linalg.norm(q, axis=1, keepdims=True)
     mean, sd = q @ index.centres.T, norm * index.spread[None, :] + 1e-12
     reach = mean + 8 * sd
@@ -110,8 +113,8 @@ def route(index: Index, sizes: np.ndarray, q: np.ndarray, k: int) -> tuple[list[
     gain = sizes * tail((low[:, None] - mean) / sd)
     order = np.argsort(-gain, axis=1, kind="stable")
     total = np.cumsum(np.take_along_axis(gain, order, 1), 1)
-    need = (total < COVER * total[:, -1:]).sum(1) + 1
-    own = nearest(q, index.centres)
+    reached = np.cumsum(np.take_along_axis(sizes, order, 1), 1)
+    need = np.maximum((total < COVER * total[:, -1:]).sum(1), (reached < k).sum(1)) + 1
     return [np.unique(np.append(o[:m], c)) for o, m, c in zip(order, need, own, strict=True)], low
 
 

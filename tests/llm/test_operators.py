@@ -98,6 +98,13 @@ def test_ann_recall_and_scores(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def test_ann_visits_lists_of_k_other_rows():
+    index = ann.Index(np.array([[1.0, 0.0], [-1.0, 0.0]]), np.array([0.01, 0.01]), [], 0.0)
+    for size, want in ((20, [0, 1]), (21, [0])):
+        lists, _ = ann.route(index, np.array([size, 500]), np.array([[1.0, 0.0]]), 20)
+        assert lists[0].tolist() == want
+
+
 def test_ann_copies_and_few_rows(spark):
     same = np.tile(np.eye(16, dtype=np.float32)[0], (120, 1))
     rows = ann.search(vectors(spark, same), F.col("id") % 20 == 0, 5).orderBy("query_id", "rank").collect()
