@@ -7,8 +7,8 @@ counted in code points.
 Base kinds follow fixed patterns, leftmost and non-overlapping within a kind, failing matches dropped without a retry:
 ``email``, ``ip`` (parts at most 255), ``card`` (14 to 19 digits passing Luhn), ``phone`` (10 to 15 digits). The method
 adds: ``account`` (a whole group of 14 to 19 digits passing Luhn inside a longer chain that failed; a number of 6 digits
-or more behind an account cue), ``secret`` (a quoted or bare value of 16 characters or more behind a cue and ``=`` or
-``:``) and ``url`` (a scheme followed by a user name and password).
+or more behind an account cue, with or without a word like "number" between them), ``secret`` (a quoted or bare value of
+16 characters or more, or 6 for a password, with a digit, behind a cue and ``=`` or ``:``) and ``url`` (a scheme followed by a user name and password).
 
 Contract: a null or empty text has no spans; texts of any length are read whole; repeated rows get equal results; empty
 tables stay empty; further columns pass through, one with the name of the output is replaced.
@@ -16,6 +16,7 @@ tables stay empty; further columns pass through, one with the name of the output
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -41,6 +42,11 @@ LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 DIALLED = DIGITS | frozenset(" ().-")
 KEYED = ALNUM | frozenset("_-+/.")
+LOWER = {k: k + 32 for k in range(65, 91)}
+#: What can stand between an account cue and its number: separators, and filler words with separators around them.
+GAP = re.compile(r"[ :#=.]{1,3}(?:(?:numbers?|num|nos?|nr|is)(?![a-z])[ :#=.]{0,3}){1,2}|[ :#=][ :#=.]{0,2}", re.I)
+#: The least length of an assigned value, and of one that is said to be a password.
+LEAST_SECRET, LEAST_PASSWORD = 16, 6
 
 
 class Span(NamedTuple):
@@ -70,6 +76,12 @@ def run_right(text: str, at: int, allowed: frozenset[str]) -> int:
     return at
 
 
+def lowered(text: str) -> str:
+    """In lower case, every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(LOWER)
+
+
 class Finder:
     def __init__(self) -> None:
         import ahocorasick
@@ -79,8 +91,7 @@ class Finder:
             machine.add_word(word, (what, len(word)))
         for cues, what in ((ACCOUNT_CUES, "account"), (SECRET_CUES, "secret")):
             for cue in cues:
-                for form in {cue, cue.upper(), cue.capitalize()}:
-                    machine.add_word(form, (what, len(form)))
+                machine.add_word(cue, (what, len(cue)))
         machine.make_automaton()
         self.machine = machine
 
@@ -90,7 +101,7 @@ class Finder:
             return []
         out: list[Span] = []
         done = dict.fromkeys(("email", "number", "dotted", "account", "secret", "url"), 0)
-        for last, (what, n) in self.machine.iter(text):
+        for last, (what, n) in self.machine.iter(lowered(text)):
             if what == "digit":
                 if last >= done["number"]:
                     done["number"] = self.card(text, last, out)
@@ -167,9 +178,10 @@ class Finder:
 
     def account(self, text: str, at: int, out: list[Span]) -> int:
         """A number behind the cue: letters, digits and single spaces or hyphens, with 6 digits or more."""
-        start = run_right(text, at, frozenset(" :#=.")) if text[at : at + 1] in (" ", ":", "#", "=") else at
-        if start == at or start - at > 3:
+        gap = GAP.match(text, at)
+        if not gap:
             return 0
+        start = gap.end()
         end = run_right(text, start, ALNUM)
         while end + 1 < len(text) and text[end] in " -" and text[end + 1] in DIGITS:
             end = run_right(text, end + 1, ALNUM)
@@ -184,8 +196,14 @@ class Finder:
         if to - at > 2 or text[to : to + 1] not in ("=", ":"):
             return 0
         start = run_right(text, to + 1, frozenset(" \"'"))
-        end = run_right(text, start, KEYED)
-        if start - to > 4 or end - start < 16 or not any(c in DIGITS for c in text[start:end]):
+        end, least = run_right(text, start, KEYED), LEAST_SECRET
+        if lowered(text[max(0, at - 8) : at]).endswith(("password", "passwd")):
+            least = LEAST_PASSWORD
+            while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>":
+                end += 1
+            while end > start and text[end - 1] in ".,;:)]}":
+                end -= 1
+        if start - to > 4 or end - start < least or not any(c in DIGITS for c in text[start:end]):
             return 0
         out.append(Span("secret", start, end))
         return end

@@ -489,6 +489,24 @@ def test_added_kinds():
     assert pii.finder().find("A token of thanks, an account of 1999, password please") == []
 
 
+@pytest.mark.parametrize("text, kind, value", [
+    ("My account number: 12345678.", "account", "12345678"),
+    ("Passport No. X1234567 of", "account", "X1234567"),
+    ("acct no 998877", "account", "998877"),
+    ("Acct. nr: 998877", "account", "998877"),
+    ("account # 998877", "account", "998877"),
+    ("the aCCount number is 12-345-678", "account", "12-345-678"),
+    ("IBan: DE44 5001 0517 5407 3249 31", "account", "DE44 5001 0517 5407 3249 31"),
+    ("apiKey = '04dbebab91ab85687d33eeaa'", "secret", "04dbebab91ab85687d33eeaa"),
+    ("İ apiKey=04dbebab91ab85687d33eeaa", "secret", "04dbebab91ab85687d33eeaa"),
+    ("password: hunter2! then", "secret", "hunter2!"),
+    ("(PassWord = s3cret).", "secret", "s3cret"),
+])
+def test_usual_forms_of_accounts_and_secrets(text, kind, value):
+    assert [(s.kind, text[s.start : s.end]) for s in pii.finder().find(text)] == [(kind, value)]
+    assert pii.finder().find("account no more, account number: none, password: required") == []
+
+
 def test_redaction_and_edges(spark):
     rows = [(1, None), (2, ""), (3, "write to a@b.co or +1 (243) 555-5526 now"), (3, "write to a@b.co or +1 (243) 555-5526 now"), (4, "clean 😀 text"), (5, "x " * 100_000 + "a@b.co"), (6, "😀 a@b.co")]
     df = spark.createDataFrame([(i, t, "mine") for i, t in rows], "doc_id long, text string, pii string")
