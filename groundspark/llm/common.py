@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 from functools import wraps
 
 import pyarrow as pa
@@ -21,17 +23,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS_OF_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bounds the Arrow batches of the plans that this session runs from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the Arrow batches of the plans that this session runs from now on, unless they are smaller already.
+
+    A result that is computed later is planned then, so operators that return one can't take the bound back.
+    """
+    now = int(spark.conf.get(ROWS_OF_A_BATCH))
+    if now <= 0 or now > rows:
+        spark.conf.set(ROWS_OF_A_BATCH, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """The bound on Arrow batches for what is computed inside."""
+    before = spark.conf.get(ROWS_OF_A_BATCH)
+    spark.conf.set(ROWS_OF_A_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_OF_A_BATCH, before)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name like ``name`` that none of the tables has, in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir, and only where that is unset one of our own."""
+    """The folder all executors share: the cluster's spark.checkpoint.dir; only in local mode, where it is unset, one of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if place is None:
         place = spark.sparkContext.getCheckpointDir()
     if place is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="groundspark-")
         spark.sparkContext.setCheckpointDir(place)
     return place
@@ -43,10 +74,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """``batch``: rows of an Arrow batch while it is computed."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with batches_of(self.spark, batch) if batch else nullcontext():
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

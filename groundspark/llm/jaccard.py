@@ -1,21 +1,23 @@
 """N-gram Jaccard join: documents linked when their word shingle sets overlap enough, found through count-vector R-trees.
 
 1. A sketch of SLOTS counters over all documents tells common shingles from others.
-2. Each document gives its shingle set's size, signature, count vector and signing shingles: ordered by commonness and
-   then by hash, the first n - ceil(3n/4) + 1 of its n shingles. Linked documents share a signing shingle, so these
-   deal the documents into cells, and each cell is a forest of one R-tree over its members' count vectors.
-3. Most members of a cell are alike, so first each is tried against the cell's first member only (rounds of "stars",
-   the first of which tries one partner for each document). Count vectors bound the overlap; pairs that pass the bound
-   are verified on whole shingle sets. Verified links are joined up to components.
-4. Cells whose members besides the first one are still in several components are searched by the join of
-   their R-tree with itself: boxes bound overlaps by summed coordinate minima, nodes within one component are passed
-   over, surviving pairs are verified like the stars.
-5. Links lie inside components, so each row's number of links is counted there, in tiles and pairs of tiles of a component's
-   classes: the intersections of all their sets are a product of incidence matrices. Only sums leave a task.
-
-The result is exact: every link either is verified, or lies inside a component that verified links make up anyway. No
-pairs within a group of copies are made: equal sets are one class, which is represented by its smallest doc_id and counts
-as many links as it has rows.
+2. Each document gives its shingle set's size, signature, count vector and signing shingles: ordered by commonness and then
+   by hash, the first n - ceil(3n/4) + 1 of its n shingles. Linked documents share a signing shingle. Documents that share
+   one make a cell, and all cells with the same smallest document, their anchor, make a group: so groups split the documents
+   into parts, which overlap, and no link runs between documents that have no group in common.
+3. In each group the members' count vectors (shingles hashed into groups of counts) are the points of an R-tree, which is
+   joined with itself: boxes bound overlaps by summed coordinate minima. Pairs that survive connect their ends, and the join
+   passes over nodes that are connected already; what is connected in the end makes disjoint parts that hold all such pairs.
+4. Each part gets its members' whole shingle sets, an R-tree over them is joined in the same way, and here a pair connects its
+   ends only once it is verified. So a part of near copies costs about as many checks as it has members.
+5. Links lie inside components, so each row's number of links is counted there: the intersections of all sets of a component
+   are a product of incidence matrices. Only sums leave a task.
+Groups and parts beyond TILE members or WEIGHT shingles are dealt into tiles, each with the group's first member, and tiles are
+joined with each other only where what was found by then leaves the group in several components.
+
+The result is exact but for collisions of hashes (64 bits for a shingle, 128 for a set): every link is verified, or lies
+inside a component that verified links make up anyway. No pairs within a group of copies are made: equal sets are one
+class, which is represented by its smallest doc_id and counts as many links as it has rows.
 
 Contract: as in ``shingles``; null and wordless texts have empty sets and link with nothing. Rows with a null doc_id
 take no part in links and have a null component and no links. Rows that repeat a doc_id are each judged by their own text. An empty
@@ -29,32 +31,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from groundspark.llm.common import Scratch, give_back, lean, small_batches, table
-from groundspark.llm.graph import components
-from groundspark.llm.rtree import GROUPS, RTree, may_share, point
+from groundspark.llm.common import Scratch, batches_of, give_back, lean, table, unused
+from groundspark.llm.graph import components, labels
+from groundspark.llm.rtree import LEAST_GROUPS, RTree, folded, may_share, point, points
 from groundspark.llm.shingles import linked, mixed, need, sets, signature
 
 #: Counters of the sketch, whatever the input: its classes are one byte each and go to every executor.
 SLOTS = 1 << 24
 RANGES = 64
-#: Steps of commonness for each doubling.
-STEPS = 8
-#: Signing shingles in a bucket of cells, on average; members of a tile of a cell.
-BUCKET, TILE = 400_000, 4_096
-#: Members of a component in a tile of its links at least, and tiles that it is cut into before they grow up to TILE.
-LEAST_TILE, FEW_TILES = 512, 8
+#: Steps of commonness for each doubling; the class of slots that are full in some task.
+STEPS, FULL = 8, 255
+#: Rows with a shingle from which on it counts as hot, in any case: its cell is not formed in one task.
+HOT = 65_536
+#: Signing shingles in a bucket of cells, on average, and those that a task holds before it passes them on.
+BUCKET, HELD = 400_000, 400_000
+#: Members of a tile, shingles of a tile, and shingles of the groups or parts that are searched together; a point weighs as POINT shingles.
+TILE, WEIGHT, PACK, POINT = 2_048, 4_000_000, 2_000_000, 64
 #: Columns of an incidence matrix that are multiplied at once; pairs of members that are listed at once.
 COLUMNS, LISTED = 2_048, 1 << 21
 #: Rows of ids that are broadcast to a larger side, at most.
 MOST_SENT = 1_000_000
-#: Members from which on a cell counts as large.
-LARGE = 16
-#: Signing shingles that a task holds before it passes them on.
-HELD = 400_000
 #: Texts in a batch.
 BATCH = 128
 
@@ -64,7 +65,7 @@ def slot(own: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, text: str) -> np.ndarray:
-    """For each slot its number of (document, shingle) pairs, in STEPS to a doubling. A task's counts end at 255."""
+    """For each slot its number of (document, shingle) pairs, in STEPS to a doubling. A task counts to 255, which makes the slot FULL."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.uint8)
@@ -78,19 +79,30 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "n"])
 
     def add(key, rows):
-        total = np.zeros(SLOTS // RANGES, np.int64)
+        total, full = np.zeros(SLOTS // RANGES, np.int64), np.zeros(SLOTS // RANGES, bool)
         for n in rows.column("n").to_pylist():
-            total += np.frombuffer(zlib.decompress(n), np.uint8)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([(np.log2(total + 1) * STEPS).astype(np.uint8).tobytes()], pa.binary())], names=["part", "classes"])
+            part = np.frombuffer(zlib.decompress(n), np.uint8)
+            total += part
+            full |= part == 255
+        classes = np.minimum(np.log2(total + 1) * STEPS, FULL - 1).astype(np.uint8)
+        classes[full] = FULL
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(classes.tobytes(), 1)], pa.binary())], names=["part", "classes"])
 
     summed = docs.select(text).mapInArrow(lean(count), "part int, n binary").groupBy("part").applyInArrow(add, "part int, classes binary")
     out = np.zeros(SLOTS, np.uint8)
     width = SLOTS // RANGES
-    for r in summed.toLocalIterator():  # SLOTS bytes in all
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["classes"], np.uint8)
+    for r in summed.toLocalIterator():  # SLOTS bytes in all, packed
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["classes"]), np.uint8)
     return out
 
 
+def hot_class(classes: np.ndarray) -> int:
+    """The class from which on shingles count as hot: HOT rows, and four times what a slot has in the median."""
+    spread = np.cumsum(np.bincount(classes, minlength=256))
+    median = int(np.searchsorted(spread, spread[-1] / 2))
+    return min(FULL, max(int(np.log2(HOT) * STEPS), median + 2 * STEPS))
+
+
 def signing(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The first shingles in the common order: rare before common, then by hash."""
     if not len(own):
@@ -102,129 +114,104 @@ def signing(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return own[np.argpartition(order, count - 1)[:count]] if count < len(own) else own
 
 
-def described(docs: DataFrame, classes, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, s1, s2 (signature), keys (signing shingles) and counts (the point), both as packed numbers."""
-    small_batches(docs.sparkSession, BATCH)
+def described(docs: DataFrame, classes, hot: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, n, s1, s2 (signature), counts (the point), keys and hot (signing shingles that aren't and that are hot), as packed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = classes.value
         for batch in batches:
-            n, s1, s2, keys, points = [], [], [], [], []
+            n, s1, s2, counts, keys, hots = [], [], [], [], [], []
             for own in sets(batch.column(text).to_pylist()):
                 a, b = signature(own)
                 n.append(len(own))
                 s1.append(a)
                 s2.append(b)
-                keys.append(signing(own, known).tobytes())
-                points.append(zlib.compress(point(own).tobytes(), 1))
-            columns = [batch.column(doc_id), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.binary()), pa.array(points, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "keys", "counts"])
+                counts.append(zlib.compress(point(own).tobytes(), 1))
+                signs = signing(own, known)
+                crowded = known[slot(signs).astype(np.int64)] >= hot
+                keys.append((signs[~crowded] if crowded.any() else signs).tobytes())
+                hots.append(signs[crowded].tobytes() if crowded.any() else None)
+            columns = [batch.column(doc_id), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *(pa.array(x, pa.binary()) for x in (counts, keys, hots))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "counts", "keys", "hot"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(lean(run), f"doc_id {kind}, n long, s1 long, s2 long, keys binary, counts binary")
-
-
-def unpacked(points: list[bytes]) -> np.ndarray:
-    """Count vectors as rows."""
-    return np.frombuffer(b"".join(map(zlib.decompress, points)), np.uint8).reshape(-1, GROUPS)
+    return docs.select(doc_id, text).mapInArrow(lean(run), f"doc_id {kind}, n long, s1 long, s2 long, counts binary, keys binary, hot binary")
 
 
-def dealt(rows: DataFrame, buckets: int, second: str | None = None) -> DataFrame:
-    """Signing shingles by bucket: packed keys with the s1 of their documents, and a further long column if named.
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Signing shingles by bucket: packed keys with the s1 of their documents.
 
-    Inside a bucket 32 bits of a shingle are its key: two that fall together by chance make one cell of two, which costs a few
-    trials and loses nothing.
+    Inside a bucket 32 bits of a shingle are its key: two that fall together by chance make one cell of two, which costs a
+    few bounds and loses nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         held, seen = 0, set()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate([p[k] for p in parts]) for k in range(3 if second else 2)]
-            where = (columns[0] % np.uint64(buckets)).astype(np.int64)
-            columns[0] = (columns[0] >> np.uint64(32)).astype(np.uint32)
+        def out() -> pa.RecordBatch:
+            key, doc = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            where = (key % np.uint64(buckets)).astype(np.int64)
+            key = (key >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cuts))
-            packed = [pa.array([c[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some], pa.binary()) for c in columns]
-            packed += [pa.nulls(len(some), pa.binary())] * (3 - len(packed))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *packed], names=["bucket", "keys", "docs", "more"])
+            packed = [pa.array([c[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some], pa.binary()) for c in (key, doc)]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *packed], names=["bucket", "keys", "docs"])
 
         for batch in batches:
-            more = batch.column(second).to_pylist() if second else [0] * batch.num_rows
-            for s1, keys, extra in zip(batch.column("s1").to_pylist(), batch.column("keys").to_pylist(), more, strict=True):
+            for s1, keys in zip(batch.column("s1").to_pylist(), batch.column("keys").to_pylist(), strict=True):
                 if not keys or s1 in seen:  # copies have the same keys
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(s1)
                 own = np.frombuffer(keys, np.uint64)
-                parts.append((own, np.full(len(own), s1, np.int64), *([np.full(len(own), extra, np.int64)] if second else [])))
+                parts.append((own, np.full(len(own), s1, np.int64)))
                 held += len(own)
                 if held > HELD:
-                    yield from out()
+                    yield out()
                     parts, held = [], 0
         if parts:
-            yield from out()
+            yield out()
 
-    return rows.select("s1", "keys", *([second] if second else [])).mapInArrow(lean(run), "bucket int, keys binary, docs binary, more binary")
-
-
-def cells(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's cells: members sorted by key and document, without repetitions, and the starts and sizes of cells."""
-    join = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
-    key, doc = join("keys", np.uint32), join("docs", np.int64)
-    more = join("more", np.int64) if rows.column("more").null_count == 0 else np.zeros(len(key), np.int64)
-    order = np.lexsort((doc, key))
-    key, doc, more = key[order], doc[order], more[order]
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-    key, doc, more = key[fresh], doc[fresh], more[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key, doc, more, starts, np.diff(np.append(starts, len(key)))
+    return rows.select("s1", "keys").mapInArrow(lean(run), "bucket int, keys binary, docs binary")
 
 
-def stars(buckets: DataFrame) -> DataFrame:
-    """a, b, crowded: each member of a cell with its first one; crowded: the cell has more than two."""
+def anchored(buckets: DataFrame) -> DataFrame:
+    """anchor, s1: the members of each cell of two or more, with the cell's smallest."""
 
     def run(key, rows):
-        _, doc, _, starts, sizes = cells(rows)
-        size = np.repeat(sizes, sizes)
-        first = np.repeat(doc[starts], sizes)
-        pair = (size > 1) & (doc != first)
-        a, b, crowded = first[pair], doc[pair], size[pair] > 2
-        order = np.lexsort((~crowded, b, a))
-        a, b, crowded = a[order], b[order], crowded[order]
+        join = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+        cell, doc = join("keys", np.uint32), join("docs", np.int64)
+        order = np.lexsort((doc, cell))
+        cell, doc = cell[order], doc[order]
+        fresh = np.concatenate([[True], (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])])
+        cell, doc = cell[fresh], doc[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        sizes = np.diff(np.append(starts, len(cell)))
+        several = np.repeat(sizes, sizes) > 1
+        a, b = np.repeat(doc[starts], sizes)[several], doc[several]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
         fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
         give_back()
-        return pa.table([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(crowded[fresh])], names=["a", "b", "crowded"])
+        return pa.table([pa.array(a[fresh]), pa.array(b[fresh])], names=["anchor", "s1"])
 
-    return buckets.groupBy("bucket").applyInArrow(run, "a long, b long, crowded boolean").groupBy("a", "b").agg(F.max("crowded").alias("crowded"))
+    return buckets.groupBy("bucket").applyInArrow(run, "anchor long, s1 long")
 
 
-def mixed_cells(buckets: DataFrame) -> DataFrame:
-    """Members of cells that hold several components besides their first member's: cell, s1, component."""
+def anchored_hot(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for hot shingles, row by row: minima are summed up before the shuffle, so none of their cells meets in one task."""
 
-    def run(key, rows):
-        key_, doc, part, starts, sizes = cells(rows)
-        rest = np.ones(len(doc), bool)
-        rest[starts] = False
-        at = np.repeat(np.arange(len(starts)), sizes)
-        high, low = np.full(len(starts), np.iinfo(np.int64).min), np.full(len(starts), np.iinfo(np.int64).max)
-        np.maximum.at(high, at[rest], part[rest])
-        np.minimum.at(low, at[rest], part[rest])
-        keep = ((sizes > 2) & (high != low))[at] & rest  # the first member has been tried against all others
-        # Cells with the same members are searched once.
-        own = mixed(doc.astype(np.uint64))
-        own[~keep] = 0
-        sums = np.add.reduceat(own, starts) if len(starts) else np.zeros(0, np.uint64)
-        _, once = np.unique(np.column_stack([sums, sizes.astype(np.uint64)]), axis=0, return_index=True) if len(starts) else (None, np.zeros(0, int))
-        chosen = np.zeros(len(starts), bool)
-        chosen[once] = True
-        keep &= chosen[at]
-        cell = key_[keep].astype(np.int64) | (key[0].as_py() << 32)
-        return pa.table([pa.array(cell), pa.array(doc[keep]), pa.array(part[keep])], names=["cell", "s1", "component"])
-
-    return buckets.groupBy("bucket").applyInArrow(run, "cell long, s1 long, component long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(h, np.int64) for h in batch.column("hot").to_pylist()]
+            s1 = np.repeat(batch.column("s1").to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(s1)], names=["key", "s1"])
+
+    entries = scratch.keep(rows.where("hot IS NOT NULL").select("s1", "hot").mapInArrow(lean(run), "key long, s1 long"))
+    least = scratch.keep(entries.groupBy("key").agg(F.min("s1").alias("anchor"), F.max("s1").alias("last")).where("anchor <> last").select("key", "anchor"))
+    return entries.join(sent(least), "key").select("anchor", "s1")
 
 
 def sent(rows: DataFrame) -> DataFrame:
@@ -232,79 +219,124 @@ def sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_SENT else rows.hint("merge")
 
 
-def searched(members: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: pairs that the R-trees of the cells can't rule out. A large cell is searched in tiles and pairs of tiles.
+def with_sets(docs: DataFrame, known: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The classes ``known`` (s1, s2, rep and further columns) with body, the set as packed numbers. A class whose row is repeated can come twice."""
+    schema = T.StructType([f for f in known.schema.fields if f.name not in ("s1", "s2", "rep")] + [T.StructField("body", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)
+            # A repeated doc_id has other texts besides the one of the class.
+            own = pa.array([x.tobytes() if signature(x) == s else None for x, s in zip(sets(batch.column("body").to_pylist()), classes, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([own if c == "body" else batch.column(c) for c in schema.names], names=schema.names).filter(own.is_valid())
+
+    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("body"))
+    return texts.join(sent(known), "rep").mapInArrow(lean(run), schema)
+
+
+def possible(counts: list[bytes], n: np.ndarray, known: np.ndarray, tile: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect all sets which the R-tree can't keep apart, besides those known to be connected; of different tiles only, if given."""
+    fine = [np.frombuffer(zlib.decompress(c), np.uint8) for c in counts]
+    tree, out = RTree(np.stack([folded(c, LEAST_GROUPS) for c in fine]), n, known), []
+
+    def close(x: int, y: int) -> bool:
+        groups = min(len(fine[x]), len(fine[y]))
+        return groups == LEAST_GROUPS or bool(may_share(folded(fine[x], groups)[None], folded(fine[y], groups)[None], need(n[x], n[y]))[0])
+
+    for a, b in tree.join():
+        out += tree.tied(a, b, close, tile)
+    return out
+
+
+def verified(bodies: list[bytes], n: np.ndarray, known: np.ndarray, tile: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets, in the same way."""
+    own = [np.frombuffer(b, np.uint64) for b in bodies]
+    tree, out = RTree(points(own), n, known), []
+    for a, b in tree.join():
+        out += tree.tied(a, b, lambda x, y: linked(own[x], own[y]), tile)
+    return out
 
-    Near copies share many large cells; there a pair counts in the first of those that both are in. A document's cells are
-    at most as many as its signing shingles.
-    """
-    sized = scratch.keep(members.groupBy("cell").agg(F.count("*").alias("members")))
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    own = members.join(sent(sized), "cell").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("component"), F.col("tiles")).cast("int"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"))))
-    spread = own.withColumn("pair", pairs).select("cell", "pair.i", "pair.j", "s1", "component")
-    cells_of = own.where(F.col("members") >= LARGE).groupBy("s1").agg(F.collect_set("cell").alias("cells"))
-    met = spread.join(points.select("s1", "n", "counts"), "s1").join(cells_of, "s1", "left")
+
+def by_group(rows: pa.Table, *keys: str) -> Iterator[np.ndarray]:
+    """The places of the rows of each group, by cls, which comes once."""
+    columns = [rows.column(c).to_numpy() for c in (*keys, "cls")]
+    order = np.lexsort(columns[::-1])
+    same = [np.concatenate([[False], c[order][1:] == c[order][:-1]]) for c in columns]
+    again = np.logical_and.reduce(same[:-1])
+    starts = np.flatnonzero(~again)
+    for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
+        yield order[a:b][~(again & same[-1])[a:b]]
+
+
+def connected(groups: DataFrame, data: DataFrame, tie, scratch: Scratch) -> DataFrame:
+    """a, b: what connects the members of groups. ``groups``: anchor, cls, n (weight); ``data``: cls, size, body; ``tie``: as ``possible``."""
 
     def run(key, rows):
-        cell, listed = key[0].as_py(), rows.column("cells").combine_chunks()
-        ends, values = np.cumsum(pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)), listed.flatten().to_numpy(zero_copy_only=False)
-        cells_at = lambda x: values[ends[x - 1] if x else 0 : ends[x]]
-        large = len(ends) > 0 and cell in cells_at(0)
-        counts = unpacked(rows.column("counts").to_pylist())
-        s1 = rows.column("s1").to_numpy()
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in RTree(counts, rows.column("n").to_numpy(), rows.column("component").to_numpy()).join():
-            if large:
-                here = np.fromiter((np.intersect1d(cells_at(x), cells_at(y), assume_unique=True)[0] == cell for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
-                a, b = a[here], b[here]
-            left.append(np.minimum(s1[a], s1[b]))
-            right.append(np.maximum(s1[a], s1[b]))
-        found = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
-        if large:
-            give_back()
-        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    return met.groupBy("cell", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of pairs a, b of classes, those that are linked. ``classes``: s1, rep, n, counts; ``texts``: rep, body."""
-    tried = scratch.keep(pairs.select("a", "b"))
-    ends = scratch.keep(tried.select(F.col("a").alias("s1")).unionByName(tried.select(F.col("b").alias("s1"))).distinct())
-    known = classes.join(sent(ends), "s1", "left_semi")
-    side = lambda k: known.select(F.col("s1").alias(k), F.col("rep").alias(f"{k}_rep"), F.col("n").alias(f"{k}_n"), F.col("counts").alias(f"{k}_counts"))
-    sized = tried.join(side("a"), "a").join(side("b"), "b").where("4 * a_n >= 3 * b_n AND 4 * b_n >= 3 * a_n")
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (unpacked(batch.column(f"{k}_counts").to_pylist()) for k in "ab")
-            ok = may_share(x, y, need(batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()))
-            yield batch.filter(pa.array(ok)).select(["a", "b", "a_rep", "b_rep"])
-
-    kind = classes.schema["rep"].dataType.simpleString()
-    able = scratch.keep(sized.mapInArrow(lean(bounded), f"a long, b long, a_rep {kind}, b_rep {kind}"))
-    wanted = scratch.keep(able.select(F.col("a_rep").alias("rep")).unionByName(able.select(F.col("b_rep").alias("rep"))).distinct())
-    bodies = texts.join(sent(wanted), "rep", "left_semi")
-    one = able.join(bodies.select(F.col("rep").alias("b_rep"), F.col("body").alias("b_body")), "b_rep")
-    two = one.join(bodies.select(F.col("rep").alias("a_rep"), F.col("body").alias("a_body")), "a_rep")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, own, mark = None, None, None
-        for batch in batches:
-            rows = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("a_body").to_pylist(), sets(batch.column("b_body").to_pylist()), strict=True)
-            out = []
-            for a, b, body, theirs in rows:
-                if body != before:
-                    own = next(iter(sets([body])))
-                    before, mark = body, signature(own)[0]
-                # A repeated doc_id has other texts besides the one of the class.
-                if mark == a and signature(theirs)[0] == b and linked(own, theirs):
-                    out.append((a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+        at = {c: rows.column(c).to_numpy() for c in ("i", "j", "cls", "part", "tile", "size")}
+        bodies = rows.column("body").combine_chunks()
+        left, right = [], []
+        for own in by_group(rows, "anchor", "i", "j"):
+            if len(own) > 1:
+                across = at["tile"][own] if at["i"][own[0]] != at["j"][own[0]] else None
+                for x, y in tie([bodies[int(k)].as_buffer() for k in own], at["size"][own], at["part"][own], across):
+                    left.append(at["cls"][own[x]])
+                    right.append(at["cls"][own[y]])
+        give_back()
+        return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    def found(entries: DataFrame) -> DataFrame:
+        return scratch.keep(data.join(sent(scratch.keep(entries)), "cls").groupBy("pack").applyInArrow(run, "a long, b long"), BATCH)
+
+    sums = groups.groupBy("anchor").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.min("cls").alias("first"))
+    tiles = F.ceil(F.greatest(F.col("members") / TILE, F.col("weight") / WEIGHT)).cast("int")
+    large = scratch.keep(sums.withColumn("tiles", tiles).where("tiles > 1").select("anchor", "first", "tiles"))
+    packs = max(1, -(-(groups.agg(F.sum("n")).first()[0] or 0) // PACK))
+    spread = groups.join(sent(large), "anchor", "left").withColumn("tile", F.when(F.col("tiles").isNotNull(), F.pmod(F.xxhash64("cls"), F.col("tiles"))).otherwise(0).cast("int"))
+    pack = F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(packs))).otherwise(F.xxhash64("anchor", "i", "j"))
+    entry = [pack.alias("pack"), "anchor", "i", "j", "tile", "part", "cls"]
+    # The first member comes into every tile, and so holds them together.
+    everywhere = F.when(F.col("cls") == F.col("first"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
+    links = found(spread.withColumn("i", F.explode(everywhere)).withColumn("j", F.col("i")).withColumn("part", F.col("cls")).select(*entry))
+    if large.isEmpty():
+        return links
+    by_now = components(links, scratch).withColumnRenamed("node", "cls")
+    named = scratch.keep(spread.where("tiles IS NOT NULL").join(by_now, "cls", "left").withColumn("part", F.coalesce("component", "cls")).select("anchor", "cls", "tiles", "tile", "part"))
+    several = named.groupBy("anchor").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("anchor")
+    across = named.join(several, "anchor").withColumn("pair", F.explode(tile_pairs())).select("*", "pair.i", "pair.j").where("i <> j")
+    return links.unionByName(found(across.select(*entry)))
+
+
+def tile_pairs():
+    """The pairs of tiles that a tile is in."""
+    return F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
+
+
+def settled(met: DataFrame, count_links: bool) -> DataFrame:
+    """cls, component, links (rows of other classes) of parts that a task holds whole. ``met``: pack, part, cls, n, copies, body."""
 
-    return scratch.keep(two.select("a", "b", "a_body", "b_body").mapInArrow(lean(exact), "a long, b long"))
+    def run(key, rows):
+        cls, n, copies = (rows.column(c).to_numpy() for c in ("cls", "n", "copies"))
+        bodies = rows.column("body").combine_chunks()
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+        for own in by_group(rows, "part"):
+            if len(own) < 2:
+                continue
+            packed = [bodies[int(k)].as_buffer() for k in own]
+            ties = verified(packed, n[own], np.arange(len(own)))
+            if not ties:
+                continue
+            nodes, label = labels(*np.array(ties).T)
+            for root in np.unique(label):
+                some = nodes[label == root]
+                links = np.zeros(len(some), np.int64)
+                if count_links:
+                    members = [np.frombuffer(packed[k], np.uint64) for k in some]
+                    links = neighbours(members, members, copies[own[some]])[0] - copies[own[some]]
+                out.append((cls[own[some]], np.full(len(some), cls[own[some]].min()), links))
+        give_back()
+        return pa.table([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(3)], names=["cls", "component", "links"])
+
+    return met.groupBy("pack").applyInArrow(run, "cls long, component long, links long")
 
 
 def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -345,99 +377,139 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def link_counts(named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """s1, s2, links: for classes with links the rows of other classes that each of their rows is linked with.
+def neighbours(left: list[np.ndarray], right: list[np.ndarray], right_weight: np.ndarray, left_weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """For each set of one side the weight of the sets of the other that it is linked with; of both sides, if both have weights."""
+    both = shared(left, right)
+    m, n = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    own, theirs = np.zeros(len(left), np.int64), None if left_weight is None else np.zeros(len(right), np.int64)
+    for k in range(0, len(left), 256):
+        link = both[k : k + 256] >= need(m[k : k + 256, None], n[None, :])
+        own[k : k + 256] = link @ right_weight
+        if theirs is not None:
+            theirs += left_weight[k : k + 256] @ link
+    return own, theirs
 
-    ``named``: s1, s2, part (component), rep, copies (rows); ``texts``: rep, body.
-    """
-    sized = scratch.keep(named.groupBy("part").agg(F.count("*").alias("members")).where("members > 1"))
-    tiles = F.greatest(F.ceil(F.col("members") / TILE), F.least(F.lit(FEW_TILES), F.ceil(F.col("members") / LEAST_TILE))).cast("int")
-    own = named.select("s1", "s2", "part", "rep", "copies").join(sent(sized), "part").withColumn("tiles", tiles)
-    own = scratch.keep(own.withColumn("tile", F.pmod(F.xxhash64("s1", "s2"), F.col("tiles")).cast("int")).drop("members"))
-    # A repeated doc_id has other texts besides the one of the class; they are told apart below.
-    bodies = texts.join(sent(own), "rep")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"))))
-    spread = bodies.withColumn("pair", pairs).select("part", "pair.i", "pair.j", "tile", "s1", "s2", "copies", "body")
+
+def link_counts(named: DataFrame, held: DataFrame) -> DataFrame:
+    """cls, links: as in ``settled``, tile by tile. ``named``: cls, component, copies, weight (of the component), members; ``held``: cls, body."""
+    tiles = F.ceil(F.greatest(F.col("members") / TILE, F.col("weight") / WEIGHT)).cast("int")
+    own = named.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    spread = own.withColumn("pair", F.explode(tile_pairs())).select("component", "pair.i", "pair.j", "tile", "cls", "copies")
 
     def run(key, rows):
-        i, j = key[1].as_py(), key[2].as_py()
-        classes = list(zip(rows.column("s1").to_pylist(), rows.column("s2").to_pylist(), strict=True))
-        copies, tile = rows.column("copies").to_numpy(), rows.column("tile").to_numpy()
-        held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
-        for k, x in enumerate(sets(rows.column("body").to_pylist())):
-            if signature(x) == classes[k]:
-                held.setdefault(classes[k], (k, x))
-        sides = [[v for v in held.values() if tile[v[0]] == t] for t in (i, j)]
-        sums: list[tuple[int, int]] = []
-        if all(sides):
-            places = [np.array([k for k, _ in side]) for side in sides]
-            sizes = [np.array([len(x) for _, x in side]) for side in sides]
-            link = shared(*([x for _, x in side] for side in sides)) >= need(sizes[0][:, None], sizes[1][None, :])
-            if i == j:
-                np.fill_diagonal(link, False)
-            else:
-                sums += zip(places[1].tolist(), (copies[places[0]] @ link).tolist(), strict=True)
-            sums += zip(places[0].tolist(), (link @ copies[places[1]]).tolist(), strict=True)
-        if len(held) >= LEAST_TILE:
-            give_back()
-        sums = [(k, n) for k, n in sums if n]
-        return pa.table([pa.array([classes[k][c] for k, _ in sums], pa.int64()) for c in range(2)] + [pa.array([n for _, n in sums], pa.int64())], names=["s1", "s2", "links"])
-
-    return spread.groupBy("part", "i", "j").applyInArrow(run, "s1 long, s2 long, links long").groupBy("s1", "s2").agg(F.sum("links").alias("links"))
-
-
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id and, if wanted, n_links (other rows that the row is linked with) for each row."""
+        i, j, tile, cls, copies = (rows.column(c).to_numpy() for c in ("i", "j", "tile", "cls", "copies"))
+        bodies = rows.column("body").combine_chunks()
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in by_group(rows, "component", "i", "j"):
+            one, two = (at[tile[at] == t[at[0]]] for t in (i, j))
+            if len(one) and len(two):
+                alone = i[at[0]] == j[at[0]]
+                sides = [[np.frombuffer(bodies[int(k)].as_buffer(), np.uint64) for k in side] for side in (one, two)]
+                own, theirs = neighbours(*sides, copies[two], None if alone else copies[one])
+                out.append((cls[one], own - copies[one] if alone else own))
+                if not alone:
+                    out.append((cls[two], theirs))
+        give_back()
+        return pa.table([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(2)], names=["cls", "links"])
+
+    return held.join(sent(spread), "cls").groupBy("component", "i", "j").applyInArrow(run, "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+
+
+def classified(docs: DataFrame, doc_id: str, text: str, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, s1, s2) and classes (s1, s2, component_id, first: of its component?, n_links if wanted)."""
     spark = docs.sparkSession
-    small_batches(spark, BATCH)
     scratch, kept = Scratch(spark), Scratch(spark)
     # The sketch is SLOTS bytes, whatever the input.
-    rare = spark.sparkContext.broadcast(sketch(docs, text))
-    rows = kept.keep(described(docs, rare, doc_id, text))
-    usable = rows.where("n > 0 AND doc_id IS NOT NULL")
-    total = usable.agg(F.sum(F.length("keys"))).first()[0] or 0
-    buckets = max(24, -(-total // (8 * BUCKET)))
-    classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.count("*").alias("copies"))
-    classes = scratch.keep(classes)
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("body"))
+    with batches_of(spark, BATCH):
+        common = sketch(docs, text)
+    rare = spark.sparkContext.broadcast(common)
+    full = scratch.keep(described(docs, rare, hot_class(common), doc_id, text), BATCH)
+    del common
+    rare.destroy()
+    rows = kept.keep(full.select("doc_id", "n", "s1", "s2"))
+    usable = full.where("n > 0 AND doc_id IS NOT NULL")
+    alike = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.count("*").alias("copies"))
+    every = scratch.keep(alike.withColumn("cls", F.monotonically_increasing_id()))
+
+    sums = usable.agg(F.sum(F.length("keys")).alias("keys"), F.count("hot").alias("hot")).first()
+    buckets = max(24, -(-(sums["keys"] or 0) // (8 * BUCKET)))
+    pairs = anchored(dealt(usable, buckets))
+    if sums["hot"]:
+        pairs = pairs.unionByName(anchored_hot(usable, scratch))
+    pairs = scratch.keep(pairs.distinct())
+    scratch.drop(full)
+    # s1 stands for all classes that share it, if any do; they come into the same groups.
+    known = scratch.keep(every.join(sent(scratch.keep(pairs.select("s1").distinct())), "s1"))
+    groups = scratch.keep(pairs.join(sent(known.select("s1", "cls")), "s1").select("anchor", "cls", F.lit(POINT).alias("n")))
+    near = components(connected(groups, known.select("cls", F.col("n").alias("size"), F.col("counts").alias("body")), possible, scratch), scratch)
+    classes = kept.keep(every.select("s1", "s2", "cls", "rep", "copies"))
+
+    parts = scratch.keep(known.drop("counts").join(sent(near.withColumnRenamed("node", "cls").withColumnRenamed("component", "part")), "cls"))
+    sizes = scratch.keep(parts.groupBy("part").agg(F.count("*").alias("members"), F.sum("n").alias("weight")))
+    whole = (F.col("members") <= TILE) & (F.col("weight") <= WEIGHT)
+    packs = max(1, -(-(sizes.where(whole).agg(F.sum("weight")).first()[0] or 0) // PACK))
+    large = scratch.keep(sizes.where(~whole).select("part"))
+    some = not large.isEmpty()
+    small = scratch.keep((parts.join(sent(large), "part", "left_anti") if some else parts).withColumn("pack", F.pmod(F.xxhash64("part"), F.lit(packs))))
+    judged = scratch.keep(settled(with_sets(docs, small, doc_id, text), count_links), BATCH)
+    if some:
+        rest = scratch.keep(parts.join(sent(large), "part"))
+        held = scratch.keep(with_sets(docs, rest.select("cls", "s1", "s2", "rep", F.col("n").alias("size")), doc_id, text), BATCH)
+        found = components(connected(rest.select(F.col("part").alias("anchor"), "cls", "n"), held, verified, scratch), scratch).withColumnRenamed("node", "cls")
+        named = scratch.keep(rest.join(sent(found), "cls"))
+        if count_links:
+            totals = named.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
+            listed = scratch.keep(named.join(totals, "component").select("cls", "component", "copies", "members", "weight"))
+            named = named.join(link_counts(listed, held.select("cls", "body")), "cls", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        else:
+            named = named.withColumn("links", F.lit(0).cast("long"))
+        judged = judged.unionByName(scratch.keep(named.select("cls", "component", "links"), BATCH))
 
-    pairs = scratch.keep(stars(dealt(usable, buckets)))
-    best = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = verified(best, classes, texts, scratch)
-    found = components(links, scratch)
-    label = lambda k: found.select(F.col("node").alias(k), F.col("component").alias(f"{k}_part"))
-    apart = lambda p: p.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
-    links = links.unionByName(verified(apart(pairs.join(best, ["a", "b"], "left_anti")), classes, texts, scratch))
-    found = components(links, scratch)
-
-    # A cell can be mixed only if the partners of its first member, over all cells, are in several components.
-    star = pairs.where("crowded").select("a", "b").join(label("b"), "b", "left").select("a", "b", F.coalesce("b_part", "b").alias("part"))
-    several = star.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("a")
-    star = star.join(several, "a")
-    crowd = star.select(F.col("a").alias("s1")).unionByName(star.select(F.col("b").alias("s1"))).distinct()
-    crowd = scratch.keep(crowd.join(label("s1"), "s1", "left").select("s1", F.coalesce("s1_part", "s1").alias("part")))
-    again = usable.select("s1", "keys").join(sent(crowd), "s1")
-    members = scratch.keep(mixed_cells(dealt(again, buckets, "part")))
-    if not members.isEmpty():
-        here = scratch.keep(members.select("s1").distinct())
-        more = searched(members, classes.join(sent(here), "s1", "left_semi"), scratch).join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(verified(more, classes, texts, scratch))
-        found = components(links, scratch)
-
-    # Classes that share s1, if ever, are told apart by their texts in ``verified`` only up to that number.
-    named = classes.join(found.withColumnRenamed("node", "s1"), "s1", "left").withColumn("part", F.coalesce("component", "s1"))
-    named = kept.keep(named.select("s1", "s2", "part", "rep", "copies"))
+    reps = classes.join(sent(judged), "cls")
+    least = reps.groupBy("component").agg(F.min(F.struct("rep", "cls")).alias("least"))
+    joined = kept.keep(reps.join(least, "component").select("cls", F.col("least.rep").alias("component_id"), (F.col("least.cls") == F.col("cls")).alias("first"), "links"))
     scratch.drop()
-    smallest = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    result = named.join(smallest, "part").select("s1", "s2", "component_id", "copies")
-    if count_links:
-        result = result.join(link_counts(named, texts, kept), ["s1", "s2"], "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
-    result = kept.keep(result.drop("copies", "links"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(result, ["s1", "s2"], "left")
-    known = F.col("doc_id").isNotNull()
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    links_of = [F.when(known & F.col("n_links").isNotNull(), F.col("n_links")).otherwise(0).alias("n_links")] if count_links else []
-    return out.select("doc_id", "n_shingles", F.when(known, own).alias("component_id"), *links_of)
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    return rows, classes.join(sent(joined), "cls", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"), links)
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (other rows that the row is linked with) for each row."""
+    rows, classes = classified(docs, doc_id, text, count_links=True)
+    out = rows.join(classes, ["s1", "s2"], "left")
+    some = F.col("doc_id").isNotNull()
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    links = F.when(some & F.col("n_links").isNotNull(), F.col("n_links")).otherwise(0)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, own).alias("component_id"), links.alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that are linked with one that stays: of each component a row of its smallest doc_id.
+
+    Rows without words or without a doc_id stay. Whole texts are moved only for a doc_id that several rows share.
+    """
+    kept = Scratch(docs.sparkSession)
+    rows, classes = classified(docs, doc_id, text, count_links=False)
+    judged = rows.where("doc_id IS NOT NULL").join(classes, ["s1", "s2"], "left")
+    stays = (F.col("n") == 0) | (F.col("first") & (F.col("doc_id") == F.col("component_id")))
+    by_id = judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(stays).alias("stay"))
+    gone = kept.keep(by_id.where("stay = 0 OR rows > 1").select(F.col("doc_id").alias(doc_id), (F.col("rows") > 1).alias("repeated_")))
+    left = docs.join(sent(gone.select(doc_id)), doc_id, "left_anti").select(*docs.columns)
+    again = gone.where("repeated_").select(doc_id)
+    if again.isEmpty():
+        return left
+    one, two, size, place = (unused(c, docs) for c in ("one", "two", "size", "place"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(one, T.LongType()), T.StructField(two, T.LongType())])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [signature(x) for x in sets(batch.column(text).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[k] for m in marks], pa.int64()) for k in range(2))], names=schema.names)
+
+    own = kept.keep(docs.join(sent(again), doc_id, "left_semi").select(*docs.columns).mapInArrow(lean(signed), schema), BATCH)
+    chosen = judged.where(stays).select(F.col("doc_id").alias(doc_id), F.col("s1").alias(one), F.col("s2").alias(two), F.col("n").alias(size)).distinct()
+    in_order = F.row_number().over(Window.partitionBy(doc_id, one, two).orderBy(text, *[c for c in docs.columns if c not in (doc_id, text)]))
+    return left.unionByName(own.join(chosen, [doc_id, one, two]).withColumn(place, in_order).where((F.col(place) == 1) | (F.col(size) == 0)).select(*docs.columns))
 
 
 def op6_jaccard(spark, sf_dir):

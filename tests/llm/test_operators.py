@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from groundspark.llm import ann, bpe, chat, extract, jaccard, mixing, pii, quality, topk, trees, warc
 from groundspark.llm.common import Scratch
 from groundspark.llm.dom import Page
+from groundspark.llm import graph
 from groundspark.llm.graph import components
-from groundspark.llm.rtree import RTree, point
+from groundspark.llm.rtree import RTree, points
 from groundspark.llm.shingles import linked, need, sets
 
 DOCS = "doc_id long, text string"
@@ -317,15 +318,33 @@ def near_copies(n=260, seed=5):
     return out
 
 
-def test_join_equals_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"TILE": 6}, {"WEIGHT": 200, "PACK": 100}, {"HOT": 4}, {"HOT": 4, "TILE": 6, "MOST_SENT": 0}])
+def test_join_equals_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
     texts = near_copies()
-    df = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc_id long, text string, n long")
+    words = [f"u{k}" for k in range(60)]
+    texts |= {1000 + k: " ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(60)}  # linked in chains or all together
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in texts.items()], "doc_id long, text string, n long, s1 string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()}
     assert got == brute_components(texts)
 
 
-def test_links_are_counted_exactly(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAST_TILE", 7)
+def test_one_row_of_each_component_stays(spark):
+    texts = near_copies(120, 9)
+    rows = [(i, t, "x") for i, t in texts.items()] + [(None, "a b", "x"), (None, "a b", "x"), (500, None, "x"), (500, None, "x"), (501, " ", "x")]
+    rows += [(600, "p q", "x"), (600, "p  q", "x"), (600, "r s", "y"), (601, "R S", "x"), (599, "r s", "z")]  # r s: 599 stays
+    df = spark.createDataFrame(rows, "doc_id long, text string, one string")
+    got = sorted(map(tuple, jaccard.one_of_each(df).collect()), key=repr)
+    own = brute_components(texts)
+    want = [(i, texts[i], "x") for i, (n, c) in own.items() if i == c or not n]
+    want += [(None, "a b", "x")] * 2 + [(500, None, "x")] * 2 + [(501, " ", "x"), (600, "p  q", "x"), (599, "r s", "z")]
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("tile", [9, jaccard.TILE])
+def test_links_are_counted_exactly(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
     monkeypatch.setattr(jaccard, "COLUMNS", 5)
     monkeypatch.setattr(jaccard, "LISTED", 50)
     texts = near_copies(220, 6)
@@ -371,9 +390,9 @@ def test_tree_join_finds_every_link():
     texts = near_copies(150, 8)
     own = list(sets(list(texts.values())))
     keep = [k for k, s in enumerate(own) if len(s)]
-    points, sizes = np.stack([point(own[k]) for k in keep]), np.array([len(own[k]) for k in keep])
+    sizes = np.array([len(own[k]) for k in keep])
     found = set()
-    for a, b in RTree(points, sizes, np.arange(len(keep))).join():
+    for a, b in RTree(points([own[k] for k in keep]), sizes, np.arange(len(keep))).join():
         found |= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
     for a, b in itertools.combinations(range(len(keep)), 2):
         if linked(own[keep[a]], own[keep[b]]):
@@ -381,7 +400,24 @@ def test_tree_join_finds_every_link():
     assert len(found) < len(keep) * (len(keep) - 1) / 4
 
 
-def test_components_of_long_chains(spark):
+def test_tree_passes_over_what_is_connected():
+    words = [f"v{k}" for k in range(200)]
+    own = list(sets([" ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(200)]))
+    sizes, tried = np.array(list(map(len, own))), 0
+    tree = RTree(points(own), sizes, np.arange(200))
+    for a, b in tree.join():
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if not tree.connected(x, y):
+                tried += 1
+                assert linked(own[x], own[y])
+                tree.connect(x, y)
+    assert tried == 199 and len(set(tree.label)) == 1
+    assert list(RTree(points(own), sizes, np.zeros(200, int)).join()) == []
+
+
+@pytest.mark.parametrize("together", [graph.TOGETHER, 0])
+def test_components_of_long_chains(spark, monkeypatch, together):
+    monkeypatch.setattr(graph, "TOGETHER", together)
     rows = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(rows, "a long, b long"), Scratch(spark)).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
