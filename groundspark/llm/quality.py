@@ -6,8 +6,9 @@ the rules under a lasso penalty, which leaves a few. The rules kept are compiled
 documents are scored inside the JVM in a single pass over the scan, without a shuffle.
 
 Contract: null and empty texts have statistics of 0 and get a score; null ids take part (their remainder counts as 0,
-so nothing is learnt from them); without labels of both classes the score is the share of good labels, or 1/2; repeated
-rows get equal scores; an empty table gives an empty one; further columns pass through ``score``.
+so nothing is learnt from them); without labels of both classes the score is the share of good labels, or 1/2; of several
+labels or texts of one id the smallest label and statistics are learnt from; repeated rows get equal scores; an empty table
+gives an empty one; further columns pass through ``score``, whatever their names, but for one named ``score``.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.llm import trees
-from groundspark.llm.common import give_back, table
+from groundspark.llm.common import give_back, table, unused
 
-#: Labelled rows that the model is fitted on, at most in expectation; the driver refuses more than twice as many.
+#: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
 CUT = 0.3
 MOST_RULES = 400
@@ -33,8 +34,8 @@ NAMES = (
 )
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_stats``, an array in the order of NAMES: ratios or logarithms, so that rules carry over to texts of any length.
+def with_statistics(df: DataFrame, text: str = "text", name: str = "_stats") -> DataFrame:
+    """Adds ``name``, an array in the order of NAMES: ratios or logarithms, so that rules carry over to texts of any length.
 
     What several statistics need comes first, as columns: the words, the lines and the odd characters, the rest of the text
     without its lower-case letters and white space, which is short in most texts and cheap to count in. The row number at
@@ -42,15 +43,16 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     array, where else it would put the statistics themselves into every rule and compute them again and again.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    chars_, odd_, echoed_, words_, lines_ = own = [unused(c, df) for c in ("_chars", "_odd", "_echoed", "_words", "_lines")]
     parts = df.withColumns({
-        "_chars": F.length(body),
-        "_odd": F.regexp_replace(body, r"[a-zß-öø-ÿ \n\t]+", ""),
-        "_echoed": F.length(F.regexp_replace(body, r"(?<![^ ])([^ ]++) (?=\1(?![^ ]))", "")),
-        "_words": F.split(body, " "),
-        "_lines": F.split(body, "\n"),
+        chars_: F.length(body),
+        odd_: F.regexp_replace(body, r"[a-zß-öø-ÿ \n\t]+", ""),
+        echoed_: F.length(F.regexp_replace(body, r"(?<![^ ])([^ ]++) (?=\1(?![^ ]))", "")),
+        words_: F.split(body, " "),
+        lines_: F.split(body, "\n"),
     })
-    chars, n_words, n_lines = F.greatest("_chars", F.lit(1)).cast("double"), F.size("_words"), F.size("_lines")
-    share = lambda odd: (F.length("_odd") - F.length(F.translate("_odd", odd, ""))) / chars
+    chars, n_words, n_lines = F.greatest(chars_, F.lit(1)).cast("double"), F.size(words_), F.size(lines_)
+    share = lambda odd: (F.length(odd_) - F.length(F.translate(odd_, odd, ""))) / chars
     made = {
         "symbols": share("*$%&#@^~"),
         "bars": share("|"),
@@ -60,15 +62,15 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "points": share(".,"),
         "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"),
         "spaces": (n_words + n_lines - 2) / chars,
-        "echoes": (F.col("_chars") - F.col("_echoed")) / chars,
-        "distinct": F.size(F.array_distinct("_words")) / n_words,
-        "distinct_lines": F.size(F.array_distinct("_lines")) / n_lines,
+        "echoes": (F.col(chars_) - F.col(echoed_)) / chars,
+        "distinct": F.size(F.array_distinct(words_)) / n_words,
+        "distinct_lines": F.size(F.array_distinct(lines_)) / n_lines,
         "line_words": F.log1p(n_words / n_lines),
         "words": F.log1p(n_words.cast("double")),
-        "word_chars": F.col("_chars") / n_words,
+        "word_chars": F.col(chars_) / n_words,
     }
     stats = F.transform(F.array(*[made[n].cast("double") for n in NAMES]), lambda x: F.round(x, 9))
-    return parts.withColumn("_stats", F.when(F.monotonically_increasing_id() >= 0, stats)).drop("_chars", "_odd", "_echoed", "_words", "_lines")
+    return parts.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, stats)).drop(*own)
 
 
 class Rule(NamedTuple):
@@ -174,11 +176,14 @@ def remainder(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labelled rows whose remainder isn't 0: ``labels``: doc_id, quality; ``docs``: doc_id, text."""
-    usable = labels.where(F.col("quality").isNotNull() & (remainder(F.col("doc_id")) != 0)).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = labels.where(F.col("quality").isNotNull() & (remainder(F.col("doc_id")) != 0))
+    usable = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = usable.count()
     scale = 1 << 30
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(scale)) < int(scale * min(1.0, sample / max(n, 1)))).limit(2 * sample)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).select("doc_id", "quality", "_stats").dropDuplicates(["doc_id"])
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(scale))
+    # About twice as many by hash, and of these the first ones: bounded, and the same rows whatever their order.
+    drawn = usable.where(place < int(scale * min(1.0, 2 * sample / max(n, 1)))).orderBy(place, "doc_id").limit(sample)
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).groupBy("doc_id", "quality").agg(F.min("_stats").alias("_stats"))
     got = rows.toPandas().sort_values("doc_id")
     x = np.array(got["_stats"].tolist(), np.float64).reshape(-1, len(NAMES))
     model = fit_arrays(x, got["quality"].to_numpy(np.float64))
@@ -188,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``score``: near 1 where a good label is likely."""
-    return with_statistics(docs, text).withColumn("score", model.expression()).drop("_stats")
+    stats = unused("_stats", docs)
+    return with_statistics(docs, text, stats).withColumn("score", model.expression(stats)).drop(stats)
 
 
 def op3_quality(spark, sf_dir):
