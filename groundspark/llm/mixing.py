@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundspark.llm.common import Scratch, table
+from groundspark.llm.common import Scratch, table, unused
 
 SECTIONS, PASSES = 32, 8
 BUCKET_DIGITS = 4
@@ -123,10 +123,11 @@ def counted(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
 
 def placed(docs: DataFrame, planned: DataFrame, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """A row for each block a document is in, with ``block`` and ``order_key``: its place in the block's permutation."""
-    own = planned.select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    times = F.col("_whole") + (order_key(F.col(doc_id), F.col("_whole")) <= F.col("_cut")).cast("int")
-    joined = docs.join(own, F.coalesce(F.col(source), F.lit("")) == F.col("_source")).withColumn("_times", times).where("_times > 0")
-    rows = joined.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_source", "_whole", "_cut", "_times")
+    source_, whole, cut, times_ = (unused(c, docs) for c in ("_source", "_whole", "_cut", "_times"))
+    own = planned.select(F.col("source").alias(source_), F.col("whole").alias(whole), F.col("cut").alias(cut))
+    times = F.col(whole) + (order_key(F.col(doc_id), F.col(whole)) <= F.col(cut)).cast("int")
+    joined = docs.join(own, F.coalesce(F.col(source), F.lit("")) == F.col(source_)).withColumn(times_, times).where(F.col(times_) > 0)
+    rows = joined.withColumn("block", F.explode(F.sequence(F.lit(0), F.col(times_) - 1))).drop(source_, whole, cut, times_)
     return rows.withColumn("order_key", order_key(F.col(doc_id), F.col("block")))
 
 
