@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample (SAMPLE rows); every row is indexed: it joins the
+Coarse centroids and residual codebooks are fitted on a bounded sample (SAMPLE rows, or IN_LIST for each of the lists, which
+follow the square root of the table up to MOST_LISTS: 4.2 million rows; beyond that lists grow); every row is indexed: it joins the
 list of its nearest centroid, and its residual, divided by the list's spread, is coded in PARTS bytes. A query visits
 the lists that can hold its neighbours: from the sizes, centres and spreads of all lists it estimates the score of the
 k-th neighbour and each list's yield above that score, and takes lists by falling yield until COVER of the expected
@@ -12,8 +13,8 @@ A list is split into blocks of about BLOCK rows by a hash, and the queries of a
 neither a hot list nor its queries meet in one task.
 
 Contract: vectors that are null, zero, of uncommon length, or hold null or non-finite components take no part. Ties go
-to the smaller id; rows with a query's id are not its candidates; repeated ids count once; an empty table gives an
-empty one; further columns are ignored.
+to the smaller id. Rows that share an id are candidates and queries each on its own, and only a query's own row is not its
+candidate; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +31,18 @@ from pyspark.sql.window import Window
 from groundspark.llm.common import Scratch, table
 from groundspark.llm.vectors import matrix, sound
 
-SAMPLE, MOST_LISTS, PARTS, CODES = 16_384, 1_024, 16, 256
+SAMPLE, MOST_LISTS, IN_LIST, PARTS, CODES = 16_384, 4_096, 16, 16, 256
 COVER, BLOCK, GROUP, NEAR = 0.985, 2_048, 2_048, 2.5
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
+    """The number of the nearest centre of each row, 2,048 rows at a time."""
+    half = 0.5 * (centres**2).sum(1)
+    return np.concatenate([np.zeros(0, np.int64), *((x[k : k + 2048] @ centres.T - half).argmax(1) for k in range(0, len(x), 2048))])
+
+
+def n_lists(n: int) -> int:
+    return int(max(1, min(MOST_LISTS, round(2 * n**0.5))))
 
 
 def kmeans(x: np.ndarray, k: int, steps: int, seed: int) -> np.ndarray:
@@ -73,7 +80,7 @@ class Index(NamedTuple):
 
 def fit(x: np.ndarray, n: int, seed: int = 5) -> Index:
     """From a sample; ``n``: rows to be indexed."""
-    lists = int(max(1, min(MOST_LISTS, round(2 * n**0.5), len(x) // 16 or 1)))
+    lists = min(n_lists(n), len(x) // IN_LIST or 1)
     centres = kmeans(x, lists, 12, seed)
     at = nearest(x, centres)
     norm = ((x - centres[at]) ** 2).sum(1)
@@ -118,17 +125,17 @@ def route(index: Index, sizes: np.ndarray, q: np.ndarray, k: int) -> tuple[list[
     return [np.unique(np.append(o[:m], c)) for o, m, c in zip(order, need, own, strict=True)], low
 
 
-def visit(index: Index, number: int, ids: np.ndarray, x: np.ndarray, places: np.ndarray, query_id: int, q: np.ndarray, own: np.ndarray, bar: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """One query in one block of a list: ids and exact scores, best first. ``ids`` ascend; ``own``: the query's tables;
+def visit(index: Index, number: int, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, places: np.ndarray, row: int, q: np.ndarray, own: np.ndarray, bar: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """One query in one block of a list: ids and exact scores, best first. ``ids`` ascend; ``row``: the query's; ``own``: its tables;
     ``places``: where in them each row's codes point, a row for each part."""
     rough = q @ index.centres[number] + index.spread[number] * own.take(places).sum(0)
-    rough = np.where(ids == query_id, -np.inf, rough)
+    other = rows != row
+    rough = np.where(other, rough, -np.inf)
     margin = NEAR * index.error * index.spread[number] * float(np.linalg.norm(q))
     near = rough >= bar - margin
     if near.sum() < k:
         near[np.lexsort((ids, -rough))[:k]] = True
-    near &= ids != query_id
-    at = np.flatnonzero(near)
+    at = np.flatnonzero(near & other)
     exact = (x[at] * q).sum(1)
     best = np.lexsort((ids[at], -exact))[:k]
     return ids[at[best]], exact[best]
@@ -138,10 +145,9 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
     """query_id, rank, vec_id, score. ``is_query``: over ``id``."""
     spark = df.sparkSession
     scratch = Scratch(spark)
-    rows, dim = sound(df, vec_id, vector, zero=False)
-    rows = scratch.keep(rows)
+    rows, dim = sound(df, vec_id, vector, False, scratch)
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()
+    sample = rows.orderBy(F.xxhash64("id"), "row").limit(max(SAMPLE, IN_LIST * n_lists(n))).toArrow()
     x = matrix(sample.column("vector"), dim) if n else np.zeros((1, dim))
     index = fit(x, n)
 
@@ -150,10 +156,10 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
             v = matrix(batch.column("vector"), dim)
             at = nearest(v, index.centres)
             codes = index.codes(index.residuals(v, at)) if len(v) else np.zeros((0, len(index.books)), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vector", "list", "code"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "vector")), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["row", "id", "vector", "list", "code"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    indexed = scratch.keep(rows.mapInArrow(assign, f"id long, vector {kind}, list int, code binary"))
+    indexed = scratch.keep(rows.mapInArrow(assign, f"row long, id long, vector {kind}, list int, code binary"))
     # One row for each list, and lists are at most MOST_LISTS.
     sizes = np.zeros(len(index.centres))
     for r in indexed.groupBy("list").count().collect():
@@ -167,14 +173,14 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
                 lists, bars = route(index, sizes, matrix(part.column("vector"), dim), k)
                 rep = np.repeat(np.arange(part.num_rows), [len(c) for c in lists])
                 where = pa.array(np.concatenate(lists).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rep)), part.column("vector").take(pa.array(rep)), where, pa.array(bars[rep])], names=["id", "vector", "list", "bar"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rep)) for c in ("row", "id", "vector")), where, pa.array(bars[rep])], names=["row", "id", "vector", "list", "bar"])
 
-    asked = scratch.keep(rows.where(is_query).mapInArrow(routed, f"id long, vector {kind}, list int, bar double"))
+    asked = scratch.keep(rows.where(is_query).mapInArrow(routed, f"row long, id long, vector {kind}, list int, bar double"))
     groups = np.ones(len(sizes), int)
     for r in asked.groupBy("list").count().collect():
         groups[r["list"]] = max(1, -(-r["count"] // GROUP))
     by_list = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("list") + 1)
-    spread = lambda values, salt: F.pmod(F.xxhash64("id", F.lit(salt)), by_list(values)).cast("int")
+    spread = lambda values, salt: F.pmod(F.xxhash64("row", F.lit(salt)), by_list(values)).cast("int")
     all_of = lambda values: F.explode(F.sequence(F.lit(0), by_list(values) - 1))
     held = indexed.withColumn("block", spread(blocks, 1)).withColumn("group", all_of(groups))
     come = asked.withColumn("group", spread(groups, 2)).withColumn("block", all_of(blocks))
@@ -182,23 +188,23 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
     def meet(key, mine: pa.Table, theirs: pa.Table) -> pa.Table:
         number = key[0].as_py()
         mine = mine.sort_by("id")
-        ids, v = mine.column("id").to_numpy(), matrix(mine.column("vector"), dim)
+        own_rows, ids, v = mine.column("row").to_numpy(), mine.column("id").to_numpy(), matrix(mine.column("vector"), dim)
         codes = np.frombuffer(b"".join(mine.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
         places = np.ascontiguousarray((codes + CODES * np.arange(codes.shape[1])).T)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if len(ids):
             for a in range(0, len(theirs), 256):
                 some = theirs.slice(a, 256)
                 asked = matrix(some.column("vector"), dim)
-                for i, q, own, bar in zip(some.column("id").to_numpy(), asked, index.tables(asked), some.column("bar").to_numpy(), strict=True):
-                    got, scores = visit(index, number, ids, v, places, int(i), q, own, float(bar), k)
-                    out.append((np.full(len(got), i), got, scores))
-        columns = [np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3)]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                for r, i, q, own, bar in zip(*(some.column(c).to_numpy() for c in ("row", "id")), asked, index.tables(asked), some.column("bar").to_numpy(), strict=True):
+                    got, scores = visit(index, number, own_rows, ids, v, places, int(r), q, own, float(bar), k)
+                    out.append((np.full(len(got), r), np.full(len(got), i), got, scores))
+        columns = [np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(4)]
+        return pa.table([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.float64())], names=["row", "query_id", "vec_id", "score"])
 
     keys = ("list", "block", "group")
-    found = held.groupBy(*keys).cogroup(come.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = held.groupBy(*keys).cogroup(come.groupBy(*keys)).applyInArrow(meet, "row long, query_id long, vec_id long, score double")
+    best = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

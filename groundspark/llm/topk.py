@@ -11,8 +11,8 @@ Arrow batches, so memory is bounded by one block. Each query brings a lower boun
 bounded sample, so blocks return few rows.
 
 Contract: vectors that are null, of uncommon length, or hold null or non-finite components take no part; zero vectors do.
-Ties go to the smaller id; rows with a query's id are not its candidates; repeated ids count once; fewer than k
-candidates give fewer rows; an empty table gives an empty one; further columns are ignored.
+Ties go to the smaller id. Rows that share an id are candidates and queries each on its own, and only a query's own row is
+not its candidate; fewer than k candidates give fewer rows; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,21 +34,21 @@ SCALE, STEP = 1024, 16
 LEAST, MOST = 2_048, 65_536
 #: Candidates that first bounds come from.
 SEEDS = 1_024
-FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+FOUND = T.StructType([T.StructField("row", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
 class Block:
-    """Candidates in vertical layout, by ascending id."""
+    """Candidates in vertical layout, by ascending id. ``rows`` are unique."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.columns = ids[order], np.ascontiguousarray(vectors[order].T)
+        self.rows, self.ids, self.columns = rows[order], ids[order], np.ascontiguousarray(vectors[order].T)
         self.mass = (self.columns**2).sum(0) if len(ids) else np.zeros(0)
 
-    def search(self, query_id: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best with a score of at least ``floor``, best first."""
+    def search(self, row: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best with a score of at least ``floor``, best first, without that row."""
         dims = np.argsort(-np.abs(q), kind="stable")
-        alive = np.flatnonzero(self.ids != query_id)
+        alive = np.flatnonzero(self.rows != row)
         sums, rest = np.zeros(len(alive)), self.mass[alive]
         left = float((q**2).sum())
         for at in range(0, len(q), STEP):
@@ -76,26 +76,23 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
     """query_id, rank, vec_id, score: the k candidates of the largest integer inner product. ``is_query``: over ``id``."""
     spark = df.sparkSession
     scratch = Scratch(spark)
-    rows, dim = sound(df, vec_id, vector, zero=True)
-    scaled = F.transform("vector", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-    rows = scratch.keep(rows.select("id", scaled.alias("vector")))
+    rows, dim = sound(df, vec_id, vector, True, scratch, lambda v: F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("double")))
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("id")).limit(SEEDS).toArrow()
-    seeds = Block(sample.column("id").to_numpy(), matrix(sample.column("vector"), dim))
+    sample = rows.orderBy(F.xxhash64("id"), "row").limit(SEEDS).toArrow()
+    seeds = Block(sample.column("row").to_numpy(), sample.column("id").to_numpy(), matrix(sample.column("vector"), dim))
     blocks = max(1, -(-n // int(min(MOST, max(LEAST, n // 64)))))
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vs = batch.column("id").to_numpy(), matrix(batch.column("vector"), dim)
             floors = []
-            for i, q in zip(ids, vs, strict=True):
+            for i, q in zip(batch.column("row").to_numpy(), matrix(batch.column("vector"), dim), strict=True):
                 found = seeds.search(int(i), q, k)[1]
                 floors.append(float(found[-1]) if len(found) == k else float("-inf"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(floors, pa.float64())], names=["id", "vector", "floor"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "vector")), pa.array(floors, pa.float64())], names=["row", "id", "vector", "floor"])
 
-    queries = rows.where(is_query).mapInArrow(bounds, "id long, vector array<double>, floor double")
+    queries = rows.where(is_query).mapInArrow(bounds, "row long, id long, vector array<double>, floor double")
     everywhere = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
-    dealt = rows.select("id", "vector", F.lit(None).cast("double").alias("floor"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"))
+    dealt = rows.select("row", "id", "vector", F.lit(None).cast("double").alias("floor"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"))
     met = dealt.unionByName(everywhere).repartition(blocks, "block").sortWithinPartitions("block", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,21 +107,21 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
                 if numbers[a] != at:
                     at, parts, block = numbers[a], [], None
                 own = batch.slice(a, b - a)
-                ids, vs = own.column("id").to_numpy(), matrix(own.column("vector"), dim)
+                row, ids, vs = own.column("row").to_numpy(), own.column("id").to_numpy(), matrix(own.column("vector"), dim)
                 if sides[a] == 0:
-                    parts.append((ids, vs))
+                    parts.append((row, ids, vs))
                     continue
                 if block is None:
-                    block = Block(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else Block(np.zeros(0, np.int64), np.zeros((0, dim)))
+                    block = Block(*(np.concatenate([p[j] for p in parts]) for j in range(3))) if parts else Block(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dim)))
                     parts = []
-                for i, q, floor in zip(ids, vs, own.column("floor").to_numpy(), strict=True):
-                    found, scores = block.search(int(i), q, k, float(floor))
-                    out.append((np.full(len(found), i), found, scores.astype(np.int64)))
+                for r, i, q, floor in zip(row, ids, vs, own.column("floor").to_numpy(), strict=True):
+                    found, scores = block.search(int(r), q, k, float(floor))
+                    out.append((np.full(len(found), r), np.full(len(found), i), found, scores.astype(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out]), pa.int64()) for j in range(3)], names=FOUND.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out]), pa.int64()) for j in range(4)], names=FOUND.names)
 
     found = met.mapInArrow(run, FOUND)
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

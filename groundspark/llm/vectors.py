@@ -7,23 +7,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundspark.llm.common import Scratch
 
-def sound(df: DataFrame, vec_id: str, vector: str, zero: bool) -> tuple[DataFrame, int]:
-    """The rows that take part as (id, vector), and the dimension.
 
-    Vectors that are null, hold null or non-finite components, are zero (unless ``zero``) or aren't of the commonest
-    length, and rows without an id take no part. Rows that repeat an id count once, with the smallest vector.
+def sound(df: DataFrame, vec_id: str, vector: str, zero: bool, scratch: Scratch, scaled=None) -> tuple[DataFrame, int]:
+    """The rows that take part as a written table (row, id, vector), and the dimension. ``scaled``: what becomes of a vector.
+
+    Vectors that are null, empty, hold null or non-finite components, are zero (unless ``zero``), and rows without an id take
+    no part, nor do those of another length than the commonest one of the rest. ``row`` tells rows that share an id apart.
     """
     v = F.col(vector)
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     good = v.isNotNull() & F.col(vec_id).isNotNull() & (F.size(v) > 0) & whole
     if not zero:
         good &= F.exists(v, lambda x: x != 0)
-    rows = df.where(good).select(F.col(vec_id).cast("long").alias("id"), v.alias("vector"))
-    lengths = df.select(F.size(vector).alias("n")).where("n > 0").groupBy("n").count()
-    common = lengths.orderBy(F.desc("count"), F.desc("n")).first()
+    numbered = df.where(good).select(F.col(vec_id).cast("long").alias("id"), (scaled(v) if scaled else v).alias("vector"))
+    rows = scratch.keep(numbered.select(F.monotonically_increasing_id().alias("row"), "id", "vector"))
+    common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     dim = int(common["n"]) if common else 1
-    return rows.where(F.size("vector") == dim).groupBy("id").agg(F.min("vector").alias("vector")), dim
+    return rows.where(F.size("vector") == dim), dim
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
