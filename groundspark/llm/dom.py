@@ -84,6 +84,7 @@ class Page:
         at, head = 0, False
         unseen: list[str] = []
         among = Counter()
+        last_end: dict[str, int] = {}
         while at < len(source):
             m = MARKUP.search(source, at)
             start = m.start() if m else len(source)
@@ -132,8 +133,11 @@ class Page:
                 continue
             if name in UNSEEN:
                 head &= name in HEAD
-                unseen.append(name)
-                among[name] += 1
+                if name not in last_end:
+                    last_end[name] = max((e.start() for e in re.finditer(rf"</{name}(?=[\s/>])", source, re.I)), default=-1)
+                if last_end[name] >= at or name == "svg":  # one that is never closed hides nothing, but for a drawing up to the next text element
+                    unseen.append(name)
+                    among[name] += 1
                 continue
             if name == "body":
                 unseen.clear()
