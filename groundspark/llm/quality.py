@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from groundspark.llm import trees
 from groundspark.llm.common import give_back, table, unused
+from groundspark.llm.vectors import matrix
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -85,15 +86,21 @@ class Model(NamedTuple):
     rules: tuple[Rule, ...]
 
     def expression(self, stats: str = "_stats") -> Column:
-        """The score between 0 and 1 as a column; thresholds are the same doubles as in the fit."""
+        """The score between 0 and 1 as a column; thresholds are the same doubles as in the fit.
+
+        The weights are added up in pairs, and these in pairs: the code of a sum holds that of its terms, so a chain of sums
+        would write the first ones out again for each of the others.
+        """
 
         def holds(c: tuple[int, bool, float]) -> Column:
             value = F.col(stats)[c[0]]
             return value > F.lit(c[2]) if c[1] else value <= F.lit(c[2])
 
         terms = [F.when(reduce(lambda a, b: a & b, map(holds, r.conditions)), F.lit(r.weight)).otherwise(F.lit(0.0)) for r in self.rules]
-        z = reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        terms = [F.lit(self.intercept), *terms]
+        while len(terms) > 1:
+            terms = [reduce(lambda a, b: a + b, terms[k : k + 2]) for k in range(0, len(terms), 2)]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The same in numpy."""
@@ -184,9 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # About twice as many by hash, and of these the first ones: bounded, and the same rows whatever their order.
     drawn = usable.where(place < int(scale * min(1.0, 2 * sample / max(n, 1)))).orderBy(place, "doc_id").limit(sample)
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).groupBy("doc_id", "quality").agg(F.min("_stats").alias("_stats"))
-    got = rows.toPandas().sort_values("doc_id")
-    x = np.array(got["_stats"].tolist(), np.float64).reshape(-1, len(NAMES))
-    model = fit_arrays(x, got["quality"].to_numpy(np.float64))
+    got = rows.toArrow().sort_by("doc_id")
+    x = matrix(got.column("_stats"), len(NAMES))
+    model = fit_arrays(x, got.column("quality").to_numpy().astype(np.float64))
     give_back()
     return model
 
