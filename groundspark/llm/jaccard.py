@@ -51,11 +51,11 @@ HOT = 65_536
 #: Signing shingles in a bucket of cells, on average, and those that a task holds before it passes them on.
 BUCKET, HELD = 400_000, 400_000
 #: Members of a tile, shingles of a tile, and shingles of the groups or parts that are searched together; a point weighs as POINT shingles.
-TILE, WEIGHT, PACK, POINT = 2_048, 4_000_000, 2_000_000, 64
+TILE, WEIGHT, PACK, POINT = 2_048, 4_000_000, 2_000_000, 256
 #: Columns of an incidence matrix that are multiplied at once; pairs of members that are listed at once.
 COLUMNS, LISTED = 2_048, 1 << 21
 #: Rows of ids that are broadcast to a larger side, at most.
-MOST_SENT = 1_000_000
+MOST_SENT = 300_000
 #: Texts in a batch.
 BATCH = 128
 
