@@ -271,15 +271,17 @@ def _replaced(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
-def _with(batch: pa.RecordBatch, schema: T.StructType, name: str, values: pa.Array) -> pa.RecordBatch:
-    columns = {f: batch.column(f) for f in batch.schema.names if f != name} | {name: values}
+def _with(batch: pa.RecordBatch, schema: T.StructType, made: dict[str, pa.Array]) -> pa.RecordBatch:
+    columns = {f: batch.column(f) for f in batch.schema.names} | made
     return pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=schema.names)
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the token ids of a text column as ``array<int>``."""
+def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds the token ids of a text column as ``array<int>`` and, if named, the text that ``decode`` makes of them, in one pass."""
     small_batches(df.sparkSession)
     schema = _replaced(df, ids, T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = T.StructType([f for f in schema.fields if f.name != decoded] + [T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
@@ -291,8 +293,10 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
             for batch in held:
                 mine = list(itertools.islice(packed, batch.num_rows))
                 offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in mine])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(mine), np.int32))
-                yield _with(batch, schema, ids, pa.ListArray.from_arrays(pa.array(offsets), values))
+                made = {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(mine), np.int32)))}
+                if decoded:
+                    made[decoded] = pa.array([decode_ids(np.frombuffer(p, np.int32), vocabulary) for p in mine], pa.string())
+                yield _with(batch, schema, made)
 
         for batch in batches:
             held.append(batch)
@@ -317,7 +321,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
             values = column.values.fill_null(-1).to_numpy(zero_copy_only=False) if len(column) else np.empty(0, np.int32)
             offsets = column.offsets.to_numpy()
             out = [decode_ids(values[a:b], vocabulary) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield _with(batch, schema, text, pa.array(out, pa.string()))
+            yield _with(batch, schema, {text: pa.array(out, pa.string())})
 
     return df.mapInArrow(lean(run), schema)
 
@@ -334,7 +338,7 @@ def op1_bpe(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = default_vocabulary()
-    coded = decode(encode(docs, path).drop("text"), path)
+    coded = encode(docs, path, decoded="decoded").drop("text")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
