@@ -44,6 +44,8 @@ def test_bpe_equals_the_library(spark):
         assert got[i].ids == e.ids, repr(texts[i])
         assert got[i].decoded == reference.decode(e.ids, skip_special_tokens=False)
     assert got[-1].ids == [] and got[-1].decoded == "" and got[-1].other == "kept"
+    both = bpe.encode(df.withColumn("decoded", F.lit(7)), path, decoded="decoded").collect()
+    assert {r.doc_id: (r.ids, r.decoded, r.other) for r in both} == {i: (r.ids, r.decoded, r.other) for i, r in got.items()}
     assert bpe.encode(df.limit(0), path).count() == 0
 
 
@@ -115,6 +117,17 @@ def test_ann_copies_and_few_rows(spark):
     assert ann.search(vectors(spark, clustered(3)).limit(0), F.col("id") == 0, 5).count() == 0
 
 
+@pytest.mark.parametrize("search", [ann.search, topk.search])
+def test_every_row_but_the_querys_own_is_a_candidate(spark, search):
+    # The rows that take no part have no say in the dimension; two rows share the id 1.
+    rows = [(0, [1.0, 0.5]), (1, [0.5, 0.25]), (1, [4.0, 4.0]), (2, [1.0, 0.0])] + [(k, [None, 1.0, 2.0]) for k in range(10, 15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = [(r.query_id, r["rank"], r.vec_id) for r in search(df, F.col("id") < 2, 5).orderBy("query_id", "rank", "vec_id").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 1)] + [(1, 1, 0), (1, 1, 1), (1, 2, 0), (1, 2, 2), (1, 3, 1), (1, 3, 2)]
+    tied = spark.createDataFrame([(k, [1.0, 1.0]) for k in (5, 3, 9, 3)], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in search(tied, F.col("id") == 9, 2).orderBy("rank").collect()] == [3, 3]
+
+
 def test_topk_is_exact(spark):
     x = clustered(700) * 3
     zero = [(5020, [0.0] * 16, 0)]
@@ -135,7 +148,7 @@ def test_block_bounds_lose_nothing():
     rng = np.random.default_rng(0)
     for scale in (3, 1000):
         v = rng.integers(-scale, scale, (400, 40)).astype(np.float64)
-        block = topk.Block(np.arange(400), v)
+        block = topk.Block(np.arange(400), np.arange(400), v)
         for q in range(0, 400, 40):
             s = v @ v[q]
             s[q] = -np.inf
@@ -165,6 +178,18 @@ def test_rules_equal_their_column_expression(spark):
     assert quality.fit(docs, labels.limit(0)).rules == () and quality.score(docs.limit(0), model).count() == 0
 
 
+def test_fit_depends_on_no_order_and_passes_columns(spark):
+    rows = [(i % 120, ("good words here " if i % 3 else "bad*** $$$ ") * (1 + i % 7)) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i % 120, int(i % 3 > 0)) for i in range(250)], "doc_id long, quality int")
+    one = quality.fit(docs, labels, 60)
+    assert one.rules and one == quality.fit(docs.orderBy(F.rand(3)).repartition(3), labels.orderBy(F.rand(4)).repartition(2), 60)
+    mine = docs.select("*", *[F.lit(c).alias(c) for c in ("_chars", "_odd", "_echoed", "_words", "_lines", "_stats")])
+    got = quality.score(mine, one)
+    assert got.columns == [*mine.columns, "score"] and got.where("_words <> '_words' OR _stats <> '_stats'").isEmpty()
+    assert sorted(r.score for r in got.collect()) == sorted(r.score for r in quality.score(docs, one).collect())
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], DOCS)
     held = docs.select("doc_id", (quality.remainder(F.col("doc_id")) == 0).alias("h")).where("h").select("doc_id", F.lit(0).alias("quality"))
@@ -204,6 +229,9 @@ def test_extraction_edges(spark):
     ("<p>one <math/>two <svg><title/><path d='x'/></svg>three", "one two three"),
     ("<p>one<svg width=1><path d='x'/><p>two", "one\n\ntwo"),
     ("<p>one<svg><text>no</text></object>no</svg><p>two", "one\n\ntwo"),
+    ("<article><h1>a</h1><p>one</p><svg width='1'/><p>two</p></article>", "a\n\none\n\ntwo"),
+    ("<p>one<object data=x><p>two<audio src=y>, too</object><select>no</select><p>three<select><p>four", "one\n\nthree\n\nfour"),
+    ("<p>one<video><iframe><p>no", "one"),
     ("<html><head><meta charset=utf-8><title>T</title><p>text", "text"),
     ("<head><title>T</title><script>no</script>Text, <b>too", "Text, too"),
     ("<head><template><p>no</template><meta x></head><p>text", "text"),
@@ -270,6 +298,9 @@ def test_mixing_edges(spark):
     assert {r.doc_id for r in rows} >= {1, 2, 3} and sum(r.doc_id == 2 for r in rows) == 1
     assert mixing.mix(odd.limit(0), mixing.Target(entropy=0.9)).count() == 0
     assert mixing.mix(odd.where("source = 's'"), mixing.Target(entropy=0.9)).count() == 1
+    clashing = odd.select("*", *[F.lit(c).alias(c) for c in ("_source", "_whole", "_cut", "_times", "whole", "cut", "tokens")])
+    mixed = mixing.mix(clashing, mixing.Target(repeats=3.0, budget=None))
+    assert mixed.count() == len(rows) and mixed.where("_source <> '_source' OR _times <> '_times'").isEmpty()
     got = odd.select(mixing.n_words(F.col("text"))).collect()
     assert [r[0] for r in got] == [0, 2, 2, 0, 50_000]
 
