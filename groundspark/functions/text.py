@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -22,17 +23,56 @@ ARTICLES = ("a", "an", "the")
 MARKER = r"\[([0-9]+(?:\s*,\s*[0-9]+)*)\]"
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters that decompose to one letter and marks, with that letter."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        parts = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
-        if len(parts) == 1 and parts[0] != chr(code):
-            pairs.append((chr(code), parts[0]))
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+#: Syllables of Hangul decompose by a rule: their number gives the letters of three rows.
+HANGUL, FIRSTS, MIDDLES, LASTS = 0xAC00, 0x1100, 0x1161, 0x11A7
 
 
-ACCENTED, PLAIN = _accents()
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition, without marks, is another character or none, and those where it is several."""
+    short, long = {}, {}
+    for code in range(sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000 or HANGUL <= code <= 0xD7A3:
+            continue
+        parts = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if parts != chr(code):
+            (short if len(parts) < 2 else long)[chr(code)] = parts
+    return short, long
+
+
+SHORT, LONG = _decompositions()
+
+
+def _ranges(codes: list[int]) -> str:
+    """A character class of sorted code points."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+
+
+SEVERAL = _ranges(sorted([*map(ord, LONG), *range(HANGUL, 0xD7A4)]))
+
+
+def _spelled(c: Column) -> Column:
+    """A character's decomposition, if it has several characters."""
+    keys = "".join(LONG)
+    at = F.instr(F.lit(keys), c)
+    number = F.ascii(c) - HANGUL
+    row = lambda start, n: F.array(*[F.lit(chr(start + k)) for k in range(n)])
+    pick = lambda start, n, k: F.get(row(start, n), k.cast("int"))
+    last = F.when(number % 28 == 0, "").otherwise(pick(LASTS, 28, number % 28))
+    syllable = F.concat(pick(FIRSTS, 19, number / 588), pick(MIDDLES, 21, (number % 588) / 28), last)
+    return F.when((number >= 0) & (number < 0xD7A4 - HANGUL), syllable).when(at > 0, F.get(F.array(*map(F.lit, LONG.values())), at - 1)).otherwise(c)
+
+
+def folded(text: Column) -> Column:
+    """Compatibility decomposition without combining marks. Characters that become several are rare, so only texts with one are spelled out."""
+    ordered = sorted(SHORT, key=lambda c: not SHORT[c])  # translate drops what has no counterpart at the end
+    plain = F.translate(text, "".join(ordered), "".join(SHORT[c] for c in ordered))
+    return F.when(F.rlike(plain, F.lit(SEVERAL)), F.array_join(F.transform(F.split(plain, ""), _spelled), "")).otherwise(plain)
 
 
 def stripped(text: Column) -> Column:
@@ -57,7 +97,7 @@ def parse_chunk_id(chunk_id: Column) -> Column:
 
 def normalized_words(text: Column) -> Column:
     """Words after accents, case and punctuation are gone, without articles. Punctuation goes before articles do."""
-    plain = F.translate(F.lower(F.translate(F.regexp_replace(text, r"\p{M}+", ""), ACCENTED, PLAIN)), string.punctuation, "")
+    plain = F.translate(F.lower(folded(text)), string.punctuation, "")
     words = F.split(F.regexp_replace(plain, r"(?U)\s+", " "), " ")
     return F.filter(words, lambda w: (w != "") & ~w.isin(*ARTICLES))
 

@@ -42,12 +42,19 @@ def shuffle_key(key: Column, seed: int = SETTINGS.seed) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
 
 
-def ranked(rows: DataFrame, order: Column, name: str = "pos", bits: int = 10) -> DataFrame:
+#: Rows that are numbered in one window, on average.
+IN_BUCKET = 50_000
+
+
+def ranked(rows: DataFrame, order: Column, name: str = "pos", bits: int | None = None) -> DataFrame:
     """Numbers rows from 0 in a global order of md5 keys, with no task that sorts them all.
 
     Buckets by the first ``bits`` bits of the key get their offset from the running sum of bucket sizes; inside a bucket
-    a window counts on. Size ``bits`` to the input: rows / 2^bits stand in one task.
+    a window counts on. By default there are as many bits as keep IN_BUCKET rows in a bucket; the table of buckets is
+    broadcast, and has at most 2^20 rows.
     """
+    if bits is None:
+        bits = min(20, max(6, (rows.count() // IN_BUCKET).bit_length()))
     keyed = rows.withColumn("_k", order).withColumn("_b", F.shiftright(F.conv(F.substring("_k", 1, 8), 16, 10).cast("long"), 32 - bits))
     sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
@@ -92,6 +99,18 @@ def sample_by_label(pairs: DataFrame, n: int, seed: int = SETTINGS.seed) -> Data
     return some.orderBy(shuffle_key(F.col("key"), seed)).limit(n)
 
 
+def training_split(name: str) -> str:
+    """The split to train on; the one that variants are compared on is refused."""
+    if name == "dev":
+        raise ValueError("variants are compared on the split dev, so nothing may be trained on it")
+    return name
+
+
+def missing_ids(wanted: DataFrame, found: DataFrame, key: str = "qid") -> DataFrame:
+    """Ids of a split that have no row."""
+    return wanted.select(key).distinct().join(found.select(key), key, "left_anti")
+
+
 def training_pairs(questions: DataFrame, hits: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
     """Weakly labelled pairs of covered questions: qid, chunk_id, rank, label. ``questions``: subjects, answers, title."""
     covered = questions.join(titles.select("title"), "title", "left_semi")
@@ -148,7 +167,8 @@ def calibration_slice(positives: DataFrame, negatives: DataFrame) -> DataFrame:
 def ablation_table(rows: DataFrame) -> DataFrame:
     """One row for each variant. ``rows``: variant, abstained, text, answers, error, parseable, sentences, repair_attempted, repair_succeeded, cost_usd.
 
-    A refusal in the text counts as an abstention for every variant.
+    A refusal in the text counts as an abstention for every variant. With the columns supported, citations and good_citations
+    (of an answer's sentences and citations) the table also has citation_recall and citation_precision; null if there are none.
     """
     failed = F.col("error").isNotNull()
     out = F.coalesce("abstained", F.lit(False)) | F.coalesce(is_abstention(F.col("text")), F.lit(False))
@@ -156,12 +176,14 @@ def ablation_table(rows: DataFrame) -> DataFrame:
     sums = own.groupBy("variant").agg(
         F.count("*").alias("n"), F.count_if("_out").alias("abstained"), F.count_if(failed).alias("errors"), F.count_if("_right").alias("correct"),
         F.coalesce(F.sum(F.when(~F.col("_out"), F.col("parseable"))), F.lit(0)).cast("long").alias("parseable"), F.coalesce(F.sum(F.when(~F.col("_out"), F.col("sentences"))), F.lit(0)).cast("long").alias("sentences"),
+        *[F.coalesce(F.sum(F.when(~F.col("_out"), F.col(c))), F.lit(0)).cast("long").alias(c) for c in ("supported", "citations", "good_citations") if c in rows.columns],
         F.coalesce(F.sum("repair_attempted"), F.lit(0)).cast("long").alias("repair_attempted"), F.coalesce(F.sum("repair_succeeded"), F.lit(0)).cast("long").alias("repair_succeeded"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),
     )
     answered = F.col("n") - F.col("abstained") - F.col("errors")
     return sums.select(
         "variant", "n", answered.alias("answered"), "abstained", "errors", "correct", F.try_divide("abstained", "n").alias("abstention_rate"), F.try_divide(answered, F.col("n")).alias("coverage"),
         F.try_divide("correct", "n").alias("accuracy_all"), F.try_divide(F.col("correct"), answered).alias("accuracy_answered"), F.try_divide("parseable", "sentences").alias("parseable_citation_rate"),
+        *([F.try_divide("supported", "sentences").alias("citation_recall"), F.try_divide("good_citations", "citations").alias("citation_precision")] if "citations" in rows.columns else []),
         "repair_attempted", "repair_succeeded", "cost_usd",
     )
 

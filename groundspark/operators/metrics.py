@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from groundspark.settings import ACTIONS
+
 
 def confusion_counts(rows: DataFrame, classes: tuple, gold: str = "gold", pred: str = "pred", weight: Column | None = None) -> DataFrame:
     """gold, pred, n for all pairs of classes, zeros filled in. One pass; a row for each pair, however long the input."""
@@ -105,29 +107,94 @@ def separation(rows: DataFrame) -> DataFrame:
     return r.withColumn("separation", F.col("mean_positive") - F.col("mean_negative"))
 
 
+#: Ranges of confidence that are summed up; the few that hold a cut are looked into.
+STEPS = 4_096
+
+
 def risk_coverage(rows: DataFrame, fractions: list[float]) -> DataFrame:
     """Accuracy of the most confident answers at ten coverages. ``rows``: qid, abstained, confidence, correct.
 
-    Ranks come from a histogram of confidences: sums over distinct values, then places inside the few values at the cuts,
-    so no task sorts all answers. Ties in confidence go by qid.
+    Ranks come from sums over STEPS ranges of confidence; a cut's place inside its range is found there, so no task sorts
+    all answers. Confidences outside 0 to 1 fall into the ranges at the ends. Ties in confidence go by qid.
     """
-    answered = rows.where("NOT abstained").select("qid", F.col("confidence").alias("c"), F.col("correct").cast("int").alias("right"))
+    step = F.least(F.greatest(F.floor(F.col("confidence") * STEPS), F.lit(0)), F.lit(STEPS - 1)).cast("int")
+    answered = rows.where("NOT abstained").select("qid", F.col("confidence").alias("c"), step.alias("step"), F.col("correct").cast("int").alias("right"))
     totals = rows.agg(F.count("*").alias("total"), F.count_if(~F.col("abstained")).alias("answered")).first()
     total, n = totals["total"], totals["answered"]
     cuts = [(f, max(1, int(n * f))) for f in fractions] if n else []
-    by_value = answered.groupBy("c").agg(F.count("*").alias("n"), F.sum("right").alias("right"))
-    # As many rows as there are distinct confidences.
-    upto = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = by_value.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("right_before", F.coalesce(F.sum("right").over(upto), F.lit(0)))
+    # STEPS rows at most.
+    upto = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = answered.groupBy("step").agg(F.count("*").alias("n"), F.sum("right").alias("right"))
+    placed = sums.select("step", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.coalesce(F.sum("right").over(upto), F.lit(0)).alias("right_before"))
     if not cuts:
         return placed.select(F.lit(0.0).alias("fraction"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("coverage"), F.lit(0.0).alias("accuracy")).limit(0)
     grid = F.explode(F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(k).cast("long").alias("take")) for f, k in cuts]))
-    at = placed.withColumn("g", grid).where((F.col("before") < F.col("g.take")) & (F.col("before") + F.col("n") >= F.col("g.take"))).select("c", "before", "right_before", "g.fraction", "g.take")
-    inside = answered.join(at.select("c").distinct(), "c", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("qid")))
-    got = at.join(inside, "c").where(F.col("place") <= F.col("take") - F.col("before")).groupBy("fraction", "take", "right_before").agg(F.sum("right").alias("right"))
+    at = placed.withColumn("g", grid).where((F.col("before") < F.col("g.take")) & (F.col("before") + F.col("n") >= F.col("g.take"))).select("step", "before", "right_before", "g.fraction", "g.take")
+    in_order = Window.partitionBy("step").orderBy(F.desc("c"), "qid")
+    inside = answered.join(F.broadcast(at.select("step").distinct()), "step", "left_semi").withColumn("place", F.row_number().over(in_order))
+    got = at.join(inside, "step").where(F.col("place") <= F.col("take") - F.col("before")).groupBy("fraction", "take", "right_before").agg(F.sum("right").alias("right"))
     return got.select("fraction", F.col("take").alias("n"), (F.col("take") / F.lit(max(total, 1))).alias("coverage"), ((F.col("right") + F.col("right_before")) / F.col("take")).alias("accuracy"))
 
 
+def baseline_row(rows: DataFrame) -> DataFrame:
+    """One run's figures. ``rows``: correct, abstained, error, retrieval_hit, faithfulness (null where none was measured).
+
+    Shares of no rows are 0, but a mean faithfulness of no rows is null.
+    """
+    answered = ~F.col("abstained") & F.col("error").isNull()
+    total = rows.agg(
+        F.count("*").alias("n"), F.count_if("correct").alias("right"), F.count_if(answered).alias("answered"), F.count_if(F.col("correct") & answered).alias("right_answered"), F.count_if("retrieval_hit").alias("hits"),
+        F.avg("faithfulness").alias("faithfulness"), F.count("faithfulness").alias("faithfulness_n"), F.count("error").alias("errors"),
+    )
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return total.select("n", share("right", "n").alias("accuracy"), share("answered", "n").alias("coverage"), share("right_answered", "answered").alias("answered_accuracy"), share("hits", "n").alias("retrieval_hit_rate"), "faithfulness", "faithfulness_n", "errors")
+
+
+def citation_bench(rows: DataFrame) -> DataFrame:
+    """Citations of a set of drafts, with and without refusals, which make no claim and so owe no citation.
+
+    ``rows``: sentences, with_valid_citation, invalid_ids, sentences_with_invalid_id, abstained, error, proxy (null without
+    counted sentences) and str_em. Drafts with an error or without sentences count as questions only.
+    """
+    scored = F.col("error").isNull() & (F.col("sentences") > 0)
+    own = scored & ~F.col("abstained")
+    add = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("long")
+    total = rows.agg(
+        F.count("*").alias("questions"), F.count_if(own).alias("answered"), F.count_if(scored & F.col("abstained")).alias("abstentions"), F.count("error").alias("errors"), add("sentences", own).alias("sentences"),
+        add("with_valid_citation", own).alias("with_valid_citation"), add("sentences", scored).alias("all_sentences"), add("with_valid_citation", scored).alias("all_valid"), F.count_if(own & (F.col("with_valid_citation") == F.col("sentences"))).alias("fully_cited"),
+        add("invalid_ids", own).alias("invalid_ids"), add("sentences_with_invalid_id", own).alias("sentences_with_invalid_id"), F.avg(F.when(own, F.col("proxy"))).alias("support_proxy"), F.coalesce(F.avg(F.when(own, F.col("str_em"))), F.lit(0.0)).alias("str_em"),
+    )
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    rate = share("with_valid_citation", "sentences")
+    return total.select(
+        "questions", "answered", "abstentions", "errors", "sentences", "with_valid_citation", rate.alias("parseable_rate"), share("all_valid", "all_sentences").alias("parseable_rate_with_abstentions"), (rate == 1).alias("passes"), "fully_cited",
+        "invalid_ids", "sentences_with_invalid_id", share("sentences_with_invalid_id", "sentences").alias("invalid_id_rate"), "support_proxy", "str_em",
+    )
+
+
+def trigger_rates(traces: DataFrame) -> DataFrame:
+    """Of each subset: n, the share that abstained before generation, the share with a corrective round, and a count of each action."""
+    share = lambda c: F.count_if(c) / F.count("*")
+    return traces.groupBy("subset").agg(F.count("*").alias("n"), share("abstained_before_generation").alias("pre_generation_abstention_rate"), share("corrective_fired").alias("corrective_rate"), *[F.count_if(F.col("action") == a).alias(a) for a in ACTIONS])
+
+
+def paper_action(action: Column) -> Column:
+    """An action by its published name."""
+    return F.when(action == "proceed", "Correct").when(action == "corrective_retrieve", "Ambiguous").when(action == "abstain", "Incorrect")
+
+
+def corrective_trigger_rate(actions: DataFrame) -> DataFrame:
+    """n and the share of questions whose action is another retrieval; 0 without questions."""
+    total = actions.agg(F.count("*").alias("n"), F.count_if(F.col("action") == "corrective_retrieve").alias("corrective"))
+    return total.select("n", "corrective", F.coalesce(F.try_divide("corrective", "n"), F.lit(0.0)).alias("trigger_rate"))
+
+
+def absent_labels(known: DataFrame, wanted: tuple[str, ...], label: str = "label") -> DataFrame:
+    """Labels that are wanted but that no row has, in any case of letters: a checkpoint that lacks one can't be used."""
+    names = known.agg(F.collect_set(F.lower(label)).alias("names"))
+    return names.select(F.explode(F.array_except(F.array(*map(F.lit, wanted)), "names")).alias(label))
+
+
 def subset_summary(rows: DataFrame) -> DataFrame:
     """Counts and rates over all rows and for each subset (null: all). ``rows``: subset, abstained, correct, confidence."""
     r = rows.groupingSets([[], ["subset"]], "subset").agg(F.count("*").alias("n"), F.count_if("abstained").alias("abstained"), F.count_if("correct").alias("correct"), F.avg(F.when(~F.col("abstained"), F.col("confidence"))).alias("mean_confidence"))

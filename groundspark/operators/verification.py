@@ -42,6 +42,14 @@ def verify(sentences: DataFrame, citations: DataFrame, context: DataFrame, s: Se
     )
 
 
+def lexical_support(sentences: DataFrame, citations: DataFrame, context: DataFrame, least: float = 0.5) -> DataFrame:
+    """qid, sent_idx, supported of each sentence with a resolvable citation: some cited passage holds that share of its content words."""
+    words = sentences.select("qid", "sent_idx", content_words(F.col("text")).alias("words"))
+    passages = context.select("qid", "chunk_id", content_words(F.col("text")).alias("passage"))
+    each = citations.where("chunk_id IS NOT NULL").join(words, ["qid", "sent_idx"]).join(passages, ["qid", "chunk_id"])
+    return each.groupBy("qid", "sent_idx").agg((F.max(overlap(F.col("words"), F.col("passage"))) >= F.lit(least)).alias("supported"))
+
+
 def counted(has_ids: Column = None) -> Column:
     """Verdicts that metrics count: all but those of sentences without any citation."""
     return ~(F.col("uncited") & ((F.col("n_scored") == 0) if has_ids is None else ~has_ids))

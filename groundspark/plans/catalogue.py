@@ -10,6 +10,7 @@ from groundspark.functions.text import (
     answer_matches,
     cache_key,
     content_words,
+    fmt,
     json_object_text,
     normalize_answer,
     normalize_doc_id,
@@ -19,13 +20,15 @@ from groundspark.functions.text import (
     rendered_passages,
     str_em,
 )
-from groundspark.operators import chunking, drafting, grading, harness, metrics, orchestrate, repair, retrieval, verification
+from groundspark.operators import chunking, drafting, grading, harness, metrics, models, orchestrate, repair, retrieval, verification
 from groundspark.plans import base
 from groundspark.plans.base import ANSWERS_SQL, CORRECTIVE_SQL, DRAFTS_SQL, VERDICTS_SQL, content_sql, hits_sql, normal_sql, sentences_sql, table, trimmed_sql
-from groundspark.settings import CHUNK_LABELS, SETTINGS
-from groundspark.sources import readers
+from groundspark.settings import ABSTAIN_REASONS, CHUNK_LABELS, SETTINGS
+from groundspark.sources import readers, sinks
 
 QUERIES, SQL = {}, {}
+#: Questions of the split that only distracts.
+DISTRACTORS = 800
 
 
 def query(name: str, sql: str | None = None):
@@ -119,36 +122,19 @@ def content_words_query(spark, sf_dir):
 @query("contains_gold", f"""WITH g AS (SELECT item_id, {normal_sql('text')} AS gold FROM benchmark), d AS (SELECT doc_id, {normal_sql('text')} AS body FROM documents)
  SELECT doc_id, item_id FROM d JOIN g ON gold <> '' AND contains(body, gold)""")
 def contains_gold(spark, sf_dir):
-    """Documents that hold a benchmark passage whole. Both are cut into words; the passage's first eight words find candidates by equality."""
-    run = 8
-    golds = table(spark, sf_dir, "benchmark").select("item_id", normalize_answer(F.col("text")).alias("gold")).where("gold <> ''")
-    words = lambda c: F.split(c, " ")
-    keyed = golds.select("item_id", "gold", F.least(F.size(words(F.col("gold"))) - 1, F.lit(run)).alias("n"))
-    # The first and last word may be cut in a text that merely contains the passage's characters, so keys leave the first one out.
-    key = F.array_join(F.slice(words(F.col("gold")), 2, F.greatest(F.col("n") - 1, F.lit(1))), " ")
-    short = keyed.where(F.size(words(F.col("gold"))) < run + 2)
-    long = keyed.where(F.size(words(F.col("gold"))) >= run + 2).select("item_id", "gold", F.xxhash64(key).alias("key"))
-    bodies = table(spark, sf_dir, "documents").select("doc_id", normalize_answer(F.col("text")).alias("body"))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (run - 2), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, run - 1), " ")))
-    each = bodies.withColumn("w", words(F.col("body"))).select("doc_id", F.explode(F.array_distinct(windows)).alias("key"))
-    candidates = each.join(long, "key").select("doc_id", "item_id", "gold").distinct()
-    found = candidates.join(bodies, "doc_id").where(F.contains("body", F.col("gold"))).select("doc_id", "item_id")
-    n_short = short.count()
-    if n_short == 0:
-        return found
-    # Passages too short for a key: an array in one row, so each body is searched once.
-    listed = short.agg(F.collect_list(F.struct("item_id", "gold")).alias("s"))
-    tried = bodies.withColumn("_", F.lit(1)).join(F.broadcast(listed.withColumn("_", F.lit(1))), "_").select("doc_id", F.explode(F.filter("s", lambda x: F.contains(F.col("body"), x["gold"]))).alias("x"))
-    return found.unionByName(tried.select("doc_id", "x.item_id"))
-
-
-@query("answerable_split", """WITH t AS (SELECT DISTINCT left(text, 40) AS title FROM documents), q AS (SELECT item_id, left(text, 40) AS title FROM benchmark)
- SELECT item_id, 'answerable' AS subset FROM (SELECT * FROM q WHERE title IN (SELECT title FROM t) ORDER BY item_id LIMIT 150)
- UNION ALL SELECT item_id, 'unanswerable' FROM (SELECT * FROM q WHERE title NOT IN (SELECT title FROM t) ORDER BY item_id LIMIT 150)""")
+    """Documents that hold a benchmark passage whole."""
+    golds = table(spark, sf_dir, "benchmark").select("item_id", normalize_answer(F.col("text")).alias("gold"))
+    return retrieval.holders(table(spark, sf_dir, "documents").select("doc_id", normalize_answer(F.col("text")).alias("body")), golds)
+
+
+@query("answerable_split", """WITH q AS (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS known FROM customer)
+ SELECT c_custkey, 'answerable' AS subset FROM (SELECT * FROM q WHERE known ORDER BY c_custkey LIMIT 150)
+ UNION ALL SELECT c_custkey, 'unanswerable' FROM (SELECT * FROM q WHERE NOT known ORDER BY c_custkey LIMIT 150)""")
 def answerable_split(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("title"), F.col("item_id").alias("pos"))
-    good, bad = harness.split_by_corpus(q, table(spark, sf_dir, "documents").select(F.left("text", F.lit(40)).alias("title")).distinct(), 150)
-    return good.select("item_id", F.lit("answerable").alias("subset")).unionByName(bad.select("item_id", F.lit("unanswerable").alias("subset")))
+    """Customers stand for questions and those of orders for titles of the corpus: the first 150 with orders, and without."""
+    q = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("title"), F.col("c_custkey").alias("pos"))
+    good, bad = harness.split_by_corpus(q, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("title")).distinct(), 150)
+    return good.select("c_custkey", F.lit("answerable").alias("subset")).unionByName(bad.select("c_custkey", F.lit("unanswerable").alias("subset")))
 
 
 @query("split_sentences", f"SELECT conv_id, turn, i::INTEGER AS sent_idx, s[i + 1] AS sentence FROM (SELECT conv_id, turn, s, unnest(range(0, len(s))) AS i FROM (SELECT conv_id, turn, {sentences_sql('text')} AS s FROM conversations))")
@@ -223,6 +209,28 @@ def corrective_union(spark, sf_dir):
     return retrieval.merge_rounds(wide.where("rank <= 5"), wide).select("qid", "chunk_id", "score", "round", "pos")
 
 
+@query("get_chunks", _CHUNKS + """ SELECT w.chunk_id, c.text, c.text IS NOT NULL AS found FROM (SELECT doc_id || '::' || (doc_id % 3) AS chunk_id FROM documents) w LEFT JOIN (SELECT doc_id || '::' || chunk_index AS chunk_id, text FROM chunks) c USING (chunk_id)""")
+def get_chunks(spark, sf_dir):
+    """The first, second or third chunk of each document by id, some of which aren't there."""
+    index = chunking.chunk(base.documents(spark, sf_dir))
+    return retrieval.get_chunks(index, table(spark, sf_dir, "documents").select(F.concat_ws("::", F.col("doc_id").cast("string"), (F.col("doc_id") % 3).cast("string")).alias("chunk_id")))
+
+
+@query("cosine_topk", """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 5)) AS v FROM embeddings),
+ u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM n),
+ s AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(list_dot_product(q.v, c.v), 6) + 0.0::DOUBLE AS score FROM u q, u c WHERE q.vec_id % 25 = 0 AND c.vec_id % 25 <> 0)
+ SELECT qid, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM s) WHERE rank <= 5""")
+def cosine_topk(spark, sf_dir):
+    """Vectors of different lengths, brought to length 1 first."""
+    scaled = table(spark, sf_dir, "embeddings").withColumn("vector", retrieval.unit(F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 5 + 1))))
+    return retrieval.nearest(scaled.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "vector"), scaled.where("vec_id % 25 <> 0").select(F.col("vec_id").alias("chunk_id"), "vector"), 5)
+
+
+@query("index_record", _CHUNKS + " SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM chunks")
+def index_record(spark, sf_dir):
+    return sinks.index_record(chunking.chunk(base.documents(spark, sf_dir)))
+
+
 @query("grade_labels", f"WITH {hits_sql('h', 5)}, {base.graded_sql('g', 'h')} SELECT qid, rank, chunk_id, p_correct, label, confidence FROM g")
 def grade_labels(spark, sf_dir):
     return grading.grade(base.probabilities(base.hits(spark, sf_dir, 5))).select("qid", "rank", "chunk_id", "p_correct", "label", "confidence")
@@ -268,16 +276,25 @@ def label_distribution(spark, sf_dir):
     return harness.distribution(_weak(spark, sf_dir), "label")
 
 
-@query("class_weights", """WITH c AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 3 GROUP BY label), f AS (SELECT k.label, coalesce(c.n, 0) AS n FROM (SELECT unnest([0, 1, 2])::INTEGER AS label) k LEFT JOIN c USING (label)),
+@query("class_weights", """WITH c AS (SELECT (label % 3)::INTEGER AS label, count(*) AS n FROM embeddings GROUP BY 1), f AS (SELECT k.label, coalesce(c.n, 0) AS n FROM (SELECT unnest([0, 1, 2])::INTEGER AS label) k LEFT JOIN c USING (label)),
  r AS (SELECT label, n, (SELECT sum(n) FROM f)::DOUBLE / (3 * greatest(n, 1)) AS w FROM f) SELECT label, n, w / (SELECT avg(w) FROM r) AS weight FROM r""")
 def class_weights(spark, sf_dir):
-    return grading.class_weights(table(spark, sf_dir, "embeddings").where("label < 3"), "label", [0, 1, 2])
+    """Three classes out of the labels of all rows."""
+    return grading.class_weights(table(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("label")), "label", [0, 1, 2])
+
+
+_ALIASES = "al AS (SELECT lower(replace(name, '_', ' ')) AS title, arg_min(name, ord) AS doc_id FROM (SELECT CASE WHEN page_id % 2 = 0 THEN upper(url) ELSE replace(url, '-', '_') END AS name, page_id AS ord FROM pages) GROUP BY 1)"
 
 
-@query("alias_map", "SELECT lower(replace(source, '_', ' ')) AS title, arg_min(doc_id, doc_id) AS doc_id FROM documents GROUP BY 1")
+def _named_pages(spark, sf_dir):
+    """Pages as documents, whose names differ in case and underscores only."""
+    name = F.when(F.col("page_id") % 2 == 0, F.upper("url")).otherwise(F.translate("url", "-", "_"))
+    return table(spark, sf_dir, "pages").select(name.alias("doc_id"), F.col("page_id").alias("ord"))
+
+
+@query("alias_map", f"WITH {_ALIASES} SELECT * FROM al")
 def alias_map(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents")
-    return rows.groupBy(F.lower(F.translate("source", "_", " ")).alias("title")).agg(F.min_by("doc_id", "doc_id").alias("doc_id"))
+    return grading.alias_map(_named_pages(spark, sf_dir))
 
 
 # -- drafts, citations, verdicts --------------------------------------------------------------------------------------
@@ -311,10 +328,10 @@ def citation_rates(spark, sf_dir):
     return drafting.citation_rates(drafting.citation_stats(p, cites))
 
 
-@query("structured_payload", """SELECT conv_id AS qid, 0 AS sent_idx, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, '1,2' AS numbers FROM conversations WHERE turn = 1 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""")
+@query("structured_payload", """SELECT conv_id || '-' || turn AS qid, 0 AS sent_idx, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, '1,2' AS numbers FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""")
 def structured_payload(spark, sf_dir):
     reply = F.to_json(F.struct(F.array(F.struct(F.concat("text", F.lit(" [2]")).alias("text"), F.array(F.lit(1)).alias("citations")), F.struct(F.lit("  ").alias("text"), F.array(F.lit(1)).alias("citations"))).alias("sentences")))
-    rows = table(spark, sf_dir, "conversations").where("turn = 1").select(F.col("conv_id").alias("qid"), F.concat(F.lit("```json\n"), reply, F.lit("\n```")).alias("raw_text"))
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), F.concat(F.lit("```json\n"), reply, F.lit("\n```")).alias("raw_text"))
     return drafting.parse_payload(rows).select("qid", "sent_idx", "text", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
 
 
@@ -325,6 +342,32 @@ def lexical_support(spark, sf_dir):
     return rows.withColumn("score", verification.lexical_score(F.col("w"), F.col("pw"))).select("qid", "sent_idx", "cite_pos", "chunk_id", "score", (F.col("score") >= 0.5).alias("supported"))
 
 
+@query("any_support", f"WITH {VERDICTS_SQL} SELECT qid, sent_idx, max(score) >= 0.5::DOUBLE AS supported FROM scored GROUP BY ALL")
+def any_support(spark, sf_dir):
+    """Whether some cited passage covers half of a sentence's content words."""
+    p, c, cites = base.resolved(spark, sf_dir)
+    return verification.lexical_support(p, cites, c)
+
+
+@query("citation_bench", f"""WITH {VERDICTS_SQL}, own AS (SELECT qid, sent_idx, count(chunk_id) AS valid, count(*) - count(chunk_id) AS invalid FROM citations GROUP BY ALL),
+ support AS (SELECT qid, avg((best >= 0.5::DOUBLE)::INTEGER) AS proxy FROM (SELECT qid, sent_idx, max(score) AS best FROM scored GROUP BY ALL) GROUP BY qid),
+ d AS (SELECT p.qid, count(*) AS n, count(*) FILTER (WHERE valid > 0) AS v, coalesce(sum(invalid), 0)::BIGINT AS i, count(*) FILTER (WHERE invalid > 0) AS s FROM parsed p LEFT JOIN own USING (qid, sent_idx) GROUP BY p.qid),
+ e AS (SELECT t.qid, coalesce(n, 0) AS n, coalesce(v, 0) AS v, coalesce(i, 0) AS i, coalesce(s, 0) AS s, proxy, conv_id % 37 = 5 AS a, conv_id % 41 = 7 AS f,
+     CASE WHEN contains({normal_sql('t.text')}, {normal_sql("regexp_extract(t.text, '\\S+$')")}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em FROM turns t LEFT JOIN d USING (qid) LEFT JOIN support USING (qid)),
+ r AS (SELECT count(*) AS questions, count(*) FILTER (WHERE k AND NOT a) AS answered, count(*) FILTER (WHERE k AND a) AS abstentions, count(*) FILTER (WHERE f) AS errors, coalesce(sum(n) FILTER (WHERE k AND NOT a), 0)::BIGINT AS sentences,
+     coalesce(sum(v) FILTER (WHERE k AND NOT a), 0)::BIGINT AS with_valid_citation, sum(n) FILTER (WHERE k) AS an, sum(v) FILTER (WHERE k) AS av, count(*) FILTER (WHERE k AND NOT a AND v = n) AS fully_cited, coalesce(sum(i) FILTER (WHERE k AND NOT a), 0)::BIGINT AS invalid_ids,
+     coalesce(sum(s) FILTER (WHERE k AND NOT a), 0)::BIGINT AS sentences_with_invalid_id, avg(proxy) FILTER (WHERE k AND NOT a) AS support_proxy, coalesce(avg(em) FILTER (WHERE k AND NOT a), 0.0::DOUBLE) AS str_em FROM (SELECT *, NOT f AND n > 0 AS k FROM e))
+ SELECT questions, answered, abstentions, errors, sentences, with_valid_citation, with_valid_citation / sentences::DOUBLE AS parseable_rate, av / an::DOUBLE AS parseable_rate_with_abstentions, with_valid_citation = sentences AS passes, fully_cited, invalid_ids, sentences_with_invalid_id,
+   sentences_with_invalid_id / sentences::DOUBLE AS invalid_id_rate, support_proxy, str_em FROM r""")
+def citation_bench(spark, sf_dir):
+    p, c, cites = base.resolved(spark, sf_dir)
+    stats = drafting.citation_stats(p, cites)
+    proxy = verification.lexical_support(p, cites, c).groupBy("qid").agg(F.avg(F.col("supported").cast("int")).alias("proxy"))
+    turns = base.draft_turns(spark, sf_dir).select("qid", (F.col("conv_id") % 37 == 5).alias("abstained"), F.when(F.col("conv_id") % 41 == 7, "failed").alias("error"), str_em(F.col("text"), F.array(F.array(F.regexp_extract("text", r"\S+$", 0)))).alias("str_em"))
+    rows = turns.join(stats, "qid", "left").join(proxy, "qid", "left").fillna(0, ["sentences", "with_valid_citation", "invalid_ids", "sentences_with_invalid_id"])
+    return metrics.citation_bench(rows)
+
+
 @query("verify_sentences", f"WITH {VERDICTS_SQL} SELECT qid, sent_idx, supported, entailment_score, supporting_chunk_id, nli_label, n_scored, uncited FROM verdicts")
 def verify_sentences(spark, sf_dir):
     return base.verdicts(spark, sf_dir).drop("scores")
@@ -543,6 +586,76 @@ def retrieval_only_rates(spark, sf_dir):
     return base.corrective(spark, sf_dir)[1].groupBy("action").agg(F.count("*").alias("n"), F.count_if("corrective_fired").alias("corrective"))
 
 
+@query("trigger_rates", f"""WITH {CORRECTIVE_SQL}, s AS (SELECT *, CASE WHEN qid % 2 = 0 THEN 'answerable' ELSE 'unanswerable' END AS subset FROM trace)
+ SELECT subset, count(*) AS n, count(*) FILTER (WHERE abstained_before_generation) / count(*)::DOUBLE AS pre_generation_abstention_rate, count(*) FILTER (WHERE corrective_fired) / count(*)::DOUBLE AS corrective_rate,
+   count(*) FILTER (WHERE action = 'proceed') AS proceed, count(*) FILTER (WHERE action = 'corrective_retrieve') AS corrective_retrieve, count(*) FILTER (WHERE action = 'abstain') AS abstain FROM s GROUP BY subset""")
+def trigger_rates(spark, sf_dir):
+    return metrics.trigger_rates(base.corrective(spark, sf_dir)[1].withColumn("subset", F.when(F.col("qid") % 2 == 0, "answerable").otherwise("unanswerable")))
+
+
+_GOLD_ACTION = "CASE qid % 3 WHEN 0 THEN 'Correct' WHEN 1 THEN 'Ambiguous' ELSE 'Incorrect' END"
+PAPER_ACTIONS = ("Correct", "Ambiguous", "Incorrect")
+
+
+@query("action_confusion", f"""WITH {CORRECTIVE_SQL}, p AS (SELECT {_GOLD_ACTION} AS gold, CASE action WHEN 'proceed' THEN 'Correct' WHEN 'abstain' THEN 'Incorrect' ELSE 'Ambiguous' END AS pred FROM before), k AS (SELECT unnest(['Correct', 'Ambiguous', 'Incorrect']) AS c)
+ SELECT a.c AS gold, b.c AS pred, (SELECT count(*) FROM p WHERE p.gold = a.c AND p.pred = b.c) AS n FROM k a, k b""")
+def action_confusion(spark, sf_dir):
+    """First actions by their published names against constructed gold ones."""
+    trace = base.corrective(spark, sf_dir)[1]
+    rows = trace.select(F.expr(_GOLD_ACTION).alias("gold"), metrics.paper_action(F.when(F.col("corrective_fired"), "corrective_retrieve").otherwise(F.col("action"))).alias("pred"))
+    return metrics.confusion_counts(rows, PAPER_ACTIONS)
+
+
+@query("corrective_trigger_rate", f"WITH {CORRECTIVE_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE corrective_fired) AS corrective, count(*) FILTER (WHERE corrective_fired) / count(*)::DOUBLE AS trigger_rate FROM trace")
+def corrective_trigger_rate(spark, sf_dir):
+    trace = base.corrective(spark, sf_dir)[1]
+    return metrics.corrective_trigger_rate(trace.select(F.when(F.col("corrective_fired"), "corrective_retrieve").otherwise(F.col("action")).alias("action")))
+
+
+_FAITHFUL = f"""faith AS (SELECT a.qid, count(c.i) AS claims, count(*) FILTER (WHERE c.i IS NOT NULL AND (len({content_sql('c.claim')}) = 0 OR len(list_intersect({content_sql('c.claim')}, j.words)) / len({content_sql('c.claim')})::DOUBLE >= 0.5::DOUBLE)) AS supported
+   FROM answers a LEFT JOIN (SELECT qid, i, s[i + 1] AS claim FROM (SELECT qid, s, unnest(range(0, least(len(s), 12))) AS i FROM (SELECT qid, {sentences_sql('text')} AS s FROM answers WHERE NOT abstained))) c ON c.qid = a.qid
+   LEFT JOIN (SELECT qid, list_distinct(flatten(list({content_sql('text')}))) AS words FROM context GROUP BY qid) j ON j.qid = a.qid GROUP BY a.qid)"""
+
+
+@query("faithfulness", f"WITH {ANSWERS_SQL}, {_FAITHFUL} SELECT qid, nullif(claims, 0) AS claims, CASE WHEN claims > 0 THEN supported END AS supported, supported / nullif(claims, 0)::DOUBLE AS faithfulness FROM faith")
+def faithfulness(spark, sf_dir):
+    """The first twelve sentences of an answer against all its passages, by the lexical stand-in for a judge."""
+    _, _, final, context = base.final_answers(spark, sf_dir)
+    return models.lexical_faithfulness(final, context)
+
+
+@query("baseline_row", f"""WITH {ANSWERS_SQL}, {_FAITHFUL}, b AS (SELECT a.qid, a.abstained, NOT a.abstained AND length(a.text) % 3 > 0 AS correct, length(a.qid) % 2 = 0 AS hit, length(a.qid) % 5 = 4 AS error, supported / nullif(claims, 0)::DOUBLE AS f FROM answers a JOIN faith USING (qid))
+ SELECT count(*) AS n, count(*) FILTER (WHERE correct) / count(*)::DOUBLE AS accuracy, count(*) FILTER (WHERE NOT abstained AND NOT error) / count(*)::DOUBLE AS coverage, coalesce(count(*) FILTER (WHERE correct AND NOT error) / nullif(count(*) FILTER (WHERE NOT abstained AND NOT error), 0)::DOUBLE, 0) AS answered_accuracy,
+   count(*) FILTER (WHERE hit) / count(*)::DOUBLE AS retrieval_hit_rate, avg(f) AS faithfulness, count(f) AS faithfulness_n, count(*) FILTER (WHERE error) AS errors FROM b""")
+def baseline_row(spark, sf_dir):
+    _, _, final, context = base.final_answers(spark, sf_dir)
+    rows = final.select("qid", "abstained", F.coalesce(~F.col("abstained") & (F.length("text") % 3 > 0), F.lit(False)).alias("correct"), (F.length("qid") % 2 == 0).alias("retrieval_hit"), F.when(F.length("qid") % 5 == 4, "failed").alias("error"))
+    return metrics.baseline_row(rows.join(models.lexical_faithfulness(final, context).select("qid", "faithfulness"), "qid"))
+
+
+@query("ingest_projection", _CHUNKS + " SELECT lang AS profile, count(*) AS n_chunks, count(*) / 380000.0::DOUBLE AS seconds, count(*) / 380000.0::DOUBLE <= 0.01::DOUBLE AS meets_target FROM chunks c JOIN documents d ON d.doc_id::VARCHAR = c.doc_id GROUP BY lang")
+def ingest_projection(spark, sf_dir):
+    """Chunks of each language at the published rate."""
+    own = chunking.chunk(base.documents(spark, sf_dir)).join(base.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang"), "doc_id")
+    return metrics.throughput(own.groupBy(F.col("lang").alias("profile")).agg(F.count("*").alias("n_chunks")), 380_000, 0.01)
+
+
+@query("absent_labels", "SELECT unnest(['entailment', 'neutral', 'contradiction', 'view', 'click']) AS label EXCEPT SELECT lower(event_type) FROM events")
+def absent_labels(spark, sf_dir):
+    return metrics.absent_labels(table(spark, sf_dir, "events").select(F.col("event_type").alias("label")), ("entailment", "neutral", "contradiction", "view", "click"))
+
+
+@query("abstain_explanations", "SELECT a.reason AS abstain_reason, count(*) AS n, a.told AS abstain_explanation FROM (VALUES " + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(ABSTAIN_REASONS.items())) + f") a(reason, told, i) JOIN documents d ON d.doc_id % {len(ABSTAIN_REASONS)} = a.i GROUP BY ALL")
+def abstain_explanations(spark, sf_dir):
+    reason = F.element_at(F.array(*map(F.lit, ABSTAIN_REASONS)), (F.col("doc_id") % len(ABSTAIN_REASONS) + 1).cast("int"))
+    return repair.explained(table(spark, sf_dir, "documents").groupBy(reason.alias("abstain_reason")).agg(F.count("*").alias("n")))
+
+
+@query("formatted_values", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE printf('%.4f', round(value, 2) + 0.0::DOUBLE) END AS shown FROM events")
+def formatted_values(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", fmt(F.when(F.col("event_id") % 7 != 0, F.round("value", 2))).alias("shown"))
+
+
 def _usage(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     n = F.floor(F.col("value") * 10).cast("long")
@@ -613,16 +726,32 @@ def question_split(spark, sf_dir):
 
 
 @query("carve_splits", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42')) - 1 AS p FROM documents)
- SELECT CASE WHEN p < 50 THEN 'dev' WHEN p < 150 THEN 'test' ELSE 'distractor' END AS split, CASE WHEN p < 50 THEN p WHEN p < 150 THEN p - 50 ELSE p - 150 END AS pos, doc_id FROM r WHERE p < 230""")
+ SELECT CASE WHEN p < 500 THEN 'dev' WHEN p < 1500 THEN 'test' ELSE 'distractor' END AS split, CASE WHEN p < 500 THEN p WHEN p < 1500 THEN p - 500 ELSE p - 1500 END AS pos, doc_id FROM r WHERE p < 2300""")
 def carve_splits(spark, sf_dir):
-    return harness.carve_splits(table(spark, sf_dir, "documents").select("doc_id"), 50, 100, 80, "doc_id")
+    """Splits of the sizes in the settings, and 800 distractors."""
+    return harness.carve_splits(table(spark, sf_dir, "documents").select("doc_id"), SETTINGS.dev_size, SETTINGS.test_size, DISTRACTORS, "doc_id")
 
 
-@query("load_split", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42')) - 1 AS pos FROM documents) SELECT doc_id, pos, source FROM r JOIN documents USING (doc_id) WHERE pos < 20""")
+@query("load_split", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42')) - 1 AS pos FROM documents) SELECT doc_id, pos, source FROM r JOIN documents USING (doc_id) WHERE pos < 500""")
 def load_split(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    split = harness.carve_splits(d.select("doc_id"), 50, 0, 0, "doc_id").select("pos", "doc_id")
-    return harness.load_split(split, d.select("doc_id", "source"), 20, "doc_id")[0].select("doc_id", "pos", "source")
+    split = harness.carve_splits(d.select("doc_id"), SETTINGS.dev_size, 0, 0, "doc_id").select("pos", "doc_id")
+    return harness.load_split(split, d.select("doc_id", "source"), None, "doc_id")[0].select("doc_id", "pos", "source")
+
+
+@query("missing_ids", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42')) - 1 AS pos FROM documents)
+ SELECT doc_id FROM r WHERE pos < 500 AND doc_id NOT IN (SELECT doc_id FROM labels)""")
+def missing_ids(spark, sf_dir):
+    """Ids of a split that no label has."""
+    split = harness.carve_splits(table(spark, sf_dir, "documents").select("doc_id"), SETTINGS.dev_size, 0, 0, "doc_id")
+    return harness.missing_ids(split, table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("remaining_sample", "SELECT doc_id AS qid, source AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def remaining_sample(spark, sf_dir):
+    """What a second annotator has left, when what is labelled is done."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.col("source").alias("chunk_id"))
+    return harness.remaining(d, d.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("qid")), "qid", "left_semi"))
 
 
 @query("sample_by_label", _WEAK + """, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS r FROM w) SELECT doc_id, label FROM k WHERE r <= 20 ORDER BY md5(doc_id || ':42') LIMIT 60""")
@@ -631,12 +760,12 @@ def sample_by_label(spark, sf_dir):
     return harness.sample_by_label(rows, 60).select("doc_id", "label")
 
 
-@query("annotator_overlap", "SELECT l.doc_id::VARCHAR AS qid, d.source AS chunk_id, quality AS a, toxic AS b FROM labels l JOIN documents d USING (doc_id) WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+@query("annotator_overlap", "SELECT l.doc_id::VARCHAR AS qid, d.source AS chunk_id, quality AS a, toxic AS b FROM labels l JOIN documents d USING (doc_id)")
 def annotator_overlap(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select(F.col("doc_id").cast("string").alias("qid"), F.col("source").alias("chunk_id"), "quality", "toxic", "doc_id")
-    mine = rows.where("doc_id % 2 = 0").select("qid", "chunk_id", F.col("quality").alias("label"), F.lit(1).alias("line"))
+    mine = rows.select("qid", "chunk_id", F.col("quality").alias("label"), F.lit(1).alias("line"))
     old = mine.select("qid", "chunk_id", (F.lit(1) - F.col("label")).alias("label"), F.lit(0).alias("line"))
-    return harness.annotator_overlap(mine.unionByName(old), rows.where("doc_id % 3 <> 0").select("qid", "chunk_id", F.col("toxic").alias("label"), F.lit(0).alias("line")))
+    return harness.annotator_overlap(mine.unionByName(old), rows.select("qid", "chunk_id", F.col("toxic").alias("label"), F.lit(0).alias("line")))
 
 
 @query("lexical_positives", f"""WITH {DRAFTS_SQL}, g AS (SELECT qid, {normal_sql("regexp_extract(text, '^\\S+')")} AS gold FROM turns)
@@ -648,6 +777,33 @@ def lexical_positives(spark, sf_dir):
     return harness.lexical_positives(p, cites, c, golds)
 
 
+@query("calibration_slice", f"""WITH {DRAFTS_SQL}, g AS (SELECT qid, {normal_sql("regexp_extract(text, '^\\S+')")} AS gold FROM turns), cited AS (SELECT DISTINCT qid, sent_idx FROM citations WHERE chunk_id IS NOT NULL),
+ good AS (SELECT qid, sent_idx, arg_min(chunk_id, cite_pos) AS chunk_id FROM (SELECT c.qid, c.sent_idx, c.chunk_id, c.cite_pos FROM citations c JOIN parsed p USING (qid, sent_idx) JOIN context x ON x.qid = c.qid AND x.chunk_id = c.chunk_id JOIN g ON g.qid = c.qid
+   WHERE gold <> '' AND contains({normal_sql('p.text')}, gold) AND contains({normal_sql('x.text')}, gold)) GROUP BY ALL),
+ n AS (SELECT qid AS other_qid, chunk_id, row_number() OVER (ORDER BY md5(qid || '/' || chunk_id || ':42')) - 1 AS pos FROM context),
+ t AS (SELECT qid, sent_idx, d AS draw, ('0x' || left(md5(qid || ':' || sent_idx || ':' || d || ':42'), 15))::BIGINT % (SELECT count(*) FROM n) AS pos FROM cited, (SELECT unnest(range(0, 20)) AS d))
+ SELECT qid, sent_idx, chunk_id, true AS truth, 'lexical_match' AS kind FROM good
+ UNION ALL SELECT qid, sent_idx, arg_min(chunk_id, draw), false, 'swapped' FROM t JOIN n USING (pos) WHERE qid <> other_qid GROUP BY qid, sent_idx""")
+def calibration_slice(spark, sf_dir):
+    """Of all sentences with a citation: those whose gold is in a cited passage, and each with a passage of another question."""
+    p, c, cites = base.resolved(spark, sf_dir)
+    golds = base.draft_turns(spark, sf_dir).select("qid", F.array(F.regexp_extract("text", r"^\S+", 0)).alias("answers"))
+    cited = p.join(cites.where("chunk_id IS NOT NULL").select("qid", "sent_idx").distinct(), ["qid", "sent_idx"])
+    return harness.calibration_slice(harness.lexical_positives(p, cites, c, golds), harness.swap_negatives(cited, c))
+
+
+@query("training_pairs", f"""WITH {hits_sql('h', 5)}, {_ALIASES}, q AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN lower(replace(url, '_', ' ')) ELSE 'nowhere' END AS title FROM embeddings JOIN pages ON page_id = vec_id % 200 WHERE vec_id % 25 = 0)
+ SELECT h.qid, h.chunk_id, h.rank, CASE WHEN h.chunk_id % 10 <> h.qid % 10 THEN 'wrong' WHEN h.chunk_id % 20 < 10 THEN 'correct' ELSE 'ambiguous' END AS label FROM h JOIN q ON q.vec_id = h.qid WHERE q.title IN (SELECT title FROM al)""")
+def training_pairs(spark, sf_dir):
+    """Hits of the questions whose title is among the aliases, weakly labelled; chunks tell their subject and hold a gold by their id."""
+    titles = grading.alias_map(_named_pages(spark, sf_dir)).select("title")
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), (F.col("vec_id") % 200).alias("page_id"))
+    title = F.when(F.col("qid") % 2 == 0, F.lower(F.translate("url", "_", " "))).otherwise("nowhere")
+    questions = asked.join(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id").select("qid", title.alias("title"), F.array(F.concat(F.lit("subject "), (F.col("qid") % 10).cast("string"))).alias("subjects"), F.array(F.lit("gold")).alias("answers"))
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("subject_"), (F.col("vec_id") % 10).cast("string")).alias("doc_id"), F.when(F.col("vec_id") % 20 < 10, "it holds gold").otherwise("none").alias("text"))
+    return harness.training_pairs(questions, base.hits(spark, sf_dir, 5), chunks, titles)
+
+
 @query("swap_negatives", f"""WITH {DRAFTS_SQL}, n AS (SELECT qid AS other_qid, chunk_id, row_number() OVER (ORDER BY md5(qid || '/' || chunk_id || ':42')) - 1 AS pos FROM context),
  t AS (SELECT qid, sent_idx, d AS draw, ('0x' || left(md5(qid || ':' || sent_idx || ':' || d || ':42'), 15))::BIGINT % (SELECT count(*) FROM n) AS pos FROM parsed, (SELECT unnest(range(0, 20)) AS d))
  SELECT qid, sent_idx, arg_min(other_qid, draw) AS other_qid, arg_min(chunk_id, draw) AS chunk_id FROM t JOIN n USING (pos) WHERE qid <> other_qid GROUP BY ALL""")
@@ -656,11 +812,26 @@ def swap_negatives(spark, sf_dir):
     return harness.swap_negatives(p, c)
 
 
-@query("cached_replies", "SELECT conv_id, turn % 2 = 0 AS cached FROM conversations WHERE turn < 2")
+@query("cached_replies", "SELECT conv_id, turn, turn % 2 = 0 AS cached FROM conversations")
 def cached_replies(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn < 2").select("conv_id", "turn", cache_key(F.col("conv_id"), F.col("turn"), F.col("text")).alias("key"))
+    """Requests for all turns, against a cache that holds the replies to every other one."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", cache_key(F.col("conv_id"), F.col("turn"), F.col("text")).alias("key"))
     hits, misses = drafting.cached(rows, rows.where("turn % 2 = 0").select("key", F.lit("reply").alias("reply")))
-    return hits.select("conv_id", F.lit(True).alias("cached")).unionByName(misses.select("conv_id", F.lit(False).alias("cached")))
+    return hits.select("conv_id", "turn", F.lit(True).alias("cached")).unionByName(misses.select("conv_id", "turn", F.lit(False).alias("cached")))
+
+
+@query("cache_keys", """WITH c AS (SELECT conv_id, turn, text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+ SELECT count(*) AS requests, count(DISTINCT conv_id || '/' || turn || '/' || text) AS keys, 32 AS chars, true AS hexadecimal, false AS ids_count_when_cited, true AS ids_count_when_plain FROM c""")
+def cache_keys(spark, sf_dir):
+    """Keys of all requests: as many as there are different ones, 32 hex digits each; chunk ids count in the plain key only."""
+    rows = table(spark, sf_dir, "conversations")
+    keys = rows.select(cache_key(F.col("conv_id"), F.col("turn"), F.col("text")).alias("key"))
+    total = keys.agg(F.count("*").alias("requests"), F.count_distinct("key").alias("keys"), F.max(F.length("key")).alias("chars"), F.bool_and(F.rlike("key", F.lit("^[0-9a-f]+$"))).alias("hexadecimal"))
+    q = rows.groupBy(F.col("conv_id").alias("qid")).agg(F.min("text").alias("question"))
+    context = lambda mark: rows.select(F.col("conv_id").alias("qid"), F.col("turn").alias("passage_no"), "text", F.concat(F.lit(mark), F.col("turn").cast("string")).alias("chunk_id"))
+    differ = lambda plain, name: drafting.prompts(q, context("a"), plain).select("qid", F.col("key").alias("one")).join(drafting.prompts(q, context("b"), plain).select("qid", F.col("key").alias("two")), "qid").agg(F.bool_and(F.col("one") != F.col("two")).alias(name)).withColumn("_", F.lit(1))
+    # One row on each side.
+    return total.withColumn("_", F.lit(1)).join(differ(False, "ids_count_when_cited"), "_").join(differ(True, "ids_count_when_plain"), "_").drop("_")
 
 
 @query("ablation_table", f"""WITH {ANSWERS_SQL}, v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS variant), rows AS (SELECT v.variant, a.qid, CASE WHEN v.variant = 'E' THEN a.abstained ELSE false END AS abstained, CASE WHEN v.variant = 'E' THEN a.text ELSE t.text END AS text,
@@ -681,9 +852,9 @@ def ablation_table(spark, sf_dir):
     return harness.ablation_table(made)
 
 
-@query("extract_uploads")
+@query("extract_uploads", """SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' ELSE '.zip' END AS filename, CASE WHEN page_id % 3 < 2 THEN length(html)::INTEGER END AS n_chars, CASE WHEN page_id % 3 = 2 THEN 'unsupported file type .zip' END AS error FROM pages""")
 def extract_uploads(spark, sf_dir):
-    """Uploads of several kinds, decoded; the binary boundary has no SQL."""
+    """Uploads of several kinds, decoded."""
     suffix = F.element_at(F.array(F.lit(".txt"), F.lit(".md"), F.lit(".zip")), (F.col("page_id") % 3 + 1).cast("int"))
     files = table(spark, sf_dir, "pages").select("page_id", F.concat("url", suffix).alias("filename"), F.col("html").cast("binary").alias("content"))
     return readers.extracted(files).select("page_id", "filename", F.length("text").alias("n_chars"), "error")
@@ -694,7 +865,8 @@ def lexical_retrieval(spark, sf_dir):
     """Benchmark passages against documents through the hashed stand-in for an embedder; model boundary, no SQL."""
     q = retrieval.hashed_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")).select("qid", "vector")
     c = retrieval.hashed_vectors(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")).select("chunk_id", "vector")
-    return retrieval.nearest(q, c, 5)
+    sizes = tuple(table(spark, sf_dir, t).count() for t in ("benchmark", "documents"))
+    return retrieval.nearest(q, c, 5, sizes)
 
 
 @query("answer_questions")

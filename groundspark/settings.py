@@ -40,11 +40,12 @@ CHUNK_LABELS = ("correct", "ambiguous", "wrong")
 ACTIONS = ("proceed", "corrective_retrieve", "abstain")
 NLI_LABELS = ("entailment", "neutral", "contradiction")
 REFUSAL = "cannot answer this from the provided sources"
+#: The keys are fixed values.
 ABSTAIN_REASONS = {
-    "no_usable_chunk": "No retrieved passage was graded usable for this question.",
-    "too_much_unsupported": "Too much of the drafted answer could not be verified.",
-    "fragment_after_drops": "Removing the unverified sentences would leave a fragment.",
-    "nothing_survived": "No sentence of the drafted answer survived verification.",
-    "generator_abstained": "The passages do not contain the answer.",
-    "generation_failed": "The answer could not be generated.",
+    "no_usable_chunk": "Retrieval found nothing that the grader would use.",
+    "too_much_unsupported": "More of the draft lacks support than the limit allows.",
+    "fragment_after_drops": "What is left after dropping sentences is too short to stand alone.",
+    "nothing_survived": "Every sentence was dropped.",
+    "generator_abstained": "The generator declined to answer from these passages.",
+    "generation_failed": "No draft came back from the generator.",
 }
