@@ -113,6 +113,12 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rank[kids_of] = np.arange(n) - first[np.where(parent[kids_of] < 0, 0, parent[kids_of])]
     rank[~known] = 0
     same = known & (group == group[up])
+    # The share of the page's text that lies in its first article or main, for the nodes outside of all of them.
+    opens = np.flatnonzero(body)
+    _, at = np.unique(page[opens], return_index=True)
+    share = np.zeros(len(pages))
+    share[page[opens[at]]] = sums[opens[at], 0] / np.maximum(total[opens[at]], 1)
+    elsewhere = np.where(in_body | body, 0, share[page]) if n else np.zeros(0)
     alike = np.bincount(parent[known] * (OTHER + 1) + group[known], minlength=n * (OTHER + 1)) if n else np.zeros(0)
     alike = np.where(known, alike[np.where(known, parent * (OTHER + 1) + group, 0)], 1) if n else np.zeros(0)
     one_hot = np.eye(OTHER + 1)
@@ -121,26 +127,32 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.log1p(sums[:, 0]), sums[:, 1] / np.maximum(sums[:, 0], 1), sums[:, 2] / np.maximum(sums[:, 0], 1), sums[:, 0] / (sums[:, 3] + 1),
         np.log1p(sums[:, 4]), sums[:, 5], sums[:, 0] / np.maximum(total, 1), (before - page_start) / np.maximum(total, 1),
         np.log1p(sums[up, 0]), sums[up, 1] / np.maximum(sums[up, 0], 1), np.log1p(n_kids[up]), kid_chars[up] / np.maximum(n_kids[up], 1), rank / np.maximum(n_kids[up], 1),
-        alike / np.maximum(n_kids[up], 1), same,
+        alike / np.maximum(n_kids[up], 1), same, elsewhere,
     ]) if n else np.zeros((0, 1))
     return x.astype(np.float64), parent, depth
 
 
 def decode(odds: np.ndarray, parent: np.ndarray, depth: np.ndarray, is_text: np.ndarray) -> np.ndarray:
-    """The best set of nodes that holds each node's parent. Elements count by their own odds and the best below them."""
-    best = odds.copy()
-    below = np.zeros(len(odds))
+    """The best set of nodes that holds each node's parent, and of each element some child.
+
+    Elements count by their own odds and the good ones of their children, or else the least bad one (the first, of equals).
+    """
+    n = len(odds)
+    best = odds.astype(np.float64)
+    below, top, least_bad = np.zeros(n), np.full(n, -np.inf), np.full(n, n)
     by_depth = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
     for level in reversed(by_depth):
-        best[level] = odds[level] + below[level]
-        # An element that keeps nothing below it would be kept without any text.
-        empty = level[(~is_text[level]) & (below[level] <= 0)]
-        best[empty] = np.minimum(best[empty], 0)
-        good = level[(best[level] > 0) & (parent[level] >= 0)]
-        np.add.at(below, parent[good], best[good])
+        inner = level[~is_text[level]]
+        best[inner] += np.where(below[inner] > 0, below[inner], top[inner])
+        held = level[parent[level] >= 0]
+        np.add.at(below, parent[held], np.maximum(best[held], 0))
+        np.maximum.at(top, parent[held], best[held])
+        first = held[best[held] == top[parent[held]]]
+        np.minimum.at(least_bad, parent[first], first)
     kept = best > 0
     for level in by_depth[1:]:
-        kept[level] &= kept[parent[level]]
+        up = parent[level]
+        kept[level] = kept[up] & (kept[level] | ((below[up] <= 0) & (least_bad[up] == level)))
     return kept
 
 
@@ -207,15 +219,26 @@ class Generator:
         r.shuffle(out)
         return out
 
-    def late_parts(self) -> list[str]:
+    def comments(self, known: bool) -> str:
+        """Reader comments; without a name that is ``known``, only their place outside the article and their form tell them apart."""
+        r = self.rng
+        t = r.choice(("section", "div", "ol"))
+        if known:
+            inner = "".join(self.named(r.choice(("div", "article", "li")), ("comment", "reply"), True) + f"<p>{self.prose(3)}</p>" for _ in range(r.randint(1, 5)))
+            return self.named(t, ("comments", "discussion", "replies"), True) + f"<h2>{self.words(1, 2)}</h2>" + inner + f"</{t}>"
+        tag = "li" if t == "ol" else "div"
+        who = lambda: r.choice(("", f"<b>{self.words(1, 2)}</b>", f'<a href="/u">{self.words(1, 2)}</a> '))
+        inner = "".join(f"<{tag}>{who()}<p>{self.prose(3)}</p></{tag}>" for _ in range(r.randint(2, 6)))
+        return self.named(t, ("thread", "talk", "u7", "box", "c")) + r.choice(("", f"<h3>{self.words(1, 2)}</h3>")) + inner + f"</{t}>"
+
+    def late_parts(self, inside: bool) -> list[str]:
+        """What follows the main text; ``inside``: that has an element of its own."""
         r, out = self.rng, []
         if r.random() < 0.35:
             t = r.choice(("aside", "div"))
             out.append(self.named(t, ("sidebar", "related", "widget", "trending"), t == "div") + f"<h3>{self.words(1, 3)}</h3>" + r.choice((self.links("ul"), f"<p>{self.prose(2)}</p>")) + f"</{t}>")
         if r.random() < 0.35:
-            t = r.choice(("section", "div", "ol"))
-            inner = "".join(self.named(r.choice(("div", "article", "li")), ("comment", "reply"), True) + f"<p>{self.prose(3)}</p>" for _ in range(r.randint(1, 5)))
-            out.append(self.named(t, ("comments", "discussion", "replies"), True) + f"<h2>{self.words(1, 2)}</h2>" + inner + f"</{t}>")
+            out.append(self.comments(not inside or r.random() < 0.6))
         if r.random() < 0.15:
             out.append(f"<form><textarea>{self.words(1, 3)}</textarea><p>{self.sentence(2, 6)}</p><button>{self.words(1, 1)}</button></form>")
         r.shuffle(out)
@@ -228,6 +251,8 @@ class Generator:
         r = self.rng
         tag, name = r.choice((("article", ""), ("article", ""), ("article", ""), ("main", ""), ("div", "content"), ("div", "post-body"), ("div", "article"), ("section", "story"), ("div", "entry"), ("div", "")))
         body = [f"<h1>{MARK}{self.sentence(1, 9)}</h1>"] if r.random() < 0.8 else []
+        if body and r.random() < 0.25:
+            body[0] = self.named("header", ("header", "entry-header", "title")) + body[0] + r.choice(("", f"<p>{MARK}{self.sentence(2, 9)}</p>")) + "</header>"
         for k in range(r.choice((1, 1, 2, 4, 8, 20))):
             kind = r.random()
             text = MARK + r.choice((self.prose(8), self.prose(3), self.sentence(1, 4)))
@@ -247,7 +272,7 @@ class Generator:
             if k and r.random() < 0.04:
                 body.append(self.named("div", ("ad", "share", "related", "newsletter"), True) + self.prose(1) + "</div>")
         main = f'<{tag}{f" class={chr(34)}{name}{chr(34)}" if name else ""}>' + "".join(body) + f"</{tag}>"
-        parts = [*self.aside_parts(), main, *self.late_parts()]
+        parts = [*self.aside_parts(), main, *self.late_parts(tag in ("article", "main"))]
         inner = "".join(parts)
         if r.random() < 0.3:
             inner = self.named("div", ("wrapper", "page", "container")) + inner + "</div>"
