@@ -109,16 +109,20 @@ def format_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     piece = F.struct("depth", F.concat("head", "body", F.lit(END + "\n")).alias("piece"), F.length("head").alias("before"), F.length("body").alias("inside"), F.coalesce("counts", F.lit(False)).alias("counts"))
     chunks = turns.groupBy("tree", "leaf", "rank", "chunk").agg(F.array_sort(F.collect_list(piece)).alias("turns"))
 
-    def ahead(turns: Column, k: Column, size) -> Column:
-        return F.aggregate(F.slice(turns, 1, k), F.lit(0), lambda n, x: n + size(x))
+    def ahead(turns: Column, k: Column) -> Column:
+        """Code points of the turns before the k-th one, of CHUNK at most."""
+        return F.aggregate(F.slice(turns, 1, k), F.lit(0), lambda n, x: n + F.length(x["piece"]))
 
-    whole = lambda x: F.length(x["piece"])
-    masks = F.transform("turns", lambda x, k: F.struct((ahead(F.col("turns"), k, whole) + x["before"]).alias("start"), x["inside"].alias("inside"), x["counts"].alias("counts")))
+    masks = F.transform("turns", lambda x, k: F.struct((ahead(F.col("turns"), k) + x["before"]).alias("start"), x["inside"].alias("inside"), x["counts"].alias("counts")))
     masks = F.transform(F.filter(masks, lambda m: m["counts"]), lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["inside"]).alias("end")))
-    chunks = chunks.select("tree", "leaf", "rank", F.struct("chunk", F.array_join(F.transform("turns", lambda x: x["piece"]), "").alias("piece"), masks.alias("mask")).alias("part"))
-    parts = chunks.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    shifted = F.transform("parts", lambda p, k: F.transform(p["mask"], lambda m: F.struct((ahead(F.col("parts"), k, whole) + m["start"]).alias("start"), (ahead(F.col("parts"), k, whole) + m["end"]).alias("end"))))
-    return parts.select("tree", "leaf", "rank", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("formatted"), F.flatten(shifted).alias("loss_mask"))
+    chunks = chunks.select("tree", "leaf", "rank", "chunk", F.array_join(F.transform("turns", lambda x: x["piece"]), "").alias("piece"), masks.alias("mask"))
+    # Where each chunk starts is a running sum, so the work grows with the number of turns.
+    prior = Window.partitionBy("tree", "leaf", "rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(prior), F.lit(0)).cast("int"))
+    shifted = F.transform("mask", lambda m: F.struct((F.col("at") + m["start"]).alias("start"), (F.col("at") + m["end"]).alias("end")))
+    part = F.struct("chunk", "piece", shifted.alias("mask"))
+    parts = chunks.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return parts.select("tree", "leaf", "rank", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("formatted"), F.flatten(F.transform("parts", lambda p: p["mask"])).alias("loss_mask"))
 
 
 def read_back(formatted: Column) -> Column:
