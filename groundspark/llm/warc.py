@@ -29,6 +29,8 @@ from groundspark.llm.common import Scratch, table
 FANOUT, RANGE_BYTES = 16, 65_536
 #: Pages that go into one file.
 PER_FILE = 500
+#: Files for pages without an id.
+NAMELESS = 1 << 20
 #: Where a record starts behind a damaged one, whose end may be cut off.
 START, DAMAGED = re.compile(rb"WARC/1\.\d+\r\n(?=[A-Za-z-]+:)"), "damaged"
 
@@ -94,9 +96,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def placed(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """Pages as records of files: file, offset, record_id, record. A file holds a range of ids, in order."""
-    file = F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long")
-    made = pages.select(file.alias("file"), "page_id", record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    """Pages as records of files: file, offset, record_id, record. A file holds a range of ids, in order.
+
+    Pages without an id, however many, are dealt to NAMELESS files of negative numbers by a hash of their bytes.
+    """
+    known = F.floor(F.col("page_id") / per_file).cast("long")
+    made = pages.select(known.alias("known"), "page_id", record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    file = F.coalesce("known", -1 - F.pmod(F.xxhash64("record"), F.lit(NAMELESS)))
+    made = made.select(file.alias("file"), "page_id", "record")
     before = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
     at = made.withColumn("offset", F.coalesce(F.sum(F.octet_length("record").cast("long")).over(before), F.lit(0)))
     return at.select("file", "offset", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("record_id"), "record")
@@ -164,8 +171,8 @@ def _differing(mine: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
 
 def audit(original: DataFrame, replica: DataFrame, scratch: Scratch) -> DataFrame:
     """Records that differ: file, offset, record_id and status (corrupt, missing or extra). Inputs as from ``hashed``."""
-    extent = original.unionByName(replica).agg(F.max("offset"), F.max("file")).first()
-    ranges, files = ((extent[0] or 0) // RANGE_BYTES + 1, (extent[1] or 0) + 1)
+    extent = original.unionByName(replica).agg(F.max("offset"), F.max("file"), F.min("file")).first()
+    ranges, files = (extent[0] or 0) // RANGE_BYTES + 1, max((extent[1] or 0) + 1, -(extent[2] or 0))
     mine, other = Tree(original, scratch, ranges, files), Tree(replica, scratch, ranges, files)
     bad = _differing(mine.across[-1], other.across[-1], "node")
     if mine.root() == other.root():
@@ -192,10 +199,11 @@ def audit(original: DataFrame, replica: DataFrame, scratch: Scratch) -> DataFram
 def damaged(records: DataFrame) -> DataFrame:
     """A replica in which some records have a flipped byte or a cut tail, and the last ones of some files and whole files are lost.
 
-    What is left of a record stays at its offset.
+    What is left of a record stays at its offset; records without an id stay whole.
     """
-    last = records.groupBy("file").agg(F.max("offset").alias("offset")).where(F.pmod("file", F.lit(17)) == 3)
-    left = records.where(F.pmod("file", F.lit(53)) != 9).join(F.broadcast(last), ["file", "offset"], "left_anti")
+    lost = lambda step, k: (F.col("file") >= 0) & (F.pmod("file", F.lit(step)) == k)
+    last = records.groupBy("file").agg(F.max("offset").alias("offset")).where(lost(17, 3))
+    left = records.where(~lost(53, 9)).join(F.broadcast(last), ["file", "offset"], "left_anti")
     number = F.col("record_id").try_cast("bigint")
     changed = F.when(F.pmod(number, F.lit(2)) == 0, flipped(F.col("record"))).otherwise(cut(F.col("record")))
     spoiled = F.when(F.pmod(number, F.lit(97)) == 5, changed).otherwise(F.col("record"))
