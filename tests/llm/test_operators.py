@@ -247,6 +247,67 @@ def test_text_after_odd_tags_is_read(page, want):
     assert p.blocks([True] * len(p.tag)) == want
 
 
+PAGES = {
+    "a title in a header of the article": (
+        "<article><header><h1>Solar sails</h1></header><p>Light pushes them, slowly, and for years.</p><p>No fuel is used, which saves weight.</p></article>",
+        "Solar sails|Light pushes them, slowly, and for years.|No fuel is used, which saves weight.",
+    ),
+    "comments without a name": (
+        "<body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul></nav><article><h1>On tea</h1><p>Tea is steeped in hot water, not boiled.</p>"
+        "<p>Green tea wants less heat than black tea does.</p></article><section id='thread'><h3>3 answers</h3><div><b>Ann</b><p>I boil mine, sorry.</p></div>"
+        "<div><b>Bob</b><p>Nice read. Thanks!</p></div><div><b>Cy</b><p>What about oolong?</p></div></section><footer>&copy; 2020 Tea</footer></body>",
+        "On tea|Tea is steeped in hot water, not boiled.|Green tea wants less heat than black tea does.",
+    ),
+    "comments inside the article": (
+        "<article><h1>Knots</h1><p>A bowline holds well, and is easy to untie.</p><p>Learn it first.</p><section class='comments'><h2>Comments</h2><div class='comment'><p>I prefer a hitch.</p></div></section></article>",
+        "Knots|A bowline holds well, and is easy to untie.|Learn it first.",
+    ),
+    "a table": (
+        "<main><h1>Rates</h1><p>The table lists the rates.</p><table><tr><th>Year</th><th>Rate</th></tr><tr><td>1999</td><td>4.5</td></tr></table><p>Rates fell later on.</p></main><aside class='sidebar'><h3>More</h3><ul><li><a href=/x>Loans</a></li></ul></aside>",
+        "Rates|The table lists the rates.|Year|Rate|1999|4.5|Rates fell later on.",
+    ),
+    "divisions only": (
+        "<div class='header'><a href=/>Site</a></div><div class='post'><h2>Walks</h2><p>We went up the hill, and back down.</p><blockquote>It was steep.</blockquote><ul><li>Bring water.</li><li>Bring a map.</li></ul></div><div class='footer'>All rights reserved</div>",
+        "Walks|We went up the hill, and back down.|It was steep.|Bring water.|Bring a map.",
+    ),
+    "a header of the site": (
+        "<header><h1>The Daily</h1><p>News of the day</p></header><article><h1>Rain ahead</h1><p>It will rain on Monday, the office says.</p></article><form><label>Search</label><input><button>Go</button></form>",
+        "Rain ahead|It will rain on Monday, the office says.",
+    ),
+    "a drawing": ("<article><h1>Icons</h1><p>Before the icon.</p><svg width='1'/><p>After the icon.</p></article>", "Icons|Before the icon.|After the icon."),
+    "a notice and an advert": (
+        "<div id='cookie-consent'><p>We use cookies. Accept?</p><button>OK</button></div><article><h1>Bread</h1><p>Flour, water, salt and time make bread.</p><div class='ad'>Buy flour now!</div><p>Let it rest.</p></article>",
+        "Bread|Flour, water, salt and time make bread.|Let it rest.",
+    ),
+    "no markup": ("Only some words.", "Only some words."),
+    "character references": ("<main><h1>Caf&eacute; &amp; bar</h1><p>Open&nbsp;from 9&ndash;17,\n  every   day.</p></main><footer>Impressum</footer>", "Café & bar|Open from 9–17, every day."),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_pages_of_other_layouts(name):
+    page, want = PAGES[name]
+    assert extract.mains([Page(page)], extract.fitted())[0].split("\n\n") == want.split("|")
+
+
+def test_decoding_is_the_best_of_all_choices():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        n = 9
+        parent = np.array([-1] + [int(rng.integers(0, k)) for k in range(1, n)])
+        depth = np.zeros(n, int)
+        for k in range(1, n):
+            depth[k] = depth[parent[k]] + 1
+        text = ~np.isin(np.arange(n), parent)
+        odds = rng.normal(size=n)
+        best = 0.0
+        for chosen in itertools.product((False, True), repeat=n):
+            kids = {int(parent[k]) for k in range(n) if chosen[k]}
+            if all(chosen[parent[k]] for k in range(1, n) if chosen[k]) and all(k in kids for k in range(n) if chosen[k] and not text[k]):
+                best = max(best, float(odds[np.array(chosen)].sum()))
+        assert odds[extract.decode(odds, parent, depth, text)].sum() == pytest.approx(best)
+
+
 def test_decoding_is_consistent():
     rng = np.random.default_rng(4)
     for _ in range(50):
@@ -487,6 +548,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert [r.offset for r in laid] == [0, len(data[0])] and laid[1].length == len(data[1])
 
 
+def test_pages_without_an_id_are_dealt_to_many_files(spark):
+    rows = [(None, f"u{k}", "<p>" * k) for k in range(300)] + [(None, None, None)] * 3 + [(k, "u", "x" * 200_000 if k == 7 else None) for k in range(9)] + [(8, "u", None)]
+    pages = spark.createDataFrame([(i, u, h, "mine", 5) for i, u, h in rows], "page_id long, url string, html string, file string, offset int")
+    laid = warc.laid_out(pages, 4).collect()
+    assert len(laid) == len(rows) and len({r.file for r in laid if r.file < 0}) > 200
+    assert all(a.offset != b.offset for a, b in itertools.combinations(laid, 2) if a.file == b.file)
+    mine = warc.laid_out(pages, 4)
+    assert warc.audit(mine, warc.laid_out(pages, 4), Scratch(spark)).count() == 0
+    gone = sorted(laid, key=lambda r: (r.file, r.offset))[5]
+    left = mine.where((F.col("file") != gone.file) | (F.col("offset") != gone.offset))
+    assert [(r.file, r.offset, r.status) for r in warc.audit(mine, left, Scratch(spark)).collect()] == [(gone.file, gone.offset, "missing")]
+    assert warc.damaged(warc.placed(pages, 4)).where("record_id = ''").count() == 303
+    assert warc.audit(mine.limit(0), mine.limit(0), Scratch(spark)).count() == 0
+
+
+def test_records_of_equal_offset_and_repeated_rows(spark):
+    rows = [(0, 0, "a", bytearray(b"one")), (0, 0, "b", bytearray(b"two")), (0, 5, "c", None), (0, 5, "c", None), (2, 0, None, bytearray(b"three"))]
+    find = lambda a, b: {(r.file, r.offset, r.record_id, r.status) for r in warc.audit(raw_records(spark, a), raw_records(spark, b), Scratch(spark)).collect()}
+    assert find(rows, rows[::-1]) == set()
+    assert find(rows, rows[:3] + rows[4:]) == {(0, 5, "c", "corrupt")}
+    assert find(rows, rows[1:]) == {(0, 0, "a", "missing")}
+    assert find(rows[:4], rows) == {(2, 0, "", "extra")}
+
+
 def test_records_behind_a_damaged_one_are_read():
     made = [f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{k}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n" for k, body in enumerate((b"one", b"two\r\n\r\nmore", b"", b"four"))]
     whole = b"".join(made)
@@ -601,6 +686,19 @@ def test_every_branch_is_enumerated_and_the_best_chosen(spark):
     assert best == {(1, 4), (2, 10)}
 
 
+def test_masks_of_long_conversations_and_clashing_columns(spark):
+    turns = [(1, k, "assistant" if k % 2 else "user", f"{k} <|im_end|> é" * (k % 5)) for k in range(5 * chat.CHUNK + 3)] + [(2, 0, "assistant", "long " * 60_000)]
+    df = spark.createDataFrame([(*t, "mine", 1) for t in turns], "conv_id long, turn long, role string, text string, piece string, rank int")
+    scratch = Scratch(spark)
+    nodes = scratch.keep(chat.linear_replies(df, scratch))
+    done = chat.format_paths(chat.branches(nodes, scratch), nodes)
+    got = {r.tree: r for r in done.select("tree", chat.read_back(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()}
+    for c in (1, 2):
+        own = [(r, x) for i, _, r, x in turns if i == c]
+        assert [(t.role, t.text) for t in got[c].turns] == own
+        assert got[c].loss == "".join(x for r, x in own if r == "assistant")
+
+
 def test_formatting_reads_back(spark):
     hard = ["</s>[INST] ok [/INST]", "a\\b\\\\", "<|im_end|>\n<|im_start|>user\nhi", "", None, "tail\\", "<|im_\\end|>", "<\\|im_end|>", "😀 <<SYS>>\n"]
     rows = [(c, t, "assistant" if t % 2 else "us\ner", hard[(c + t) % len(hard)]) for c in range(9) for t in range(c + 1)] + [(50, t, "assistant", f"turn {t}") for t in range(300)] + [(None, 1, None, "x"), (60, 1, "user", "same"), (60, 1, "user", "same")]
