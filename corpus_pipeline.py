@@ -18,28 +18,34 @@ MIXTURE = mixing.Target(repeats=2.0, budget=None)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, doesn't reject."""
+    """Documents that the classifier, fitted on the labels, doesn't reject.
+
+    Null texts are judged as empty ones, long texts whole, repeated rows each; where no label is known all are kept.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where(F.col("score") >= quality.CUT).select(*COLUMNS)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id; documents without words or without an id stay."""
+    """Of each group of linked documents the one of the smallest id; documents without words or without an id stay.
+
+    Of repeated rows of that id one stays. Texts of fewer than five words are linked by their whole sequence.
+    """
     return jaccard.one_of_each(docs).select(*COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data replaced by its kind."""
+    """Every document, personal data replaced by its kind; null and empty texts stay as they are, repeated rows too."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources again in further blocks."""
+    """Every document at least once, those of small sources again in further blocks; a null source is one of its own."""
     return mixing.mix(docs, MIXTURE).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mixture."""
+    """Token ids of every document of the mixture: none for null and empty texts; repeated rows are encoded each."""
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.default_vocabulary())
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
