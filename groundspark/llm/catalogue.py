@@ -5,6 +5,8 @@ from __future__ import annotations
 from groundspark.llm.ann import op2_ann
 from groundspark.llm.bpe import op1_bpe
 from groundspark.llm.chat import OP10_SQL, op10_chat
+from groundspark.llm.dedup import OP12_SQL, op12_dedup
+from groundspark.llm.divergence import OP13_SQL, op13_divergence
 from groundspark.llm.extract import op4_html
 from groundspark.llm.jaccard import op6_jaccard
 from groundspark.llm.mixing import OP5_SQL, op5_mixing
@@ -26,6 +28,8 @@ def queries():
         "op8_topk": op8_topk,
         "op9_pii": op9_pii,
         "op10_chat": op10_chat,
+        "op12_dedup": op12_dedup,
+        "op13_divergence": op13_divergence,
     }
 
 
@@ -35,4 +39,6 @@ def oracle_sql():
         "op7_warc": OP7_SQL,
         "op8_topk": OP8_SQL,
         "op10_chat": OP10_SQL,
+        "op12_dedup": OP12_SQL,
+        "op13_divergence": OP13_SQL,
     }

@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-ROWS_OF_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_OF_A_BATCH, BYTES_OF_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
@@ -37,14 +37,14 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """The bound on Arrow batches for what is computed inside."""
-    before = spark.conf.get(ROWS_OF_A_BATCH)
-    spark.conf.set(ROWS_OF_A_BATCH, str(rows))
+def batches_of(spark: SparkSession, most: int, what: str = ROWS_OF_A_BATCH) -> Iterator[None]:
+    """The bound on Arrow batches, in rows or in bytes, for what is computed inside."""
+    before = spark.conf.get(what)
+    spark.conf.set(what, str(most))
     try:
         yield
     finally:
-        spark.conf.set(ROWS_OF_A_BATCH, before)
+        spark.conf.set(what, before)
 
 
 def unused(name: str, *tables: DataFrame) -> str:
