@@ -10,6 +10,7 @@ from groundspark.llm.divergence import OP13_SQL, op13_divergence
 from groundspark.llm.extract import op4_html
 from groundspark.llm.jaccard import op6_jaccard
 from groundspark.llm.mixing import OP5_SQL, op5_mixing
+from groundspark.llm.negatives import OP11_SQL, op11_negatives
 from groundspark.llm.pii import op9_pii
 from groundspark.llm.quality import op3_quality
 from groundspark.llm.topk import OP8_SQL, op8_topk
@@ -28,6 +29,7 @@ def queries():
         "op8_topk": op8_topk,
         "op9_pii": op9_pii,
         "op10_chat": op10_chat,
+        "op11_negatives": op11_negatives,
         "op12_dedup": op12_dedup,
         "op13_divergence": op13_divergence,
     }
@@ -39,6 +41,7 @@ def oracle_sql():
         "op7_warc": OP7_SQL,
         "op8_topk": OP8_SQL,
         "op10_chat": OP10_SQL,
+        "op11_negatives": OP11_SQL,
         "op12_dedup": OP12_SQL,
         "op13_divergence": OP13_SQL,
     }
