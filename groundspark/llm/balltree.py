@@ -6,8 +6,9 @@ import numpy as np
 
 
 class BallTree:
-    """Nodes as flat arrays; left is -1 in a leaf. A node's rows are order[start:end], by falling spread halved at the median,
-    so that equal vectors are divided as well; in a leaf ids rise. ``labels``: the least and the largest of each node."""
+    """Nodes as flat arrays; left is -1 in a leaf. A node's rows are order[start:end]. They are divided along the component of
+    the largest spread at its mean, which parts clusters, or in halves where that would leave one side with few, so that equal
+    vectors are divided as well; in a leaf ids rise. ``labels``: the least and the largest of each node."""
 
     def __init__(self, vectors: np.ndarray, leaf: int, labels: np.ndarray | None = None, ids: np.ndarray | None = None):
         self.order = np.arange(len(vectors))
@@ -24,9 +25,11 @@ class BallTree:
             if b - a > leaf:
                 by = own[:, np.argmax(own.var(0))]
                 self.order[a:b] = self.order[a:b][np.argsort(by, kind="stable")]
+                low = int((by < by.mean()).sum())
+                cut = a + low if min(low, b - a - low) * 16 >= b - a else (a + b) // 2
                 left[k], right[k] = len(start), len(start) + 1
-                start += [a, (a + b) // 2]
-                end += [(a + b) // 2, b]
+                start += [a, cut]
+                end += [cut, b]
                 left += [-1, -1]
                 right += [-1, -1]
             elif ids is not None:

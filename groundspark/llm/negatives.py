@@ -38,7 +38,7 @@ from groundspark.llm.common import Scratch, table
 from groundspark.llm.vectors import EXACT, exact_products, floored, matrix, sampled, sound, to_long
 
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 3, 50, 95
-#: Rows that the upper levels of the tree are fitted on, and cells at most.
+#: Rows that the upper levels of the tree are fitted on, and about how many cells they end in.
 SAMPLE, CELLS = 16_384, 1_024
 #: Rows of a block: at least LEAST, at most MOST. Rows of a leaf, anchors of a leaf.
 LEAST, MOST, LEAF, ANCHORS = 2_048, 65_536, 128, 32
@@ -256,7 +256,7 @@ def mine(df: DataFrame, is_anchor: Column, vec_id: str = "vec_id", vector: str =
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(floor - slack)], names=[*names, "floor"])
 
     anchors = scratch.keep(held.where(is_anchor).mapInArrow(floors, "row long, id long, label long, vector array<double>, cell int, away double, floor double"))
-    # One row for each cell, and cells are at most CELLS, here and below.
+    # One row for each cell here and below; a leaf of the sample holds a sixteenth of its share at least, so cells are at most 16 * CELLS.
     stats = {r["cell"]: (r["n"], r["far"]) for r in held.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect()}
 
     def met(asked: DataFrame, ends: dict[int, tuple[float, float, float]]) -> DataFrame:
