@@ -75,7 +75,7 @@ class Page:
             name = self.tag[self._stack[k]]
             if name in tags:
                 del self._stack[k:]
-                self._block += name not in MATH
+                self._block += name in BLOCK
                 return
             if name in stops:
                 return

@@ -236,3 +236,54 @@ def test_runs_and_tables_of_bounded_size_change_nothing(monkeypatch):
 def test_digests_of_texts(spark):
     row = dedup.groups(spark.createDataFrame([(1, "Grüße")], DOCS)).first()
     assert bytes(row.digest).hex() == hashlib.sha256("Grüße".encode()).hexdigest()
+
+
+# -- 1, 4, 8, 9: sizes and names that were open
+
+
+def test_topk_of_large_components(spark):
+    from groundspark.llm import topk
+
+    rng = random.Random(6)
+    rows = lambda size: [(i, [size * (rng.random() - 0.3) for _ in range(64)]) for i in range(60)]
+    for size in (0.5, 3e4, 9e5):
+        own = rows(size)
+        whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in own]
+        want = []
+        for q, v in whole[::20]:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:10]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+        df = spark.createDataFrame(own, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, topk.search(df, F.col("id") % 20 == 0, 10).collect())) == sorted(want)
+    assert 2**61 < max(r[3] for r in want) < 2**63
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(spark.createDataFrame(rows(1e17), "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, 10).collect()
+
+
+def test_names_that_differ_in_case_are_replaced(spark):
+    from groundspark.llm import bpe, extract, pii
+
+    df = spark.createDataFrame([(1, "mail a@b.co", "<p>Some words of a page.</p>")], "doc_id long, body string, html string").withColumns({c: F.lit("old") for c in ("PII", "Ids", "TEXT", "DEcoded")})
+    found = pii.find(df, "body").first()
+    assert found.pii[0].kind == "email" and "PII" not in found.asDict()
+    coded = bpe.encode(df, bpe.default_vocabulary(), "body", decoded="decoded").first()
+    assert coded.decoded == "mail a@b.co" and coded.ids and coded.TEXT == "old"
+    assert extract.extract(df).first().text != "old"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>It is <strong>very</strong> good, and <i>cheap</i>.</p>", "It is very good, and cheap."),
+        ("<p>H<sub>2</sub>O is water.</p>", "H2O is water."),
+        ("<p>See <a href='x'>the link</a>, then <code>run()</code> it.</p><p>Next</p>", "See the link, then run() it.\n\nNext"),
+        ("<div><b>Head</b>line <span>goes <em>on</em></span></div>tail", "Headline goes on\n\ntail"),
+        ("<p>a<p><b>b</b> c<ul><li>x<li>y</ul>", "a\n\nb c\n\nx\n\ny"),
+        ("<p>E=mc<sup>2</sup><br>holds</p>", "E=mc2 holds"),
+    ],
+)
+def test_inline_elements_end_no_block(html, want):
+    from groundspark.llm.dom import Page
+
+    page = Page(html)
+    assert page.blocks([True] * len(page.tag)) == want
