@@ -4,7 +4,9 @@ Components become integers, floor(SCALE * x). Candidates are dealt into blocks,
 dimension (vertical layout). A query takes the dimensions in order of its own largest components, STEP at a time: the
 products of a step are added up for all surviving candidates, and then those are compacted away whose sum and largest
 possible rest (the query's remaining norm times the candidate's, by Cauchy and Schwarz) fall short of the k-th best score
-known so far. All arithmetic is exact, since sums stay far below 2^53; only the bound has a rounding allowance.
+known so far. The largest norm of the table is taken first: while its square is below 2^52, sums of doubles are exact. Beyond that
+sums carry an allowance for rounding that follows the norms, so no candidate is lost, and the survivors of the last step are
+scored in integers without bounds. A score that 64 bits can't hold raises OverflowError.
 
 A block meets its queries as a stream: rows are sorted so that a block's candidates come first, then queries pass in
 Arrow batches, so memory is bounded by one block. Each query brings a lower bound for its k-th score, found among a
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from groundspark.llm.common import Scratch, table
-from groundspark.llm.vectors import matrix, sound
+from groundspark.llm.vectors import EXACT, exact_products, floored, matrix, sampled, sound, to_long
 
 SCALE, STEP = 1024, 16
 #: Candidates in a block: at least LEAST, at most MOST, so that memory is bounded and shuffled queries aren't many.
@@ -40,7 +42,8 @@ FOUND = T.StructType([T.StructField("row", T.LongType()), T.StructField("query_i
 class Block:
     """Candidates in vertical layout, by ascending id. ``rows`` are unique."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, big: bool = False):
+        self.big = big
         order = np.argsort(ids, kind="stable")
         self.rows, self.ids, self.columns = rows[order], ids[order], np.ascontiguousarray(vectors[order].T)
         self.mass = (self.columns**2).sum(0) if len(ids) else np.zeros(0)
@@ -51,6 +54,7 @@ class Block:
         alive = np.flatnonzero(self.rows != row)
         sums, rest = np.zeros(len(alive)), self.mass[alive]
         left = float((q**2).sum())
+        off = 1e-12 * np.sqrt(left) * np.sqrt(rest) if self.big else 0.0  # what sums can be off by
         for at in range(0, len(q), STEP):
             part = dims[at : at + STEP]
             own = self.columns[part] if len(alive) == len(self.ids) else self.columns[np.ix_(part, alive)]
@@ -59,13 +63,20 @@ class Block:
             if at + STEP >= len(q):
                 break
             rest = np.maximum(rest - (own**2).sum(0), 0)
-            slack = np.sqrt(max(left, 0.0) * rest) * (1 + 1e-9) + 1e-6
+            slack = np.sqrt(max(left, 0.0)) * np.sqrt(rest) * (1 + 1e-9) + 1e-6 + off
             bar = floor
             if len(sums) > k:  # the k-th best of the least possible scores bounds the k-th score from below
                 bar = max(bar, np.partition(sums - slack, len(sums) - k)[len(sums) - k])
             keep = sums + slack >= bar
             if not keep.all():
                 alive, sums, rest = alive[keep], sums[keep], rest[keep]
+                off = off[keep] if self.big else off
+        if self.big:
+            bar = max(floor, np.partition(sums - off, len(sums) - k)[len(sums) - k]) if len(sums) > k else floor
+            alive = alive[sums + off >= bar]
+            exact = exact_products(q[None, :], self.columns[:, alive].T)[0]
+            best = sorted(range(len(alive)), key=lambda j: (-exact[j], self.ids[alive[j]]))[:k]
+            return self.ids[alive[best]], exact[best]
         good = sums >= floor
         alive, sums = alive[good], sums[good]
         best = np.lexsort((self.ids[alive], -sums))[:k]
@@ -76,10 +87,11 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
     """query_id, rank, vec_id, score: the k candidates of the largest integer inner product. ``is_query``: over ``id``."""
     spark = df.sparkSession
     scratch = Scratch(spark)
-    rows, dim = sound(df, vec_id, vector, True, scratch, lambda v: F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("double")))
-    n = rows.count()
-    sample = rows.orderBy(F.xxhash64("id"), "row").limit(SEEDS).toArrow()
-    seeds = Block(sample.column("row").to_numpy(), sample.column("id").to_numpy(), matrix(sample.column("vector"), dim))
+    rows, dim = sound(df, vec_id, vector, True, scratch, lambda v: F.transform(v, lambda x: floored(x.cast("double") * SCALE)))
+    n, norm = rows.agg(F.count("*"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()
+    big = (norm or 0.0) * (1 + 1e-9) >= EXACT
+    sample = sampled(rows, n, SEEDS).toArrow()
+    seeds = Block(sample.column("row").to_numpy(), sample.column("id").to_numpy(), matrix(sample.column("vector"), dim), big)
     blocks = max(1, -(-n // int(min(MOST, max(LEAST, n // 64)))))
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +99,7 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
             floors = []
             for i, q in zip(batch.column("row").to_numpy(), matrix(batch.column("vector"), dim), strict=True):
                 found = seeds.search(int(i), q, k)[1]
-                floors.append(float(found[-1]) if len(found) == k else float("-inf"))
+                floors.append(float(found[-1]) - 1e-15 * abs(float(found[-1])) if len(found) == k else float("-inf"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "vector")), pa.array(floors, pa.float64())], names=["row", "id", "vector", "floor"])
 
     queries = rows.where(is_query).mapInArrow(bounds, "row long, id long, vector array<double>, floor double")
@@ -112,11 +124,11 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
                     parts.append((row, ids, vs))
                     continue
                 if block is None:
-                    block = Block(*(np.concatenate([p[j] for p in parts]) for j in range(3))) if parts else Block(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dim)))
+                    block = Block(*(np.concatenate([p[j] for p in parts]) for j in range(3)), big) if parts else Block(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dim)))
                     parts = []
                 for r, i, q, floor in zip(row, ids, vs, own.column("floor").to_numpy(), strict=True):
                     found, scores = block.search(int(r), q, k, float(floor))
-                    out.append((np.full(len(found), r), np.full(len(found), i), found, scores.astype(np.int64)))
+                    out.append((np.full(len(found), r), np.full(len(found), i), found, to_long(scores)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out]), pa.int64()) for j in range(4)], names=FOUND.names)
 
