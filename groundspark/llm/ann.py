@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundspark.llm.common import Scratch, table
-from groundspark.llm.vectors import matrix, sound
+from groundspark.llm.vectors import matrix, sampled, sound
 
 SAMPLE, MOST_LISTS, IN_LIST, PARTS, CODES = 16_384, 4_096, 16, 16, 256
 COVER, BLOCK, GROUP, NEAR = 0.985, 2_048, 2_048, 2.5
@@ -147,7 +147,7 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
     scratch = Scratch(spark)
     rows, dim = sound(df, vec_id, vector, False, scratch)
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("id"), "row").limit(max(SAMPLE, IN_LIST * n_lists(n))).toArrow()
+    sample = sampled(rows, n, max(SAMPLE, IN_LIST * n_lists(n))).toArrow()
     x = matrix(sample.column("vector"), dim) if n else np.zeros((1, dim))
     index = fit(x, n)
 
