@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundspark.llm.common import lean, small_batches
+from groundspark.llm.common import lean, replaced, small_batches
 
 #: Fixed value: the published pattern that splits text before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -267,10 +267,6 @@ def decode_ids(ids: np.ndarray, path: str) -> str:
     return data[where].tobytes().decode("utf-8", "replace")
 
 
-def _replaced(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
-
-
 def _with(batch: pa.RecordBatch, schema: T.StructType, made: dict[str, pa.Array]) -> pa.RecordBatch:
     columns = {f: batch.column(f) for f in batch.schema.names} | made
     return pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=schema.names)
@@ -279,9 +275,9 @@ def _with(batch: pa.RecordBatch, schema: T.StructType, made: dict[str, pa.Array]
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds the token ids of a text column as ``array<int>`` and, if named, the text that ``decode`` makes of them, in one pass."""
     small_batches(df.sparkSession)
-    schema = _replaced(df, ids, T.ArrayType(T.IntegerType()))
+    schema = replaced(df.schema, ids, T.ArrayType(T.IntegerType()))
     if decoded:
-        schema = T.StructType([f for f in schema.fields if f.name != decoded] + [T.StructField(decoded, T.StringType())])
+        schema = replaced(schema, decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
@@ -313,7 +309,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of a column of token ids."""
     small_batches(df.sparkSession)
-    schema = _replaced(df, text, T.StringType())
+    schema = replaced(df.schema, text, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

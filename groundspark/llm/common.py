@@ -14,6 +14,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that go to Python in one Arrow batch where rows hold whole texts; bounds a worker's memory.
 TEXT_BATCH = 256
@@ -55,6 +56,11 @@ def unused(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def replaced(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    """The schema with that column last, instead of any of its name in any case of letters, as Spark tells no such names apart."""
+    return T.StructType([*(f for f in schema.fields if f.name.lower() != name.lower()), T.StructField(name, kind)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's spark.checkpoint.dir; only in local mode, where it is unset, one of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

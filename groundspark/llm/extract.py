@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundspark.llm import trees
-from groundspark.llm.common import small_batches, table
+from groundspark.llm.common import replaced, small_batches, table
 from groundspark.llm.dom import Page
 
 #: Generated pages that the trees are fitted on.
@@ -302,7 +302,7 @@ def fitted(n: int = TRAINING, seed: int = 1) -> trees.Boosted:
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """Adds the main text of a column of pages; the empty text where there is none."""
     small_batches(df.sparkSession)
-    schema = T.StructType([f for f in df.schema.fields if f.name != text] + [T.StructField(text, T.StringType())])
+    schema = replaced(df.schema, text, T.StringType())
     model = fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundspark.llm.common import small_batches, table
+from groundspark.llm.common import replaced, small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "secret", "url")
@@ -245,7 +245,7 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
 
 def _mapped(df: DataFrame, text: str, name: str, kind: T.DataType, make) -> DataFrame:
     small_batches(df.sparkSession)
-    schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+    schema = replaced(df.schema, name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
