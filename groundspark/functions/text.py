@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import string
 import sys
 import unicodedata
 
@@ -20,6 +19,7 @@ STOPWORDS = (
     "what", "when", "where", "not", "also", "there",
 )
 ARTICLES = ("a", "an", "the")
+PUNCTUATION = r"[!-/:-@\[-`{-~]"
 MARKER = r"\[([0-9]+(?:\s*,\s*[0-9]+)*)\]"
 
 
@@ -40,6 +40,8 @@ def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
 
 
 SHORT, LONG = _decompositions()
+#: Stands in no decomposition.
+GAP = "\x1f"
 
 
 def _ranges(codes: list[int]) -> str:
@@ -53,26 +55,33 @@ def _ranges(codes: list[int]) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
 
 
+#: A class of many ranges is tested range by range for every character, so a text is looked through for them only if it has any
+#: character beyond LATIN, or one of the few before it.
+LATIN = 0x24F
 SEVERAL = _ranges(sorted([*map(ord, LONG), *range(HANGUL, 0xD7A4)]))
+MAYBE = _ranges(sorted([*(ord(c) for c in LONG if ord(c) <= LATIN), *range(LATIN + 1, 0xD800), *range(0xE000, sys.maxunicode + 1)]))
 
 
 def _spelled(c: Column) -> Column:
-    """A character's decomposition, if it has several characters."""
-    keys = "".join(LONG)
-    at = F.instr(F.lit(keys), c)
+    """A character's decomposition, if it has several characters. Tables are single literals, which keeps plans small."""
+    at = F.instr(F.lit("".join(LONG)), c)
     number = F.ascii(c) - HANGUL
-    row = lambda start, n: F.array(*[F.lit(chr(start + k)) for k in range(n)])
-    pick = lambda start, n, k: F.get(row(start, n), k.cast("int"))
+    row = lambda start, n: F.lit("".join(chr(start + k) for k in range(n)))
+    pick = lambda start, n, k: F.substring(row(start, n), F.floor(k).cast("int") + 1, F.lit(1))
     last = F.when(number % 28 == 0, "").otherwise(pick(LASTS, 28, number % 28))
     syllable = F.concat(pick(FIRSTS, 19, number / 588), pick(MIDDLES, 21, (number % 588) / 28), last)
-    return F.when((number >= 0) & (number < 0xD7A4 - HANGUL), syllable).when(at > 0, F.get(F.array(*map(F.lit, LONG.values())), at - 1)).otherwise(c)
+    parts = F.split(F.lit(GAP.join(LONG.values())), GAP)
+    return F.when((number >= 0) & (number < 0xD7A4 - HANGUL), syllable).when(at > 0, F.get(parts, at - 1)).otherwise(c)
 
 
 def folded(text: Column) -> Column:
-    """Compatibility decomposition without combining marks. Characters that become several are rare, so only texts with one are spelled out."""
+    """Compatibility decomposition without combining marks. Texts of ASCII stay as they are; characters that become several are rare, so
+    only texts with one are spelled out."""
     ordered = sorted(SHORT, key=lambda c: not SHORT[c])  # translate drops what has no counterpart at the end
     plain = F.translate(text, "".join(ordered), "".join(SHORT[c] for c in ordered))
-    return F.when(F.rlike(plain, F.lit(SEVERAL)), F.array_join(F.transform(F.split(plain, ""), _spelled), "")).otherwise(plain)
+    several = F.rlike(plain, F.lit(MAYBE)) & F.rlike(plain, F.lit(SEVERAL))
+    whole = F.when(several, F.array_join(F.transform(F.split(plain, ""), _spelled), "")).otherwise(plain)
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), whole).otherwise(text)
 
 
 def stripped(text: Column) -> Column:
@@ -97,7 +106,7 @@ def parse_chunk_id(chunk_id: Column) -> Column:
 
 def normalized_words(text: Column) -> Column:
     """Words after accents, case and punctuation are gone, without articles. Punctuation goes before articles do."""
-    plain = F.translate(F.lower(folded(text)), string.punctuation, "")
+    plain = F.regexp_replace(F.lower(folded(text)), PUNCTUATION, "")
     words = F.split(F.regexp_replace(plain, r"(?U)\s+", " "), " ")
     return F.filter(words, lambda w: (w != "") & ~w.isin(*ARTICLES))
 
