@@ -95,6 +95,11 @@ def path_totals(drafts: DataFrame) -> DataFrame:
     return total.withColumn("fallback_rate", F.coalesce(F.try_divide("fallback", "calls"), F.lit(0.0)))
 
 
+def tokens(chars):
+    """Tokens of so many characters, by the rule of thumb of four to one; a real run takes them from the provider's usage record."""
+    return F.ceil(chars / F.lit(4.0)).cast("long")
+
+
 def usage_totals(usage: DataFrame) -> DataFrame:
     """Tokens and cost over all calls. Calls from the cache cost nothing but count in the cost a query."""
     s = SETTINGS

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from groundspark.functions.text import answer_matches, is_abstention, normalize_answer
 from groundspark.operators.grading import weak_label
+from groundspark.operators.orchestrate import Flags, Runs
 from groundspark.settings import SETTINGS
 
 
@@ -22,6 +24,7 @@ class Variant(NamedTuple):
     repair_and_abstain: bool
 
 
+#: Keys and names are fixed values.
 VARIANTS = (
     Variant("A", "Vanilla RAG", False, False, False, False),
     Variant("B", "+ retrieval evaluator", True, False, False, False),
@@ -37,6 +40,21 @@ def with_variants(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_v", F.explode(F.array(*listed))).select(*rows.columns, "_v.*")
 
 
+def run_variants(runs: Runs, golds: DataFrame) -> DataFrame:
+    """A row for each variant and question, as ``ablation_table`` takes them: answers under the variant's flags, and counters out of its
+    own verdicts, sentences and calls. Stages that variants share are computed once. ``golds``: qid, answers.
+    """
+    s = runs.s
+    out = []
+    for v in VARIANTS:
+        flags = Flags(*v[2:])
+        rows = runs.answers(flags).join(runs.counters(flags), "qid", "left").join(golds.select("qid", "answers"), "qid", "left")
+        cost = (F.coalesce("input_tokens", F.lit(0)) * F.lit(s.price_in) + F.coalesce("output_tokens", F.lit(0)) * F.lit(s.price_out)) / F.lit(1e6)
+        names = ("sentences", "parseable", "scored", "supported", "contradicted", "citations", "good_citations")
+        out.append(rows.select(F.lit(v.key).alias("variant"), "qid", "abstained", "abstain_reason", "text", "answers", F.lit(None).cast("string").alias("error"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names], "repair_attempted", "repair_succeeded", cost.alias("cost_usd")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def shuffle_key(key: Column, seed: int = SETTINGS.seed) -> Column:
     """A seeded order that any engine can repeat."""
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
@@ -167,24 +185,24 @@ def calibration_slice(positives: DataFrame, negatives: DataFrame) -> DataFrame:
 def ablation_table(rows: DataFrame) -> DataFrame:
     """One row for each variant. ``rows``: variant, abstained, text, answers, error, parseable, sentences, repair_attempted, repair_succeeded, cost_usd.
 
-    A refusal in the text counts as an abstention for every variant. With the columns supported, citations and good_citations
-    (of an answer's sentences and citations) the table also has citation_recall and citation_precision; null if there are none.
+    A refusal in the text counts as an abstention for every variant. With the columns scored, supported, contradicted, citations
+    and good_citations (of an answer's verdicts) the table also has citation recall and precision and the automatic rates of
+    hallucination and contradiction. A rate is null where there is nothing to count.
     """
     failed = F.col("error").isNotNull()
     out = F.coalesce("abstained", F.lit(False)) | F.coalesce(is_abstention(F.col("text")), F.lit(False))
     own = rows.withColumn("_out", ~failed & out).withColumn("_right", ~failed & ~out & answer_matches(F.coalesce("text", F.lit("")), F.col("answers")))
+    answered_sum = lambda c: F.coalesce(F.sum(F.when(~F.col("_out"), F.col(c))), F.lit(0)).cast("long").alias(c)
+    verified = [c for c in ("scored", "supported", "contradicted", "citations", "good_citations") if c in rows.columns]
     sums = own.groupBy("variant").agg(
-        F.count("*").alias("n"), F.count_if("_out").alias("abstained"), F.count_if(failed).alias("errors"), F.count_if("_right").alias("correct"),
-        F.coalesce(F.sum(F.when(~F.col("_out"), F.col("parseable"))), F.lit(0)).cast("long").alias("parseable"), F.coalesce(F.sum(F.when(~F.col("_out"), F.col("sentences"))), F.lit(0)).cast("long").alias("sentences"),
-        *[F.coalesce(F.sum(F.when(~F.col("_out"), F.col(c))), F.lit(0)).cast("long").alias(c) for c in ("supported", "citations", "good_citations") if c in rows.columns],
+        F.count("*").alias("n"), F.count_if("_out").alias("abstained"), F.count_if(failed).alias("errors"), F.count_if("_right").alias("correct"), answered_sum("parseable"), answered_sum("sentences"), *map(answered_sum, verified),
         F.coalesce(F.sum("repair_attempted"), F.lit(0)).cast("long").alias("repair_attempted"), F.coalesce(F.sum("repair_succeeded"), F.lit(0)).cast("long").alias("repair_succeeded"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),
     )
     answered = F.col("n") - F.col("abstained") - F.col("errors")
+    rates = {"citation_recall": ("supported", "scored"), "citation_precision": ("good_citations", "citations"), "contradiction_rate_auto": ("contradicted", "scored")}
+    more = [F.try_divide(a, b).alias(name) for name, (a, b) in rates.items()] + [F.try_divide(F.col("scored") - F.col("supported"), F.col("scored")).alias("hallucination_rate_auto")]
     return sums.select(
         "variant", "n", answered.alias("answered"), "abstained", "errors", "correct", F.try_divide("abstained", "n").alias("abstention_rate"), F.try_divide(answered, F.col("n")).alias("coverage"),
         F.try_divide("correct", "n").alias("accuracy_all"), F.try_divide(F.col("correct"), answered).alias("accuracy_answered"), F.try_divide("parseable", "sentences").alias("parseable_citation_rate"),
-        *([F.try_divide("supported", "sentences").alias("citation_recall"), F.try_divide("good_citations", "citations").alias("citation_precision")] if "citations" in rows.columns else []),
-        "repair_attempted", "repair_succeeded", "cost_usd",
+        *(more if len(verified) == 5 else []), "repair_attempted", "repair_succeeded", "cost_usd",
     )
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,20 +86,63 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("threshold"), F.max("f1").alias("f1"))
 
 
-def threshold_grid(rows: DataFrame, correct: list[float], wrong: list[float], classes: tuple) -> DataFrame:
-    """For each pair with wrong < correct: accuracy and macro-F1 of the labels that probabilities get. ``rows``: gold and p_*."""
+def threshold_grid(rows: DataFrame, correct: list[float], wrong: list[float], classes: tuple, key: str | None = None) -> DataFrame:
+    """For each pair with wrong < correct: accuracy and macro-F1 of the labels that probabilities get. ``rows``: gold and p_*.
+
+    With the column ``key`` of questions also action_accuracy and vs_majority: how often a question's action out of its labels is
+    the one out of its gold labels, and by how much that beats always taking the commonest. A row's labels at all points are two
+    integers with a bit for each point; a question's actions are their bit_or and bit_and, so no point is a pass of its own.
+    """
     grid = [(c, w) for c in correct for w in wrong if w < c]
-    label = lambda c, w: F.when(F.col("p_correct") >= F.lit(c), "correct").when((F.col("p_correct") <= F.lit(w)) & (F.col("p_wrong") >= F.col("p_ambiguous")), "wrong").otherwise("ambiguous")
-    each = rows.select("gold", *[label(c, w).alias(f"l{i}") for i, (c, w) in enumerate(grid)])
-    sums = each.agg(*[F.count_if((F.col("gold") == g) & (F.col(f"l{i}") == p)).alias(f"n{i}_{a}_{b}") for i in range(len(grid)) for a, g in enumerate(classes) for b, p in enumerate(classes)])
-    listed = []
+    if len(grid) > 62:
+        raise ValueError("at most 62 points fit the bits of an integer")
+    is_correct = lambda c: F.col("p_correct") >= F.lit(c)
+    is_wrong = lambda c, w: ~is_correct(c) & (F.col("p_correct") <= F.lit(w)) & (F.col("p_wrong") >= F.col("p_ambiguous"))
+    bits = lambda conditions: reduce(Column.bitwiseOR, [F.when(x, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, x in enumerate(conditions)])
+    marked = rows.select("gold", *([key] if key else []), bits([is_correct(c) for c, _ in grid]).alias("hit"), bits([is_wrong(c, w) for c, w in grid]).alias("out"))
+    # Rows with equal bits and gold are counted together first: there are few such patterns, and only they meet every point.
+    patterns = marked.groupBy("gold", "hit", "out").agg(F.count("*").alias("n"))
+    named = F.when(_bit("hit"), "correct").when(_bit("out"), "wrong").otherwise("ambiguous")
+    each = patterns.withColumn("i", _points(grid)).select("i", "gold", named.alias("pred"), "n")
     k = range(len(classes))
-    for i, (c, w) in enumerate(grid):
-        n = lambda a, b, i=i: F.col(f"n{i}_{a}_{b}")
-        total = sum((n(a, b) for a in k for b in k), F.lit(0))
-        f1 = [F.coalesce(F.try_divide(n(a, a) * 2, sum((n(a, b) + n(b, a) for b in k), F.lit(0))), F.lit(0.0)) for a in k]
-        listed.append(F.struct(F.lit(c).alias("correct_threshold"), F.lit(w).alias("wrong_threshold"), F.try_divide(sum((n(a, a) for a in k), F.lit(0)), total).alias("accuracy"), (sum(f1[1:], f1[0]) / len(classes)).alias("macro_f1")))
-    return sums.select(F.explode(F.array(*listed)).alias("x")).select("x.*")
+    counts = each.groupBy("i").agg(*[F.coalesce(F.sum(F.when((F.col("gold") == g) & (F.col("pred") == p), F.col("n"))), F.lit(0)).alias(f"n{a}_{b}") for a, g in enumerate(classes) for b, p in enumerate(classes)])
+    n = lambda a, b: F.col(f"n{a}_{b}")
+    total = sum((n(a, b) for a in k for b in k), F.lit(0))
+    f1 = [F.coalesce(F.try_divide(n(a, a) * 2, sum((n(a, b) + n(b, a) for b in k), F.lit(0))), F.lit(0.0)) for a in k]
+    at = lambda j: F.element_at(F.array(*[F.lit(x[j]) for x in grid]), F.col("i") + 1)
+    named_counts = counts.select("i", at(0).alias("correct_threshold"), at(1).alias("wrong_threshold"), F.try_divide(sum((n(a, a) for a in k), F.lit(0)), total).alias("accuracy"), (sum(f1[1:], f1[0]) / len(classes)).alias("macro_f1"))
+    if key is None:
+        return named_counts.drop("i")
+    acted = _right_actions(marked, key, grid)
+    out = named_counts.join(acted, "i").withColumns({"action_accuracy": F.try_divide("right", "questions"), "vs_majority": F.try_divide(F.col("right") - F.col("majority"), F.col("questions"))})
+    return out.drop("i", "right", "questions", "majority")
+
+
+def _points(grid: list) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1)))
+
+
+def _bit(name: str) -> Column:
+    """The bit of point i."""
+    return F.call_function("getbit", F.col(name), F.col("i")) == 1
+
+
+def _right_actions(marked: DataFrame, key: str, grid: list) -> DataFrame:
+    """i, right, questions, majority: at each point the questions whose action is the gold one, all, and those of the commonest gold action."""
+    own = marked.groupBy(key).agg(F.bit_or("hit").alias("any"), F.bit_and("out").alias("all"), F.max(F.col("gold") == "correct").alias("goes"), F.min(F.col("gold") == "wrong").alias("stops"))
+    none = F.bitwise_not(F.col("any"))
+    right = F.when(F.col("goes"), F.col("any")).when(F.col("stops"), none.bitwiseAND(F.col("all"))).otherwise(none.bitwiseAND(F.bitwise_not(F.col("all"))))
+    patterns = own.groupBy(right.alias("bits"), F.when(F.col("goes"), 0).when(F.col("stops"), 1).otherwise(2).alias("gold")).agg(F.count("*").alias("n"))
+    share = [F.coalesce(F.sum(F.when(F.col("gold") == g, F.col("n"))), F.lit(0)) for g in range(3)]
+    return patterns.withColumn("i", _points(grid)).groupBy("i").agg(F.sum(F.when(_bit("bits"), F.col("n")).otherwise(0)).alias("right"), F.sum("n").alias("questions"), F.greatest(*share).alias("majority"))
+
+
+def best_points(grid: DataFrame) -> DataFrame:
+    """The grid points of the best action accuracy and of the best macro-F1, the first of equals, and whether the better one beats the majority."""
+    first = lambda by: F.max_by(F.struct("correct_threshold", "wrong_threshold", "macro_f1", "action_accuracy", "vs_majority"), F.struct(by, -F.col("correct_threshold"), -F.col("wrong_threshold")))
+    r = grid.agg(first("action_accuracy").alias("action"), first("macro_f1").alias("f1"))
+    each = F.explode(F.array(F.struct(F.lit("action_accuracy").alias("best_by"), F.col("action").alias("x")), F.struct(F.lit("macro_f1").alias("best_by"), F.col("f1").alias("x"))))
+    return r.select(each.alias("y")).select("y.best_by", "y.x.*").withColumn("beats_majority", F.col("vs_majority") > 0)
 
 
 def separation(rows: DataFrame) -> DataFrame:

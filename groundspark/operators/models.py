@@ -39,13 +39,15 @@ def plain_generator(context: DataFrame) -> DataFrame:
     return extractive_generator(context).withColumn("raw_text", F.regexp_replace("raw_text", r" \[[0-9]+\]", ""))
 
 
-def extractive_repair(sentences: DataFrame, citations: DataFrame, context: DataFrame) -> DataFrame:
+def extractive_repair(sentences: DataFrame, citations: DataFrame, context: DataFrame, least: float = 0.0) -> DataFrame:
     """qid, sent_idx, new_text, new_score, recheck_supported for each cited sentence: the sentence of its first citation that shares
-    most words with it, scored again. Sentences without a resolvable citation get none."""
+    most words with it, scored again; null where the best one shares less than ``least``, as no version of the claim is supported
+    then. Sentences without a resolvable citation get no row."""
     first = citations.where("chunk_id IS NOT NULL").groupBy("qid", "sent_idx").agg(F.min_by("chunk_id", "cite_pos").alias("chunk_id"))
     rows = first.join(sentences.select("qid", "sent_idx", content_words(F.col("text")).alias("w")), ["qid", "sent_idx"]).join(context.select("qid", "chunk_id", "text"), ["qid", "chunk_id"])
     each = rows.select("qid", "sent_idx", "w", F.col("text").alias("passage"), F.posexplode(split_sentences(F.col("text"))).alias("at", "s")).withColumn("share", overlap(F.col("w"), content_words(F.col("s"))))
-    best = each.groupBy("qid", "sent_idx").agg(F.max_by("s", F.struct("share", -F.col("at"))).alias("new_text"), F.first("passage").alias("passage"))
+    best = each.groupBy("qid", "sent_idx").agg(F.max_by("s", F.struct("share", -F.col("at"))).alias("new_text"), F.max("share").alias("share"), F.first("passage").alias("passage"))
+    best = best.withColumn("new_text", F.when(F.col("share") >= F.lit(least), F.col("new_text")))
     score = overlap(content_words(F.col("new_text")), content_words(F.col("passage")))
     return best.select("qid", "sent_idx", "new_text", score.alias("new_score"), (score >= F.lit(SETTINGS.entailment_threshold)).alias("recheck_supported"))
 

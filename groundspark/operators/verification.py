@@ -63,6 +63,15 @@ def report(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def counts_by_draft(verdicts: DataFrame, threshold: float = SETTINGS.entailment_threshold) -> DataFrame:
+    """qid, scored, supported, contradicted, citations, good_citations of the sentences that metrics count."""
+    values = F.coalesce(F.map_values("scores"), F.array().cast("array<double>"))
+    return verdicts.where(counted()).groupBy("qid").agg(
+        F.count("*").alias("scored"), F.count_if("supported").alias("supported"), F.count_if(F.col("nli_label") == "contradiction").alias("contradicted"),
+        F.sum(F.size(values)).cast("long").alias("citations"), F.sum(F.size(F.filter(values, lambda x: x >= F.lit(threshold)))).cast("long").alias("good_citations"),
+    )
+
+
 def citation_precision_recall(verdicts: DataFrame, threshold: float = SETTINGS.entailment_threshold) -> DataFrame:
     """Recall over counted sentences, precision over their rounded citation scores; null on an empty denominator."""
     rows = verdicts.where(counted())

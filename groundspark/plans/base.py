@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from groundspark.functions.sentences import BOUNDARY, CUT, HELD, KEPT
 from groundspark.functions.text import ARTICLES, STOPWORDS
+from groundspark.kept import Kept
 from groundspark.operators import drafting, grading, repair, retrieval, verification
 from groundspark.settings import SETTINGS
 
@@ -57,14 +58,14 @@ def probabilities(rows: DataFrame) -> DataFrame:
 P_SQL = "round(least(greatest((score - 0.35::DOUBLE) * 5.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE), 6)"
 
 
-def graded_sql(name: str, source: str) -> str:
-    """Adds probabilities, label and confidence."""
+def graded_sql(name: str, source: str, p: str = P_SQL) -> str:
+    """Adds probabilities, label and confidence. ``p``: the probability of being correct."""
     return f"""{name} AS (SELECT *,
     CASE WHEN p_correct >= 0.5::DOUBLE THEN 'correct' WHEN p_correct <= 0.05::DOUBLE AND p_wrong >= p_ambiguous THEN 'wrong' ELSE 'ambiguous' END AS label,
     CASE WHEN p_correct >= 0.5::DOUBLE THEN p_correct WHEN p_correct <= 0.05::DOUBLE AND p_wrong >= p_ambiguous THEN p_wrong
       WHEN p_correct <= 0.05::DOUBLE THEN p_ambiguous ELSE greatest(p_ambiguous, p_correct) END AS confidence
   FROM (SELECT *, (1.0::DOUBLE - p_correct) * 0.7::DOUBLE AS p_wrong, (1.0::DOUBLE - p_correct) * 0.3::DOUBLE AS p_ambiguous
-    FROM (SELECT *, {P_SQL} AS p_correct FROM {source})))"""
+    FROM (SELECT *, {p} AS p_correct FROM {source})))"""
 
 
 def action_sql(questions: str, graded: str) -> str:
@@ -75,25 +76,33 @@ def action_sql(questions: str, graded: str) -> str:
 
 def corrective(spark, sf_dir):
     q, _ = vectors(spark, sf_dir)
-    wide = hits(spark, sf_dir, SETTINGS.corrective_fetch_k).persist()
+    wide = Kept(spark).keep(hits(spark, sf_dir, SETTINGS.corrective_fetch_k))
     first = wide.where(F.col("rank") <= SETTINGS.top_k)
     return grading.corrective_round(q.select("qid"), first, wide, probabilities)
 
 
-CORRECTIVE_SQL = f"""{hits_sql('wide', SETTINGS.corrective_fetch_k)},
-questions AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 25 = 0),
-firsts AS (SELECT *, rank AS pos FROM wide WHERE rank <= {SETTINGS.top_k}),
-{graded_sql('round0', 'firsts')},
+def corrective_sql(p: str = P_SQL) -> str:
+    """CTEs round0, before, need, merged, round1, graded, afters and trace, over wide (qid, rank, chunk_id, score) and questions (qid)."""
+    return f"""firsts AS (SELECT *, rank AS pos FROM wide WHERE rank <= {SETTINGS.top_k}),
+{graded_sql('round0', 'firsts', p)},
 before AS ({action_sql('questions', 'round0')}),
 need AS (SELECT qid FROM before WHERE action = 'corrective_retrieve'),
 merged AS (SELECT w.*, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= {SETTINGS.top_k} THEN 0 ELSE 1 END, rank)::INTEGER AS pos FROM wide w WHERE qid IN (SELECT qid FROM need)),
-{graded_sql('round1', 'merged')},
+{graded_sql('round1', 'merged', p)},
 graded AS (SELECT qid, chunk_id, label, confidence, pos FROM round0 WHERE qid NOT IN (SELECT qid FROM need) UNION ALL SELECT qid, chunk_id, label, confidence, pos FROM round1),
 afters AS ({action_sql('questions', 'graded')}),
 trace AS (SELECT b.qid, CASE WHEN b.action = 'corrective_retrieve' THEN 2 ELSE 1 END AS rounds, b.action = 'corrective_retrieve' AS corrective_fired, a.action,
   a.action = 'abstain' AS abstained_before_generation FROM before b JOIN afters a ON a.qid = b.qid)"""
 
 
+CORRECTIVE_SQL = f"""{hits_sql('wide', SETTINGS.corrective_fetch_k)},
+questions AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 25 = 0),
+{corrective_sql()}"""
+KEPT_SQL = f"""SELECT qid, passage_no, chunk_id, label FROM (
+   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY label <> 'correct', confidence DESC, pos)::INTEGER AS passage_no FROM graded
+   WHERE label <> 'wrong' AND qid IN (SELECT qid FROM trace WHERE action <> 'abstain')) WHERE passage_no <= {SETTINGS.top_k}"""
+
+
 # -- normalisation in SQL ---------------------------------------------------------------------------------------------
 
 _PUNCT = string.punctuation.replace("'", "''")
@@ -155,22 +164,24 @@ def marked_sentences(spark, sf_dir):
     return each.select("qid", "sent_idx", raw.alias("raw"))
 
 
-DRAFTS_SQL = f"""turns AS (SELECT conv_id || '-' || turn AS qid, conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+TURNS_SQL = f"""turns AS (SELECT conv_id || '-' || turn AS qid, conv_id, turn, text FROM conversations WHERE role = 'assistant'),
 split AS (SELECT qid, conv_id, turn, s, unnest(range(0, len(s))) AS i FROM (SELECT *, {sentences_sql('text')} AS s FROM turns)),
 marked AS (SELECT qid, i::INTEGER AS sent_idx, left(s[i + 1], length(s[i + 1]) - 1)
    || CASE WHEN (conv_id + i) % 4 = 3 THEN '' WHEN (turn + i) % 5 = 0 THEN ' [' || (1 + (conv_id + turn + i) % 7) || ', ' || (1 + (conv_id + i * 2) % 6) || ']'
-      ELSE ' [' || (1 + (conv_id + turn + i) % 7) || ']' END || right(s[i + 1], 1) AS raw FROM split),
-parsed AS (SELECT qid, sent_idx, {trimmed_sql("regexp_replace(regexp_replace(regexp_replace(raw, '\\[([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', '', 'g'), '\\s+([.,;:!?])', '\\1', 'g'), '\\s+', ' ', 'g')")} AS text, {trimmed_sql('raw')} AS raw,
+      ELSE ' [' || (1 + (conv_id + turn + i) % 7) || ']' END || right(s[i + 1], 1) AS raw FROM split)"""
+#: From marked (qid, sent_idx, raw) to sentences and their distinct numbers.
+PARSED_SQL = f"""parsed AS (SELECT qid, sent_idx, {trimmed_sql("regexp_replace(regexp_replace(regexp_replace(raw, '\\[([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', '', 'g'), '\\s+([.,;:!?])', '\\1', 'g'), '\\s+', ' ', 'g')")} AS text, {trimmed_sql('raw')} AS raw,
    coalesce(flatten(list_transform(regexp_extract_all(raw, '\\[([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', 1), lambda g: list_transform(string_split(g, ','), lambda n: trim(n)::INTEGER))), []) AS all_numbers FROM marked),
-numbered AS (SELECT qid, sent_idx, n, min(j) AS j FROM (SELECT qid, sent_idx, unnest(all_numbers) AS n, unnest(range(0, len(all_numbers))) AS j FROM parsed) GROUP BY ALL),
-context AS (SELECT qid, passage_no, chunk_id, text FROM (
+numbered AS (SELECT qid, sent_idx, n, min(j) AS j FROM (SELECT qid, sent_idx, unnest(all_numbers) AS n, unnest(range(0, len(all_numbers))) AS j FROM parsed) GROUP BY ALL)"""
+_CONTEXT = """context AS (SELECT qid, passage_no, chunk_id, text FROM (
    SELECT t.qid, row_number() OVER (PARTITION BY t.qid ORDER BY c.turn)::INTEGER AS passage_no, 'c' || c.conv_id || '::' || c.turn AS chunk_id, c.text
-   FROM turns t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn < 6 AND c.turn <> t.turn) WHERE passage_no <= 5),
-citations AS (SELECT n.qid, n.sent_idx, (row_number() OVER (PARTITION BY n.qid, n.sent_idx ORDER BY n.j) - 1)::INTEGER AS cite_pos, n.n AS passage_no, c.chunk_id
+   FROM turns t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn < 6 AND c.turn <> t.turn) WHERE passage_no <= 5)"""
+#: Numbers against context (qid, passage_no, chunk_id, text).
+CITATIONS_SQL = """citations AS (SELECT n.qid, n.sent_idx, (row_number() OVER (PARTITION BY n.qid, n.sent_idx ORDER BY n.j) - 1)::INTEGER AS cite_pos, n.n AS passage_no, c.chunk_id
    FROM numbered n LEFT JOIN context c ON c.qid = n.qid AND c.passage_no = n.n)"""
+DRAFTS_SQL = ",\n".join((TURNS_SQL, PARSED_SQL, _CONTEXT, CITATIONS_SQL))
 
-VERDICTS_SQL = f"""{DRAFTS_SQL},
-words AS (SELECT qid, sent_idx, {content_sql('text')} AS w FROM parsed),
+SCORED_SQL = f"""words AS (SELECT qid, sent_idx, {content_sql('text')} AS w FROM parsed),
 pwords AS (SELECT qid, chunk_id, {content_sql('text')} AS pw FROM context),
 scored AS (SELECT c.qid, c.sent_idx, c.cite_pos, c.chunk_id, w, pw, CASE WHEN len(w) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(w, pw)) / len(w)::DOUBLE END AS score
    FROM citations c JOIN words USING (qid, sent_idx) JOIN pwords p ON p.qid = c.qid AND p.chunk_id = c.chunk_id),
@@ -182,6 +193,8 @@ verdicts AS (SELECT p.qid, p.sent_idx, p.text, coalesce(final, 0) >= 0.2::DOUBLE
    CASE WHEN n_scored IS NULL THEN 'neutral' WHEN final >= 0.2::DOUBLE THEN 'entailment' WHEN final <= 0 THEN 'contradiction' ELSE 'neutral' END AS nli_label,
    coalesce(n_scored, 0)::BIGINT AS n_scored, n_scored IS NULL AS uncited, rounded FROM parsed p LEFT JOIN finals USING (qid, sent_idx))"""
 
+VERDICTS_SQL = f"{DRAFTS_SQL},\n{SCORED_SQL}"
+
 
 def parsed(spark, sf_dir):
     return drafting.parse(marked_sentences(spark, sf_dir))
@@ -201,7 +214,7 @@ def verdicts(spark, sf_dir):
 def final_answers(spark, sf_dir):
     """Drafts, outcomes and answers; repairs come back for even sentences and pass again for every third."""
     p, c, cites = resolved(spark, sf_dir)
-    sentences = drafting.cited_sentences(p, cites).persist()
+    sentences = drafting.cited_sentences(p, cites)
     v = verification.verify(sentences.select("qid", "sent_idx", "text"), cites, c)
     new = sentences.select("qid", "sent_idx", F.when(F.col("sent_idx") % 2 == 0, F.concat(F.lit("Repaired: "), "text")).alias("new_text"), F.lit(0.5).alias("new_score"), (F.col("sent_idx") % 3 == 0).alias("recheck_supported"))
     outcomes = repair.sentence_outcomes(sentences, v, new)
@@ -209,16 +222,20 @@ def final_answers(spark, sf_dir):
     return drafts, outcomes, repair.answers(drafts, outcomes), c
 
 
-ANSWERS_SQL = f"""{VERDICTS_SQL},
-outcomes AS (SELECT *, CASE WHEN status = 'repaired' THEN 'Repaired: ' || text ELSE text END AS out_text, CASE WHEN status = 'repaired' THEN 0.5::DOUBLE ELSE entailment_score END AS score FROM (
-   SELECT *, CASE WHEN supported THEN 'kept' WHEN uncited THEN 'uncited_dropped' WHEN sent_idx % 2 = 0 AND sent_idx % 3 = 0 THEN 'repaired' ELSE 'dropped' END AS status FROM verdicts)),
-sums AS (SELECT qid, count(*) AS n, count(*) FILTER (WHERE status <> 'kept') AS flagged, count(*) FILTER (WHERE status IN ('repaired', 'dropped')) AS tried, count(*) FILTER (WHERE status = 'repaired') AS ok,
+#: Outcomes (status, out_text, score) summed up for each question.
+SUMS_SQL = f"""sums AS (SELECT qid, count(*) AS n, count(*) FILTER (WHERE status <> 'kept') AS flagged, count(*) FILTER (WHERE status IN ('repaired', 'dropped')) AS tried, count(*) FILTER (WHERE status = 'repaired') AS ok,
    count(*) FILTER (WHERE status IN ('dropped', 'uncited_dropped')) AS dropped, count(*) FILTER (WHERE status = 'uncited_dropped') AS uncited_dropped, coalesce(string_agg(out_text, ' ' ORDER BY sent_idx) FILTER (WHERE status IN ('kept', 'repaired')), '') AS surviving,
-   count(*) FILTER (WHERE status IN ('kept', 'repaired')) AS n_surviving, avg(score) FILTER (WHERE status IN ('kept', 'repaired')) AS mean_score, bool_or(contains(lower(out_text), 'cannot answer this from the provided sources')) AS refusal FROM outcomes GROUP BY qid),
-drafts AS (SELECT qid, CASE WHEN conv_id % 41 = 7 THEN 'GENERATION FAILED' ELSE text END AS raw_text, conv_id % 37 = 5 AS gen_abstained FROM turns),
-judged AS (SELECT d.qid, CASE WHEN gen_abstained OR (n = 1 AND refusal) THEN 'generator_abstained' WHEN starts_with(raw_text, 'GENERATION FAILED') THEN 'generation_failed' WHEN n IS NULL THEN 'nothing_survived'
+   count(*) FILTER (WHERE status IN ('kept', 'repaired')) AS n_surviving, avg(score) FILTER (WHERE status IN ('kept', 'repaired')) AS mean_score, bool_or(contains(lower(out_text), 'cannot answer this from the provided sources')) AS refusal FROM outcomes GROUP BY qid)"""
+#: Sums and drafts (qid, raw_text, gen_abstained) to answers.
+JUDGED_SQL = f"""judged AS (SELECT d.qid, CASE WHEN gen_abstained OR (n = 1 AND refusal) THEN 'generator_abstained' WHEN starts_with(raw_text, 'GENERATION FAILED') THEN 'generation_failed' WHEN n IS NULL THEN 'nothing_survived'
      WHEN flagged / n::DOUBLE > 0.5::DOUBLE THEN 'too_much_unsupported' END AS early,
    CASE WHEN n_surviving = 0 THEN 'nothing_survived' WHEN length({trimmed_sql('surviving')}) < 20 THEN 'fragment_after_drops' END AS late, s.* EXCLUDE (qid) FROM drafts d LEFT JOIN sums s ON s.qid = d.qid),
 answers AS (SELECT qid, coalesce(early, late) IS NOT NULL AS abstained, coalesce(early, late) AS abstain_reason, CASE WHEN coalesce(early, late) IS NULL THEN surviving END AS text, coalesce(flagged, 0)::BIGINT AS flagged,
    CASE WHEN early IS NULL THEN tried ELSE 0 END::BIGINT AS repair_attempted, CASE WHEN early IS NULL THEN ok ELSE 0 END::BIGINT AS repair_succeeded, CASE WHEN early IS NULL THEN dropped ELSE 0 END::BIGINT AS dropped,
    CASE WHEN early IS NULL THEN uncited_dropped ELSE 0 END::BIGINT AS uncited_dropped, CASE WHEN coalesce(early, late) IS NULL THEN coalesce(mean_score, 1.0::DOUBLE) ELSE 1.0::DOUBLE END AS confidence FROM judged)"""
+ANSWERS_SQL = f"""{VERDICTS_SQL},
+outcomes AS (SELECT *, CASE WHEN status = 'repaired' THEN 'Repaired: ' || text ELSE text END AS out_text, CASE WHEN status = 'repaired' THEN 0.5::DOUBLE ELSE entailment_score END AS score FROM (
+   SELECT *, CASE WHEN supported THEN 'kept' WHEN uncited THEN 'uncited_dropped' WHEN sent_idx % 2 = 0 AND sent_idx % 3 = 0 THEN 'repaired' ELSE 'dropped' END AS status FROM verdicts)),
+{SUMS_SQL},
+drafts AS (SELECT qid, CASE WHEN conv_id % 41 = 7 THEN 'GENERATION FAILED' ELSE text END AS raw_text, conv_id % 37 = 5 AS gen_abstained FROM turns),
+{JUDGED_SQL}"""

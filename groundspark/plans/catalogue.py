@@ -21,7 +21,7 @@ from groundspark.functions.text import (
     str_em,
 )
 from groundspark.operators import chunking, drafting, grading, harness, metrics, models, orchestrate, repair, retrieval, verification
-from groundspark.plans import base
+from groundspark.plans import answering, base
 from groundspark.plans.base import ANSWERS_SQL, CORRECTIVE_SQL, DRAFTS_SQL, VERDICTS_SQL, content_sql, hits_sql, normal_sql, sentences_sql, table, trimmed_sql
 from groundspark.settings import ABSTAIN_REASONS, CHUNK_LABELS, SETTINGS
 from groundspark.sources import readers, sinks
@@ -69,6 +69,12 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk(base.documents(spark, sf_dir))
 
 
+@query("chunk_native", _CHUNKS + _ROWS)
+def chunk_native(spark, sf_dir):
+    """The same chunks without a Python worker."""
+    return chunking.native_chunk(base.documents(spark, sf_dir))
+
+
 @query("chunk_bulk", _BULK + _ROWS)
 def chunk_bulk(spark, sf_dir):
     return chunking.bulk_chunk(base.documents(spark, sf_dir))
@@ -518,7 +524,7 @@ def per_class_agreement(spark, sf_dir):
 
 
 POINTS = [round(0.05 * k, 2) for k in range(1, 20)]
-_TRUTH = f"{hits_sql('h', 15)}, t AS (SELECT h.score, q.label = c.label AS truth FROM h JOIN embeddings q ON q.vec_id = h.qid JOIN embeddings c ON c.vec_id = h.chunk_id)"
+_TRUTH = f"{hits_sql('h', 15)}, t AS (SELECT h.qid, h.score, q.label = c.label AS truth FROM h JOIN embeddings q ON q.vec_id = h.qid JOIN embeddings c ON c.vec_id = h.chunk_id)"
 _SWEEP = f"""WITH {_TRUTH}, p AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in POINTS)}]) AS threshold),
  s AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND truth) AS tp, count(*) FILTER (WHERE score >= threshold AND NOT truth) AS fp, count(*) FILTER (WHERE score < threshold AND truth) AS fn, count(*) FILTER (WHERE score < threshold AND NOT truth) AS tn FROM p, t GROUP BY threshold),
  sweep AS (SELECT threshold, tp, fp AS missed_hallucinations, fn AS false_flags, tn, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1 FROM s)"""
@@ -547,16 +553,33 @@ def separation(spark, sf_dir):
 
 
 CORRECT_GRID, WRONG_GRID = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8], [0.05, 0.1, 0.2, 0.3]
-_PROBS = f"WITH {_TRUTH}, p AS (SELECT truth, p_correct, (1.0::DOUBLE - p_correct) * 0.7::DOUBLE AS p_wrong, (1.0::DOUBLE - p_correct) * 0.3::DOUBLE AS p_ambiguous, CASE WHEN truth THEN 'correct' ELSE 'wrong' END AS gold FROM (SELECT *, {base.P_SQL} AS p_correct FROM t))"
+_PROBS = f"WITH {_TRUTH}, p AS (SELECT qid, truth, p_correct, (1.0::DOUBLE - p_correct) * 0.7::DOUBLE AS p_wrong, (1.0::DOUBLE - p_correct) * 0.3::DOUBLE AS p_ambiguous, CASE WHEN truth THEN 'correct' ELSE 'wrong' END AS gold FROM (SELECT *, {base.P_SQL} AS p_correct FROM t))"
 
 
-@query("threshold_grid_2d", _PROBS + f""", g AS (SELECT c, w FROM (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in CORRECT_GRID)}]) AS c), (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in WRONG_GRID)}]) AS w) WHERE w < c),
- l AS (SELECT c, w, gold, CASE WHEN p_correct >= c THEN 'correct' WHEN p_correct <= w AND p_wrong >= p_ambiguous THEN 'wrong' ELSE 'ambiguous' END AS pred FROM p, g),
- k AS (SELECT c, w, x, count(*) FILTER (WHERE gold = x AND pred = x) AS tp, count(*) FILTER (WHERE gold = x) + count(*) FILTER (WHERE pred = x) AS ends, count(*) AS n FROM l, (SELECT unnest(['correct', 'ambiguous', 'wrong']) AS x) GROUP BY ALL)
- SELECT c AS correct_threshold, w AS wrong_threshold, sum(tp) / any_value(n)::DOUBLE AS accuracy, avg(coalesce(2 * tp / nullif(ends, 0)::DOUBLE, 0)) AS macro_f1 FROM k GROUP BY c, w""")
-def threshold_grid_2d(spark, sf_dir):
+_GRID = _PROBS + f""", g AS (SELECT c, w FROM (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in CORRECT_GRID)}]) AS c), (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in WRONG_GRID)}]) AS w) WHERE w < c),
+ l AS (SELECT c, w, qid, gold, CASE WHEN p_correct >= c THEN 'correct' WHEN p_correct <= w AND p_wrong >= p_ambiguous THEN 'wrong' ELSE 'ambiguous' END AS pred FROM p, g),
+ k AS (SELECT c, w, x, count(*) FILTER (WHERE gold = x AND pred = x) AS tp, count(*) FILTER (WHERE gold = x) + count(*) FILTER (WHERE pred = x) AS ends, count(*) AS n FROM l, (SELECT unnest(['correct', 'ambiguous', 'wrong']) AS x) GROUP BY ALL),
+ acts AS (SELECT c, w, qid, CASE WHEN bool_or(pred = 'correct') THEN 'go' WHEN bool_and(pred = 'wrong') THEN 'stop' ELSE 'again' END AS act, CASE WHEN bool_or(gold = 'correct') THEN 'go' WHEN bool_and(gold = 'wrong') THEN 'stop' ELSE 'again' END AS want FROM l GROUP BY c, w, qid),
+ most AS (SELECT max(n) AS m FROM (SELECT want, count(DISTINCT qid) AS n FROM acts GROUP BY want)),
+ right_acts AS (SELECT c, w, count(*) FILTER (WHERE act = want) AS r, count(*) AS q FROM acts GROUP BY c, w),
+ grid AS (SELECT c AS correct_threshold, w AS wrong_threshold, sum(tp) / any_value(n)::DOUBLE AS accuracy, avg(coalesce(2 * tp / nullif(ends, 0)::DOUBLE, 0)) AS macro_f1, any_value(r) / any_value(q)::DOUBLE AS action_accuracy, (any_value(r) - (SELECT m FROM most)) / any_value(q)::DOUBLE AS vs_majority
+   FROM k JOIN right_acts USING (c, w) GROUP BY c, w)"""
+
+
+def _grid(spark, sf_dir):
     rows = base.probabilities(_truth(spark, sf_dir)).withColumn("gold", F.when(F.col("truth"), "correct").otherwise("wrong"))
-    return metrics.threshold_grid(rows, CORRECT_GRID, WRONG_GRID, CHUNK_LABELS)
+    return metrics.threshold_grid(rows, CORRECT_GRID, WRONG_GRID, CHUNK_LABELS, "qid")
+
+
+@query("threshold_grid_2d", _GRID + " SELECT * FROM grid")
+def threshold_grid_2d(spark, sf_dir):
+    return _grid(spark, sf_dir)
+
+
+@query("best_grid_points", _GRID + """ SELECT best_by, correct_threshold, wrong_threshold, round(macro_f1, 12) AS macro_f1, action_accuracy, vs_majority, vs_majority > 0 AS beats_majority FROM (
+   SELECT 'action_accuracy' AS best_by, *, row_number() OVER (ORDER BY action_accuracy DESC, correct_threshold, wrong_threshold) AS r FROM grid UNION ALL SELECT 'macro_f1', *, row_number() OVER (ORDER BY round(macro_f1, 12) DESC, correct_threshold, wrong_threshold) FROM grid) WHERE r = 1""")
+def best_grid_points(spark, sf_dir):
+    return metrics.best_points(_grid(spark, sf_dir).withColumn("macro_f1", F.round("macro_f1", 12)))
 
 
 FRACTIONS = [round(0.1 * k, 1) for k in range(1, 11)]
@@ -834,24 +857,6 @@ def cache_keys(spark, sf_dir):
     return total.withColumn("_", F.lit(1)).join(differ(False, "ids_count_when_cited"), "_").join(differ(True, "ids_count_when_plain"), "_").drop("_")
 
 
-@query("ablation_table", f"""WITH {ANSWERS_SQL}, v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS variant), rows AS (SELECT v.variant, a.qid, CASE WHEN v.variant = 'E' THEN a.abstained ELSE false END AS abstained, CASE WHEN v.variant = 'E' THEN a.text ELSE t.text END AS text,
-   regexp_extract(t.text, '^\\S+') AS gold, CASE WHEN v.variant IN ('C', 'D', 'E') THEN a.dropped ELSE 0 END AS parseable, CASE WHEN v.variant = 'E' THEN a.repair_attempted ELSE 0 END AS ra, CASE WHEN v.variant = 'E' THEN a.repair_succeeded ELSE 0 END AS rs FROM answers a JOIN turns t ON t.qid = a.qid, v),
- o AS (SELECT *, abstained OR coalesce(contains(lower(text), 'cannot answer this from the provided sources'), false) AS x, {normal_sql("coalesce(text, '')")} AS p, {normal_sql('gold')} AS g FROM rows),
- s AS (SELECT variant, count(*) AS n, count(*) FILTER (WHERE x) AS abstained, 0::BIGINT AS errors, count(*) FILTER (WHERE NOT x AND p <> '' AND g <> '' AND contains(p, g)) AS correct, coalesce(sum(parseable) FILTER (WHERE NOT x), 0)::BIGINT AS ps, count(*) FILTER (WHERE NOT x) * 10 AS ss, sum(ra)::BIGINT AS repair_attempted, sum(rs)::BIGINT AS repair_succeeded FROM o GROUP BY variant)
- SELECT variant, n, n - abstained AS answered, abstained, errors, correct, abstained / n::DOUBLE AS abstention_rate, (n - abstained) / n::DOUBLE AS coverage, correct / n::DOUBLE AS accuracy_all, correct / nullif(n - abstained, 0)::DOUBLE AS accuracy_answered, ps / nullif(ss, 0)::DOUBLE AS parseable_citation_rate,
-   repair_attempted, repair_succeeded, 0.0::DOUBLE AS cost_usd FROM s""")
-def ablation_table(spark, sf_dir):
-    final = base.final_answers(spark, sf_dir)[2]
-    drafts = base.draft_turns(spark, sf_dir).select("qid", F.col("text").alias("draft"))
-    rows = harness.with_variants(final.join(drafts, "qid"))
-    pick = lambda on, a, b: F.when(F.col(on), a).otherwise(b)
-    made = rows.select(
-        "variant", pick("repair_and_abstain", F.col("abstained"), F.lit(False)).alias("abstained"), pick("repair_and_abstain", F.col("text"), F.col("draft")).alias("text"), F.array(F.regexp_extract("draft", r"^\S+", 0)).alias("answers"), F.lit(None).cast("string").alias("error"),
-        pick("force_citations", F.col("dropped"), F.lit(0)).alias("parseable"), F.lit(10).alias("sentences"), pick("repair_and_abstain", F.col("repair_attempted"), F.lit(0)).alias("repair_attempted"), pick("repair_and_abstain", F.col("repair_succeeded"), F.lit(0)).alias("repair_succeeded"), F.lit(0.0).alias("cost_usd"),
-    )
-    return harness.ablation_table(made)
-
-
 @query("extract_uploads", """SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' ELSE '.zip' END AS filename, CASE WHEN page_id % 3 < 2 THEN length(html)::INTEGER END AS n_chars, CASE WHEN page_id % 3 = 2 THEN 'unsupported file type .zip' END AS error FROM pages""")
 def extract_uploads(spark, sf_dir):
     """Uploads of several kinds, decoded."""
@@ -860,21 +865,7 @@ def extract_uploads(spark, sf_dir):
     return readers.extracted(files).select("page_id", "filename", F.length("text").alias("n_chars"), "error")
 
 
-@query("lexical_retrieval")
-def lexical_retrieval(spark, sf_dir):
-    """Benchmark passages against documents through the hashed stand-in for an embedder; model boundary, no SQL."""
-    q = retrieval.hashed_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")).select("qid", "vector")
-    c = retrieval.hashed_vectors(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")).select("chunk_id", "vector")
-    sizes = tuple(table(spark, sf_dir, t).count() for t in ("benchmark", "documents"))
-    return retrieval.nearest(q, c, 5, sizes)
-
-
-@query("answer_questions")
-def answer_questions(spark, sf_dir):
-    """Benchmark passages as questions through all stages, with the lexical stand-ins; model boundary, no SQL."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    index = retrieval.hashed_vectors(chunking.chunk(base.documents(spark, sf_dir)).select("chunk_id", "text"))
-    return orchestrate.answer(retrieval.hashed_vectors(q, "question"), index)
+answering.register(query, _CHUNKS)
 
 
 @query("ingest_files")

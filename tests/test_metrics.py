@@ -61,3 +61,33 @@ def test_gate(spark):
     got = {r.metric: r.status for r in metrics.regression_gate(b, o, {"sim": 0.1}, ("gone",)).collect()}
     assert got == {"up": "PASS", "down": "FAIL", "gone": "MISSING", "none": "SKIPPED", "sim": "FAIL"}
     assert {r.metric: r.status for r in metrics.regression_gate(b, o).collect()}["gone"] == "SKIPPED"
+
+
+def test_grid_actions_equal_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for q in range(60):
+        for _ in range(rng.randint(1, 4)):
+            c = round(rng.random(), 3)
+            w = round((1 - c) * rng.random(), 3)
+            rows.append((q, rng.choice(["correct", "ambiguous", "wrong", "wrong"]), c, round(1 - c - w, 3), w))
+    points = [(c, w) for c in (0.2, 0.5, 0.8) for w in (0.05, 0.2, 0.6) if w < c]
+
+    def action(labels):
+        return "go" if "correct" in labels else "stop" if set(labels) == {"wrong"} else "again"
+
+    gold = {q: action([r[1] for r in rows if r[0] == q]) for q in range(60)}
+    most = max(sum(g == a for g in gold.values()) for a in ("go", "stop", "again"))
+    want = {}
+    for c, w in points:
+        label = lambda r, c=c, w=w: "correct" if r[2] >= c else "wrong" if r[2] <= w and r[4] >= r[3] else "ambiguous"
+        right = sum(action([label(r) for r in rows if r[0] == q]) == gold[q] for q in range(60))
+        want[c, w] = (sum(label(r) == r[1] for r in rows) / len(rows), right / 60, (right - most) / 60)
+    df = spark.createDataFrame(rows, "qid long, gold string, p_correct double, p_ambiguous double, p_wrong double")
+    grid = metrics.threshold_grid(df, [0.2, 0.5, 0.8], [0.05, 0.2, 0.6], ("correct", "ambiguous", "wrong"), "qid")
+    got = {(r.correct_threshold, r.wrong_threshold): (r.accuracy, r.action_accuracy, r.vs_majority) for r in grid.collect()}
+    assert set(got) == set(want) and all(abs(a - b) < 1e-12 for p in want for a, b in zip(got[p], want[p], strict=True))
+    best = {r.best_by: (r.correct_threshold, r.wrong_threshold) for r in metrics.best_points(grid).collect()}
+    assert best["action_accuracy"] == max(want, key=lambda p: (want[p][1], -p[0], -p[1]))
