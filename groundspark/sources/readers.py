@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from groundspark.functions.text import parse_answers
 from groundspark.schemas import ASQA
+from groundspark.sources import buckets, sinks
 
 #: Limits and suffixes of uploads.
 MOST_FILES, MOST_REQUEST_BYTES, MOST_FILE_BYTES = 50, 2 * 1024**3, 150 * 1024**2
@@ -117,10 +118,24 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("line", F.monotonically_increasing_id())
 
 
+def replies(spark: SparkSession, path: str) -> DataFrame:
+    """key, reply of the response cache; none where nothing has been stored yet."""
+    if not buckets.versions(spark, path):
+        return spark.createDataFrame([], "key string, reply string")
+    return buckets.read(spark, path, check=False).select(F.col("doc_id").alias("key"), "reply")
+
+
 def index(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
+    """The rows of an index in one folder; raises where they aren't what its record says (chunks, documents, dimension)."""
     rows = spark.read.parquet(path)
     if expected is not None and (n := rows.count()) != expected:
         raise ValueError(f"the index holds {n} chunks instead of {expected}")
+    about = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".about")
+    if about.getFileSystem(spark._jsc.hadoopConfiguration()).exists(about):
+        said, found = spark.read.json(about.toString()).first().asDict(), sinks.index_record(rows).first().asDict()
+        for name, value in said.items():
+            if found.get(name) != value:
+                raise buckets.DamagedIndex(f"the index holds {found.get(name)} as {name} instead of {value}")
     return rows
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import fmt
+from groundspark.sources import buckets
 
 
 def save_index(rows: DataFrame, path: str) -> None:
@@ -49,9 +52,14 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
-def store_replies(replies: DataFrame, path: str) -> None:
-    """Appends to the response cache: key, reply."""
-    replies.select("key", "reply").write.mode("append").parquet(path)
+def store_replies(replies: DataFrame, path: str, batch: str | None = None) -> None:
+    """Into the response cache: key, reply. A key has one row, its newest reply; of several in one call the largest.
+
+    The cache lies in buckets of keys with versions, so a call rewrites its own keys' buckets, and of writers that meet the later
+    one merges into the other's version. A call with a ``batch`` that was stored before changes nothing.
+    """
+    one = replies.groupBy("key").agg(F.max("reply").alias("reply")).select(F.col("key").alias("doc_id"), F.col("key").alias("chunk_id"), "reply")
+    buckets.update(path, one, batch or uuid.uuid4().hex)
 
 
 def store_variant(rows: DataFrame, path: str) -> None:
