@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.sentences import split_sentences
-from groundspark.functions.text import STOPWORDS
+from groundspark.functions.text import STOPWORDS, cache_key
 from groundspark.kept import Kept
-from groundspark.operators import chunking, harness, models, orchestrate, sparse
+from groundspark.operators import attempts, chunking, harness, models, orchestrate, sparse
 from groundspark.plans import base
 from groundspark.plans.base import CITATIONS_SQL, JUDGED_SQL, KEPT_SQL, PARSED_SQL, SCORED_SQL, SUMS_SQL, content_sql, corrective_sql, normal_sql, sentences_sql, table, words_sql
 from groundspark.settings import SETTINGS
+from groundspark.sources import buckets, readers, sinks
 
 #: A repair must share so much with the passage.
 LEAST_SHARE = 0.1
@@ -157,3 +158,102 @@ def register(query, chunks: str) -> None:
     query("answer_questions", f"""{chunks}, {FLOW_SQL} SELECT q.qid, a.text, coalesce(a.abstained, true) AS abstained, CASE WHEN a.qid IS NULL THEN 'no_usable_chunk' ELSE a.abstain_reason END AS abstain_reason,
       coalesce(a.repair_attempted, 0) AS repair_attempted, coalesce(a.repair_succeeded, 0) AS repair_succeeded FROM questions q LEFT JOIN answers a ON a.qid = q.qid""")(answer_questions)
     query("ablation_table", f"{chunks}, {FLOW_SQL}, {_COUNTERS}, {_TABLE}")(ablation_table)
+
+
+# -- calls that fail by a script --------------------------------------------------------------------------------------
+
+
+def _scripted(requests: DataFrame) -> DataFrame:
+    """A service that fails by arithmetic on ids: every kind of failure occurs in every round."""
+    k = F.pmod(F.col("conv_id") * 5 + F.col("turn") * 3 + F.col("attempt") * 7, F.lit(13))
+    code = F.when(k == 0, 429).when(k == 1, 503).when((k == 2) | ((k == 3) & F.col("structured")), 400).when(k == 4, None).when((k == 5) & (F.col("conv_id") % 4 == 0), 404).otherwise(200)
+    reply = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("text"), F.array(F.lit(1)).alias("citations"))).alias("sentences")))
+    raw = F.when(code == 200, F.when(~F.col("structured"), F.col("text")).when(k == 6, F.substring(reply, 1, 9)).when(k == 7, F.lit("[1]")).otherwise(reply))
+    return requests.withColumns({"code": code, "raw": raw})
+
+
+def _attempted(spark, sf_dir) -> DataFrame:
+    return attempts.generate(base.draft_turns(spark, sf_dir), _scripted, Kept(spark))
+
+
+def _round_sql(n: int) -> str:
+    source = "SELECT *, true AS structured, NULL AS last_error FROM turns" if n == 1 else f"SELECT qid, conv_id, turn, text, structured AND NOT (why LIKE 'structured_rejected%' OR why = 'unparseable_structured_output') AS structured, why AS last_error FROM judged{n - 1} WHERE error IS NULL AND why IS NOT NULL"
+    return f"""open{n} AS ({source}),
+ replied{n} AS (SELECT *, (conv_id * 5 + turn * 3 + {n} * 7) % 13 AS k, CASE WHEN k = 0 THEN 429 WHEN k = 1 THEN 503 WHEN k = 2 OR (k = 3 AND structured) THEN 400 WHEN k = 4 THEN NULL WHEN k = 5 AND conv_id % 4 = 0 THEN 404 ELSE 200 END AS code FROM open{n}),
+ judged{n} AS (SELECT *, CASE WHEN code = 404 THEN 'model not found' WHEN code = 400 AND NOT structured THEN 'rejected_400' END AS error,
+   CASE WHEN code IS NULL THEN 'connection_error' WHEN code = 429 THEN 'rate_limited' WHEN code = 503 THEN 'server_error_503' WHEN code = 400 THEN 'structured_rejected_400' WHEN structured AND k IN (6, 7) AND code = 200 THEN 'unparseable_structured_output' END AS why FROM replied{n})"""
+
+
+_ENDED = " UNION ALL ".join(f"SELECT qid, CASE WHEN error IS NULL THEN CASE WHEN structured THEN 'structured' ELSE 'text' END END AS path, {n} AS attempts, last_error, error, CASE WHEN error IS NULL AND NOT structured THEN text END AS plain_text FROM judged{n} WHERE error IS NOT NULL OR why IS NULL" for n in (1, 2, 3))
+ATTEMPTS_SQL = f"""WITH turns AS (SELECT conv_id || '-' || turn AS qid, conv_id, turn, text FROM conversations WHERE role = 'assistant'), {', '.join(_round_sql(n) for n in (1, 2, 3))},
+ ended AS ({_ENDED} UNION ALL SELECT qid, NULL, 3, why, NULL, 'GENERATION FAILED: ' || why FROM judged3 WHERE error IS NULL AND why IS NOT NULL)"""
+
+
+def generation_attempts(spark, sf_dir):
+    """Drafts of all assistant turns by a service that fails; texts of structured replies are JSON and left out here."""
+    return _attempted(spark, sf_dir).select("qid", "path", "attempts", "last_error", "error", F.when(F.col("path").isNull() | (F.col("path") == "text"), F.col("raw_text")).alias("plain_text"))
+
+
+def attempt_totals(spark, sf_dir):
+    return attempts.attempt_totals(_attempted(spark, sf_dir))
+
+
+def _repair_service(failed: DataFrame) -> DataFrame:
+    """Repairs by a script: some can't be done, some cite what isn't there, some replies are broken."""
+    k = F.pmod(F.col("conv_id") * 3 + F.col("sent_idx") * 5, F.lit(17))
+    code = F.when(k == 0, 429).when(k == 1, 500).when(k == 2, None).when(k == 3, 400).otherwise(200)
+    cited = F.when(k == 6, F.array(F.lit(9))).when(k == 7, F.array().cast("array<int>")).otherwise(F.array((F.lit(1) + F.col("sent_idx") % 5).cast("int")))
+    text = F.when(k == 5, F.lit("  ")).when(k == 8, F.concat("text", F.lit(" [2]"))).otherwise(F.col("text"))
+    reply = F.to_json(F.struct((k != 4).alias("repairable"), text.alias("text"), cited.alias("citations")))
+    return failed.withColumns({"code": code, "raw": F.when(code == 200, F.when(k == 9, F.lit("no json")).otherwise(reply))})
+
+
+def repair_attempts(spark, sf_dir):
+    """One call for each sentence that cites something and isn't supported, and what came of it."""
+    p, context, cites = base.resolved(spark, sf_dir)
+    v = base.verdicts(spark, sf_dir).where("NOT supported AND NOT uncited").select("qid", "sent_idx")
+    turns = base.draft_turns(spark, sf_dir).select("qid", "conv_id")
+    failed = p.join(v, ["qid", "sent_idx"], "left_semi").join(turns, "qid").select("qid", "sent_idx", "text", "conv_id")
+    made = attempts.regenerate(failed, context, _repair_service, Kept(spark))
+    return made.select("qid", "sent_idx", "outcome", "new_text", F.array_join("citation_ids", ",").alias("citation_ids"))
+
+
+REPAIRED_SQL = f"""WITH {base.VERDICTS_SQL}, failed AS (SELECT v.qid, v.sent_idx, v.text, (t.conv_id * 3 + v.sent_idx * 5) % 17 AS k FROM verdicts v JOIN turns t ON t.qid = v.qid WHERE NOT supported AND NOT uncited),
+ wanted AS (SELECT *, unnest(CASE WHEN k = 6 THEN [9] WHEN k = 7 THEN [] WHEN k = 8 AND 1 + sent_idx % 5 <> 2 THEN [1 + sent_idx % 5, 2] ELSE [1 + sent_idx % 5] END) AS n, unnest(range(0, 2)) AS at FROM failed),
+ found AS (SELECT w.qid, w.sent_idx, string_agg(c.chunk_id, ',' ORDER BY w.at) AS ids FROM wanted w JOIN context c ON c.qid = w.qid AND c.passage_no = w.n GROUP BY ALL),
+ told AS (SELECT f.*, ids, CASE WHEN k = 2 THEN 'connection_error' WHEN k = 0 THEN 'rate_limited' WHEN k = 1 THEN 'server_error_500' WHEN k = 3 THEN 'error' WHEN k = 9 THEN 'unparseable_repair_output' WHEN k IN (4, 5) THEN 'unrepairable' WHEN ids IS NULL THEN 'repaired_but_uncited' ELSE 'repaired' END AS outcome
+   FROM failed f LEFT JOIN found i ON i.qid = f.qid AND i.sent_idx = f.sent_idx)
+ SELECT qid, sent_idx, outcome, CASE WHEN outcome = 'repaired' THEN text END AS new_text, CASE WHEN outcome = 'repaired' THEN ids ELSE '' END AS citation_ids FROM told"""
+
+
+# -- an index and a cache that are updated ----------------------------------------------------------------------------
+
+
+def incremental_index(spark, sf_dir):
+    """Chunks of all documents, of which every tenth is replaced and every tenth but five removed, each as a version by buckets."""
+    docs = base.documents(spark, sf_dir)
+    root = Kept(spark).root
+    buckets.update(root, chunking.chunk(docs), "all", 16)
+    buckets.update(root, chunking.chunk(docs.where("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("new "), "text"))), "fresh", removed=docs.where("doc_id % 10 = 5").select("doc_id"))
+    return buckets.read(spark, root).select("chunk_id", "doc_id", "chunk_index", "text", "start_char", "end_char")
+
+
+def reply_cache(spark, sf_dir):
+    """Texts of all turns as requests against a cache that two calls have filled, the second over some of the same keys."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", cache_key(F.col("role"), F.col("text")).alias("key"))
+    path = Kept(spark).root
+    sinks.store_replies(rows.where("turn % 2 = 0").select("key", F.concat(F.lit("first "), F.col("conv_id").cast("string")).alias("reply")), path)
+    sinks.store_replies(rows.where("turn % 3 = 0").select("key", F.concat(F.lit("second "), F.col("conv_id").cast("string")).alias("reply")), path)
+    return rows.join(readers.replies(spark, path), "key", "left").select("conv_id", "turn", "reply")
+
+
+def register_more(query, chunk_sql: str) -> None:
+    """``chunk_sql``: the recursive CTEs over a table documents (doc_id, text)."""
+    query("generation_attempts", ATTEMPTS_SQL + " SELECT * FROM ended")(generation_attempts)
+    query("attempt_totals", ATTEMPTS_SQL + """ SELECT sum(attempts)::BIGINT AS calls, sum(attempts - 1)::BIGINT AS retries, count(*) FILTER (WHERE path = 'structured') AS structured, count(*) FILTER (WHERE path = 'text') AS fallback,
+      count(*) FILTER (WHERE path IS NULL AND error IS NULL) AS failed, count(*) FILTER (WHERE error IS NOT NULL) AS errors, coalesce(count(*) FILTER (WHERE path = 'text') / nullif(count(*) FILTER (WHERE path IS NOT NULL), 0)::DOUBLE, 0) AS fallback_rate FROM ended""")(attempt_totals)
+    query("repair_attempts", REPAIRED_SQL)(repair_attempts)
+    changed = "(SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 5)"
+    query("incremental_index", f"WITH RECURSIVE {chunk_sql.replace('FROM documents', f'FROM {changed}')} SELECT doc_id || '::' || chunk_index AS chunk_id, doc_id, chunk_index, text, start_char, end_char FROM chunks")(incremental_index)
+    query("reply_cache", """WITH t AS (SELECT *, role || chr(31) || text AS k FROM conversations), a AS (SELECT k, max('first ' || conv_id) AS r FROM t WHERE turn % 2 = 0 GROUP BY k), b AS (SELECT k, max('second ' || conv_id) AS r FROM t WHERE turn % 3 = 0 GROUP BY k)
+      SELECT conv_id, turn, coalesce(b.r, a.r) AS reply FROM t LEFT JOIN a ON a.k = t.k LEFT JOIN b ON b.k = t.k""")(reply_cache)

@@ -866,6 +866,7 @@ def extract_uploads(spark, sf_dir):
 
 
 answering.register(query, _CHUNKS)
+answering.register_more(query, chunk_sql(SETTINGS.chunk_size, SETTINGS.chunk_overlap))
 
 
 @query("ingest_files")

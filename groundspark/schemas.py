@@ -16,3 +16,4 @@ ASQA = "sample_id string, question string, answer string, qa_pairs array<struct<
 USAGE = "call_id long, input_tokens long, output_tokens long, cache_creation_input_tokens long, cache_read_input_tokens long, cached boolean, latency_s double"
 BASELINE = "metric string, value double, min double, max double, direction string, command string, note string"
 PAYLOAD = "sentences array<struct<text: string, citations: array<int>>>"
+REPAIR = "repairable boolean, text string, citations array<int>"

@@ -138,3 +138,71 @@ def test_stand_ins_are_never_silent(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         orchestrate.answer(asked, index, use=orchestrate.Models())
+
+
+# -- calls that fail
+
+
+def scripted(script):
+    """``script``: (qid, attempt) to (code, raw); a structured request is told by its own key."""
+
+    def call(requests):
+        spark = requests.sparkSession
+        rows = [(q, a, s, c, r) for (q, a, s), (c, r) in script.items()]
+        told = spark.createDataFrame(rows, "qid string, attempt int, structured boolean, code int, raw string")
+        return requests.join(told, ["qid", "attempt", "structured"], "left")
+
+    return call
+
+
+GOOD = '{"sentences": [{"text": "A claim.", "citations": [1]}]}'
+
+
+def test_attempts_are_bounded_and_only_for_what_failed(spark):
+    from groundspark.operators import attempts
+
+    script = {
+        ("fine", 1, True): (200, GOOD), ("limit", 1, True): (429, None), ("limit", 2, True): (200, GOOD),
+        ("broken", 1, True): (200, "no json"), ("broken", 2, False): (200, "A claim [1]."), ("schema", 1, True): (422, None), ("schema", 2, False): (503, None), ("schema", 3, False): (200, "Text."),
+        ("down", 1, True): (500, None), ("down", 2, True): (None, None), ("down", 3, True): (529, None), ("gone", 1, True): (404, None), ("refused", 1, True): (400, None), ("refused", 2, False): (400, None),
+        ("empty", 1, True): (200, '{"sentences": []}'), ("other", 1, True): (200, '{"answer": 1}'), ("other", 2, False): (200, ""), ("fenced", 1, True): (200, f"```json\\n{GOOD}\\n```"),
+    }
+    seen = []
+
+    def call(requests):
+        seen.append(requests.select("qid").collect())
+        return scripted(script)(requests)
+
+    asked = spark.createDataFrame([(q,) for q in sorted({k[0] for k in script})], "qid string")
+    got = {r.qid: r for r in attempts.generate(asked, call, Kept(spark)).collect()}
+    assert [len(s) for s in seen] == [10, 6, 2] and len(got) == 10
+    short = {q: (r.path, r.attempts, r.last_error, r.error) for q, r in got.items()}
+    assert short == {
+        "fine": ("structured", 1, None, None), "limit": ("structured", 2, "rate_limited", None), "broken": ("text", 2, "unparseable_structured_output", None), "schema": ("text", 3, "server_error_503", None),
+        "down": (None, 3, "server_error_529", None), "gone": (None, 1, None, "model not found"), "refused": (None, 2, "structured_rejected_400", "rejected_400"),
+        "empty": ("structured", 1, None, None), "other": ("text", 2, "unparseable_structured_output", None), "fenced": ("structured", 1, None, None),
+    }
+    assert got["down"].raw_text == "GENERATION FAILED: server_error_529" and got["gone"].raw_text is None and got["other"].raw_text == ""
+    total = attempts.attempt_totals(attempts.generate(asked, scripted(script), Kept(spark))).first()
+    assert (total.calls, total.retries, total.structured, total.fallback, total.failed, total.errors) == (18, 8, 4, 3, 1, 2)
+    assert attempts.generate(asked.limit(0), scripted(script), Kept(spark)).count() == 0
+
+
+def test_outcomes_of_repairs(spark):
+    from groundspark.operators import attempts, repair
+
+    replies = {
+        0: (200, '{"repairable": true, "text": "Fixed claim [2].", "citations": [1]}'), 1: (200, '{"repairable": false, "text": "x", "citations": [1]}'), 2: (200, '{"repairable": true, "text": "  ", "citations": [1]}'),
+        3: (200, '{"repairable": true, "text": "No source.", "citations": [7]}'), 4: (200, '{"repairable": true, "text": "None at all."}'), 5: (200, "broken"), 6: (429, None), 7: (502, None), 8: (None, None), 9: (404, None), 10: (200, "null"),
+    }
+    failed = spark.createDataFrame([("q", k, "old") for k in replies], "qid string, sent_idx int, text string")
+    context = spark.createDataFrame([("q", 1, "c::1"), ("q", 2, "c::2")], "qid string, passage_no int, chunk_id string")
+    told = spark.createDataFrame([(k, c, r) for k, (c, r) in replies.items()], "sent_idx int, code int, raw string")
+    made = attempts.regenerate(failed, context, lambda rows: rows.join(told, "sent_idx"), Kept(spark))
+    got = {r.sent_idx: r for r in made.collect()}
+    assert {k: r.outcome for k, r in got.items()} == {0: "repaired", 1: "unrepairable", 2: "unrepairable", 3: "repaired_but_uncited", 4: "repaired_but_uncited", 5: "unparseable_repair_output", 6: "rate_limited", 7: "server_error_502", 8: "connection_error", 9: "error", 10: "unrepairable"}
+    assert (got[0].new_text, got[0].citation_ids) == ("Fixed claim.", ["c::1", "c::2"]) and all(r.new_text is None and r.citation_ids == [] for k, r in got.items() if k)
+    repairs = attempts.rechecked(made, F.lit(0.6))
+    sentences = failed.withColumn("citation_ids", F.array(F.lit("c::1")))
+    verdicts = failed.select("qid", "sent_idx", F.lit(False).alias("supported"), F.lit(False).alias("uncited"), F.lit(0.1).alias("entailment_score"))
+    assert {r.sent_idx: r.status for r in repair.sentence_outcomes(sentences, verdicts, repairs).collect()} == {k: "repaired" if k == 0 else "dropped" for k in replies}
