@@ -36,17 +36,18 @@ def actions(graded: DataFrame, questions: DataFrame, *keys: str) -> DataFrame:
     return questions.select(*keys).join(graded.select(*keys, "label"), list(keys), "left").groupBy(*keys).agg(action_of(F.col("label")).alias("action"))
 
 
-def corrective_round(questions: DataFrame, first: DataFrame, wider: DataFrame, score, s: Settings = SETTINGS) -> tuple[DataFrame, DataFrame]:
+def corrective_round(questions: DataFrame, first: DataFrame, wider: DataFrame, score, s: Settings = SETTINGS, keep=lambda rows: rows) -> tuple[DataFrame, DataFrame]:
     """Graded chunks after at most one corrective round, with ``pos``, and the trace of each question.
 
     ``first`` and ``wider``: hits of the default and of the larger k. ``score`` adds the three probabilities. The bounded
     loop is unrolled: questions that need no second round keep the first, the rest take both rounds merged and graded anew.
+    ``keep`` writes what is used more than once, so that nothing is graded again for the trace.
     """
-    round0 = grade(score(first.withColumn("pos", F.col("rank"))), s)
-    before = actions(round0, questions).withColumnRenamed("action", "first_action")
+    round0 = keep(grade(score(first.withColumn("pos", F.col("rank"))), s))
+    before = keep(actions(round0, questions).withColumnRenamed("action", "first_action"))
     need = before.where("first_action = 'corrective_retrieve'").select("qid")
     merged = merge_rounds(first.join(need, "qid", "left_semi"), wider.join(need, "qid", "left_semi")).drop("round")
-    graded = round0.join(need, "qid", "left_anti").unionByName(grade(score(merged), s))
+    graded = keep(round0.join(need, "qid", "left_anti").unionByName(grade(score(merged), s)))
     after = actions(graded, questions)
     trace = before.join(after, "qid").select("qid", F.when(F.col("first_action") == "corrective_retrieve", 2).otherwise(1).alias("rounds"), (F.col("first_action") == "corrective_retrieve").alias("corrective_fired"), "action", (F.col("action") == "abstain").alias("abstained_before_generation"))
     return graded, trace

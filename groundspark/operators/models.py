@@ -17,8 +17,8 @@ from groundspark.settings import CHUNK_LABELS, SETTINGS
 
 def lexical_grader(pairs: DataFrame) -> DataFrame:
     """Adds p_correct, p_ambiguous, p_wrong to pairs with question and text: the share of question words in the text."""
-    p = F.round(overlap(content_words(F.col("question")), content_words(F.col("text"))), 6)
-    return pairs.withColumn("p_correct", p).withColumns({"p_wrong": (F.lit(1.0) - F.col("p_correct")) * F.lit(0.7), "p_ambiguous": (F.lit(1.0) - F.col("p_correct")) * F.lit(0.3)})
+    rows = pairs.withColumns({"_q": content_words(F.col("question")), "_t": content_words(F.col("text"))})
+    return rows.withColumn("p_correct", F.round(overlap(F.col("_q"), F.col("_t")), 6)).drop("_q", "_t").withColumns({"p_wrong": (F.lit(1.0) - F.col("p_correct")) * F.lit(0.7), "p_ambiguous": (F.lit(1.0) - F.col("p_correct")) * F.lit(0.3)})
 
 
 def _cited(sentence: Column, number: Column) -> Column:

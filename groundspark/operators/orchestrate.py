@@ -72,8 +72,8 @@ class Runs:
         def score(hits: DataFrame) -> DataFrame:
             return self.use.grade(hits.join(self.questions.select("qid", "question"), "qid").join(texts, "chunk_id")).drop("question", "text")
 
-        graded, trace = grading.corrective_round(self.questions.select("qid"), first, wide, score, self.s)
-        graded, trace = self.kept.keep(graded), self.kept.keep(trace)
+        graded, trace = grading.corrective_round(self.questions.select("qid"), first, wide, score, self.s, self.kept.keep)
+        trace = self.kept.keep(trace)
         chosen = grading.kept_context(graded, trace, self.s.top_k).drop("label")
         return self.kept.keep(chosen.join(texts, "chunk_id").select("qid", "passage_no", "chunk_id", "text")), trace
 

@@ -36,9 +36,10 @@ class SparseIndex(NamedTuple):
 
 
 def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, word, n: how often each word with content occurs."""
+    """key, length, word, n: how often each word with content occurs in a row, and all of them."""
     words = F.filter(normalized_words(F.col(text)), lambda w: ~w.isin(*STOPWORDS))
-    return df.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    rows = df.select(key, words.alias("words"))
+    return rows.select(key, F.size("words").cast("long").alias("length"), F.explode("words").alias("word")).groupBy(key, "length", "word").agg(F.count("*").alias("n"))
 
 
 def fit(corpus: DataFrame, kept: Kept, text: str = "text") -> SparseIndex:
@@ -47,12 +48,11 @@ def fit(corpus: DataFrame, kept: Kept, text: str = "text") -> SparseIndex:
     total = corpus.agg(F.count("*").alias("chunks")).first()["chunks"]
     words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     mean = F.lit(float(max(words, 1))) / F.lit(float(max(total, 1)))
-    length = counts.groupBy("chunk_id").agg(F.sum("n").alias("length"))
     frequency = counts.groupBy("word").agg(F.count("*").alias("documents"))
     rarity = F.floor(F.lit(float(UNIT)) * F.log((F.lit(float(total)) - F.col("documents") + F.lit(0.5)) / (F.col("documents") + F.lit(0.5)) + F.lit(1.0)))
     n = F.col("n").cast("double")
     saturated = n * F.lit(K1 + 1) / (n + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean))
-    rows = counts.join(frequency, "word").join(length, "chunk_id")
+    rows = counts.join(frequency, "word")
     postings = kept.keep(rows.select("word", "chunk_id", "documents", F.floor(rarity * saturated * F.lit(float(FINE))).alias("impact")))
     bounds = kept.keep(postings.groupBy("word").agg(F.max("documents").alias("documents"), F.max("impact").alias("bound")))
     return SparseIndex(postings.drop("documents"), bounds)
@@ -63,7 +63,7 @@ def nearest(questions: DataFrame, index: SparseIndex, kept: Kept, k: int | None
     k = k or SETTINGS.top_k
     rarest = Window.partitionBy("qid").orderBy(F.desc("bound"), "word")
     commonest = Window.partitionBy("qid").orderBy("bound", F.desc("word")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    asked = kept.keep(words_of(questions, "qid", text).drop("n").join(index.bounds, "word").select("qid", "word", "bound", F.row_number().over(rarest).alias("place"), F.sum("bound").over(commonest).alias("upto")))
+    asked = kept.keep(words_of(questions, "qid", text).select("qid", "word").join(index.bounds, "word").select("qid", "word", "bound", F.row_number().over(rarest).alias("place"), F.sum("bound").over(commonest).alias("upto")))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     partial = asked.where(F.col("place") <= FIRST).join(index.postings, "word").groupBy("qid", "chunk_id").agg(F.sum("impact").alias("score"))
     bars = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(0)).alias("bar"))

@@ -44,7 +44,8 @@ def careless(context: DataFrame, cited: bool = True) -> DataFrame:
 
 
 def runs(spark, sf_dir) -> orchestrate.Runs:
-    index = Kept(spark).keep(chunking.chunk(base.documents(spark, sf_dir)).select("chunk_id", "text"))
+    # Written in even parts, whatever files the documents came in, as every question goes over all of it.
+    index = Kept(spark).keep(chunking.chunk(base.documents(spark, sf_dir)).select("chunk_id", "text").repartition("chunk_id"))
     kept = Kept(spark)
     fitted = sparse.fit(index, kept)
     use = orchestrate.Models(draft=careless, plain=partial(careless, cited=False), repair=partial(models.extractive_repair, least=LEAST_SHARE), retrieve=lambda q, _, k: sparse.nearest(q, fitted, kept, k))

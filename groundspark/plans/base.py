@@ -76,9 +76,10 @@ def action_sql(questions: str, graded: str) -> str:
 
 def corrective(spark, sf_dir):
     q, _ = vectors(spark, sf_dir)
-    wide = Kept(spark).keep(hits(spark, sf_dir, SETTINGS.corrective_fetch_k))
+    kept = Kept(spark)
+    wide = kept.keep(hits(spark, sf_dir, SETTINGS.corrective_fetch_k))
     first = wide.where(F.col("rank") <= SETTINGS.top_k)
-    return grading.corrective_round(q.select("qid"), first, wide, probabilities)
+    return grading.corrective_round(q.select("qid"), first, wide, probabilities, keep=kept.keep)
 
 
 def corrective_sql(p: str = P_SQL) -> str:
