@@ -69,6 +69,28 @@ def weak_label(text: Column, doc_id: Column, subjects: Column, golds: Column) ->
     return F.when(~F.array_contains(own, doc_id), "wrong").when(has, "correct").otherwise("ambiguous")
 
 
+def subject_pages(questions: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """qid, doc_id of every page that counts as a question's subject: its titles, and what they are aliases of. ``questions``: qid,
+    subjects; ``aliases``: title, doc_id, where a title stands exactly as subjects do."""
+    titles = questions.select("qid", F.explode("subjects").alias("title")).where("title <> ''").distinct()
+    pages = titles.select("qid", normalize_doc_id(F.col("title")).alias("doc_id"))
+    if aliases is not None:
+        pages = pages.unionByName(titles.join(aliases.select("title", "doc_id"), "title").select("qid", normalize_doc_id(F.col("doc_id")).alias("doc_id")))
+    return pages.distinct()
+
+
+def weak_labels(hits: DataFrame, questions: DataFrame, chunks: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``hits`` (qid, chunk_id) with the label of ``weak_label``, where a subject's page is found by an equi-join over titles and aliases,
+    so texts are normalised for chunks of a subject's page only. ``questions``: qid, subjects, answers; ``chunks``: chunk_id, doc_id, text.
+    """
+    pages = subject_pages(questions, aliases).withColumn("_on", F.lit(True))
+    rows = hits.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id").join(pages, ["qid", "doc_id"], "left").join(questions.select("qid", "answers"), "qid", "left")
+    golds = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), normalize_answer), lambda g: g != "")
+    on = rows.withColumn("_body", F.when(F.col("_on"), normalize_answer(F.coalesce("text", F.lit("")))))
+    has = F.exists(golds, lambda g: F.contains(F.col("_body"), g))
+    return on.select(*hits.columns, F.when(F.col("_on").isNull(), "wrong").when(F.coalesce(has, F.lit(False)), "correct").otherwise("ambiguous").alias("label"))
+
+
 def alias_map(documents: DataFrame) -> DataFrame:
     """title (lower case, spaces) to the first doc_id of that title. ``documents``: doc_id, ord."""
     return documents.groupBy(F.lower(F.translate("doc_id", "_", " ")).alias("title")).agg(F.min_by("doc_id", "ord").alias("doc_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundspark.functions.text import answer_matches, is_abstention, normalize_answer
-from groundspark.operators.grading import weak_label
+from groundspark.operators.grading import weak_label, weak_labels
 from groundspark.operators.orchestrate import Flags, Runs
 from groundspark.settings import SETTINGS
 
@@ -129,9 +129,12 @@ def missing_ids(wanted: DataFrame, found: DataFrame, key: str = "qid") -> DataFr
     return wanted.select(key).distinct().join(found.select(key), key, "left_anti")
 
 
-def training_pairs(questions: DataFrame, hits: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
-    """Weakly labelled pairs of covered questions: qid, chunk_id, rank, label. ``questions``: subjects, answers, title."""
+def training_pairs(questions: DataFrame, hits: DataFrame, chunks: DataFrame, titles: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Weakly labelled pairs of covered questions: qid, chunk_id, rank, label. ``questions``: subjects, answers, title; ``aliases``: title,
+    doc_id, other names of pages that count as their subject too."""
     covered = questions.join(titles.select("title"), "title", "left_semi")
+    if aliases is not None:
+        return weak_labels(hits.select("qid", "chunk_id", "rank").join(covered.select("qid"), "qid", "left_semi"), covered, chunks, aliases)
     rows = hits.join(covered, "qid").join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
     return rows.select("qid", "chunk_id", "rank", weak_label(F.col("text"), F.col("doc_id"), F.col("subjects"), F.col("answers")).alias("label"))
 

@@ -277,6 +277,24 @@ def weak_label(spark, sf_dir):
     return _weak(spark, sf_dir)
 
 
+@query("weak_labels_by_alias", f"""WITH h AS (SELECT doc_id AS qid, unnest([doc_id, doc_id + 1, doc_id + 3]) AS c FROM documents), s AS (SELECT doc_id AS qid, CASE doc_id % 4 WHEN 0 THEN 'nick ' || doc_id WHEN 1 THEN 'Doc ' || doc_id WHEN 2 THEN 'nick ' || (doc_id + 1) ELSE '' END AS title,
+   {normal_sql("regexp_extract(text, '^\\S+')")} AS gold FROM documents), al AS (SELECT 'nick ' || doc_id AS title, 'Doc ' || doc_id AS page FROM documents WHERE doc_id % 3 <> 0),
+ p AS (SELECT qid, replace(title, ' ', '_') AS page FROM s WHERE title <> '' UNION SELECT qid, replace(al.page, ' ', '_') FROM s JOIN al USING (title))
+ SELECT h.qid, h.c AS chunk_id, CASE WHEN p.qid IS NULL THEN 'wrong' WHEN s.gold <> '' AND contains({normal_sql('d.text')}, s.gold) THEN 'correct' ELSE 'ambiguous' END AS label
+   FROM h JOIN documents d ON d.doc_id = h.c JOIN s ON s.qid = h.qid LEFT JOIN p ON p.qid = h.qid AND p.page = 'Doc_' || h.c""")
+def weak_labels_by_alias(spark, sf_dir):
+    """A question for each document, whose subject is named by a title, by an alias of its own or of the next page, or not at all."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    nick = lambda k: F.concat(F.lit("nick "), k.cast("string"))
+    title = F.when(i % 4 == 0, nick(i)).when(i % 4 == 1, F.concat(F.lit("Doc "), i.cast("string"))).when(i % 4 == 2, nick(i + 1)).otherwise("")
+    questions = d.select(i.alias("qid"), F.array(title).alias("subjects"), F.array(F.regexp_extract("text", r"^\S+", 0)).alias("answers"))
+    chunks = d.select(i.alias("chunk_id"), F.concat(F.lit("Doc_"), i.cast("string")).alias("doc_id"), "text")
+    aliases = d.where("doc_id % 3 <> 0").select(nick(i).alias("title"), F.concat(F.lit("Doc "), i.cast("string")).alias("doc_id"))
+    hits = d.select(i.alias("qid"), F.explode(F.array(i, i + 1, i + 3)).alias("chunk_id"))
+    return grading.weak_labels(hits, questions, chunks, aliases)
+
+
 @query("label_distribution", _WEAK + " SELECT label, count(*) AS n FROM w GROUP BY label")
 def label_distribution(spark, sf_dir):
     return harness.distribution(_weak(spark, sf_dir), "label")

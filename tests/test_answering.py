@@ -206,3 +206,43 @@ def test_outcomes_of_repairs(spark):
     sentences = failed.withColumn("citation_ids", F.array(F.lit("c::1")))
     verdicts = failed.select("qid", "sent_idx", F.lit(False).alias("supported"), F.lit(False).alias("uncited"), F.lit(0.1).alias("entailment_score"))
     assert {r.sent_idx: r.status for r in repair.sentence_outcomes(sentences, verdicts, repairs).collect()} == {k: "repaired" if k == 0 else "dropped" for k in replies}
+
+
+# -- weak labels by alias, graders by selection
+
+
+def test_subjects_are_found_by_their_aliases(spark):
+    from groundspark.operators import grading
+
+    chunks = spark.createDataFrame([("c1", "Ada_Lovelace", "She was a Mathematician."), ("c2", "Ada_Lovelace", "She lived."), ("c3", "Babbage", "A mathematician."), ("c4", "Ada_Lovelace", None)], "chunk_id string, doc_id string, text string")
+    asked = spark.createDataFrame([(1, ["Ada Lovelace"], ["mathematician"]), (2, ["Countess of Lovelace", None], ["the mathematician!"]), (3, ["Nobody", ""], ["mathematician"]), (4, ["Ada Lovelace"], ["", "the"]), (5, None, None)], "qid int, subjects array<string>, answers array<string>")
+    aliases = spark.createDataFrame([("Countess of Lovelace", "Ada_Lovelace"), ("Countess of Lovelace", "Babbage"), ("Other", "Babbage")], "title string, doc_id string")
+    hits = spark.createDataFrame([(q, c) for q in range(1, 6) for c in ("c1", "c2", "c3", "c4")], "qid int, chunk_id string")
+    label = lambda al: {(r.qid, r.chunk_id): r.label[0] for r in grading.weak_labels(hits, asked, chunks, al).collect()}
+    show = lambda got, q: "".join(got[q, c] for c in ("c1", "c2", "c3", "c4"))
+    with_, without = label(aliases), label(None)
+    assert [show(with_, q) for q in range(1, 6)] == ["cawa", "caca", "wwww", "aawa", "wwww"]
+    assert [show(without, q) for q in range(1, 6)] == ["cawa", "wwww", "wwww", "aawa", "wwww"]
+
+
+def test_the_grader_of_the_best_macro_f1_is_chosen(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for q in range(60):
+        split = "train" if q < 40 else "val" if q < 50 else "test"
+        for label, text in (("correct", f"name{q} is a gold fact"), ("ambiguous", f"name{q} lived somewhere"), ("wrong", f"boat {rng.randint(0, 9)} sails on")):
+            rows += [(f"who is name{q}", text, label, split)] * (3 if label == "wrong" else 1)
+    pairs = spark.createDataFrame(rows, "question string, text string, label string, split string")
+    model, history = models.select_grader(pairs, (5.0, 0.01), 1 << 10)
+    best = max(history, key=lambda h: h["macro_f1"])
+    assert [h["strength"] for h in history] == [5.0, 0.01] and best["n"] == 50 and best["macro_f1"] > 0.9
+    assert model.stages[-1].getRegParam() == best["strength"]
+    model.write().save(str(tmp_path / "grader"))
+    val = pairs.where("split = 'val'")
+    loaded = {(r.question, r.text): r for r in models.load_grader(str(tmp_path / "grader"))(val).collect()}
+    own = {(r.question, r.text): r for r in models.graded_by(model)(val).collect()}
+    assert own == loaded and all(abs(r.p_correct + r.p_ambiguous + r.p_wrong - 1) < 1e-9 for r in own.values())
+    with pytest.raises(models.MissingModel):
+        models.load_grader(str(tmp_path / "nothing"))
+    with pytest.raises(ValueError, match="more than one split"):
+        models.select_grader(pairs.unionByName(pairs.limit(1).withColumn("split", F.lit("test"))))
