@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,6 +76,18 @@ def prompts(questions: DataFrame, context: DataFrame, plain: bool = False) -> Da
     return questions.join(listed, "qid").select("qid", key.alias("key"), rendered_passages(texts, ids if plain else None).alias("prompt"))
 
 
+def draft_key(question: Column, texts: Column, model: str, effort: str, prompt: str) -> Column:
+    """What a reply to a request for a draft depends on: the model, its effort, the system prompt, the question and the passages' texts."""
+    return cache_key(F.lit("draft"), F.lit(model), F.lit(effort), F.lit(prompt), question, texts)
+
+
+def repair_keys(failed: DataFrame, questions: DataFrame, context: DataFrame, model: str) -> DataFrame:
+    """qid, sent_idx, key of each request to repair a sentence: model, question, the failed sentence and the passages' texts, no chunk ids."""
+    texts = context.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("passage_no", "text"))), lambda x: x["text"]).alias("texts"))
+    rows = failed.select("qid", "sent_idx", "text").join(questions.select("qid", "question"), "qid").join(texts, "qid", "left")
+    return rows.select("qid", "sent_idx", cache_key(F.lit("repair"), F.lit(model), F.col("question"), F.col("text"), F.col("texts")).alias("key"))
+
+
 def cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests with their stored reply, and one request for each key that has none, to be generated and stored."""
     hits = requests.join(cache.select("key", "reply"), "key")

@@ -93,6 +93,21 @@ def labeled_hallucination_rate(rows: DataFrame) -> DataFrame:
     return total.withColumn("rate", F.try_divide("hallucinated", "labeled"))
 
 
+def not_one_verdict(sentences: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """qid, sent_idx, n of every sentence that hasn't exactly one verdict, and of verdicts without a sentence. Empty for a sound run."""
+    key = ["qid", "sent_idx"]
+    judged = verdicts.groupBy(*key).agg(F.count("*").alias("n"))
+    both = sentences.select(*key).distinct().withColumn("there", F.lit(True)).join(judged, key, "full")
+    return both.where((F.coalesce("n", F.lit(0)) != 1) | F.col("there").isNull()).select(*key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def checked_rollup(sentences: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The roll-up of verdicts; raises where a sentence has none or several, as counts would then mean nothing."""
+    if bad := not_one_verdict(sentences, verdicts).limit(1).collect():
+        raise ValueError(f"sentence {bad[0]['qid']}/{bad[0]['sent_idx']} has {bad[0]['n']} verdicts instead of one")
+    return verifier_rollup(verdicts)
+
+
 def verifier_rollup(verdicts: DataFrame) -> DataFrame:
     """Counts of outcomes, labels and sentences with several citations."""
     return verdicts.agg(

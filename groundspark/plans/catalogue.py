@@ -20,6 +20,7 @@ from groundspark.functions.text import (
     rendered_passages,
     str_em,
 )
+from groundspark.kept import Kept
 from groundspark.operators import chunking, drafting, grading, harness, metrics, models, orchestrate, repair, retrieval, verification
 from groundspark.plans import answering, base
 from groundspark.plans.base import ANSWERS_SQL, CORRECTIVE_SQL, DRAFTS_SQL, VERDICTS_SQL, content_sql, hits_sql, normal_sql, sentences_sql, table, trimmed_sql
@@ -428,6 +429,31 @@ def verifier_rollup(spark, sf_dir):
     return verification.verifier_rollup(base.verdicts(spark, sf_dir))
 
 
+@query("verdict_check", f"""WITH {VERDICTS_SQL}, broken AS (SELECT * FROM verdicts WHERE sent_idx <> 3 UNION ALL SELECT * FROM verdicts WHERE sent_idx = 1)
+ SELECT p.qid, p.sent_idx, count(b.qid) AS n FROM parsed p LEFT JOIN broken b ON b.qid = p.qid AND b.sent_idx = p.sent_idx GROUP BY ALL HAVING count(b.qid) <> 1""")
+def verdict_check(spark, sf_dir):
+    """Verdicts of which some are lost and some repeated: the check names each."""
+    sentences, v = base.parsed(spark, sf_dir), base.verdicts(spark, sf_dir)
+    return verification.not_one_verdict(sentences, v.where("sent_idx <> 3").unionByName(v.where("sent_idx = 1")))
+
+
+@query("checked_rollup", f"""WITH {VERDICTS_SQL} SELECT count(*) AS sentences, count(*) FILTER (WHERE supported) AS supported, count(*) FILTER (WHERE uncited) AS uncited, count(*) FILTER (WHERE n_scored > 1) AS several_citations,
+ count(*) FILTER (WHERE nli_label = 'entailment') AS entailment, count(*) FILTER (WHERE nli_label = 'neutral') AS neutral, count(*) FILTER (WHERE nli_label = 'contradiction') AS contradiction, avg(n_scored) FILTER (WHERE n_scored > 0) AS mean_citations FROM verdicts""")
+def checked_rollup(spark, sf_dir):
+    return verification.checked_rollup(base.parsed(spark, sf_dir), base.verdicts(spark, sf_dir))
+
+
+@query("repair_keys", f"""WITH {VERDICTS_SQL}, asked AS (SELECT v.qid, v.sent_idx, v.text, (SELECT string_agg(c.text, chr(30) ORDER BY c.passage_no) FROM context c WHERE c.qid = v.qid) AS texts, t.text AS question FROM verdicts v JOIN turns t ON t.qid = v.qid WHERE NOT supported),
+ k AS (SELECT qid, sent_idx, dense_rank() OVER (ORDER BY question, text, texts) AS d FROM asked)
+ SELECT k.qid, k.sent_idx, count(*) OVER (PARTITION BY d) AS requests FROM k""")
+def repair_keys(spark, sf_dir):
+    """Requests to repair what isn't supported, and how many share a key."""
+    p, c, _ = base.resolved(spark, sf_dir)
+    failed = p.select("qid", "sent_idx", "text").join(base.verdicts(spark, sf_dir).where("NOT supported").select("qid", "sent_idx"), ["qid", "sent_idx"])
+    keys = drafting.repair_keys(failed, base.draft_turns(spark, sf_dir).select("qid", F.col("text").alias("question")), c, "stand-in")
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("requests")), "key").select("qid", "sent_idx", "requests")
+
+
 @query("repair_outcome", f"WITH {ANSWERS_SQL} SELECT * FROM answers")
 def repair_outcome(spark, sf_dir):
     return base.final_answers(spark, sf_dir)[2]
@@ -746,6 +772,26 @@ def regression_gate(spark, sf_dir):
     return metrics.regression_gate(spark.sql(f"SELECT * FROM {_B}"), spark.sql(f"SELECT * FROM {_O}"), {"citation_recall": 0.9}, ("citation_precision",))
 
 
+_MEASURED = _STATS.replace(f"WITH {DRAFTS_SQL}", f"WITH {VERDICTS_SQL}", 1) + f""", s AS (SELECT sum(sentences) AS n, sum(with_valid_citation) AS v, sum(sentences_with_invalid_id) AS i FROM stats),
+ m AS (SELECT count(*) AS n, count(*) FILTER (WHERE supported) AS s, sum(len(rounded)) AS c, sum(len(list_filter(rounded, lambda x: x >= 0.2::DOUBLE))) AS g FROM verdicts WHERE NOT (uncited AND n_scored = 0)),
+ o AS (SELECT 'parseable_citation_rate' AS metric, v / n::DOUBLE AS observed FROM s UNION ALL SELECT 'invalid_id_rate', i / n::DOUBLE FROM s UNION ALL SELECT 'citation_recall', s / n::DOUBLE FROM m UNION ALL SELECT 'citation_precision', g / c::DOUBLE FROM m UNION ALL SELECT 'hallucination_rate_auto', (n - s) / n::DOUBLE FROM m),
+ b AS (SELECT metric, value::DOUBLE AS value, CASE WHEN direction = 'higher_is_better' THEN min::DOUBLE ELSE max::DOUBLE END AS threshold, direction FROM {_B})
+ SELECT b.metric, CASE WHEN value IS NULL OR threshold IS NULL THEN 'SKIPPED' WHEN observed IS NULL THEN 'SKIPPED' WHEN CASE WHEN direction = 'higher_is_better' THEN observed >= threshold ELSE observed <= threshold END THEN 'PASS' ELSE 'FAIL' END AS status,
+   value AS expected, threshold, observed, observed - value AS delta FROM b LEFT JOIN o ON o.metric = b.metric"""
+
+
+@query("measured_gate", _MEASURED)
+def measured_gate(spark, sf_dir):
+    """The published baseline against what the verdicts and citations of all drafts measure."""
+    p, _, cites = base.resolved(spark, sf_dir)
+    rates = drafting.citation_rates(drafting.citation_stats(p, cites)).select(F.col("parseable_rate").alias("parseable_citation_rate"), "invalid_id_rate")
+    v = Kept(spark).keep(base.verdicts(spark, sf_dir))
+    scores = verification.citation_precision_recall(v).select(F.col("recall").alias("citation_recall"), F.col("precision").alias("citation_precision"))
+    found = verification.hallucination_rate(v).select(F.col("hallucination_rate").alias("hallucination_rate_auto"))
+    each = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns])).alias("x")).select("x.*")
+    return metrics.regression_gate(spark.sql(f"SELECT * FROM {_B}"), each(rates).unionByName(each(scores)).unionByName(each(found)), {}, ())
+
+
 # -- ingest and harness -----------------------------------------------------------------------------------------------
 
 

@@ -246,3 +246,24 @@ def test_the_grader_of_the_best_macro_f1_is_chosen(spark, tmp_path):
         models.load_grader(str(tmp_path / "nothing"))
     with pytest.raises(ValueError, match="more than one split"):
         models.select_grader(pairs.unionByName(pairs.limit(1).withColumn("split", F.lit("test"))))
+
+
+def test_every_sentence_has_one_verdict(spark):
+    from groundspark.operators import drafting, verification
+
+    sentences = spark.createDataFrame([("q", k) for k in range(4)], "qid string, sent_idx int")
+    verdicts = spark.createDataFrame([("q", 0), ("q", 1), ("q", 1), ("q", 3), ("q", 9)], "qid string, sent_idx int").withColumns({"supported": F.lit(True), "uncited": F.lit(False), "n_scored": F.lit(1), "nli_label": F.lit("neutral")})
+    assert sorted((r.sent_idx, r.n) for r in verification.not_one_verdict(sentences, verdicts).collect()) == [(1, 2), (2, 0), (9, 1)]
+    with pytest.raises(ValueError, match="instead of one"):
+        verification.checked_rollup(sentences, verdicts)
+    assert verification.checked_rollup(sentences.where("sent_idx IN (0, 3)"), verdicts.where("sent_idx IN (0, 3)")).first().sentences == 2
+
+    failed = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "x")], "qid string, sent_idx int, text string")
+    asked = spark.createDataFrame([("a", "Q"), ("b", "Q")], "qid string, question string")
+    context = lambda ids, text="t": spark.createDataFrame([(q, 1, f"{ids}{q}", text) for q in "ab"], "qid string, passage_no int, chunk_id string, text string")
+    keys = lambda c, model="m": {(r.qid, r.sent_idx): r.key for r in drafting.repair_keys(failed, asked, c, model).collect()}
+    one = keys(context("c"))
+    assert one == keys(context("other")) and one["a", 0] == one["b", 0] != one["a", 1]
+    assert not set(one.values()) & set(keys(context("c"), "another").values()) and not set(one.values()) & set(keys(context("c", "u")).values())
+    base = spark.range(1).select(*[drafting.draft_key(F.lit("Q"), F.array(F.lit("t")), *x).alias(f"k{i}") for i, x in enumerate([("m", "low", "p"), ("m", "high", "p"), ("m", "low", "other"), ("n", "low", "p")])]).first()
+    assert len(set(base)) == 4
