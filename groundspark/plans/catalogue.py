@@ -933,9 +933,18 @@ answering.register(query, _CHUNKS)
 answering.register_more(query, chunk_sql(SETTINGS.chunk_size, SETTINGS.chunk_overlap))
 
 
-@query("ingest_files")
+_UPLOADS = "(SELECT page_id AS doc_id, html AS text FROM pages WHERE page_id % 3 < 2)"
+
+
+@query("ingest_files", f"""WITH RECURSIVE {chunk_sql(SETTINGS.chunk_size, SETTINGS.chunk_overlap).replace('FROM documents', f'FROM {_UPLOADS}')},
+ files AS (SELECT page_id // 40 AS request_id, page_id AS pos, url || CASE page_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' ELSE '.zip' END AS filename, strlen(html) AS n_bytes, page_id % 3 = 2 AS bad FROM pages),
+ r AS (SELECT *, sum(n_bytes) OVER (PARTITION BY request_id ORDER BY pos) AS upto, count(*) OVER (PARTITION BY request_id) AS n FROM files),
+ told AS (SELECT *, CASE WHEN n > {readers.MOST_FILES} THEN 'too many files' WHEN upto > {readers.MOST_REQUEST_BYTES} THEN 'request too large' WHEN n_bytes = 0 THEN 'file is empty' WHEN n_bytes > {readers.MOST_FILE_BYTES} THEN 'file too large' WHEN bad THEN 'unreadable' ELSE '' END AS detail FROM r),
+ named AS (SELECT *, CASE WHEN detail = '' THEN 'indexed' WHEN detail IN ('too many files', 'unreadable') THEN 'failed' ELSE 'skipped' END AS status, CASE WHEN detail = '' THEN regexp_replace(filename, '\\.[^.]*$', '') END AS doc_id FROM told),
+ last AS (SELECT doc_id, max(pos) AS pos FROM named WHERE status = 'indexed' GROUP BY doc_id), counts AS (SELECT doc_id::BIGINT AS pos, count(*) AS n_chunks FROM chunks GROUP BY doc_id)
+ SELECT request_id, n.pos, filename, status, detail, n.doc_id, coalesce(n_chunks, 0) AS n_chunks FROM named n LEFT JOIN last l ON l.pos = n.pos LEFT JOIN counts c ON c.pos = l.pos""")
 def ingest_files(spark, sf_dir):
-    """Pages as uploads, with a status for each; binary boundary, no SQL."""
+    """Pages as uploads, with a status and the number of chunks for each."""
     suffix = F.element_at(F.array(F.lit(".txt"), F.lit(".md"), F.lit(".zip")), (F.col("page_id") % 3 + 1).cast("int"))
     files = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 40).cast("long").alias("request_id"), F.col("page_id").alias("pos"), F.concat("url", suffix).alias("filename"), F.col("html").cast("binary").alias("content"))
     return orchestrate.ingest(files)[0]
