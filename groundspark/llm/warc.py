@@ -196,18 +196,40 @@ def audit(original: DataFrame, replica: DataFrame, scratch: Scratch) -> DataFram
     return m.join(o, ["file", "offset", "record_id"], "full").where(~F.col("digest").eqNullSafe(F.col("digest2"))).select("file", "offset", "record_id", status.alias("status"))
 
 
+def fingerprints(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """As ``laid_out``, with the length and the digest of each record's damaged bytes (bad_length, bad_digest), and records hashed where
+    pages are read: what is shuffled is a key and digests, never the bytes. Records of equal ids lie in the order of their digests.
+    """
+    made = pages.select("page_id", F.floor(F.col("page_id") / per_file).cast("long").alias("known"), record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    both = made.withColumn("bad", spoiled(F.col("record"), F.col("page_id")))
+    file = F.coalesce("known", -1 - F.pmod(F.xxhash64("record"), F.lit(NAMELESS)))
+    size = lambda c: F.octet_length(c).cast("long")
+    rows = both.select(file.alias("file"), "page_id", size("record").alias("length"), F.sha2("record", 256).alias("digest"), size("bad").alias("bad_length"), F.sha2("bad", 256).alias("bad_digest"))
+    before = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    at = rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return at.select("file", "offset", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("record_id"), "length", "digest", "bad_length", "bad_digest")
+
+
+def spoiled(record: Column, number: Column) -> Column:
+    """A record as the damaged replica has it: of some numbers with a flipped byte or a cut tail."""
+    changed = F.when(F.pmod(number, F.lit(2)) == 0, flipped(record)).otherwise(cut(record))
+    return F.when(F.pmod(number, F.lit(97)) == 5, changed).otherwise(record)
+
+
+def left_over(records: DataFrame) -> DataFrame:
+    """Without the last records of some files, and without some whole files. A table of at most a row for each seventeenth file is joined
+    by the optimizer's own choice."""
+    lost = lambda step, k: (F.col("file") >= 0) & (F.pmod("file", F.lit(step)) == k)
+    last = records.groupBy("file").agg(F.max("offset").alias("offset")).where(lost(17, 3))
+    return records.where(~lost(53, 9)).join(last, ["file", "offset"], "left_anti")
+
+
 def damaged(records: DataFrame) -> DataFrame:
     """A replica in which some records have a flipped byte or a cut tail, and the last ones of some files and whole files are lost.
 
     What is left of a record stays at its offset; records without an id stay whole.
     """
-    lost = lambda step, k: (F.col("file") >= 0) & (F.pmod("file", F.lit(step)) == k)
-    last = records.groupBy("file").agg(F.max("offset").alias("offset")).where(lost(17, 3))
-    left = records.where(~lost(53, 9)).join(F.broadcast(last), ["file", "offset"], "left_anti")
-    number = F.col("record_id").try_cast("bigint")
-    changed = F.when(F.pmod(number, F.lit(2)) == 0, flipped(F.col("record"))).otherwise(cut(F.col("record")))
-    spoiled = F.when(F.pmod(number, F.lit(97)) == 5, changed).otherwise(F.col("record"))
-    return left.select("file", "offset", "record_id", spoiled.alias("record"))
+    return left_over(records).select("file", "offset", "record_id", spoiled(F.col("record"), F.col("record_id").try_cast("bigint")).alias("record"))
 
 
 def numbered(original: DataFrame, root: str, replica: DataFrame, replica_root: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -223,10 +245,9 @@ def numbered(original: DataFrame, root: str, replica: DataFrame, replica_root: s
 def op7_warc(spark, sf_dir):
     """Audits a replica of the archive of all pages, damaged in known places: bytes changed, tails cut off, files lost."""
     scratch = Scratch(spark)
-    records = scratch.keep(placed(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
-    original, replica = scratch.keep(hashed(records)), scratch.keep(hashed(damaged(records)))
-    scratch.drop(records)
-    return audit(original, replica, scratch)
+    records = scratch.keep(fingerprints(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    bad = left_over(records).select("file", "offset", "record_id", F.col("bad_length").alias("length"), F.col("bad_digest").alias("digest"))
+    return audit(records.drop("bad_length", "bad_digest"), scratch.keep(bad), scratch)
 
 
 OP7_SQL = f"""

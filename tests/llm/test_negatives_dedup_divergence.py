@@ -287,3 +287,30 @@ def test_inline_elements_end_no_block(html, want):
 
     page = Page(html)
     assert page.blocks([True] * len(page.tag)) == want
+
+
+# -- 7: hashes taken where pages are read
+
+
+def test_fingerprints_equal_the_records_they_stand_for(spark):
+    from groundspark.llm import warc
+    from groundspark.llm.common import Scratch
+
+    rows = [(k, f"u{k}", "<p>" + "x" * (k % 40) + "</p>") for k in range(300)] + [(5, "u5", "<p>xxxxx</p>"), (7, None, None), (102, "again", "y"), (None, "nameless", "z"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    key = ("file", "record_id", "length", "digest")
+    shown = lambda d: sorted(tuple(r[c] for c in key) for r in d.collect())
+    records, prints = warc.placed(pages, 4), warc.fingerprints(pages, 4)
+    assert shown(warc.laid_out(pages, 4)) == shown(prints)
+    single = spark.createDataFrame(rows[:300], pages.schema)
+    assert sorted(map(tuple, warc.laid_out(single, 4).collect())) == sorted(map(tuple, warc.fingerprints(single, 4).drop("bad_length", "bad_digest").collect()))
+    bad = warc.left_over(warc.fingerprints(single, 4)).select("file", "offset", "record_id", F.col("bad_length").alias("length"), F.col("bad_digest").alias("digest"))
+    assert sorted(map(tuple, bad.collect())) == sorted(map(tuple, warc.hashed(warc.damaged(warc.placed(single, 4))).collect()))
+    assert {r.record_id: r.status for r in warc.audit(prints, warc.left_over(prints).withColumn("digest", F.col("bad_digest")).withColumn("length", F.col("bad_length")), Scratch(spark)).collect()}["5"] == "corrupt"
+    ends = prints.orderBy("file", "offset").where("file = 1").collect()
+    assert [r.offset for r in ends] == [sum(r.length for r in ends[:k]) for k in range(len(ends))] and records.count() == prints.count()
+    node = prints._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().apply(0)
+    shuffled = node.children().apply(0).output()
+    assert {shuffled.apply(k).name() for k in range(shuffled.size())} == {"file", "page_id", "length", "digest", "bad_length", "bad_digest"}
