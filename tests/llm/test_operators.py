@@ -101,6 +101,43 @@ def test_ann_recall_and_scores(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def uneven(kind, n=2000, dim=16):
+    rng = np.random.default_rng(8)
+    g = rng.normal(size=(n, dim))
+    if kind == "plane":
+        return rng.normal(size=(n, 3)) @ rng.normal(size=(3, dim))
+    if kind == "decaying":
+        return g / np.arange(1, dim + 1)
+    return rng.standard_cauchy((n, dim))
+
+
+@pytest.mark.parametrize("kind", ["plane", "decaying", "heavy"])
+def test_ann_finds_nearest_where_residuals_have_no_common_spread(spark, kind, monkeypatch):
+    """Also rows outside the sample, which stretch their lists beyond what was fitted."""
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    x = uneven(kind).astype(np.float32)
+    wide, got = x.astype(np.float64), defaultdict(list)
+    for r in ann.search(vectors(spark, x), F.col("id") % 20 == 0, 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(range(0, len(x), 20))
+    for q, rows in got.items():
+        s = (wide * wide[q]).sum(1)
+        s[q] = -np.inf
+        assert rows == np.lexsort((np.arange(len(s)), -s))[:10].tolist()
+
+
+def test_ann_visits_a_list_again_below_its_estimate():
+    """Rows between the bar and an estimate that was too high are found by the second visit, those above it aren't found twice."""
+    index = ann.Index(np.array([[1.0], [5.0]]), np.array([0.1, 0.1]), [np.array([[0.0], [5.0]])], 0.0)
+    largest = np.array([[0.5, 0.5, 0.5, 0.5]] * 2)
+    lists, below = ann.route_again(index, np.array([3, 3]), largest, np.array([[1.0]]), np.array([1.1]), [np.array([0, 1])], [np.array([1.4, -np.inf])])
+    assert lists[0].tolist() == [0] and below[0].tolist() == [1.4]
+    x = np.array([[1.0], [1.2], [1.5]])
+    block = ann.Block(0, np.arange(3), np.arange(3), x, np.zeros((3, 1), np.int64), np.abs(x[:, 0] - 1.0))
+    which, ids, scores = ann.visit(index, block, np.array([9]), np.array([[1.0]]), np.array([1.1]), below[0], 2)
+    assert (which.tolist(), ids.tolist(), scores.tolist()) == ([0], [1], [1.2])
+
+
 def test_ann_visits_lists_of_k_other_rows():
     index = ann.Index(np.array([[1.0, 0.0], [-1.0, 0.0]]), np.array([0.01, 0.01]), [], 0.0)
     for size, want in ((20, [0, 1]), (21, [0])):
