@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundspark.batches import small_batches
 from groundspark.functions.text import normalize_doc_id
 from groundspark.settings import SETTINGS
 
@@ -41,6 +42,7 @@ def chunk(documents: DataFrame, size: int = SETTINGS.chunk_size, overlap: int =
     """chunk_id, doc_id, chunk_index, text, start_char, end_char. Empty and null documents give no chunks."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than the chunk size")
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

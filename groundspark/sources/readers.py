@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from groundspark.batches import small_batches
 from groundspark.functions.text import parse_answers
 from groundspark.schemas import ASQA
 from groundspark.sources import buckets, sinks
@@ -78,6 +79,7 @@ def _decoded(name: str, raw: bytes | None) -> tuple[str | None, str | None]:
 
 def extracted(files: DataFrame) -> DataFrame:
     """Adds text and error to files: filename, content."""
+    small_batches(files.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,11 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
+from groundspark.batches import ROWS_OF_A_BATCH, TEXTS
+from groundspark.operators import chunking
 from groundspark.sources import readers, sinks
 from groundspark.streaming.ingest import ingest
 
@@ -72,3 +77,15 @@ def test_streamed_documents_replace_older_versions(spark, tmp_path):
     put([("a", "new a")])
     ingest(stream(), root, str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.text for r in spark.read.parquet(f"{root}/v=1").collect()) == ["new a", "old b"]
+
+
+@pytest.mark.parametrize("made", [lambda df: readers.extracted(df.select(F.lit("a.txt").alias("filename"), F.lit(b"a").alias("content"))), lambda df: chunking.chunk(df.select(F.col("id").alias("doc_id"), F.lit("a").alias("text")))])
+def test_python_workers_get_small_batches_of_texts(spark, made):
+    """A worker holds a batch several times over, and rows are whole files."""
+    before = spark.conf.get(ROWS_OF_A_BATCH)
+    try:
+        for now, want in (("10000", TEXTS), ("0", TEXTS), ("7", 7)):
+            spark.conf.set(ROWS_OF_A_BATCH, now)
+            assert made(spark.range(600)).count() == 600 and int(spark.conf.get(ROWS_OF_A_BATCH)) == want
+    finally:
+        spark.conf.set(ROWS_OF_A_BATCH, before)
