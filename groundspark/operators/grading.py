@@ -81,14 +81,18 @@ def subject_pages(questions: DataFrame, aliases: DataFrame | None = None) -> Dat
 
 def weak_labels(hits: DataFrame, questions: DataFrame, chunks: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``hits`` (qid, chunk_id) with the label of ``weak_label``, where a subject's page is found by an equi-join over titles and aliases,
-    so texts are normalised for chunks of a subject's page only. ``questions``: qid, subjects, answers; ``chunks``: chunk_id, doc_id, text.
+    so texts are moved and normalised for chunks of a subject's page only. ``questions``: qid, subjects, answers; ``chunks``: chunk_id,
+    doc_id, text.
     """
-    pages = subject_pages(questions, aliases).withColumn("_on", F.lit(True))
-    rows = hits.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id").join(pages, ["qid", "doc_id"], "left").join(questions.select("qid", "answers"), "qid", "left")
+    pages, ids = subject_pages(questions, aliases), chunks.select("chunk_id", "doc_id")
+    wrong = hits.join(ids, "chunk_id").join(pages, ["qid", "doc_id"], "left_anti").select(*hits.columns, F.lit("wrong").alias("label"))
+    # A chunk id that comes twice meets its texts once.
+    on = hits.join(ids.distinct(), "chunk_id").join(pages, ["qid", "doc_id"], "left_semi")
+    rows = on.join(questions.select("qid", "answers"), "qid", "left").join(chunks.select("chunk_id", "doc_id", "text"), ["chunk_id", "doc_id"])
     golds = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), normalize_answer), lambda g: g != "")
-    on = rows.withColumn("_body", F.when(F.col("_on"), normalize_answer(F.coalesce("text", F.lit("")))))
-    has = F.exists(golds, lambda g: F.contains(F.col("_body"), g))
-    return on.select(*hits.columns, F.when(F.col("_on").isNull(), "wrong").when(F.coalesce(has, F.lit(False)), "correct").otherwise("ambiguous").alias("label"))
+    body = rows.withColumn("_body", normalize_answer(F.coalesce("text", F.lit(""))))
+    has = F.coalesce(F.exists(golds, lambda g: F.contains(F.col("_body"), g)), F.lit(False))
+    return wrong.unionByName(body.select(*hits.columns, F.when(has, "correct").otherwise("ambiguous").alias("label")))
 
 
 def alias_map(documents: DataFrame) -> DataFrame:

@@ -267,3 +267,22 @@ def test_every_sentence_has_one_verdict(spark):
     assert not set(one.values()) & set(keys(context("c"), "another").values()) and not set(one.values()) & set(keys(context("c", "u")).values())
     base = spark.range(1).select(*[drafting.draft_key(F.lit("Q"), F.array(F.lit("t")), *x).alias(f"k{i}") for i, x in enumerate([("m", "low", "p"), ("m", "high", "p"), ("m", "low", "other"), ("n", "low", "p")])]).first()
     assert len(set(base)) == 4
+
+
+def test_weak_labels_move_texts_through_one_join(spark):
+    """Texts meet only the pairs on a subject's page; rows that repeat a chunk id are judged by their own text."""
+    from groundspark.operators import grading
+
+    hits = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c")], "qid string, chunk_id string")
+    asked = spark.createDataFrame([("q", ["My page"], ["gold"])], "qid string, subjects array<string>, answers array<string>")
+    chunks = spark.createDataFrame([("a", "My_page", "some gold"), ("a", "My_page", "none"), ("b", "My_page", None), ("c", "Other", "gold")], "chunk_id string, doc_id string, text string")
+    made = grading.weak_labels(hits, asked, chunks)
+    assert sorted((r.chunk_id, r.label) for r in made.collect()) == [("a", "ambiguous"), ("a", "correct"), ("b", "ambiguous"), ("c", "wrong")]
+
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    moved = [n for n in nodes(made._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join" and "text#" in n.output().mkString(",")]
+    assert len(moved) == 1
