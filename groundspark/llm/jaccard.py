@@ -3,8 +3,10 @@
 1. A sketch of SLOTS counters over all documents tells common shingles from others.
 2. Each document gives its shingle set's size, signature, count vector and signing shingles: ordered by commonness and then
    by hash, the first n - ceil(3n/4) + 1 of its n shingles. Linked documents share a signing shingle. Documents that share
-   one make a cell, and all cells with the same smallest document, their anchor, make a group: so groups split the documents
-   into parts, which overlap, and no link runs between documents that have no group in common.
+   one make a cell, which is cut where sizes and places in that order leave no room for a link, and left out if all its members
+   share the shingle before, too: each pair is judged by the first signing shingle that it has in common. All cells with the
+   same smallest document, their anchor, make a group: so groups split the documents into parts, which overlap, and no link
+   runs between documents that have no group in common.
 3. In each group the members' count vectors (shingles hashed into groups of counts) are the points of an R-tree, which is
    joined with itself: boxes bound overlaps by summed coordinate minima. Pairs that survive connect their ends, and the join
    passes over nodes that are connected already; what is connected in the end makes disjoint parts that hold all such pairs.
@@ -50,6 +52,8 @@ STEPS, FULL = 8, 255
 HOT = 65_536
 #: Signing shingles in a bucket of cells, on average, and those that a task holds before it passes them on.
 BUCKET, HELD = 400_000, 400_000
+#: The packed numbers that are dealt to buckets.
+DEALT = {"keys": np.uint32, "docs": np.int64, "sizes": np.int32, "reach": np.int32, "before": np.uint64}
 #: Members of a tile, shingles of a tile, and shingles of the groups or parts that are searched together; a point weighs as POINT shingles.
 TILE, WEIGHT, PACK, POINT = 2_048, 4_000_000, 2_000_000, 256
 #: Columns of an incidence matrix that are multiplied at once; pairs of members that are listed at once.
@@ -104,18 +108,19 @@ def hot_class(classes: np.ndarray) -> int:
 
 
 def signing(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order: rare before common, then by hash."""
+    """The first shingles in the common order, and in that order: rare before common, then by hash."""
     if not len(own):
         return own
     count = len(own) - (3 * len(own) + 3) // 4 + 1
     common = classes[slot(own).astype(np.int64)].astype(np.uint64)
     with np.errstate(over="ignore"):
         order = (common << np.uint64(56)) | (mixed(own) >> np.uint64(8))
-    return own[np.argpartition(order, count - 1)[:count]] if count < len(own) else own
+    first = np.argpartition(order, count - 1)[:count]
+    return own[first[np.argsort(order[first], kind="stable")]]
 
 
 def described(docs: DataFrame, classes, hot: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, s1, s2 (signature), counts (the point), keys and hot (signing shingles that aren't and that are hot), as packed numbers."""
+    """doc_id, n, s1, s2 (signature), counts (the point), keys and hot (signing shingles that aren't and that are hot, in order: hot ones are the last), as packed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = classes.value
@@ -138,35 +143,44 @@ def described(docs: DataFrame, classes, hot: int, doc_id: str, text: str) -> Dat
     return docs.select(doc_id, text).mapInArrow(lean(run), f"doc_id {kind}, n long, s1 long, s2 long, counts binary, keys binary, hot binary")
 
 
+def starting(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before."""
+    return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])[: len(columns[0])]
+
+
 def dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    """Signing shingles by bucket: packed keys with the s1 of their documents.
+    """Signing shingles by bucket: packed keys with the s1 of their documents, their sizes, the largest size of a set that can
+    be linked if this is the first shingle in common, and the signing shingle before (0: none).
 
     Inside a bucket 32 bits of a shingle are its key: two that fall together by chance make one cell of two, which costs a
     few bounds and loses nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         held, seen = 0, set()
 
         def out() -> pa.RecordBatch:
-            key, doc = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            key, *more = (np.concatenate([p[k] for p in parts]) for k in range(len(DEALT)))
             where = (key % np.uint64(buckets)).astype(np.int64)
             key = (key >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cuts))
-            packed = [pa.array([c[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some], pa.binary()) for c in (key, doc)]
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *packed], names=["bucket", "keys", "docs"])
+            packed = [pa.array([c[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some], pa.binary()) for c in (key, *more)]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *packed], names=["bucket", *DEALT])
 
         for batch in batches:
-            for s1, keys in zip(batch.column("s1").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+            for s1, n, keys in zip(*(batch.column(c).to_pylist() for c in ("s1", "n", "keys")), strict=True):
                 if not keys or s1 in seen:  # copies have the same keys
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(s1)
                 own = np.frombuffer(keys, np.uint64)
-                parts.append((own, np.full(len(own), s1, np.int64)))
+                # What lies from the first common shingle on holds the intersection, which is 3/7 of both sizes at least.
+                reach = 7 * (n - np.arange(len(own), dtype=np.int64)) // 3 - n
+                before = np.concatenate([np.zeros(1, np.uint64), own[:-1]])
+                parts.append((own, np.full(len(own), s1, np.int64), np.full(len(own), n, np.int32), reach.astype(np.int32), before))
                 held += len(own)
                 if held > HELD:
                     yield out()
@@ -174,26 +188,45 @@ def dealt(rows: DataFrame, buckets: int) -> DataFrame:
         if parts:
             yield out()
 
-    return rows.select("s1", "keys").mapInArrow(lean(run), "bucket int, keys binary, docs binary")
+    return rows.select("s1", "n", "keys").mapInArrow(lean(run), "bucket int, " + ", ".join(f"{c} binary" for c in DEALT))
 
 
 def anchored(buckets: DataFrame) -> DataFrame:
-    """anchor, s1: the members of each cell of two or more, with the cell's smallest."""
+    """anchor, s1: the members of each cell of two or more, or of what it is cut into, with the smallest.
+
+    The first shingle that two linked sets have in common lies in both their signing shingles, and the ones before it differ or
+    aren't there. So a cell whose members all have the same one before has no pair to judge, and a cell can be cut where no
+    set on one side reaches the sizes of the other. Pairs with many shingles in common, which lie in many buckets,
+    leave few of them for that.
+    """
 
     def run(key, rows):
-        join = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
-        cell, doc = join("keys", np.uint32), join("docs", np.int64)
-        order = np.lexsort((doc, cell))
-        cell, doc = cell[order], doc[order]
-        fresh = np.concatenate([[True], (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])])
-        cell, doc = cell[fresh], doc[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        cell, doc, n, reach, before = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in DEALT.items())
+        # Of two keys of a document that fall together the first, which reaches farther, stands for both.
+        order = np.lexsort((-reach, doc, cell))
+        fresh = starting(cell[order], doc[order])
+        alone = starting(cell[order][fresh])
+        order = order[fresh][~(alone & np.append(alone[1:], True))]
+        order = order[np.lexsort((n[order], cell[order]))]
+        cell, doc, n, reach, before = (c[order] for c in (cell, doc, n.astype(np.int64), reach.astype(np.int64), before))
+        if not len(cell):
+            return pa.table([pa.array([], pa.int64())] * 2, names=["anchor", "s1"])
+        own = starting(cell)
+        rank = np.cumsum(own) << 33
+        farthest = np.maximum.accumulate(reach + rank) - rank
+        own[1:] |= farthest[:-1] < n[1:]
+        starts = np.flatnonzero(own)
+        two = starts[np.diff(np.append(starts, len(cell))) == 2]
+        own[two + 1] = (n[two + 1] > reach[two]) | (n[two] > reach[two + 1])
+        starts = np.flatnonzero(own)
         sizes = np.diff(np.append(starts, len(cell)))
-        several = np.repeat(sizes, sizes) > 1
-        a, b = np.repeat(doc[starts], sizes)[several], doc[several]
+        low = np.minimum.reduceat(before, starts)
+        judged = (sizes > 1) & ((low == 0) | (low != np.maximum.reduceat(before, starts)))
+        several = np.repeat(judged, sizes)
+        a, b = np.repeat(np.minimum.reduceat(doc, starts), sizes)[several], doc[several]
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
-        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        fresh = starting(a, b)
         give_back()
         return pa.table([pa.array(a[fresh]), pa.array(b[fresh])], names=["anchor", "s1"])
 

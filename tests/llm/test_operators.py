@@ -471,6 +471,21 @@ def test_one_row_of_each_component_stays(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_a_pair_is_judged_by_its_first_shingle_in_common_in_few_buckets(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(2_000)]
+        other = [*words[:900], f"new{k}", *words[901:]]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other)), (100 + k, " ".join(words[:700]))]  # the last links with none
+    classes = spark.sparkContext.broadcast(np.zeros(jaccard.SLOTS, np.uint8))
+    full = jaccard.described(spark.createDataFrame(rows, DOCS), classes, jaccard.FULL, "doc_id", "text").cache()
+    ids = {r.s1: r.doc_id for r in full.select("s1", "doc_id").collect()}
+    made = [(ids[r.anchor], ids[r.s1]) for r in jaccard.anchored(jaccard.dealt(full, 64)).collect()]
+    assert {frozenset(x) for x in made if x[0] != x[1]} == {frozenset((2 * k, 2 * k + 1)) for k in range(20)}
+    assert len(made) < 20 * 2 * 16  # one in every bucket before
+
+
 @pytest.mark.parametrize("tile", [9, jaccard.TILE])
 def test_links_are_counted_exactly(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
