@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundspark.functions.text import answer_matches, is_abstention, normalize_answer
+from groundspark.kept import Kept
 from groundspark.operators.grading import weak_label, weak_labels
 from groundspark.operators.orchestrate import Flags, Runs
 from groundspark.settings import SETTINGS
@@ -165,18 +166,43 @@ def lexical_positives(sentences: DataFrame, citations: DataFrame, context: DataF
     return rows.where(both).groupBy("qid", "sent_idx").agg(F.min_by("chunk_id", "cite_pos").alias("chunk_id"), F.min("cite_pos").alias("cite_pos"))
 
 
+#: Rows of draws that one task joins and sorts, on average.
+IN_TASK = 250_000
+
+
 def swap_negatives(sentences: DataFrame, passages: DataFrame, draws: int = 20, seed: int = SETTINGS.seed) -> DataFrame:
     """Each sentence with one passage of another question: qid, sent_idx, other_qid, chunk_id.
 
     As many seeded draws of a passage number as asked for are made a sentence; the first that lands on another question counts,
-    and a sentence whose draws all land on its own has none. Draws meet passages by number, so nothing is crossed.
+    and a sentence whose draws all land on its own has none. Draws meet passages by number, so nothing is crossed. All sentences
+    meet the passage of their first draw; only those that it leads to their own question make the others. Tasks rise in number
+    with the rows, so what one sorts is bounded.
     """
-    numbered = ranked(passages.select("qid", "chunk_id"), shuffle_key(F.concat_ws("/", "qid", "chunk_id"), seed))
-    n = numbered.count()
-    tries = F.explode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.struct(d.alias("draw"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "qid", F.col("sent_idx").cast("string"), d.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long"), F.lit(max(n, 1))).alias("pos"))))
-    rows = sentences.select("qid", "sent_idx", tries.alias("t")).select("qid", "sent_idx", "t.draw", "t.pos")
-    met = rows.join(numbered.select(F.col("qid").alias("other_qid"), "chunk_id", "pos"), "pos").where("qid <> other_qid")
-    return met.groupBy("qid", "sent_idx").agg(F.min_by(F.struct("other_qid", "chunk_id"), "draw").alias("x")).select("qid", "sent_idx", "x.other_qid", "x.chunk_id")
+    spark = sentences.sparkSession
+    kept = Kept(spark)
+    asked, pool = kept.keep(sentences.select("qid", "sent_idx")), kept.keep(passages.select("qid", "chunk_id"))
+    n = pool.count()
+    numbered = ranked(pool, shuffle_key(F.concat_ws("/", "qid", "chunk_id"), seed)).select(F.col("qid").alias("other_qid"), "chunk_id", "pos")
+    parts = lambda rows: max(spark.sparkContext.defaultParallelism, -(-rows // IN_TASK))
+    drawn = lambda d: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "qid", F.col("sent_idx").cast("string"), d.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long"), F.lit(max(n, 1)))
+    # Null where a question is.
+    other = F.coalesce(F.col("qid") != F.col("other_qid"), F.lit(False))
+
+    def met(rows: DataFrame, k: int) -> DataFrame:
+        return rows.join(numbered.repartition(k, "pos"), "pos").withColumn("other", other)
+
+    # Repeats of a sentence draw the same number, so they are in one task.
+    k = parts(max(n, asked.count()))
+    first = kept.keep(met(asked.withColumn("pos", drawn(F.lit(0))).repartition(k, "pos").distinct(), k).drop("pos"))
+    found, own = first.where("other").drop("other"), first.where("NOT other")
+    left = own.count()
+    if not left or draws < 2:
+        return found
+    k = parts(max(n, left * (draws - 1)))
+    tries = F.explode(F.transform(F.sequence(F.lit(1), F.lit(draws - 1)), lambda d: F.struct(d.alias("draw"), drawn(d).alias("pos"))))
+    rows = own.select("qid", "sent_idx", tries.alias("t")).select("qid", "sent_idx", "t.draw", "t.pos").repartition(k, "pos")
+    again = met(rows, k).where("other").repartition(k, "qid", "sent_idx").groupBy("qid", "sent_idx").agg(F.min_by(F.struct("other_qid", "chunk_id"), "draw").alias("x"))
+    return found.unionByName(again.select("qid", "sent_idx", "x.other_qid", "x.chunk_id"))
 
 
 def calibration_slice(positives: DataFrame, negatives: DataFrame) -> DataFrame:

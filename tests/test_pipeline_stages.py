@@ -1,5 +1,6 @@
 """Chunks, retrieval, grading, drafts, verification and repair."""
 
+import hashlib
 import itertools
 
 import pytest
@@ -170,3 +171,42 @@ def test_swapped_negatives_come_from_other_questions(spark):
     passages = spark.createDataFrame([(f"q{i}", f"d::{i}") for i in range(30)], "qid string, chunk_id string")
     got = harness.swap_negatives(sentences, passages)
     assert got.count() == 30 and got.where("qid = other_qid").count() == 0
+
+
+def drawn(qid, idx, draw, n):
+    return int(hashlib.md5(f"{qid}:{idx}:{draw}:42".encode()).hexdigest()[:15], 16) % n
+
+
+def test_swapped_negatives_are_the_first_draws_of_another_question(spark, monkeypatch):
+    monkeypatch.setattr(harness, "IN_TASK", 20)
+    asked = [(f"q{i % 3}", i // 3) for i in range(90)] + [("q0", 0)] * 5
+    pool = [(f"q{min(i % 10, 2)}", f"d::{i}") for i in range(60)]
+    listed = sorted(pool, key=lambda x: hashlib.md5(f"{x[0]}/{x[1]}:42".encode()).hexdigest())
+    want = {(q, i): next((listed[p] for d in range(3) if listed[p := drawn(q, i, d, len(listed))][0] != q), None) for q, i in asked}
+    sentences, passages = spark.createDataFrame(asked, "qid string, sent_idx int"), spark.createDataFrame(pool, "qid string, chunk_id string")
+    got = harness.swap_negatives(sentences, passages, draws=3).collect()
+    assert len(got) == len({(r.qid, r.sent_idx) for r in got})
+    assert {(r.qid, r.sent_idx): (r.other_qid, r.chunk_id) for r in got} == {k: v for k, v in want.items() if v} and None in want.values()
+    assert harness.swap_negatives(sentences, passages.where("qid = 'q0'")).where("qid = 'q0'").count() == 0
+    assert harness.swap_negatives(sentences, passages.limit(0)).count() == 0
+
+
+def test_swapped_negatives_shuffle_a_sentence_once(spark):
+    """Not with all its draws: 20 of them to a sentence made tasks that grew with the table."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s := stages.apply(i)).stageId(): s.shuffleWriteRecords() for i in range(stages.size())}
+
+    sentences = spark.range(4000).selectExpr("concat('q', id % 400) AS qid", "cast(id div 400 AS int) AS sent_idx")
+    passages = spark.range(800).selectExpr("concat('q', id % 400) AS qid", "concat('d::', id) AS chunk_id")
+    spark.range(1).collect()
+    last = max(written())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(harness.swap_negatives(sentences, passages).collect()) == 4000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 4000 <= sum(n for k, n in written().items() if k > last) < 4 * 4000
