@@ -163,10 +163,12 @@ def overlap(words: Column, passage_words: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(words, passage_words)) / F.greatest(n, F.lit(1)))
 
 
-def str_em(answer: Column, sets: Column) -> Column:
-    """The share of answer groups of which a member is in the answer; 0 without groups."""
+def str_em(answer: Column, sets: Column, blanks: bool = False) -> Column:
+    """The share of answer groups of which a member is in the answer; 0 without groups. A member that normalises to nothing is in every
+    answer; one that is blank as it stands is in none, or with ``blanks`` in every one too."""
     body = normalize_answer(answer)
-    hits = F.filter(sets, lambda g: F.exists(g, lambda a: (stripped(a) != "") & F.contains(body, normalize_answer(a))))
+    inside = lambda a: F.contains(body, normalize_answer(a))
+    hits = F.filter(sets, lambda g: F.exists(g, lambda a: inside(a) if blanks else (stripped(a) != "") & inside(a)))
     return F.when(F.size(sets) > 0, F.size(hits) / F.greatest(F.size(sets), F.lit(1))).otherwise(F.lit(0.0))
 
 

@@ -39,6 +39,26 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
+def test_blank_answers_equal_sql(spark, tmp_path):
+    """Texts that are empty or blank at the end that the answer is taken from, and blank sources."""
+    import duckdb
+
+    texts = ["src1 fell. It rained.", "", "  ", "\n The src1 road.", "\tsrc1", None, "The end. ", "Roads end.\n"]
+    docs = [(len(texts) * i + j, text, source) for i, source in enumerate(["src1", "", " ", "The", None]) for j, text in enumerate(texts)]
+    turns = [(j, t, r, text) for j, text in enumerate(texts) for t, r in ((1, "user"), (2, "assistant"))]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("str_em", "citation_bench"):
+        df = catalogue.queries()[name](spark, str(tmp_path))
+        got = sorted(tuple(told(v) for v in r) for r in df.collect())
+        result = con.execute(catalogue.oracle_sql()[name])
+        assert [c[0] for c in result.description] == df.columns
+        assert got == sorted(tuple(told(v) for v in r) for r in result.fetchall()), name
+
+
 @needs_data
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
